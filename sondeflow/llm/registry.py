@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondeflow.llm import packing, wordpiece
+from sondeflow.llm import neardup, packing, pii, wordpiece
 from sondeflow.llm.common import table
 
 
@@ -14,16 +14,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op5_pii, op6_token_counts, op9_near_duplicates, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
