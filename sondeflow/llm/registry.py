@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondeflow.llm import neardup, packing, pii, wordpiece
+from sondeflow.llm import crf, gam, neardup, packing, pii, wordpiece
 from sondeflow.llm.common import table
 
 
@@ -14,6 +14,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "spans")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -31,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_pii, op6_token_counts, op9_near_duplicates, op10_packing)}
+    return {f.__name__: f for f in (op4_quality, op5_pii, op6_token_counts, op7_toxicity, op9_near_duplicates, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
