@@ -8,19 +8,20 @@ of pieces is the sum of the popped numbers; the pieces themselves are never buil
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sondeflow.llm.common import WORD
+from sondeflow.llm.common import in_slices, joined, word_hashes, words
 from sondeflow.llm.packing import vocabulary
 
 SCHEMA = "doc_id long, n_words long, n_pieces long, n_unknown long"
-CACHE = 200_000
+CACHE = 600_000
+SLICE = 4 << 20
 
 
 class LongestMatch:
@@ -79,6 +80,28 @@ def automaton(path: str) -> LongestMatch:
     return LongestMatch(vocabulary(path)[0])
 
 
+@lru_cache(maxsize=2)
+def _known(path: str) -> dict[int, int]:
+    """Pieces of words that this worker has read, by the words' hashes; emptied at CACHE entries."""
+    return {}
+
+
+def _pieces(texts: list[bytes], count, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and text number of each word. The automaton reads each distinct word once."""
+    data, at = joined(texts)
+    start, end = words(data)
+    h, first, back = np.unique(word_hashes(data, start, end, lower=False), return_index=True, return_inverse=True)
+    keys = h.tolist()
+    if len(known) + len(keys) > CACHE:
+        known.clear()
+    n = [known.get(k) for k in keys]
+    whole = data.tobytes()
+    for k, (x, a, b) in enumerate(zip(n, start[first].tolist(), end[first].tolist())):
+        if x is None:
+            n[k] = known[keys[k]] = count(whole[a:b])
+    return np.array(n, np.int64)[back], np.searchsorted(at, start, "right") - 1
+
+
 def count_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Words and greedy word pieces of each document.
 
@@ -88,20 +111,13 @@ def count_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known, find = automaton(tokenizer).count, {}, re.compile(WORD).findall
+        count, known = automaton(tokenizer).count, _known(tokenizer)
         for batch in batches:
-            n_words, n_pieces, n_unknown = [], [], []
-            for text in batch.column(1):
-                found = find(text.as_py() or "")
-                for w in {*found} - known.keys():
-                    known[w] = count(w.encode())
-                counts = [known[w] for w in found]
-                stuck = counts.count(-1)
-                n_words.append(len(found))
-                n_pieces.append(sum(counts) + 2 * stuck)
-                n_unknown.append(stuck)
-                if len(known) > CACHE:
-                    known = {}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_pieces, n_unknown))], names=["doc_id", "n_words", "n_pieces", "n_unknown"])
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            for i, j in in_slices(texts, [len(t) for t in texts], SLICE):
+                pieces, doc = _pieces(texts[i:j], count, known)
+                stuck = pieces < 0
+                cols = [np.bincount(doc, w, j - i).astype(np.int64) for w in (None, np.where(stuck, 1, pieces), stuck)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, cols)], names=["doc_id", "n_words", "n_pieces", "n_unknown"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
