@@ -94,12 +94,16 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word, with A-Z lower-cased: a polynomial in an odd base, then mixed with the length."""
+def span_hasher(data: np.ndarray, lower: bool = True):
+    """A function of starts and ends giving 64-bit hashes of those bytes, with A-Z lower-cased: a polynomial in an odd base, mixed with the length."""
     up, down = POWERS.get(len(data))
     total = np.zeros(len(data) + 1, U64)
     np.cumsum((_LOWER[data] if lower else data).astype(U64) * up[: len(data)] + up[: len(data)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return lambda start, end: mix64((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    return span_hasher(data, lower)(start, end)
 
 
 def in_slices(items: list, sizes: list[int], most: int = 4 << 20):

@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field over tokens.
 
-Two tags, clean and toxic. A token's hash looks up its weight for the toxic tag; tags of neighbouring tokens interact through
-a 2 x 2 matrix. Documents are labelled as wholes, so the token labels that the field learns from come from the labelled
-sample itself: in a toxic document, tokens that toxic documents hold far more often than others (a smoothed ratio of
-document frequencies, taken away from clean documents with a margin for chance). Weights are fitted by gradient ascent on
+Two tags, clean and toxic. A token's features, itself and its beginnings, look up weights for the toxic tag; tags of neighbouring
+tokens interact through a 2 x 2 matrix. Documents are labelled as wholes, so the token labels that the field learns from come
+from the labelled sample itself: in a toxic document, tokens with a feature that toxic documents hold far more often than
+others (by document frequencies with a margin for chance, near copies counted once). Weights are fitted by gradient ascent on
 the regularised conditional likelihood, whose gradient is the labels less the forward-backward marginals.
 
 A document's score is a logistic function of its aggregated marginals (the largest, and the log of their noisy-or), fitted on the
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import U64, in_slices, remainder_of_id
+from sondeflow.llm.common import U64, in_slices, mix64, remainder_of_id
 from sondeflow.llm.tokens import tokens
 
-SAMPLE = 6000  #: labelled rows the field is fitted on at most, in the order of a hash of their id
-SAMPLE_BYTES = 48 << 20  #: and their texts' bytes at most
-STEPS = 60
+SAMPLE = 3000  #: labelled rows the field is fitted on at most, in the order of a hash of their id
+SAMPLE_BYTES = 10 << 20  #: and their texts' bytes at most
+STEPS = 30
 SPAN = 0.5
 SLICE = 2 << 20
 BLOCK = 64
@@ -43,10 +43,12 @@ class Field:
     link: np.ndarray
 
     def emission(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(h), self.bias)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return self.bias + np.where(self.keys[at] == h, self.weight[at], 0.0)
+        total = np.full(len(h), self.bias)
+        if len(self.keys):
+            for column in h.T:
+                at = np.minimum(np.searchsorted(self.keys, column), len(self.keys) - 1)
+                total += np.where(self.keys[at] == column, self.weight[at], 0.0)
+        return total
 
     def score(self, doc: np.ndarray, p: np.ndarray, n_docs: int) -> np.ndarray:
         return 1 / (1 + np.exp(-(_aggregates(doc, p, n_docs) @ self.link)))
@@ -117,49 +119,75 @@ def _firsts(n: np.ndarray) -> np.ndarray:
     return first
 
 
+def _originals(texts: list[bytes]) -> list[int]:
+    """Texts but for near copies of earlier ones: those that share two of four smallest hashes of token pairs."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for k, text in enumerate(texts):
+        h = tokens([text])[0][:, 0]
+        if len(h) < 2:
+            kept.append(k)
+            continue
+        pairs = h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:]
+        mine = [(j, int(mix64(pairs ^ U64((j + 1) * 0x1851F42D4C957F2D)).min())) for j in range(4)]
+        if sum(m in seen for m in mine) < 2:
+            kept.append(k)
+        seen.update(mine)
+    return kept
+
+
 def fit(texts: list[bytes], toxic: np.ndarray) -> Field:
     """A field from labelled texts. Without labels of both kinds every score is the share of toxic ones (0 without any)."""
     toxic = np.asarray(toxic, bool)
     share = (toxic.sum() + 0.02) / (len(toxic) + 1)
     none = Field(np.zeros(0, U64), np.zeros(0), -4.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+    if not toxic.any() or toxic.all():
+        return none
+    toxic, texts = toxic[own := _originals(texts)], [texts[k] for k in own]
     if not toxic.any() or toxic.all():
         return none
     h, doc, _, _, n = tokens(texts)
+    width = h.shape[1]
     keys, at = np.unique(h, return_inverse=True)
-    pairs = np.unique(doc * np.int64(len(keys)) + at)
+    at = at.reshape(h.shape)
+    pairs = np.unique(np.repeat(doc, width) * np.int64(len(keys)) + at.ravel())
     d, k = pairs // len(keys), pairs % len(keys)
     with_ = np.bincount(k[toxic[d]], minlength=len(keys))
     without = np.bincount(k[~toxic[d]], minlength=len(keys))
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
-    # A token marks toxicity if the lower end of its share among toxic documents is well above the upper end elsewhere.
+    # A feature marks toxicity if the lower end of its share among toxic documents is well above the upper end elsewhere.
     low = (with_ - 2 * np.sqrt(with_)) / n_toxic
-    high = (without + 2 * np.sqrt(without) + 2) / n_clean
-    marks = (with_ >= 4) & (low > 4 * high)
-    y = marks[at] & toxic[doc]
+    high = (without + 2 * np.sqrt(without) + 1) / n_clean
+    marks = (with_ >= max(4, 0.01 * n_toxic)) & (low > 6 * high) & (keys != 0)
+    y = marks[at].any(axis=1) & toxic[doc]
     kept = np.flatnonzero(marks)
     if not len(kept):
         return none
-    # Tokens without a weight of their own share the bias; only marked ones get a weight.
+    # Only marked features get a weight; all tokens share the bias.
     slot = np.full(len(keys), len(kept))
     slot[kept] = np.arange(len(kept))
     where = slot[at]
+    used = [np.flatnonzero(c < len(kept)) for c in where.T]
+    at_ = [c[u] for c, u in zip(where.T, used)]
+    sums = lambda v: sum(np.bincount(a, v[u], len(kept)) for a, u in zip(at_, used))
     first = _firsts(n)
-    weight, bias, trans = np.zeros(len(kept) + 1), -4.0, np.zeros((2, 2))
-    speed = [np.full(len(kept) + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    seen = np.bincount(where, y, len(kept) + 1)
-    total, edge = y.sum(), np.zeros(4)
+    weight, bias, trans = np.zeros(len(kept)), -4.0, np.zeros((2, 2))
+    speed = [np.full(len(kept), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
+    seen, total = sums(y), y.sum()
     inner = np.flatnonzero(~first)
-    edge[:] = np.bincount(2 * y[inner - 1] + y[inner], minlength=4)
+    edge = np.bincount(2 * y[inner - 1] + y[inner], minlength=4)
     for _ in range(STEPS):
-        p, pair = marginals(bias + np.where(where < len(kept), weight[where], 0.0), first, trans)
-        grads = [seen - np.bincount(where, p, len(kept) + 1) - 0.05 * weight, total - p.sum() - 0.05 * bias, (edge - pair.sum(axis=0)).reshape(2, 2) - 0.5 * trans]
-        grads[0][-1] = 0.0
+        e = np.full(len(h), bias)
+        for a, u in zip(at_, used):
+            e[u] += weight[a]
+        p, pair = marginals(e, first, trans)
+        grads = [seen - sums(p) - 0.05 * weight, total - p.sum() - 0.05 * bias, (edge - pair.sum(axis=0)).reshape(2, 2) - 0.5 * trans]
         for s, g in zip((0, 1, 2), grads):
             speed[s] = speed[s] + g * g
         weight = weight + 1.0 * grads[0] / np.sqrt(speed[0])
         bias = bias + 0.5 * grads[1] / np.sqrt(speed[1])
         trans = trans + 0.5 * grads[2] / np.sqrt(speed[2])
-    model = Field(keys[kept], weight[:-1], float(bias), trans, np.zeros(3))
+    model = Field(keys[kept], weight, float(bias), trans, np.zeros(3))
     p, _ = marginals(model.emission(h), first, trans)
     model.link = _logistic(_aggregates(doc, p, len(texts)), toxic.astype(float))
     return model

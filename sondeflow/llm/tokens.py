@@ -1,23 +1,32 @@
-"""Letter-and-digit tokens of many texts at once, as hashes with byte offsets."""
+"""Letter-and-digit tokens of many texts at once, as feature hashes with byte offsets."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from sondeflow.llm.common import joined, word_hashes
+from sondeflow.llm.common import U64, joined, mix64, span_hasher
 
 _PART = np.zeros(256, bool)
 _PART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Lengths in bytes of the beginnings that are features beside the whole token.
+PREFIXES = (4, 5, 6, 7)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (A-Z lower-cased), text number, start and end within the text of each token, and the tokens' number for each text.
+    """Feature hashes (a row for each token: itself, then its beginnings, 0 for those it is too short for), text number,
+    start and end within the text of each token, and the tokens' number for each text.
 
-    A token is a run of ASCII letters and digits and of bytes above 0x7F.
+    A token is a run of ASCII letters and digits and of bytes above 0x7F; A-Z count as lower-case.
     """
     data, at = joined(texts)
     edge = np.flatnonzero(np.diff(_PART[data], prepend=False)) if len(data) else np.zeros(0, np.int64)
     start, end = edge[0::2], edge[1::2]
-    h = word_hashes(data, start, end)
+    h = np.zeros((len(start), 1 + len(PREFIXES)), U64)
+    if len(start):
+        hashed = span_hasher(data)
+        h[:, 0] = hashed(start, end)
+        for k, n in enumerate(PREFIXES):
+            long = np.flatnonzero(end - start > n)
+            h[long, k + 1] = mix64(hashed(start[long], start[long] + n) ^ U64(n))
     doc = np.searchsorted(at, start, "right") - 1
     return h, doc, start - at[doc], end - at[doc], np.bincount(doc, minlength=len(texts))
