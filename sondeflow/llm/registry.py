@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondeflow.llm import crf, gam, neardup, packing, pii, wordpiece
+from sondeflow.llm import crf, descent, gam, mixing, neardup, packing, pii, pivots, wordpiece
 from sondeflow.llm.common import table
 
 
@@ -14,6 +14,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -32,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
+def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -41,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_quality, op5_pii, op6_token_counts, op7_toxicity, op9_near_duplicates, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_nearest_neighbours, op4_quality, op5_pii, op6_token_counts, op7_toxicity, op8_top_products, op9_near_duplicates, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
