@@ -26,7 +26,7 @@ from sondeflow.llm.vectors import common_dim, matrix, packed, waves
 K = 24
 TREES, CELL, BITS = 4, 128, 6
 ROUNDS, EACH = 5, 6
-EF, STEPS = 192, 8
+EF, STEPS = 256, 8
 SETTLED = 0.02  #: rounds end when so small a share of the graph's edges is new
 
 
