@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondeflow.llm import crf, descent, gam, mixing, neardup, packing, pii, pivots, wordpiece
+from sondeflow.llm import crf, descent, gam, mixing, neardup, packing, pii, pivots, substrings, wordpiece
 from sondeflow.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descent.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_nearest_neighbours, op4_quality, op5_pii, op6_token_counts, op7_toxicity, op8_top_products, op9_near_duplicates, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_nearest_neighbours, op3_substring_dedup, op4_quality, op5_pii, op6_token_counts, op7_toxicity, op8_top_products, op9_near_duplicates, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
