@@ -1,15 +1,16 @@
 """Near-duplicate documents: fast similarity sketching, banding, exact verification.
 
 Documents with equal shingle sets form a class; only one of a class goes on, as a node named by the smallest doc_id. Nodes that share
-a band meet in a bucket. Pairs within a bucket are never spelled out: in each star round every node is compared with
-one bucket centre outside its component, so a group of m near copies costs m comparisons a round. What
-stays apart in a bucket after the star rounds is then compared pair by pair across components, so no link between
-components is lost to the rounds. Comparisons are exact, on full sets of 64-bit shingle hashes.
+a band meet in a bucket, and nodes joined by buckets in a cluster. Pairs are never spelled out as rows: a cluster is cut into
+blocks of about BLOCK nodes, each pair of blocks is a task of its own, and that compares full sets of 64-bit shingle hashes
+as a product of incidence matrices, giving back only which nodes hang together. A group of m nodes thus costs
+m * m / BLOCK rows. In a group of over STAR nodes, every node is first compared with one centre; nodes that this links are not
+compared among themselves again. A cluster of over LARGEST nodes is worked bucket by bucket instead.
 
 With 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8.
 
-Skew: classes collapse by map-side aggregation; a centre's comparisons are dealt over salted groups of at most GROUP.
-Nothing but counts reaches the driver.
+Skew: classes collapse by map-side aggregation; a centre's comparisons are dealt over salted parts of about PART nodes, and blocks
+are dealt by hash. Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from sondeflow.llm.components import components
 from sondeflow.llm.shingles import bands, fingerprints, shingle_sets, sketches
 
 BINS, ROWS = 128, 4
-STAR_ROUNDS = 2
-GROUP = 256
+PART, BLOCK = 256, 256
+STAR, LARGEST = 1024, 8192
+COLUMNS = 4096
 SLICE = 2 << 20
 
 
@@ -64,8 +66,8 @@ def _node_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked for each pair a, b of nodes. Pairs of one b are dealt over groups of GROUP by a's hash; the set of b goes to each."""
-    sized = pairs.join(pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "b")
+    """a, b, linked for each pair a, b of nodes. Pairs of one b are dealt over groups of PART by a's hash; the set of b goes to each."""
+    sized = pairs.join(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts")), "b")
     dealt = sized.select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.col("a").alias("node"), F.lit(False).alias("centre"))
     centres = dealt.select("b", "part", F.col("b").alias("node"), F.lit(True).alias("centre")).distinct()
     rows = dealt.union(centres).join(sets, "node").repartition("b", "part").sortWithinPartitions("b", "part", F.desc("centre"))
@@ -100,6 +102,81 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def _block_links(grouped: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: nodes that hang together by links within each group (group, band, node); known (node, component) are not compared again."""
+    keys = ["group", "band"]
+    named = grouped.join(known, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    counts = named.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("labels")).filter("labels > 1")
+    main = main.withColumn("n_main", F.when(F.col("n_main") > 1, F.col("n_main")).otherwise(0))  # without known links, no label is the main one
+    main = main.withColumn("b1", F.ceil(F.col("n_main") / BLOCK)).withColumn("b2", F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK))
+    placed = named.join(main, keys).withColumn("in_main", (F.col("n_main") > 0) & (F.col("label") == F.col("main")))
+    h = F.xxhash64("node")
+    placed = placed.withColumn("block", F.when(F.col("in_main"), F.pmod(h, F.col("b1"))).otherwise(F.col("b1") + F.pmod(h, F.col("b2"))))
+    others = F.sequence(F.when(F.col("in_main"), F.col("b1")).otherwise(F.lit(0).cast("long")), F.col("b1") + F.col("b2") - 1)
+    spread = placed.select(*keys, "node", "label", "block", F.explode(others).alias("other"))
+    rows = spread.select(*keys, "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "node")
+    cut = [*keys, "i", "j"]
+    rows = rows.repartition(*cut).sortWithinPartitions(*cut)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, labels, held = None, [], [], []
+        for batch in batches:
+            items = batch.column("items")
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (*cut, "node", "label")))):
+                if key[:4] != now:
+                    yield _block(nodes, labels, held, percent)
+                    now, nodes, labels, held = key[:4], [], [], []
+                nodes.append(key[4])
+                labels.append(key[5])
+                held.append(np.frombuffer(items[k].as_buffer(), np.uint64).copy())
+        yield _block(nodes, labels, held, percent)
+
+    return rows.select(*cut, "node", "label", "items").mapInArrow(run, "a long, b long")
+
+
+def _block(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    """A star of links over each set of nodes that hang together and have not all one label."""
+    out: list[tuple[int, int]] = []
+    if len(nodes) > 1:
+        n = np.array([len(s) for s in sets], np.int64)
+        common = _intersections(sets, n)
+        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        _, kind = np.unique(np.array(labels), return_inverse=True)
+        linked |= kind[:, None] == kind[None, :]
+        root = np.full(len(nodes), -1)
+        for k in range(len(nodes)):
+            if root[k] >= 0:
+                continue
+            front = np.zeros(len(nodes), bool)
+            front[k] = True
+            root[k] = k
+            while front.any():
+                front = linked[front].any(axis=0) & (root < 0)
+                root[front] = k
+        out = [(nodes[k], nodes[r]) for k, r in enumerate(root) if k != r]
+    a, b = zip(*out) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _intersections(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence matrices over COLUMNS shingles at a time."""
+    _, kind, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    whose = np.repeat(np.arange(len(sets)), n)
+    column = np.cumsum(count > 1) - 1  # shingles of one set alone are in no intersection
+    keep = count[kind] > 1
+    kind, whose = column[kind[keep]], whose[keep]
+    order = np.argsort(kind, kind="stable")
+    kind, whose = kind[order], whose[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    for c in range(0, int(kind[-1]) + 1 if len(kind) else 0, COLUMNS):
+        a, b = np.searchsorted(kind, (c, c + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[whose[a:b], kind[a:b] - c] = 1
+        total += (m @ m.T).astype(np.int64)
+    return total + np.diag(n - np.diag(total))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id), a row for each row.
 
@@ -120,30 +197,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = classes.select("c1", "c2", "node")
     sets = written(_node_sets(again, width).join(named, ["c1", "c2"]).filter("doc_id = node").dropDuplicates(["node", "c1", "c2"]).select("node", "items"), "sets")
 
-    fits = F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
-    done, labels = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        here = met if labels is None else met.join(labels, met["node"] == labels["vertex"], "left").select("band", "node", "n", "centre", "centre_n", F.coalesce("component", "node").alias("label"))
-        if labels is None:
-            open_ = here.withColumn("label", F.col("node"))
-        else:
-            mixed = here.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")).alias("c")).filter("lo < hi")
-            open_ = here.drop("centre", "centre_n").join(mixed.select("band", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label")), "band")
-        if turn < STAR_ROUNDS:
-            apart = "node <> centre" if labels is None else "label <> centre_label"
-            pairs = open_.filter(apart).select(F.col("node").alias("a"), F.col("centre").alias("b"), "n", F.col("centre_n").alias("other_n")).filter(fits)
-        else:
-            left = open_.select("band", F.col("node").alias("a"), "n", F.col("label").alias("la"))
-            right = open_.select("band", F.col("node").alias("b"), F.col("n").alias("other_n"), F.col("label").alias("lb"))
-            pairs = left.join(right, "band").filter("la < lb").filter(fits).select("a", "b").distinct()
-        if done is not None:
-            seen = done.select("a", "b").union(done.select("b", "a")).distinct()
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        if turn < STAR_ROUNDS:  # one centre for each node: the first by hash
-            pairs = pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b"))
-        checked = written(_verified(pairs.select("a", "b"), sets, percent), "checked")
-        done = checked if done is None else done.union(checked)
-        labels = components(done.filter("linked").select("a", "b"))
+    clusters = components(met.select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("vertex", "node")
+    own = written(wanted.withColumnRenamed("doc_id", "node").join(clusters, "node", "left").select("node", F.coalesce("component", "node").alias("cluster")), "clusters")
+    size = own.groupBy("cluster").agg(F.count("*").alias("size"))
+    sized = own.join(size, "cluster")
+    large = written(sized.filter(F.col("size") > STAR).select("node"), "large")
+    fits = F.expr(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
+    pairs = met.filter("node <> centre").filter(fits).join(large, "node", "left_semi").groupBy(F.col("node").alias("a")).agg(F.min_by("centre", F.xxhash64("centre")).alias("b"))
+    star = written(_verified(pairs, sets, percent).filter("linked").select("a", "b"), "star")
+    known = components(star).withColumnRenamed("vertex", "node")
+    grouped = sized.filter(F.col("size") <= LARGEST).select(F.col("cluster").alias("group"), F.lit(0).cast("long").alias("band"), "node")
+    grouped = grouped.union(met.join(sized.filter(F.col("size") > LARGEST).select("node"), "node", "left_semi").select(F.lit(0).cast("long"), "band", "node"))
+    links = written(star.union(_block_links(grouped, known, sets, percent)), "joined")
+    labels = components(links)
 
     merged = labels.select("vertex", "component")
     groups = classes.join(merged, classes["node"] == merged["vertex"], "left").select("c1", "c2", "rows", F.coalesce("component", "node").alias("component_id"), F.col("component").isNotNull().alias("moved"))

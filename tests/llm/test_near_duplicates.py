@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from sondeflow.llm import neardup
 from sondeflow.llm.neardup import near_duplicates
 
 SCHEMA = "doc_id long, text string, node int, band string"
@@ -57,6 +58,16 @@ def test_as_all_pairs(spark, seed, width):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, width, 80)
 
 
+@pytest.mark.parametrize("star,largest", [(3, 1000), (3, 12)])
+def test_large_groups(spark, monkeypatch, star, largest):
+    """Stars, blocks and bucket-wise work, with bounds so small that the fixture reaches them."""
+    for name, n in (("STAR", star), ("LARGEST", largest), ("BLOCK", 4), ("PART", 3)):
+        monkeypatch.setattr(neardup, name, n)
+    rows = documents(5)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4, 80)
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g"
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (9, text), (None, None)], "doc_id long, text string")
