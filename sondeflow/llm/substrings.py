@@ -27,13 +27,33 @@ from pyspark.sql import functions as F
 from sondeflow.llm.common import in_slices, mix64, span_hasher
 from sondeflow.llm.suffixes import permuted_prefixes, suffix_array
 
-LENGTH, GRAM = 50, 16
-SLICE = 4 << 20
+LENGTH, GRAM = 50, 8
+SLICE = 2 << 20
+MOST_HELD = 2_000_000
 SHARD = 8 << 20
 GAP = 0xFF  #: no byte of UTF-8 text
-#: A region as it travels.
-REGION = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("size", "u1")])
-COVERED = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("size", "u1")])
+#: Fields of a region as it travels; `offset` is the anchor's place in it, `tag` tells rows of one doc_id apart.
+FIELDS = {"doc": np.dtype("<i8"), "tag": np.dtype("<u2"), "start": np.dtype("<u4"), "size": np.dtype("u1"), "offset": np.dtype("u1")}
+
+
+def _packed(fields: dict[str, np.ndarray]) -> bytes:
+    """Fields one after another, documents as differences, each with its first bytes first, then its second, and so on."""
+    out = []
+    for name, kind in FIELDS.items():
+        x = np.diff(fields[name], prepend=0) if name == "doc" else fields[name]
+        out.append(np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes())
+    return b"".join(out)
+
+
+def _unpacked(raw: bytes, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The fields, and what follows them."""
+    fields, at = {}, 0
+    for name, kind in FIELDS.items():
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        fields[name] = np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+        at += n * kind.itemsize
+    fields["doc"] = np.cumsum(fields["doc"])
+    return fields, np.frombuffer(raw, np.uint8, offset=at)
 
 
 def _leftmost_smallest(h: np.ndarray, width: int) -> np.ndarray:
@@ -49,12 +69,12 @@ def _leftmost_smallest(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts end to end: the bytes; and for each region text number, start and end in those bytes, and anchor hash."""
+    """Of the texts end to end: the bytes; and for each region text number, start and end in those bytes, and its anchor's place."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     edge = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return data, empty, empty, empty, empty.astype(np.uint64)
+        return data, empty, empty, empty, empty
     hashed = span_hasher(data, lower=False)
     at = np.arange(len(data) - GRAM + 1)
     h = hashed(at, at + GRAM)
@@ -65,9 +85,9 @@ def regions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(fresh & inside)
     if not len(start):
-        return data, empty, empty, empty, empty.astype(np.uint64)
+        return data, empty, empty, empty, empty
     stop = np.flatnonzero(inside & np.append(fresh[1:] | ~inside[1:], True))
-    return data, doc[start].astype(np.int64), start, stop + LENGTH, h[anchor[start]]
+    return data, doc[start].astype(np.int64), start, stop + LENGTH, anchor[start].astype(np.int64)
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -88,94 +108,105 @@ def _once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _map(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") if i is not None else b"" for i, t in zip(ids, batch.column(1))]
             ids = np.array([i or 0 for i in ids], np.int64)
+            held: dict[tuple[int, bool], list] = {}
             for i, j in in_slices(texts, [len(t) for t in texts], SLICE):
-                tags = np.array([zlib.crc32(t) for t in texts[i:j]], np.uint32)
-                begins = np.concatenate(([0], np.cumsum([len(t) for t in texts[i:j]])))
-                data, doc, start, end, anchor = regions(texts[i:j])
-                if not len(doc):
-                    continue
-                own, covered = _once(span_hasher(data, lower=False)(start, end), ids[i:j][doc])
-                rows = []
-                for which, kind, to in ((own, REGION, (anchor[own] >> np.uint64(20)) % np.uint64(shards)), (covered, COVERED, (mix64(start[covered].astype(np.uint64) ^ tags[0]) % np.uint64(shards)))):
-                    by = np.argsort(to, kind="stable")
-                    which, to = which[by], to[by]
-                    record = np.zeros(len(which), kind)
-                    record["doc"], record["tag"] = ids[i:j][doc[which]], tags[doc[which]]
-                    record["start"], record["size"] = start[which] - begins[doc[which]], end[which] - start[which]
-                    if kind is REGION:
-                        record["anchor"] = anchor[which]
-                    cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else [0]
-                    for a, b in zip(cut[:-1], cut[1:]):
-                        text = _gathered(data, start[which[a:b]], record["size"][a:b].astype(np.int64)).tobytes() if kind is REGION else b""
-                        rows.append((int(to[a]), kind is COVERED, b - a, squeeze(record[a:b].tobytes() + text)))
-                for a in range(0, len(rows), 2000):
-                    shard, kind, n, packed = zip(*rows[a : a + 2000])
-                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(kind), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "covered", "n", "packed"])
+                _slice(texts[i:j], ids[i:j], shards, held)
+                if sum(len(x[0]["doc"]) for v in held.values() for x in v) > MOST_HELD:
+                    yield from _sent(held, squeeze)
+                    held = {}
+            yield from _sent(held, squeeze)
 
     return run
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slice(texts: list[bytes], ids: np.ndarray, shards: int, held: dict) -> None:
+    """Add the regions of the texts to what each shard gets: fields, and the text of those that enter."""
+    data, doc, start, end, anchor = regions(texts)
+    if not len(doc):
+        return
+    tags = np.array([zlib.crc32(t) for t in texts], np.uint32)
+    begins = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    hashed = span_hasher(data, lower=False)
+    own, covered = _once(hashed(start, end), ids[doc])
+    for which, enter in ((own, True), (covered, False)):
+        h = hashed(anchor[which], anchor[which] + GRAM) if enter else mix64(start[which].astype(np.uint64) ^ tags[doc[which]])
+        to = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+        by = np.lexsort((which, to))
+        which, to = which[by], to[by]
+        fields = {"doc": ids[doc[which]], "tag": tags[doc[which]], "start": start[which] - begins[doc[which]], "size": end[which] - start[which], "offset": anchor[which] - start[which]}
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else [0]
+        for a, b in zip(cut[:-1], cut[1:]):
+            text = _gathered(data, start[which[a:b]], fields["size"][a:b]) if enter else np.zeros(0, np.uint8)
+            held.setdefault((int(to[a]), enter), []).append(({k: v[a:b] for k, v in fields.items()}, text))
+
+
+def _sent(held: dict, squeeze) -> Iterator[pa.RecordBatch]:
+    for (shard, enter), parts in held.items():
+        fields = {k: np.concatenate([f[k] for f, _ in parts]) for k in FIELDS}
+        packed = squeeze(_packed(fields) + b"".join(t.tobytes() for _, t in parts))
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([not enter]), pa.array([len(fields["doc"])], pa.int64()), pa.array([packed], pa.binary())], names=["shard", "covered", "n", "packed"])
+
+
+def _reduce(table: pa.Table) -> pa.Table:
+    """Spans to remove, from all that one shard gets."""
     open_ = zstandard.ZstdDecompressor().decompress
-    now, records, texts = None, [], []
-    for batch in batches:
-        for shard, covered, n, packed in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            raw = open_(packed)
-            if covered:
-                c = np.frombuffer(raw, COVERED)
-                yield _spans(c["doc"], c["tag"], c["start"].astype(np.int64), c["start"].astype(np.int64) + c["size"])
-                continue
-            if shard != now:
-                if records:
-                    yield _shard(np.concatenate(records), np.concatenate(texts))
-                now, records, texts = shard, [], []
-            records.append(np.frombuffer(raw, REGION, n))
-            texts.append(np.frombuffer(raw, np.uint8, offset=n * REGION.itemsize))
-    if records:
-        yield _shard(np.concatenate(records), np.concatenate(texts))
+    out, fields, texts = [], [], []
+    for covered, n, packed in zip(*(table.column(k).to_pylist() for k in ("covered", "n", "packed"))):
+        f, text = _unpacked(open_(packed), n)
+        if covered:
+            out.append(_spans(f["doc"], f["tag"], f["start"], f["start"] + f["size"]))
+        else:
+            fields.append(f)
+            texts.append(text)
+    if fields:
+        out.append(_shard({k: np.concatenate([f[k] for f in fields]) for k in FIELDS}, np.concatenate(texts)))
+    return pa.Table.from_batches(out)
 
 
 def _spans(doc, tag, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(tag.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], names=["id", "tag", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, tag, start, end)], names=["id", "tag", "start", "end"])
 
 
-def _shard(record: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> pa.RecordBatch:
     """Spans to remove, as far as this shard's strings tell."""
-    size = record["size"].astype(np.int64)
+    size, doc = field["size"], field["doc"]
     at = np.cumsum(size) - size
-    kept = _in_several(record["anchor"], record["doc"])
-    key = span_hasher(text, lower=False)(at[kept], at[kept] + size[kept])
-    own, covered = _once(key, record["doc"][kept])
+    hashed = span_hasher(text, lower=False)
+    anchor = hashed(at + field["offset"], at + field["offset"] + GRAM)
+    kept = _in_several(anchor, doc)
+    key = hashed(at[kept], at[kept] + size[kept])
+    own, covered = _once(key, doc[kept])
     out = [(kept[covered], np.zeros(len(covered), np.int64), size[kept[covered]])]
     one, same = _representatives(key[own])
     own = kept[own]
     # An anchor with one region left has no other string to compare.
-    several = _in_several(record["anchor"][own[one]], np.arange(len(one)))
+    several = _in_several(anchor[own[one]], np.arange(len(one)))
     chosen = own[one][several]
     if len(chosen):
         place = np.full(len(one), -1)
         place[several] = np.arange(len(several))
-        cover = _covered_strings(text, at[chosen], size[chosen], record["doc"][chosen])
+        cover = _covered_strings(text, at[chosen], size[chosen], doc[chosen])
         for k in np.flatnonzero(place[same] >= 0):
             runs = cover[place[same[k]]]
             if runs is not None:
                 out.append((np.full(len(runs), own[k]), runs[:, 0], runs[:, 1]))
     which, a, b = (np.concatenate(c) for c in zip(*out))
-    r = record[which]
-    return _spans(r["doc"], r["tag"], r["start"] + a, r["start"] + b)
+    return _spans(doc[which], field["tag"][which], field["start"][which] + a, field["start"][which] + b)
 
 
 def _in_several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Places whose key occurs with more than one document."""
+    if not len(key):
+        return np.zeros(0, np.int64)
     order = np.lexsort((doc, key))
     k, d = key[order], doc[order]
     group = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
-    mixed = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+    mixed = np.zeros(int(group[-1]) + 1, bool)
     mixed[group[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])]] = True
     return np.sort(order[mixed[group]])
 
@@ -214,11 +245,11 @@ def _covered_strings(text: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """id, tag (crc32 of the text), start, end: byte spans to remove; they may overlap."""
+    """id, tag (the low 16 bits of the text's crc32), start, end: byte spans to remove; they may overlap."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, int(n_bytes * 3.7) // SHARD)
+    shards = max(1, int(n_bytes * 3.3) // SHARD)
     sent = docs.select("doc_id", "text").mapInArrow(_map(shards), "shard long, covered boolean, n long, packed binary")
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_reduce, "id long, tag long, start long, end long")
+    return sent.groupBy("shard").applyInArrow(_reduce, "id long, tag long, start long, end long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -226,10 +257,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     docs: doc_id long, text string; other columns are ignored. A null or empty text has no bytes. A row with a null doc_id is neither
     smaller nor larger than any: nothing is removed from it or for it. Rows that repeat a doc_id remove nothing from each
-    other. An empty table gives no rows.
+    other; if their texts differ, they are told apart by 16 bits of the texts' crc32. An empty table gives no rows.
     """
     found = repeated_spans(docs).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    tagged = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("own"))
+    tagged = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(0xFFFF)).alias("own"))
     joined = tagged.join(found, (tagged["doc_id"] == found["id"]) & (tagged["own"] == found["tag"]), "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
