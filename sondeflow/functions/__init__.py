@@ -1 +1 @@
-"""sondeflow.functions"""
+"""Scalar column functions."""

@@ -1 +1 @@
-"""sondeflow.operators"""
+"""Operators: functions from DataFrames to DataFrames."""

@@ -19,9 +19,15 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from sondeflow.plans import sequences, summaries  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
