@@ -25,11 +25,12 @@ from sondeflow.llm.common import U64, in_slices, mix64, remainder_of_id
 from sondeflow.llm.tokens import tokens
 
 SAMPLE = 3000  #: labelled rows the field is fitted on at most, in the order of a hash of their id
-SAMPLE_BYTES = 10 << 20  #: and their texts' bytes at most
+SAMPLE_BYTES = 8 << 20  #: and their texts' bytes at most
 STEPS = 30
 SPAN = 0.5
 SLICE = 2 << 20
 BLOCK = 64
+FIT_BYTES = 1 << 19  #: of texts whose marginals are held at a time when fitting
 
 
 @dataclass
@@ -43,19 +44,15 @@ class Field:
     link: np.ndarray
 
     def emission(self, h: np.ndarray) -> np.ndarray:
-        total = np.full(len(h), self.bias)
-        if len(self.keys):
-            for column in h.T:
-                at = np.minimum(np.searchsorted(self.keys, column), len(self.keys) - 1)
-                total += np.where(self.keys[at] == column, self.weight[at], 0.0)
-        return total
+        weight = np.append(self.weight, 0.0)
+        return self.bias + sum(weight[_places(self.keys, column)] for column in h.T)
 
     def score(self, doc: np.ndarray, p: np.ndarray, n_docs: int) -> np.ndarray:
         return 1 / (1 + np.exp(-(_aggregates(doc, p, n_docs) @ self.link)))
 
 
-def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(toxic) of each token, and P(tag before, tag here) as rows of 4, zero at first tokens. first: a document begins here."""
+def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of each token, and (if asked for) P(tag before, tag here) as rows of 4, zero at first tokens. first: a document begins here."""
     n = len(emission)
     if not n:
         return np.zeros(0), np.zeros((0, 4))
@@ -73,6 +70,8 @@ def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tup
     behind = _carried(np.ascontiguousarray(back))[::-1]  # backward: what follows, for each tag here
     both = ahead * behind
     both /= both.sum(axis=1, keepdims=True)
+    if not pairs:
+        return both[:n, 1], np.zeros((0, 4))
     before = np.concatenate((np.ones((1, 2)), ahead[:-1]))
     pair = before[:, :, None] * step * behind[:, None, :]
     pair = pair.reshape(size, 4)
@@ -119,6 +118,46 @@ def _firsts(n: np.ndarray) -> np.ndarray:
     return first
 
 
+class _Part:
+    """Some documents of the sample: where each token's features have their weights, and the labels' sums."""
+
+    def __init__(self, texts: list[bytes], toxic: np.ndarray, keys: np.ndarray) -> None:
+        h, self.doc, _, _, n = tokens(texts)
+        where = _places(keys, h)
+        self.n_docs, self.first, self.n_keys = len(texts), _firsts(n), len(keys)
+        self.used = [np.flatnonzero(c < len(keys)) for c in where.T]
+        self.at = [c[u] for c, u in zip(where.T, self.used)]
+        y = (where < len(keys)).any(axis=1) & toxic[self.doc]
+        inner = np.flatnonzero(~self.first)
+        self.seen, self.total = self.sums(y), y.sum()
+        self.edge = np.bincount(2 * y[inner - 1] + y[inner], minlength=4)
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(a, v[u], self.n_keys) for a, u in zip(self.at, self.used))
+
+    def emission(self, weight: np.ndarray, bias: float) -> np.ndarray:
+        e = np.full(len(self.first), bias)
+        for a, u in zip(self.at, self.used):
+            e[u] += weight[a]
+        return e
+
+
+def _places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash among the sorted keys, their number for none."""
+    if not len(keys):
+        return np.zeros(h.shape, np.int64)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, len(keys))
+
+
+def _of_documents(texts: list[bytes], which: np.ndarray) -> np.ndarray:
+    """The features of the chosen texts, each once for each text."""
+    chosen = [t for t, w in zip(texts, which) if w]
+    h, _, _, _, n = tokens(chosen)
+    end = np.cumsum(n)
+    return np.concatenate([np.zeros(0, U64), *(np.unique(h[b - k : b]) for b, k in zip(end, n))])
+
+
 def _originals(texts: list[bytes]) -> list[int]:
     """Texts but for near copies of earlier ones: those that share two of four smallest hashes of token pairs."""
     seen: set[tuple[int, int]] = set()
@@ -146,51 +185,42 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Field:
     toxic, texts = toxic[own := _originals(texts)], [texts[k] for k in own]
     if not toxic.any() or toxic.all():
         return none
-    h, doc, _, _, n = tokens(texts)
-    width = h.shape[1]
-    keys, at = np.unique(h, return_inverse=True)
-    at = at.reshape(h.shape)
-    pairs = np.unique(np.repeat(doc, width) * np.int64(len(keys)) + at.ravel())
-    d, k = pairs // len(keys), pairs % len(keys)
-    with_ = np.bincount(k[toxic[d]], minlength=len(keys))
-    without = np.bincount(k[~toxic[d]], minlength=len(keys))
+    sizes = [len(t) for t in texts]
+    slices = list(in_slices(texts, sizes, FIT_BYTES))
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
     # A feature marks toxicity if the lower end of its share among toxic documents is well above the upper end elsewhere.
+    found = [_of_documents(texts[i:j], toxic[i:j]) for i, j in slices]
+    keys, with_ = np.unique(np.concatenate(found), return_counts=True)
+    often = (with_ >= max(4, 0.01 * n_toxic)) & (keys != 0)
+    keys, with_ = keys[often], with_[often]
+    without = np.zeros(len(keys))
+    for i, j in slices:
+        other = _of_documents(texts[i:j], ~toxic[i:j])
+        at = _places(keys, other)
+        without += np.bincount(at[at < len(keys)], minlength=len(keys))
     low = (with_ - 2 * np.sqrt(with_)) / n_toxic
     high = (without + 2 * np.sqrt(without) + 1) / n_clean
-    marks = (with_ >= max(4, 0.01 * n_toxic)) & (low > 6 * high) & (keys != 0)
-    y = marks[at].any(axis=1) & toxic[doc]
-    kept = np.flatnonzero(marks)
+    kept = keys[low > 6 * high]
     if not len(kept):
         return none
     # Only marked features get a weight; all tokens share the bias.
-    slot = np.full(len(keys), len(kept))
-    slot[kept] = np.arange(len(kept))
-    where = slot[at]
-    used = [np.flatnonzero(c < len(kept)) for c in where.T]
-    at_ = [c[u] for c, u in zip(where.T, used)]
-    sums = lambda v: sum(np.bincount(a, v[u], len(kept)) for a, u in zip(at_, used))
-    first = _firsts(n)
+    parts = [_Part(texts[i:j], toxic[i:j], kept) for i, j in slices]
     weight, bias, trans = np.zeros(len(kept)), -4.0, np.zeros((2, 2))
     speed = [np.full(len(kept), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    seen, total = sums(y), y.sum()
-    inner = np.flatnonzero(~first)
-    edge = np.bincount(2 * y[inner - 1] + y[inner], minlength=4)
     for _ in range(STEPS):
-        e = np.full(len(h), bias)
-        for a, u in zip(at_, used):
-            e[u] += weight[a]
-        p, pair = marginals(e, first, trans)
-        grads = [seen - sums(p) - 0.05 * weight, total - p.sum() - 0.05 * bias, (edge - pair.sum(axis=0)).reshape(2, 2) - 0.5 * trans]
+        grads = [-0.05 * weight, -0.05 * bias, -0.5 * trans]
+        for part in parts:
+            p, pair = marginals(part.emission(weight, bias), part.first, trans)
+            grads[0] = grads[0] + part.seen - part.sums(p)
+            grads[1] = grads[1] + part.total - p.sum()
+            grads[2] = grads[2] + (part.edge - pair.sum(axis=0)).reshape(2, 2)
         for s, g in zip((0, 1, 2), grads):
             speed[s] = speed[s] + g * g
         weight = weight + 1.0 * grads[0] / np.sqrt(speed[0])
         bias = bias + 0.5 * grads[1] / np.sqrt(speed[1])
         trans = trans + 0.5 * grads[2] / np.sqrt(speed[2])
-    model = Field(keys[kept], weight, float(bias), trans, np.zeros(3))
-    p, _ = marginals(model.emission(h), first, trans)
-    model.link = _logistic(_aggregates(doc, p, len(texts)), toxic.astype(float))
-    return model
+    x = [_aggregates(part.doc, marginals(part.emission(weight, bias), part.first, trans, pairs=False)[0], part.n_docs) for part in parts]
+    return Field(kept, weight, float(bias), trans, _logistic(np.concatenate(x), toxic.astype(float)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -237,7 +267,7 @@ def score_toxicity(docs: DataFrame, model: Field, threshold: float = 0.3) -> Dat
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(text_at)]
             for i, j in in_slices(texts, [len(t) for t in texts], SLICE):
                 h, doc, start, end, n = tokens(texts[i:j])
-                p, _ = marginals(model.emission(h), _firsts(n), model.trans)
+                p, _ = marginals(model.emission(h), _firsts(n), model.trans, pairs=False)
                 score = model.score(doc, p, j - i)
                 spans = _spans(p, doc, start, end, j - i)
                 cols = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, pa.string())]
