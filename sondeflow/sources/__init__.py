@@ -1 +1 @@
-"""sondeflow.sources"""
+"""Readers and writers."""
