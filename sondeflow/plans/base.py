@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from sondeflow.operators import sequence
 
-WELL = Window.partitionBy("well").orderBy("row_idx")
+
+def in_well() -> WindowSpec:
+    return Window.partitionBy("well").orderBy("row_idx")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,7 @@ def wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sequence.row_index(e, ["ts", "event_id"])
     every = Window.partitionBy("well")
     out = out.withColumn("n", F.count(F.lit(1)).over(every)).withColumn("md", (micros(F.col("ts")) - F.min(micros(F.col("ts"))).over(every)) / 1e6)
-    past = WELL.rowsBetween(Window.unboundedPreceding, 0)
+    past = in_well().rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("gr", F.when(F.col("event_type") != "error", F.col("value")))
     out = out.withColumn("x", F.sum(F.round(F.col("value") * 10).cast("long")).over(past) / 10.0)
     out = out.withColumn("tvt", F.sum(F.round(F.col("value") * 100).cast("long")).over(past) / 100.0)

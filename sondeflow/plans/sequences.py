@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from sondeflow.functions import scalars as S
 from sondeflow.operators import features, sequence
 from sondeflow.operators import windows as W
-from sondeflow.plans.base import BASE_SQL, WELL, WELLS_SQL, base, rounded, wells
+from sondeflow.plans.base import BASE_SQL, WELLS_SQL, base, in_well, rounded, wells
 from sondeflow.plans.registry import query
 
-I = F.col("row_idx")  # noqa: E741
-
 
 @query(
     "base_table",
@@ -20,7 +18,7 @@ I = F.col("row_idx")  # noqa: E741
     round(delta_y, 6) AS delta_y, round(delta_z, 6) AS delta_z, post_ps_step, round(row_frac, 6) AS row_frac FROM base""",
 )
 def base_table(spark, sf_dir):
-    out = base(spark, sf_dir).withColumn("id", S.row_id(F.col("well"), I))
+    out = base(spark, sf_dir).withColumn("id", S.row_id(F.col("well"), F.col("row_idx")))
     return rounded(out.select("well", "row_idx", "event_id", "id", "n_rows", "ps_idx", "known_length", "hidden_length", "is_target", "is_known", "is_gr_missing", "md", "tvt_input", "tvt0", "md0", "delta_md", "delta_x", "delta_y", "delta_z", "post_ps_step", "row_frac"))
 
 
@@ -42,10 +40,10 @@ def rolling_stats(spark, sf_dir):
     g = F.col("gr")
     out = wells(spark, sf_dir).select(
         "well", "row_idx",
-        W.rolling_mean(g, WELL, 20).alias("mean20"), W.rolling_mean(g, WELL, 50).alias("mean50"), W.rolling_std(g, WELL, 20, fill=0.0).alias("std20"),
-        W.rolling_mean(g, WELL, 30, 5).alias("mean30"), W.rolling_std(g, WELL, 30, 5).alias("std30"), W.rolling_mean(g, WELL, 11, centred=True).alias("mid11"),
-        W.rolling_mean(g, WELL, 20, centred=True).alias("mid20"), W.envelope(g, WELL, 21).alias("top21"), W.energy(g, WELL, 21).alias("rms21"),
-        W.padded_mean(F.coalesce(g, F.lit(0.0)), WELL, 5).alias("padded5"),
+        W.rolling_mean(g, in_well(), 20).alias("mean20"), W.rolling_mean(g, in_well(), 50).alias("mean50"), W.rolling_std(g, in_well(), 20, fill=0.0).alias("std20"),
+        W.rolling_mean(g, in_well(), 30, 5).alias("mean30"), W.rolling_std(g, in_well(), 30, 5).alias("std30"), W.rolling_mean(g, in_well(), 11, centred=True).alias("mid11"),
+        W.rolling_mean(g, in_well(), 20, centred=True).alias("mid20"), W.envelope(g, in_well(), 21).alias("top21"), W.energy(g, in_well(), 21).alias("rms21"),
+        W.padded_mean(F.coalesce(g, F.lit(0.0)), in_well(), 5).alias("padded5"),
     )
     return rounded(out, 7)
 
@@ -55,7 +53,7 @@ def rolling_stats(spark, sf_dir):
     f"""WITH {WELLS_SQL} SELECT well, row_idx, round(quantile_cont(gr, 0.5) OVER (PARTITION BY well ORDER BY row_idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING), 6) AS med25 FROM wells""",
 )
 def rolling_median(spark, sf_dir):
-    return rounded(wells(spark, sf_dir).select("well", "row_idx", W.rolling_median(F.col("gr"), WELL, 25).alias("med25")))
+    return rounded(wells(spark, sf_dir).select("well", "row_idx", W.rolling_median(F.col("gr"), in_well(), 25).alias("med25")))
 
 
 @query(
@@ -69,9 +67,9 @@ def rolling_median(spark, sf_dir):
 )
 def lags_and_rates(spark, sf_dir):
     v = F.col("value")
-    out = wells(spark, sf_dir).withColumn("step", W.difference(v, WELL))
-    dmd, dz = F.col("md") - F.lag("md").over(WELL), F.col("z") - F.lag("z").over(WELL)
-    return rounded(out.select("well", "row_idx", W.lagged(v, WELL, 5).alias("lag5"), W.lagged(v, WELL, -15).alias("lead15"), "step", W.difference(F.col("step"), WELL).alias("step2"), S.ratio(dz, dmd).alias("rate"), W.gradient(v, WELL).alias("gradient")))
+    out = wells(spark, sf_dir).withColumn("step", W.difference(v, in_well()))
+    dmd, dz = F.col("md") - F.lag("md").over(in_well()), F.col("z") - F.lag("z").over(in_well())
+    return rounded(out.select("well", "row_idx", W.lagged(v, in_well(), 5).alias("lag5"), W.lagged(v, in_well(), -15).alias("lead15"), "step", W.difference(F.col("step"), in_well()).alias("step2"), S.ratio(dz, dmd).alias("rate"), W.gradient(v, in_well()).alias("gradient")))
 
 
 @query(
@@ -85,7 +83,7 @@ def lags_and_rates(spark, sf_dir):
 )
 def gap_filling(spark, sf_dir):
     g = F.col("gr")
-    return rounded(wells(spark, sf_dir).select("well", "row_idx", W.interpolated(g, WELL, I).alias("linear"), W.edge_filled(g, WELL).alias("filled")))
+    return rounded(wells(spark, sf_dir).select("well", "row_idx", W.interpolated(g, in_well(), F.col("row_idx")).alias("linear"), W.edge_filled(g, in_well()).alias("filled")))
 
 
 @query(
@@ -95,8 +93,8 @@ def gap_filling(spark, sf_dir):
     SELECT well, row_idx, round(heading, 6) AS heading, round(step - 2 * pi() * floor((step + pi()) / (2 * pi())), 6) AS turn FROM d""",
 )
 def heading_unwrapped(spark, sf_dir):
-    out = wells(spark, sf_dir).withColumn("heading", F.atan2(F.col("y") - F.lag("y").over(WELL), F.col("x") - F.lag("x").over(WELL)))
-    return rounded(out.select("well", "row_idx", "heading", S.unwrapped_step(F.col("heading") - F.lag("heading").over(WELL)).alias("turn")))
+    out = wells(spark, sf_dir).withColumn("heading", F.atan2(F.col("y") - F.lag("y").over(in_well()), F.col("x") - F.lag("x").over(in_well())))
+    return rounded(out.select("well", "row_idx", "heading", S.unwrapped_step(F.col("heading") - F.lag("heading").over(in_well())).alias("turn")))
 
 
 @query(

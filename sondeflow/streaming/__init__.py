@@ -1 +1 @@
-"""sondeflow.streaming"""
+"""Structured Streaming."""
