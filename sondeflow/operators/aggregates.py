@@ -172,3 +172,14 @@ def nearest_label(df: DataFrame, stats: DataFrame, value: str, label: str, centr
     labels = F.broadcast(stats.agg(F.collect_list(F.struct(centre, label)).alias("__labels")))
     best = F.array_min(F.transform("__labels", lambda s: F.struct(F.abs(s[centre] - F.col(value)).alias("d"), s[label].alias("l"))))
     return df.join(labels).withColumn("nearest", F.when(F.col(value).isNotNull(), best["l"])).drop("__labels")
+
+
+def histogram_peaks(counts: DataFrame, keys: list[str], bins: int, least: int) -> DataFrame:
+    """Number of bins of a histogram (see `histogram`) that hold at least `least` and more than the bins on both sides, absent ones as empty; of
+    equal neighbours none counts."""
+    grid = counts.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    full = grid.join(counts, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = Window.partitionBy(*keys).orderBy("bin")
+    side = lambda c: F.coalesce(c, F.lit(0))
+    top = (F.col("n") >= least) & (F.col("n") > side(F.lag("n").over(w))) & (F.col("n") > side(F.lead("n").over(w)))
+    return full.withColumn("__top", top).groupBy(*keys).agg(F.count_if("__top").alias("peaks"))

@@ -189,3 +189,34 @@ def projected(df: DataFrame, guess: str, z: str, anchor: str, md: str, key: str,
         return pdf[[*names, "projected"]]
 
     return df.groupBy(key).applyInPandas(run, schema)
+
+
+def smoothing_errors(df: DataFrame, guess: str, truth: str, key: str, index: str, fold: str, widths: list[int]) -> DataFrame:
+    """Error by fold of the guess under centred means of several widths (0: as it is), from one pass: all windows share one order."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(key).orderBy(index)
+    smooth = {n: F.avg(guess).over(w.rowsBetween(-(n // 2), (n - 1) // 2)) if n else F.col(guess) for n in widths}
+    out = df.select(fold, truth, *(c.alias(f"__{n}") for n, c in smooth.items()))
+    g = out.groupBy(fold).agg(*(F.sqrt(F.avg((F.col(f"__{n}") - F.col(truth)) * (F.col(f"__{n}") - F.col(truth)))).alias(f"__{n}") for n in widths))
+    return g.select(fold, F.explode(F.array(*(F.struct(F.lit(n).alias("width"), F.col(f"__{n}").alias("rmse")) for n in widths))).alias("e")).select(fold, "e.*")
+
+
+def smoothed_by_regime(df: DataFrame, guess: str, regime: str, widths: dict, key: str, index: str) -> DataFrame:
+    """The guess under a centred mean whose width depends on the row's regime (0 or unknown: as it is)."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(key).orderBy(index)
+    out = F.col(guess)
+    for value, n in widths.items():
+        if n:
+            out = F.when(F.col(regime) == value, F.avg(guess).over(w.rowsBetween(-(n // 2), (n - 1) // 2))).otherwise(out)
+    return df.withColumn("smoothed", out)
+
+
+def weight_candidates(df: DataFrame, a: str, b: str, truth: str, weights: list[float]) -> DataFrame:
+    """For each weight of b: error of the blend, and mean and largest absolute difference from a."""
+    w = F.col("weight")
+    out = df.select(a, b, truth, F.explode(F.array(*(F.lit(float(x)) for x in weights))).alias("weight"))
+    mix = (1 - w) * F.col(a) + w * F.col(b)
+    return out.groupBy("weight").agg(F.sqrt(F.avg((mix - F.col(truth)) * (mix - F.col(truth)))).alias("rmse"), F.avg(F.abs(mix - F.col(a))).alias("mean_moved"), F.max(F.abs(mix - F.col(a))).alias("most_moved"))

@@ -92,3 +92,45 @@ def tortuosity(rows: DataFrame, key: str = KEY, index: str = INDEX) -> DataFrame
 def ramp(md_since: Column, tau: float) -> Column:
     """1 - exp(-md / tau), 0 before the anchor."""
     return 1 - F.exp(-F.greatest(md_since, F.lit(0.0)) / tau)
+
+
+def shape_labels(stats: DataFrame, columns: dict[str, str], low: float = 0.33, high: float = 0.67) -> DataFrame:
+    """A label low, mid or high for each column by the quantiles of all keys, and the labels joined. columns: source to label name."""
+    cuts = F.broadcast(stats.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns)))
+    out = stats.join(cuts)
+    for c, name in columns.items():
+        out = out.withColumn(name, F.when(F.col(c) <= F.col(f"__{c}")[0], "low").when(F.col(c) <= F.col(f"__{c}")[1], "mid").when(F.col(c).isNotNull(), "high"))
+    return out.withColumn("shape", F.concat_ws("-", *columns.values())).drop(*(f"__{c}" for c in columns))
+
+
+def calibration(rows: DataFrame, y: str, reference: str, key: str = KEY, least: int = 10) -> DataFrame:
+    """How a sequence's gr relates to its reference curve over known rows: correlation, mean offset, ratio of spreads; null with fewer than `least` pairs."""
+    ok = F.col(y).isNotNull() & F.col(reference).isNotNull()
+    g = rows.filter(ok).groupBy(key).agg(F.count("*").alias("n"), F.corr(y, reference).alias("corr"), F.avg(F.col(y) - F.col(reference)).alias("offset"), F.stddev_pop(y).alias("__a"), F.stddev_pop(reference).alias("__b"))
+    enough = F.col("n") >= least
+    return g.select(key, "n", F.when(enough, F.col("corr")).alias("corr"), F.when(enough, F.col("offset")).alias("offset"), F.when(enough, ratio(F.col("__a"), F.col("__b"))).alias("scale"))
+
+
+def inverted(deviation: Column, slope: Column, limit: float = 150.0, reliable: float = 0.2) -> Column:
+    """First-order inversion -deviation / slope, held to the limit; 0 where the slope is too flat to trust."""
+    return F.when(F.abs(slope) >= reliable, clip(-deviation / F.nullif(slope, F.lit(0.0)), -limit, limit)).otherwise(F.lit(0.0))
+
+
+def holdout_slopes(base: DataFrame, fraction: float, key: str = KEY, index: str = INDEX) -> DataFrame:
+    """A line over the first part of the known rows and its mean error over the rest of them: how far a key's own past foretells."""
+    known = base.filter("is_known").withColumn("__first", F.col(index) < F.floor(F.col("known_length") * fraction))
+    x, y = F.when(F.col("__first"), F.col("md")), F.when(F.col("__first"), F.col("tvt_input"))
+    fit = known.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    rest = known.filter(~F.col("__first")).join(fit, key)
+    return rest.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.col("slope") * F.col("md") + F.col("intercept") - F.col("tvt_input")).alias("bias"))
+
+
+def window_costs(rows: DataFrame, value: str, guess: Column, offsets: list[float], reach: int, key: str = KEY, index: str = INDEX) -> DataFrame:
+    """For each row the offset with the least mean squared residual over rows -reach .. reach - 1, the first of equals. guess(offset column) is the
+    reference at that offset; rows spread over offsets, so the windows of all offsets share one exchange."""
+    out = rows.select("*", F.posexplode(F.array(*(F.lit(float(o)) for o in offsets))).alias("__k", "offset"))
+    d = F.col(value) - guess
+    w = Window.partitionBy(key, "__k").orderBy(index).rowsBetween(-reach, reach - 1)
+    cost = out.withColumn("cost", F.avg(d * d).over(w))
+    best = F.min(F.struct(F.round("cost", 9).alias("cost"), "__k", "offset"))
+    return cost.filter(F.col("cost").isNotNull()).groupBy(key, index).agg(best.alias("b")).select(key, index, F.col("b.offset").alias("offset"), F.col("b.cost").alias("cost"))

@@ -87,3 +87,19 @@ def clusters(df: DataFrame, columns: list[str], k: int, name: str = "cluster", s
 
     made = VectorAssembler(inputCols=columns, outputCol="__v").transform(df)
     return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol=name).fit(made).transform(made).drop("__v")
+
+
+def feature_neighbours(focus: DataFrame, others: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
+    """The k nearest other entities of each focus entity in features standardised over `others`, by (distance, key). focus is a small set of
+    entities: it is broadcast, and every other row is read once; only k rows of a task for each focus entity are shuffled."""
+    scaled = standardised(others, features)
+    f = standardised(focus, features, by=others).select(F.col(key).alias("focus"), F.array(*features).alias("__f"))
+    pairs = scaled.join(F.broadcast(f), F.col(key) != F.col("focus")).withColumn("__v", F.array(*features))
+    square = F.aggregate(F.zip_with("__f", "__v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    ranked = pairs.select("focus", key, F.sqrt(square).alias("distance")).withColumn("rank", F.row_number().over(Window.partitionBy("focus").orderBy("distance", key)))
+    return ranked.filter(F.col("rank") <= k)
+
+
+def transferred(neighbours: DataFrame, value: str) -> DataFrame:
+    """qid and the plain mean of its neighbours' values."""
+    return neighbours.groupBy("qid").agg(F.avg(value).alias("transferred"), F.count("*").alias("n"))
