@@ -69,7 +69,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = -(-n // (1 << 20)) * (1 << 20)
             for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 x = np.full(self.n + 1, b, U64)
                 x[0] = 1

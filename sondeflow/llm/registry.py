@@ -24,7 +24,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A string of LENGTH bytes is removed where it also starts in a document with a smaller doc_id. So that equal strings meet in
 one shard, each is routed by an anchor that depends on nothing else: the leftmost smallest hash of its GRAM-byte grams.
-Strings that start one after another and share an anchor travel as one region of text. A shard drops the regions whose anchor
-occurs in one document only, builds the suffix array of the others by induced sorting, and takes permuted common
+Strings that start one after another and share an anchor travel as one region of text. A string reaches EXTEND bytes beyond its
+anchor on one side at least, so a shard drops the regions that share neither that extension with another document, builds the suffix array of the others by induced sorting, and takes permuted common
 prefixes of neighbours in it: runs of neighbours with LENGTH bytes in common are one string, and its smallest doc_id tells what is
 removed.
 
@@ -28,9 +28,11 @@ from sondeflow.llm.common import in_slices, mix64, span_hasher
 from sondeflow.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 8
-SLICE = 2 << 20
-MOST_HELD = 2_000_000
-SHARD = 8 << 20
+EXTEND = (LENGTH - GRAM) // 2
+SLICE = 1 << 20
+MOST_HELD = 400_000
+SHARD = 3 << 20
+BUCKET = 4 << 20
 GAP = 0xFF  #: no byte of UTF-8 text
 #: Fields of a region as it travels; `offset` is the anchor's place in it, `tag` tells rows of one doc_id apart.
 FIELDS = {"doc": np.dtype("<i8"), "tag": np.dtype("<u2"), "start": np.dtype("<u4"), "size": np.dtype("u1"), "offset": np.dtype("u1")}
@@ -139,10 +141,11 @@ def _slice(texts: list[bytes], ids: np.ndarray, shards: int, held: dict) -> None
         by = np.lexsort((which, to))
         which, to = which[by], to[by]
         fields = {"doc": ids[doc[which]], "tag": tags[doc[which]], "start": start[which] - begins[doc[which]], "size": end[which] - start[which], "offset": anchor[which] - start[which]}
+        fields = {k: v.astype(FIELDS[k]) for k, v in fields.items()}
         cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else [0]
         for a, b in zip(cut[:-1], cut[1:]):
-            text = _gathered(data, start[which[a:b]], fields["size"][a:b]) if enter else np.zeros(0, np.uint8)
-            held.setdefault((int(to[a]), enter), []).append(({k: v[a:b] for k, v in fields.items()}, text))
+            text = _gathered(data, start[which[a:b]], fields["size"][a:b].astype(np.int64)) if enter else np.zeros(0, np.uint8)
+            held.setdefault((int(to[a]), enter), []).append(({k: v[a:b].copy() for k, v in fields.items()}, text))
 
 
 def _sent(held: dict, squeeze) -> Iterator[pa.RecordBatch]:
@@ -152,33 +155,45 @@ def _sent(held: dict, squeeze) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([not enter]), pa.array([len(fields["doc"])], pa.int64()), pa.array([packed], pa.binary())], names=["shard", "covered", "n", "packed"])
 
 
-def _reduce(table: pa.Table) -> pa.Table:
-    """Spans to remove, from all that one shard gets."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    out, fields, texts = [], [], []
-    for covered, n, packed in zip(*(table.column(k).to_pylist() for k in ("covered", "n", "packed"))):
-        f, text = _unpacked(open_(packed), n)
-        if covered:
-            out.append(_spans(f["doc"], f["tag"], f["start"], f["start"] + f["size"]))
-        else:
-            fields.append(f)
-            texts.append(text)
-    if fields:
-        out.append(_shard({k: np.concatenate([f[k] for f in fields]) for k in FIELDS}, np.concatenate(texts)))
-    return pa.Table.from_batches(out)
+def _reduce(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Spans to remove, from all that one shard gets, packed for each bucket of documents."""
+        open_ = zstandard.ZstdDecompressor().decompress
+        out, fields, texts = [], [], []
+        for covered, n, packed in zip(*(table.column(k).to_pylist() for k in ("covered", "n", "packed"))):
+            f, text = _unpacked(open_(packed), n)
+            if covered:
+                out.append(np.stack((f["doc"], f["tag"], f["start"], f["start"] + f["size"])))
+            else:
+                fields.append(f)
+                texts.append(text)
+        if fields:
+            out.append(_shard({k: np.concatenate([f[k] for f in fields]) for k in FIELDS}, np.concatenate(texts)))
+        spans = np.concatenate(out, axis=1)
+        to = _bucket(spans[0], buckets)
+        spans = spans[:, np.lexsort((spans[2], spans[0], to))]
+        to = np.sort(to)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else np.zeros(1, np.int64)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        rows = [squeeze(np.ascontiguousarray(spans[:, a:b]).view(np.uint8).reshape(-1, 8).T.tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        return pa.table({"bucket": pa.array(to[cut[:-1]], pa.int64()), "packed": pa.array(rows, pa.binary())})
+
+    return run
 
 
-def _spans(doc, tag, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, tag, start, end)], names=["id", "tag", "start", "end"])
+def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> pa.RecordBatch:
-    """Spans to remove, as far as this shard's strings tell."""
+def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
+    """Spans to remove, as far as this shard's strings tell: rows of documents, tags, starts and ends."""
     size, doc = field["size"], field["doc"]
     at = np.cumsum(size) - size
     hashed = span_hasher(text, lower=False)
-    anchor = hashed(at + field["offset"], at + field["offset"] + GRAM)
-    kept = _in_several(anchor, doc)
+    gram = at + field["offset"]
+    anchor = hashed(gram, gram + GRAM)
+    left, right = np.flatnonzero(field["offset"] >= EXTEND), np.flatnonzero(size - field["offset"] - GRAM >= EXTEND)
+    kept = np.union1d(left[_in_several(hashed(gram[left] - EXTEND, gram[left] + GRAM), doc[left])], right[_in_several(hashed(gram[right], gram[right] + GRAM + EXTEND), doc[right])])
     key = hashed(at[kept], at[kept] + size[kept])
     own, covered = _once(key, doc[kept])
     out = [(kept[covered], np.zeros(len(covered), np.int64), size[kept[covered]])]
@@ -196,7 +211,7 @@ def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> pa.RecordBatch:
             if runs is not None:
                 out.append((np.full(len(runs), own[k]), runs[:, 0], runs[:, 1]))
     which, a, b = (np.concatenate(c) for c in zip(*out))
-    return _spans(doc[which], field["tag"][which], field["start"][which] + a, field["start"][which] + b)
+    return np.stack((doc[which], field["tag"][which], field["start"][which] + a, field["start"][which] + b))
 
 
 def _in_several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -244,44 +259,77 @@ def _covered_strings(text: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np
     return out
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """id, tag (the low 16 bits of the text's crc32), start, end: byte spans to remove; they may overlap."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, int(n_bytes * 3.3) // SHARD)
-    sent = docs.select("doc_id", "text").mapInArrow(_map(shards), "shard long, covered boolean, n long, packed binary")
-    return sent.groupBy("shard").applyInArrow(_reduce, "id long, tag long, start long, end long")
+def _boxed(buckets: int):
+    """Documents packed for each bucket: ids (null as 0), whether null, bytes, and the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            null = np.array(batch.column(0).is_null().to_numpy(zero_copy_only=False), bool)
+            ids = np.where(null, 0, np.nan_to_num(ids)).astype(np.int64) if null.any() else ids.astype(np.int64)
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            to = np.where(null, _bucket(np.arange(len(ids)), buckets), _bucket(ids, buckets))
+            for b in np.unique(to).tolist():
+                at = np.flatnonzero(to == b)
+                sizes = np.array([len(texts[k]) for k in at], np.int64)
+                head = ids[at].tobytes() + null[at].tobytes() + sizes.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([squeeze(head + b"".join(texts[k] for k in at))], pa.binary())], names=["bucket", "n", "packed"])
+
+    return run
+
 
+def _cut(with_kept: bool):
+    def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        """The documents of one bucket less their spans."""
+        open_ = zstandard.ZstdDecompressor().decompress
+        found = [np.ascontiguousarray(np.frombuffer(open_(p), np.uint8).reshape(8, -1).T).view(np.int64).reshape(4, -1) for p in spans.column("packed").to_pylist()]
+        doc, tag, start, end = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        order = np.argsort(doc, kind="stable")
+        doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+        rows = []
+        for n, packed in zip(docs.column("n").to_pylist(), docs.column("packed").to_pylist()):
+            raw = open_(packed)
+            ids, null, sizes = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.bool_, n, 8 * n), np.frombuffer(raw, np.int64, n, 9 * n)
+            at = 17 * n
+            lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+            for k in range(n):
+                text = raw[at : at + sizes[k]]
+                at += int(sizes[k])
+                own = slice(lo[k], lo[k] if null[k] else hi[k])
+                rows.append((None if null[k] else int(ids[k]), *_less(text, tag[own], start[own], end[own])))
+        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        cols = list(zip(*rows)) if rows else [()] * 6
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(names[: 5 + with_kept], cols, types)})
+
+    return run
+
+
+def _less(text: bytes, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str, bytes]:
+    if len(tag):
+        own = tag == (zlib.crc32(text) & 0xFFFF)
+        start, end = start[own], end[own]
+    if not len(start):
+        return len(text), 0, 0, hashlib.sha256(text).hexdigest(), text
+    change = np.bincount(start, minlength=len(text) + 1) - np.bincount(end, minlength=len(text) + 1)
+    gone = np.cumsum(change[:-1]) > 0
+    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+    return len(text), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes left, and kept (those bytes).
+
+def without_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes left, and (with_kept) kept, those bytes.
 
     docs: doc_id long, text string; other columns are ignored. A null or empty text has no bytes. A row with a null doc_id is neither
     smaller nor larger than any: nothing is removed from it or for it. Rows that repeat a doc_id remove nothing from each
     other; if their texts differ, they are told apart by 16 bits of the texts' crc32. An empty table gives no rows.
     """
-    found = repeated_spans(docs).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    tagged = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(0xFFFF)).alias("own"))
-    joined = tagged.join(found, (tagged["doc_id"] == found["id"]) & (tagged["own"] == found["tag"]), "left").select("doc_id", "text", "runs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, runs in zip(batch.column(1), batch.column(2)):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                n_removed = n_spans = 0
-                if runs.is_valid:
-                    change = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(change, runs.values.field(0).to_numpy(), 1)
-                    np.add.at(change, runs.values.field(1).to_numpy(), -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    n_removed = int(gone.sum())
-                    n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                else:
-                    kept = data
-                rows.append((len(data), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept))
-            types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    texts = docs.select("doc_id", "text")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, buckets = max(1, int(n_bytes * 3.3) // SHARD), max(1, n_bytes // BUCKET)
+    sent = texts.mapInArrow(_map(shards), "shard long, covered boolean, n long, packed binary")
+    spans = sent.groupBy("shard").applyInArrow(_reduce(buckets), "bucket long, packed binary")
+    boxes = texts.mapInArrow(_boxed(buckets), "bucket long, n long, packed binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    return boxes.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(with_kept), schema)
