@@ -134,3 +134,25 @@ def window_costs(rows: DataFrame, value: str, guess: Column, offsets: list[float
     cost = out.withColumn("cost", F.avg(d * d).over(w))
     best = F.min(F.struct(F.round("cost", 9).alias("cost"), "__k", "offset"))
     return cost.filter(F.col("cost").isNotNull()).groupBy(key, index).agg(best.alias("b")).select(key, index, F.col("b.offset").alias("offset"), F.col("b.cost").alias("cost"))
+
+
+def physical(base: DataFrame, key: str = KEY) -> DataFrame:
+    """Target rows with four extrapolations of the target from the known part: held; by the slope to z; by the slopes to z and md of the last rows
+    (plane); and held along the structure (target + z constant)."""
+    from sondeflow.operators.aggregates import line_fit, plane_fit
+
+    known = base.filter("is_known")
+    by_z = line_fit(known, "tvt_input", "z", [key]).select(key, F.col("slope").alias("__sz"))
+    plane = plane_fit(known, "tvt_input", "z", "md", [key]).select(key, F.col("ca").alias("__pz"), F.col("cb").alias("__pm"))
+    out = base.filter("is_target").join(by_z, key, "left").join(plane, key, "left")
+    flat = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.withColumns({
+        "held": F.col("tvt0"), "sloped": F.col("tvt0") + flat(F.col("__sz")) * F.col("delta_z"), "planar": F.col("tvt0") + flat(F.col("__pz")) * F.col("delta_z") + flat(F.col("__pm")) * F.col("delta_md"), "structural": F.col("tvt0") - F.col("delta_z"),
+    }).drop("__sz", "__pz", "__pm")
+
+
+def from_contacts(rows: DataFrame, formation: str, z: str, reference: str, known: str, target: str, key: str = KEY) -> DataFrame:
+    """reference - (z - formation) plus the mean offset to the target over KNOWN rows only; hidden targets never enter."""
+    raw = rows.withColumn("__raw", F.col(reference) - (F.col(z) - F.col(formation)))
+    off = F.avg(F.when(F.col(known), F.col(target) - F.col("__raw"))).over(Window.partitionBy(key))
+    return raw.withColumn("contact", F.col("__raw") + F.coalesce(off, F.lit(0.0))).drop("__raw")

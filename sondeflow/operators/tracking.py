@@ -54,11 +54,48 @@ def _filled(rows: pd.DataFrame, gr: str, level: float) -> np.ndarray:
     return rows[gr].interpolate(limit_direction="both").fillna(level).to_numpy(float)
 
 
-def particle_filter(gr: str = "gr", start: str = "start", z: str | None = None, particles: int = 200, momentum: float = 0.998, rate_noise: float = 0.002, place_noise: float = 0.005, spread: float = 2.0, sigma: float = 20.0, skip_null: bool = False) -> Callable:
-    """Places drift by a rate that follows an autoregression; weights by the gamma residual, capped; systematic resampling at half the effective size."""
+def _gaussian(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float) -> Callable:
+    return lambda i, at: -0.5 * np.minimum(((g[i] - np.interp(at, x, y)) / sigma) ** 2, 600.0)
+
+
+def _with_slope(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float, weights: tuple[float, float] = (1.0, 0.5)) -> Callable:
+    """Standardised level, and slope against slope."""
+    z = lambda v: (v - v.mean()) / (v.std() + 1e-9)
+    a, da, b = z(g), z(np.gradient(g)) if len(g) > 1 else np.zeros(len(g)), z(y)
+    db = z(np.gradient(y, x)) if len(y) > 1 else np.zeros(len(y))
+    return lambda i, at: -0.5 * np.minimum(weights[0] * (a[i] - np.interp(at, x, b)) ** 2 + weights[1] * (da[i] - np.interp(at, x, db)) ** 2, 600.0)
+
+
+def _correlated(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float, half: int = 10, sharp: float = 4.0, mix: float = 0.6) -> Callable:
+    """A share of windowed correlation with the curve and the rest of the plain residual."""
+    win = np.lib.stride_tricks.sliding_window_view(np.pad(g, half, mode="edge"), 2 * half + 1)
+    win = win - win.mean(axis=1, keepdims=True)
+    norm = np.sqrt((win**2).sum(axis=1)) + 1e-9
+    plain, steps = _gaussian(g, x, y, sigma), np.arange(-half, half + 1)
+
+    def score(i: int, at: np.ndarray) -> np.ndarray:
+        want = np.interp(at[:, None] + steps[None, :], x, y)
+        want = want - want.mean(axis=1, keepdims=True)
+        ncc = want @ win[i] / (np.sqrt((want**2).sum(axis=1)) + 1e-9) / norm[i]
+        return mix * sharp * (ncc - 1) + (1 - mix) * plain(i, at)
+
+    return score
+
+
+EMISSIONS = {"gaussian": _gaussian, "slope": _with_slope, "correlation": _correlated}
+
+
+def particle_filter(gr: str = "gr", start: str = "start", z: str | None = None, particles: int = 200, momentum: float = 0.998, rate_noise: float = 0.002, place_noise: float = 0.005, spread: float = 2.0, sigma: float = 20.0, skip_null: bool = False, emission: str = "gaussian", anneal: float = 1.0, to_anchor: float = 0.0) -> Callable:
+    """Places drift by a rate that follows an autoregression; weights by an emission; systematic resampling at half the effective size.
+
+    emission: a name of EMISSIONS. anneal below 1 softens early rows, reaching full weight at the end. to_anchor pulls the estimate to the start in
+    proportion to the particles' spread over it.
+    """
 
     def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
         g, seen = _filled(rows, gr, float(y.mean())), rows[gr].notna().to_numpy()
+        score = EMISSIONS[emission](g, x, y, sigma)
+        heat = anneal + (1 - anneal) * np.arange(len(rows)) / max(len(rows) - 1, 1)
         shift = rows[z].to_numpy(float) if z else np.zeros(len(rows))
         pos = rows[start].iloc[0] + shift[0] + spread * rng.standard_normal(particles)
         rate, w, total, out = np.zeros(particles), np.full(particles, 1 / particles), 0.0, np.empty(len(rows))
@@ -66,12 +103,15 @@ def particle_filter(gr: str = "gr", start: str = "start", z: str | None = None,
             rate = momentum * rate + rate_noise * rng.standard_normal(particles)
             pos = pos + rate + place_noise * rng.standard_normal(particles)
             if seen[i] or not skip_null:
-                d = np.minimum(((g[i] - np.interp(pos - shift[i], x, y)) / sigma) ** 2, 600.0)
-                w = w * np.maximum(np.exp(-0.5 * d), 1e-300)
+                w = w * np.maximum(np.exp(heat[i] * score(i, pos - shift[i])), 1e-300)
                 s = w.sum()
                 total += float(np.log(max(s, 1e-300)))
                 w = w / s if s > 0 else np.full(particles, 1 / particles)
-            out[i] = float((w * pos).sum()) - shift[i]
+            mean = float((w * pos).sum())
+            if to_anchor:
+                var = float((w * (pos - mean) ** 2).sum())
+                mean += (rows[start].iloc[0] + shift[0] - mean) * var / (var + to_anchor**2)
+            out[i] = mean - shift[i]
             if 1 / (w * w).sum() < particles / 2:
                 at = np.searchsorted(np.cumsum(w), (np.arange(particles) + rng.random()) / particles)
                 at = np.minimum(at, particles - 1)
@@ -81,23 +121,65 @@ def particle_filter(gr: str = "gr", start: str = "start", z: str | None = None,
     return run
 
 
+def restarted(kernel: Callable, offsets: tuple[float, ...] = (-40.0, -20.0, 0.0, 20.0, 40.0), start: str = "start") -> Callable:
+    """The path with the largest likelihood among starts moved by the offsets."""
+
+    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
+        tries = [kernel(rows.assign(**{start: rows[start] + o}), x, y, rng) for o in offsets]
+        return max(tries, key=lambda t: t[1])
+
+    return run
+
+
+def smoothed_both_ways(kernel_of: Callable, start: str = "start", spread: float = 60.0) -> Callable:
+    """A filter forward and one backward from the forward's end with a wide start, joined by inverse variance of their local scatter.
+
+    kernel_of(spread) makes the filter.
+    """
+
+    def scatter(v: np.ndarray) -> np.ndarray:
+        return pd.Series(v).rolling(15, center=True, min_periods=1).var().fillna(1.0).to_numpy() + 1e-3
+
+    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
+        ahead, score = kernel_of(2.0)(rows, x, y, rng)
+        turned = rows.iloc[::-1].assign(**{start: ahead[-1]})
+        back, _ = kernel_of(spread)(turned, x, y, rng)
+        return two_way(ahead, back[::-1], scatter(ahead), scatter(back[::-1])), score
+
+    return run
+
+
+def agreed(forward: np.ndarray, backward: np.ndarray, limit: float) -> np.ndarray:
+    """True where two filters' paths lie within the limit of each other."""
+    return np.abs(forward - backward) <= limit
+
+
+def of_candidates(paths: DataFrame, key: str, index: str, candidate: str, own: str, bias: float = 2.0, scale: float = 16.0) -> DataFrame:
+    """Paths on several candidate curves averaged by softmax of likelihood over `scale`, the key's own curve (a boolean column) favoured by `bias`."""
+    return ensemble(paths.withColumn("loglik", F.col("loglik") + F.when(F.col(own), F.lit(bias * scale)).otherwise(F.lit(0.0))), key, index, scale)
+
+
 def two_way(forward: np.ndarray, backward: np.ndarray, var_f: np.ndarray, var_b: np.ndarray) -> np.ndarray:
     """Mean of two filters' paths by inverse variance."""
     a, b = 1 / np.maximum(var_f, 1e-9), 1 / np.maximum(var_b, 1e-9)
     return (a * forward + b * backward) / (a + b)
 
 
-def viterbi(gr: str = "gr", start: str = "start", reach: float = 25.0, states: int = 51, sigma: float = 20.0, step: float = 1.0) -> Callable:
-    """Best path over a grid around the start: squared gamma residual and squared moves, each over its scale; the first of equals."""
+def viterbi(gr: str = "gr", start: str = "start", reach: float = 25.0, states: int = 51, sigma: float = 20.0, step: float = 1.0, drift: str | None = None) -> Callable:
+    """Best path over a grid around the start: squared gamma residual and squared moves, each over its scale; the first of equals.
+
+    drift names a column whose steps are the moves expected between rows (none by default).
+    """
 
     def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
         grid = rows[start].iloc[0] + np.linspace(-reach, reach, states)
         want = np.interp(grid, x, y)
         g = _filled(rows, gr, float(y.mean()))
-        move = ((grid[:, None] - grid[None, :]) / step) ** 2 / 2
+        expected = np.diff(rows[drift].to_numpy(float)) if drift else np.zeros(max(len(rows) - 1, 0))
+        gap = grid[None, :] - grid[:, None]
         cost, back = ((g[0] - want) / sigma) ** 2 / 2 + ((grid - rows[start].iloc[0]) / step) ** 2 / 2, []
-        for v in g[1:]:
-            all_ = cost[:, None] + move
+        for v, e in zip(g[1:], expected):
+            all_ = cost[:, None] + ((gap - e) / step) ** 2 / 2
             back.append(all_.argmin(axis=0))
             cost = all_.min(axis=0) + ((v - want) / sigma) ** 2 / 2
         at = [int(cost.argmin())]
@@ -179,6 +261,69 @@ def correlation_match(gr: str = "gr", start: str = "start", halves: tuple[int, .
     return run
 
 
+def refine(gr: str = "gr", centre: str = "start", half: int = 10, reach: float = 10.0, step: float = 0.5) -> Callable:
+    """Around a given path, at each row the shift with the least mean squared residual over a window of rows; the smallest shift of equals."""
+
+    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
+        g, path = _filled(rows, gr, float(y.mean())), rows[centre].to_numpy(float)
+        shifts = np.array(sorted(np.arange(-reach, reach + step / 2, step), key=abs))
+        cost = (g[:, None] - np.interp(path[:, None] + shifts[None, :], x, y)) ** 2
+        total = np.concatenate((np.zeros((1, len(shifts))), np.cumsum(cost, axis=0)))
+        lo, hi = np.maximum(np.arange(len(g)) - half, 0), np.minimum(np.arange(len(g)) + half + 1, len(g))
+        mean = (total[hi] - total[lo]) / (hi - lo)[:, None]
+        k = np.round(mean, 9).argmin(axis=1)
+        return path + shifts[k], -float(mean[np.arange(len(g)), k].mean())
+
+    return run
+
+
+def hybrid_beam(gr: str = "gr", start: str = "start", width: int = 8, moves: int = 2, half: int = 8, mix: float = 0.6) -> Callable:
+    """A beam whose emission mixes the residual, scaled by the curve's spread, with one less the windowed correlation."""
+    plain = beam(gr, start, width, moves, 1.0, 0.05)
+
+    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
+        scale = np.sqrt(mix) / (y.std() + 1e-9)
+        guess, score = plain(rows.assign(**{gr: rows[gr] * scale}), x, y * scale, rng)
+        fine, _ = correlation_match(gr, start, (half,))(rows, x, y, rng)
+        return mix * guess + (1 - mix) * fine, score
+
+    return run
+
+
+def emission_scores(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
+    """How well a stretch of gr fits a stretch of curve: squared error, correlation, correlation of slopes, mean phase agreement (analytic signals
+    by FFT), and the distance between the sorted values."""
+    z = lambda v: (v - v.mean()) / (v.std() + 1e-9)
+
+    def phase(v: np.ndarray) -> np.ndarray:
+        f = np.fft.fft(v - v.mean())
+        h = np.zeros(len(v))
+        h[0] = 1
+        h[1 : (len(v) + 1) // 2] = 2
+        if len(v) % 2 == 0:
+            h[len(v) // 2] = 1
+        return np.angle(np.fft.ifft(f * h))
+
+    return {
+        "sse": float(((a - b) ** 2).sum()), "ncc": float((z(a) * z(b)).mean()), "slope": float((z(np.gradient(a)) * z(np.gradient(b))).mean()),
+        "phase": float(np.cos(phase(a) - phase(b)).mean()), "sorted": float(np.abs(np.sort(a) - np.sort(b)).mean()),
+    }
+
+
+def offset_search(rows: DataFrame, gr: str, guess: Callable, offsets: list[float], segments: int, penalty: float, key: str, index: str, least: int = 8) -> DataFrame:
+    """For each key and each of `segments` equal parts of its rows, the offset with the least mean absolute residual plus penalty * offset^2 (the first of
+    equals). guess(offset column) is the curve along the prior path moved by the offset; parts with fewer than `least` rows of gr have offset 0."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(key)
+    part = F.floor((F.row_number().over(w.orderBy(index)) - 1) * segments / F.count(F.lit(1)).over(w))
+    out = rows.withColumn("part", part).select("*", F.posexplode(F.array(*(F.lit(float(o)) for o in offsets))).alias("__k", "offset"))
+    cost = F.avg(F.abs(F.col(gr) - guess(F.col("offset")))) + penalty * F.first("offset") * F.first("offset")
+    per = out.groupBy(key, "part", "__k", "offset").agg(cost.alias("cost"), F.count(gr).alias("n"))
+    best = per.groupBy(key, "part").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "__k", "offset")).alias("b"), F.max("n").alias("n"))
+    return best.select(key, "part", "n", F.when(F.col("n") >= least, F.col("b.offset")).otherwise(F.lit(0.0)).alias("offset"))
+
+
 def median_filter(values: np.ndarray, width: int) -> np.ndarray:
     """Running median with the end values repeated beyond the ends."""
     padded = np.pad(values, (width // 2, (width - 1) // 2), mode="edge")

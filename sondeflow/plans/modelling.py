@@ -128,6 +128,12 @@ _track("viterbi", tracking.viterbi())
 _track("beam", tracking.beam())
 _track("beam_heads", tracking.beam(trace_back=False))
 _track("correlation", tracking.correlation_match())
+_track("refine", tracking.refine())
+_track("hybrid_beam", tracking.hybrid_beam())
+_track("restarted", tracking.restarted(tracking.particle_filter(particles=60)), seeds=2)
+_track("both_ways", tracking.smoothed_both_ways(lambda s: tracking.particle_filter(particles=60, spread=s)), seeds=2)
+_track("particles_slope", tracking.particle_filter(particles=60, emission="slope", anneal=0.3), seeds=2)
+_track("particles_correlation", tracking.particle_filter(particles=60, emission="correlation", to_anchor=10.0), seeds=2)
 _track("particles", tracking.particle_filter(particles=100), seeds=8)
 
 _GREEDY = f"""WITH RECURSIVE {BASE_SQL},
@@ -148,6 +154,26 @@ def track_greedy(spark, sf_dir):
     return tracking.tracked(rows, curve, tracking.greedy_match(), "well", "row_idx", "gr").select("well", "row_idx", "guess")
 
 
+@query(
+    "offset_search",
+    f"""WITH {BASE_SQL}, r AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY well ORDER BY row_idx) - 1) * 3 / count(*) OVER (PARTITION BY well)) AS BIGINT) AS part FROM base),
+    c AS (SELECT well, part, k, o, avg(abs(gr - (100 + x / 500 + o))) + 0.01::DOUBLE * o * o AS cost, count(gr) AS n FROM r, (VALUES (0, -20.0::DOUBLE), (1, -5.0), (2, 0.0), (3, 5.0), (4, 20.0)) t(k, o) GROUP BY well, part, k, o)
+    SELECT well, part, n, CASE WHEN n >= 8 THEN o ELSE 0 END AS "offset" FROM c QUALIFY row_number() OVER (PARTITION BY well, part ORDER BY cost, k) = 1""",
+)
+def offset_search(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return tracking.offset_search(b, "gr", lambda o: F.lit(100) + F.col("x") / 500 + o, [-20.0, -5.0, 0.0, 5.0, 20.0], 3, 0.01, "well", "row_idx")
+
+
+@query(
+    "physical_extrapolation",
+    f"""WITH {BASE_SQL}, s AS (SELECT well, regr_slope(tvt_input, z) AS s FROM base WHERE is_known GROUP BY well)
+    SELECT well, row_idx, round(tvt0, 4) AS held, round(tvt0 + coalesce(s, 0) * delta_z, 4) AS sloped, round(tvt0 - delta_z, 4) AS structural FROM base JOIN s USING (well) WHERE is_target""",
+)
+def physical_extrapolation(spark, sf_dir):
+    return rounded(features.physical(base(spark, sf_dir)).select("well", "row_idx", "held", "sloped", "structural"), 4)
+
+
 @query("cross_validated_model")
 def cross_validated_model(spark, sf_dir):
     b = base(spark, sf_dir)
