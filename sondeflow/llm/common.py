@@ -5,8 +5,11 @@ Executors import this package; ship it with --py-files or install it on the work
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +43,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable) -> Callable:
+    """Wrap a kernel over batches so that its worker, which stays for later tasks, gives freed memory back to the system at the end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            POWERS.forget()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def remainder_of_id(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id has no remainder."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
@@ -65,6 +84,9 @@ class _Powers:
     """Powers of the odd base modulo 2**64, and of its inverse, grown on demand."""
 
     def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
         self.n, self.up, self.down = 0, np.ones(1, U64), np.ones(1, U64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +128,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return span_hasher(data, lower)(start, end)
 
 
-def in_slices(items: list, sizes: list[int], most: int = 4 << 20):
+def in_slices(items: list, sizes: list[int], most: int = 1 << 20):
     """Cut a list so that each part has about `most` bytes, one item at least."""
     i = 0
     while i < len(items):

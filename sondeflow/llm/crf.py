@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import U64, in_slices, mix64, remainder_of_id
+from sondeflow.llm.common import U64, in_slices, mix64, remainder_of_id, tidy
 from sondeflow.llm.tokens import tokens
 
 SAMPLE = 3000  #: labelled rows the field is fitted on at most, in the order of a hash of their id
 SAMPLE_BYTES = 8 << 20  #: and their texts' bytes at most
 STEPS = 30
 SPAN = 0.5
-SLICE = 2 << 20
+SLICE = 1 << 20
 BLOCK = 64
 FIT_BYTES = 1 << 19  #: of texts whose marginals are held at a time when fitting
 
@@ -273,7 +273,7 @@ def score_toxicity(docs: DataFrame, model: Field, threshold: float = 0.3) -> Dat
                 cols = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *cols], names=[*names, "score", "predicted", "spans"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(tidy(run), schema)
 
 
 def _spans(p: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, n_docs: int) -> list[str]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import in_slices, joined, remainder_of_id, word_hashes, words
+from sondeflow.llm.common import in_slices, joined, remainder_of_id, tidy, word_hashes, words
 from sondeflow.llm.crf import labelled_sample
 
 SAMPLE = 16_000  #: labelled rows the model is fitted on at most
@@ -24,7 +24,7 @@ SAMPLE_BYTES = 96 << 20  #: and their texts' bytes at most
 BINS, COARSE = 64, 12
 ROUNDS, PAIR_ROUNDS, PAIRS = 150, 60, 8
 RATE, LEAVES = 0.1, 4
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_sd", "upper", "digit", "punct", "bang", "pipe", "comma", "period", "high_byte",
@@ -232,7 +232,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
                 score = model.score(features(texts[i:j]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, DoubleType, StringType, StructField, StructType
 
-from sondeflow.llm.common import WORD, written
+from sondeflow.llm.common import WORD, tidy, written
 
 MOST_SOURCES = 1_000_000
 SHARDS = 1 << 15
@@ -171,7 +171,7 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
                 cols[chars_at] = pa.array([len(t) for t in texts], cols[chars_at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
 
 
 def _cut(text: str, at: int, block: int, blocks: int, picked: int, phase: int) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import in_slices, written
+from sondeflow.llm.common import in_slices, tidy, written
 from sondeflow.llm.components import components
 from sondeflow.llm.shingles import bands, fingerprints, shingle_sets, sketches
 
@@ -30,7 +30,7 @@ BINS, ROWS = 128, 4
 PART, BLOCK = 256, 256
 STAR, LARGEST = 1024, 8192
 COLUMNS = 4096
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -50,7 +50,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum((n > 0) * b.shape[1]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(c[0]), pa.array(c[1]), pa.ListArray.from_arrays(pa.array(at), pa.array(b.ravel()))], names=["doc_id", "n", "c1", "c2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, c1 long, c2 long, bands array<long>")
 
 
 def _node_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -62,7 +62,7 @@ def _node_sets(docs: DataFrame, width: int) -> DataFrame:
                 c, end = fingerprints(sets, n).view(np.int64), np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c[0]), pa.array(c[1]), pa.array([sets[b - k : b].tobytes() for b, k in zip(end, n)], pa.binary())], names=["doc_id", "c1", "c2", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, items binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, c1 long, c2 long, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -90,7 +90,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a, b, linked = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return rows.select("b", "part", "node", "centre", "items").mapInArrow(run, "a long, b long, linked boolean")
+    return rows.select("b", "part", "node", "centre", "items").mapInArrow(tidy(run), "a long, b long, linked boolean")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -132,7 +132,7 @@ def _block_links(grouped: DataFrame, known: DataFrame, sets: DataFrame, percent:
                 held.append(np.frombuffer(items[k].as_buffer(), np.uint64).copy())
         yield _block(nodes, labels, held, percent)
 
-    return rows.select(*cut, "node", "label", "items").mapInArrow(run, "a long, b long")
+    return rows.select(*cut, "node", "label", "items").mapInArrow(tidy(run), "a long, b long")
 
 
 def _block(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> pa.RecordBatch:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from sondeflow.llm.common import tidy
+
 LENGTH = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -101,7 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LENGTH) -> DataFrame:
             if out:
                 yield _rows(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

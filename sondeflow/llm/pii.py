@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sondeflow.llm.common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -174,7 +176,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -193,4 +195,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

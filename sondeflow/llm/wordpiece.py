@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sondeflow.llm.common import in_slices, joined, word_hashes, words
+from sondeflow.llm.common import in_slices, joined, tidy, word_hashes, words
 from sondeflow.llm.packing import vocabulary
 
 SCHEMA = "doc_id long, n_words long, n_pieces long, n_unknown long"
 CACHE = 600_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 class LongestMatch:
@@ -120,4 +120,4 @@ def count_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                 cols = [np.bincount(doc, w, j - i).astype(np.int64) for w in (None, np.where(stuck, 1, pieces), stuck)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, cols)], names=["doc_id", "n_words", "n_pieces", "n_unknown"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
