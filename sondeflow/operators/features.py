@@ -156,3 +156,29 @@ def from_contacts(rows: DataFrame, formation: str, z: str, reference: str, known
     raw = rows.withColumn("__raw", F.col(reference) - (F.col(z) - F.col(formation)))
     off = F.avg(F.when(F.col(known), F.col(target) - F.col("__raw"))).over(Window.partitionBy(key))
     return raw.withColumn("contact", F.col("__raw") + F.coalesce(off, F.lit(0.0))).drop("__raw")
+
+
+def wide(base: DataFrame, knots: DataFrame | None = None, offsets: tuple[float, ...] = (-30.0, -10.0, 0.0, 10.0, 30.0), key: str = KEY, index: str = INDEX) -> DataFrame:
+    """Target rows with all families at once: rates since the anchor, extrapolations, levels and spreads of gr, rolls, lags and steps, and (with knots, one
+    row a key) residuals against the curve at offsets around three references. Windows run over whole sequences before hidden rows are taken; all
+    share one exchange."""
+    from sondeflow.operators import curves as C
+    from sondeflow.operators import windows as W
+
+    w, every = in_order(key, index), Window.partitionBy(key)
+    known_gr = F.when(F.col("is_known"), F.col("gr"))
+    out = base.withColumn("g", W.interpolated(F.col("gr"), w, F.col(index)))
+    out = out.withColumns({"gr_mean": F.avg(known_gr).over(every), "gr_sd": F.stddev_pop(known_gr).over(every)})
+    g = F.col("g")
+    rolls = {f"mean{n}": W.rolling_mean(g, w, n, centred=True) for n in (5, 21, 51)} | {f"std{n}": W.rolling_std(g, w, n, centred=True, fill=0.0) for n in (5, 21, 51)}
+    lags = {f"lag{k}": W.lagged(g, w, k) for k in (1, 5, 15)} | {f"lead{k}": W.lagged(g, w, -k) for k in (1, 5, 15)}
+    more = {"top21": W.envelope(g, w, 21), "rms21": W.energy(g, w, 21), "step": W.difference(g, w), "slope": W.gradient(g, w), "dz": F.col("z") - F.lag("z").over(w), "dmd": F.col("md") - F.lag("md").over(w)}
+    out = out.withColumns(rolls | lags | more)
+    out = out.withColumn("dip", ratio(F.col("dz"), F.col("dmd"))).withColumn("gr_dev", g - F.col("gr_mean")).withColumn("gr_z", ratio(g - F.col("gr_mean"), F.col("gr_sd")))
+    out = since_anchor(extrapolated(out.filter("is_target"), momentum(base, key=key, index=index), key))
+    if knots is None:
+        return out
+    out = out.join(knots.select(key, "knots"), key, "left")
+    places = {"anchor": F.col("tvt0"), "by20": F.col("tvt0") + F.col("by20"), "by5": F.col("tvt0") + F.col("by5")}
+    probes = {f"probe_{n}_{k}": C.probes(F.col("knots"), at, g, list(offsets))[k] for n, at in places.items() for k in range(len(offsets))}
+    return out.withColumns(probes).drop("knots")

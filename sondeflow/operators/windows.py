@@ -57,9 +57,8 @@ def difference(x: Column, w: WindowSpec) -> Column:
 
 
 def gradient(x: Column, w: WindowSpec, reach: int = 1) -> Column:
-    """Central difference over `reach` rows each way; at the ends the nearest inner value, null for sequences too short to have one."""
-    inner = (F.lead(x, reach).over(w) - F.lag(x, reach).over(w)) / (2 * reach)
-    return inner
+    """Central difference over `reach` rows each way; null where a side is missing (edge_filled on it then copies the nearest inner value)."""
+    return (F.lead(x, reach).over(w) - F.lag(x, reach).over(w)) / (2 * reach)
 
 
 def edge_filled(x: Column, w: WindowSpec) -> Column:

@@ -134,3 +134,11 @@ def offset_transfer(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pid"), F.col("s_suppkey").alias("pwho"), F.col("s_acctbal").alias("px"), (F.col("s_nationkey") * 100.0).alias("py"), (F.col("s_suppkey") % 13).cast("double").alias("err"))
     q = s.select(F.col("pid").alias("qid"), F.col("pwho").alias("qwho"), F.col("px").alias("qx"), F.col("py").alias("qy"))
     return rounded(spatial.transferred(spatial.nearest(q, s, 5, 500.0), "err"))
+
+
+@query("wide_features")
+def wide_features(spark, sf_dir):
+    """All families at once; their parts have SQL of their own."""
+    b = base(spark, sf_dir)
+    knots = b.select("well").distinct().join(F.broadcast(_curve(spark, sf_dir).drop("k")))
+    return features.wide(b, knots).drop("event_type")
