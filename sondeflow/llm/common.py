@@ -12,6 +12,8 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +130,14 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return span_hasher(data, lower)(start, end)
 
 
-def in_slices(items: list, sizes: list[int], most: int = 1 << 20):
+def text_slices(batch: pa.RecordBatch, column: int | str, most: int = 1 << 20):
+    """Parts of a batch with about `most` bytes of text, one row at least, each with its texts as UTF-8 (empty for null), taken out only as it comes."""
+    data = batch.column(column).cast(pa.binary())
+    for i, j in in_slices(data, pc.fill_null(pc.binary_length(data), 0).to_pylist(), most):
+        yield batch.slice(i, j - i), [t or b"" for t in data.slice(i, j - i).to_pylist()]
+
+
+def in_slices(items, sizes: list[int], most: int = 1 << 20):
     """Cut a list so that each part has about `most` bytes, one item at least."""
     i = 0
     while i < len(items):

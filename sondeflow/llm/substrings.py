@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import in_slices, mix64, span_hasher
+from sondeflow.llm.common import mix64, span_hasher, text_slices, tidy
 from sondeflow.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 8
@@ -112,12 +112,9 @@ def _map(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") if i is not None else b"" for i, t in zip(ids, batch.column(1))]
-            ids = np.array([i or 0 for i in ids], np.int64)
             held: dict[tuple[int, bool], list] = {}
-            for i, j in in_slices(texts, [len(t) for t in texts], SLICE):
-                _slice(texts[i:j], ids[i:j], shards, held)
+            for part, texts in text_slices(batch.filter(batch.column(0).is_valid()), 1, SLICE):
+                _slice(texts, part.column(0).to_numpy(), shards, held)
                 if sum(len(x[0]["doc"]) for v in held.values() for x in v) > MOST_HELD:
                     yield from _sent(held, squeeze)
                     held = {}
@@ -191,16 +188,14 @@ def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
     at = np.cumsum(size) - size
     hashed = span_hasher(text, lower=False)
     gram = at + field["offset"]
-    anchor = hashed(gram, gram + GRAM)
-    left, right = np.flatnonzero(field["offset"] >= EXTEND), np.flatnonzero(size - field["offset"] - GRAM >= EXTEND)
-    kept = np.union1d(left[_in_several(hashed(gram[left] - EXTEND, gram[left] + GRAM), doc[left])], right[_in_several(hashed(gram[right], gram[right] + GRAM + EXTEND), doc[right])])
+    kept = _sharing(hashed, gram, at, size, np.arange(len(at)), doc)
     key = hashed(at[kept], at[kept] + size[kept])
     own, covered = _once(key, doc[kept])
     out = [(kept[covered], np.zeros(len(covered), np.int64), size[kept[covered]])]
     one, same = _representatives(key[own])
     own = kept[own]
-    # An anchor with one region left has no other string to compare.
-    several = _in_several(anchor[own[one]], np.arange(len(one)))
+    # Of distinct regions, those that share an extension with no other have no other string to compare.
+    several = _sharing(hashed, gram, at, size, own[one], np.arange(len(one)))
     chosen = own[one][several]
     if len(chosen):
         place = np.full(len(one), -1)
@@ -214,6 +209,16 @@ def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
     return np.stack((doc[which], field["tag"][which], field["start"][which] + a, field["start"][which] + b))
 
 
+def _sharing(hashed, gram: np.ndarray, at: np.ndarray, size: np.ndarray, which: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Places among the chosen regions whose anchor with EXTEND bytes before it, or with EXTEND bytes after it, occurs under more than one kind."""
+    g = gram[which]
+    left = np.flatnonzero(g - at[which] >= EXTEND)
+    right = np.flatnonzero(at[which] + size[which] - g - GRAM >= EXTEND)
+    before = left[_in_several(hashed(g[left] - EXTEND, g[left] + GRAM), kind[left])]
+    after = right[_in_several(hashed(g[right], g[right] + GRAM + EXTEND), kind[right])]
+    return np.union1d(before, after)
+
+
 def _in_several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Places whose key occurs with more than one document."""
     if not len(key):
@@ -328,8 +333,8 @@ def without_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     texts = docs.select("doc_id", "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets = max(1, int(n_bytes * 3.3) // SHARD), max(1, n_bytes // BUCKET)
-    sent = texts.mapInArrow(_map(shards), "shard long, covered boolean, n long, packed binary")
+    sent = texts.mapInArrow(tidy(_map(shards)), "shard long, covered boolean, n long, packed binary")
     spans = sent.groupBy("shard").applyInArrow(_reduce(buckets), "bucket long, packed binary")
-    boxes = texts.mapInArrow(_boxed(buckets), "bucket long, n long, packed binary")
+    boxes = texts.mapInArrow(tidy(_boxed(buckets)), "bucket long, n long, packed binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     return boxes.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(with_kept), schema)
