@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import U64, in_slices, mix64, remainder_of_id, tidy
+from sondeflow.llm.common import U64, in_slices, mix64, remainder_of_id, text_slices, tidy
 from sondeflow.llm.tokens import tokens
 
 SAMPLE = 3000  #: labelled rows the field is fitted on at most, in the order of a hash of their id
@@ -264,14 +264,13 @@ def score_toxicity(docs: DataFrame, model: Field, threshold: float = 0.3) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(text_at)]
-            for i, j in in_slices(texts, [len(t) for t in texts], SLICE):
-                h, doc, start, end, n = tokens(texts[i:j])
+            for part, texts in text_slices(batch, text_at, SLICE):
+                h, doc, start, end, n = tokens(texts)
                 p, _ = marginals(model.emission(h), _firsts(n), model.trans, pairs=False)
-                score = model.score(doc, p, j - i)
-                spans = _spans(p, doc, start, end, j - i)
+                score = model.score(doc, p, len(texts))
+                spans = _spans(p, doc, start, end, len(texts))
                 cols = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, pa.string())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *cols], names=[*names, "score", "predicted", "spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*names, "score", "predicted", "spans"])
 
     return docs.select(*names).mapInArrow(tidy(run), schema)
 

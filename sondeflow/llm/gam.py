@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import in_slices, joined, remainder_of_id, tidy, word_hashes, words
+from sondeflow.llm.common import in_slices, joined, remainder_of_id, text_slices, tidy, word_hashes, words
 from sondeflow.llm.crf import labelled_sample
 
 SAMPLE = 16_000  #: labelled rows the model is fitted on at most
@@ -227,10 +227,9 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            for i, j in in_slices(texts, [len(t) for t in texts], SLICE):
-                score = model.score(features(texts[i:j]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            for part, texts in text_slices(batch, 1, SLICE):
+                score = model.score(features(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 

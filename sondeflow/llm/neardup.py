@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import in_slices, tidy, written
+from sondeflow.llm.common import text_slices, tidy, written
 from sondeflow.llm.components import components
 from sondeflow.llm.shingles import bands, fingerprints, shingle_sets, sketches
 
@@ -34,9 +34,8 @@ SLICE = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
-    for i, j in in_slices(texts, [len(t) for t in texts], SLICE):
-        yield batch.slice(i, j - i), *shingle_sets(texts[i:j], width)
+    for part, texts in text_slices(batch, "text", SLICE):
+        yield part, *shingle_sets(texts, width)
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:

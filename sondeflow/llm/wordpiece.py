@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sondeflow.llm.common import in_slices, joined, tidy, word_hashes, words
+from sondeflow.llm.common import joined, text_slices, tidy, word_hashes, words
 from sondeflow.llm.packing import vocabulary
 
 SCHEMA = "doc_id long, n_words long, n_pieces long, n_unknown long"
@@ -113,11 +113,10 @@ def count_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, known = automaton(tokenizer).count, _known(tokenizer)
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            for i, j in in_slices(texts, [len(t) for t in texts], SLICE):
-                pieces, doc = _pieces(texts[i:j], count, known)
+            for part, texts in text_slices(batch, 1, SLICE):
+                pieces, doc = _pieces(texts, count, known)
                 stuck = pieces < 0
-                cols = [np.bincount(doc, w, j - i).astype(np.int64) for w in (None, np.where(stuck, 1, pieces), stuck)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, cols)], names=["doc_id", "n_words", "n_pieces", "n_unknown"])
+                cols = [np.bincount(doc, w, len(texts)).astype(np.int64) for w in (None, np.where(stuck, 1, pieces), stuck)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], names=["doc_id", "n_words", "n_pieces", "n_unknown"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
