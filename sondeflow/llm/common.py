@@ -26,14 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of local sessions without the setting, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one is set only where none is."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local session without one gets its own. Tables stay until it is cleared."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = "file://" + tempfile.mkdtemp(prefix="sondeflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="sondeflow-"))
     return root.rstrip("/")
 
 
