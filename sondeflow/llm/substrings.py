@@ -110,7 +110,7 @@ def _once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _map(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
             held: dict[tuple[int, bool], list] = {}
             for part, texts in text_slices(batch.filter(batch.column(0).is_valid()), 1, SLICE):
@@ -268,7 +268,7 @@ def _boxed(buckets: int):
     """Documents packed for each bucket: ids (null as 0), whether null, bytes, and the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             null = np.array(batch.column(0).is_null().to_numpy(zero_copy_only=False), bool)
