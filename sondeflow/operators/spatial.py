@@ -6,6 +6,8 @@ further, twice as far each round. So no cross join, and every answer is exact.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,9 @@ from pyspark.sql.window import Window
 from sondeflow.operators.aggregates import plane_fit
 from sondeflow.sources.staging import staged
 
+#: Entities of a block, and focus entities that are compared with a block at once.
+BLOCK, SLICE = 4096, 256
+
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, exclude_self: bool = True) -> DataFrame:
     """The k nearest points of each query by (distance, pid): qid, rank, pid, distance and the points' other columns.
@@ -100,6 +105,41 @@ def feature_neighbours(focus: DataFrame, others: DataFrame, key: str, features:
     return ranked.filter(F.col("rank") <= k)
 
 
+def all_feature_neighbours(entities: DataFrame, key: str, features: list[str], k: int, block: int = BLOCK) -> DataFrame:
+    """feature_neighbours with every entity as focus, for one row a key. Entities are dealt into blocks of about `block`; each pair of blocks is a task of
+    its own that gives k rows a focus entity, so pairs never become rows. A distance with a null feature is null and ranks last."""
+    scaled = staged(standardised(entities.select(key, *features), features))
+    blocks = max(4, -(-scaled.count() // block))
+    own = scaled.withColumn("__own", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    cols = [F.col(key), *(F.col(c).cast("double").alias(c) for c in features)]
+    asked = own.select(F.col("__own").alias("i"), every.alias("j"), F.lit(True).alias("asks"), *cols)
+    given = own.select(every.alias("i"), F.col("__own").alias("j"), F.lit(False).alias("asks"), *cols)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, p = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        (who, x), (ids, y) = ((d[key].to_numpy(), d[features].to_numpy(float)) for d in (q, p))
+        place = np.unique(ids, return_inverse=True)[1]
+        out = []
+        for a in range(0, len(q), SLICE):
+            square = np.zeros((len(x[a : a + SLICE]), len(y)))
+            for c in range(len(features)):
+                square += (x[a : a + SLICE, c, None] - y[None, :, c]) ** 2
+            d = np.where(np.isnan(square), np.inf, np.sqrt(square))
+            for w, row in zip(who[a : a + SLICE], d):
+                at = np.flatnonzero(ids != w)
+                if len(at) > k:
+                    at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
+                at = at[np.lexsort((place[at], row[at]))[:k]]
+                out.append(pd.DataFrame({"focus": w, key: ids[at], "distance": row[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"focus": ids[:0], key: ids[:0], "distance": np.zeros(0)})
+
+    kind = scaled.schema[key].dataType.simpleString()
+    best = asked.union(given).groupBy("i", "j").applyInPandas(run, f"focus {kind}, `{key}` {kind}, distance double")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("focus").orderBy("distance", key))).filter(F.col("rank") <= k)
+    return ranked.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")))
+
+
 def transferred(neighbours: DataFrame, value: str) -> DataFrame:
     """qid and the plain mean of its neighbours' values."""
     return neighbours.groupBy("qid").agg(F.avg(value).alias("transferred"), F.count("*").alias("n"))
