@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sondeflow.functions.scalars import ratio
+from sondeflow.sources.staging import staged
 
 
 def rmse(truth: Column, guess: Column) -> Column:
@@ -174,6 +175,20 @@ def nearest_label(df: DataFrame, stats: DataFrame, value: str, label: str, centr
     return df.join(labels).withColumn("nearest", F.when(F.col(value).isNotNull(), best["l"])).drop("__labels")
 
 
+def nearest_label_by_fold(df: DataFrame, fold: str, value: str, label: str) -> DataFrame:
+    """Every row with the label whose mean value over the other folds is nearest (the smaller label of equals); null for a null value, or where the
+    other folds have no label. A null fold is a fold of its own. Folds and labels are few: a row for each pair of them is broadcast."""
+    sums = df.groupBy(F.col(fold).alias("__f"), F.col(label).alias("__l")).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    sums = staged(sums)
+    asked = sums.select(F.col("__f").alias("__fold")).distinct()
+    others = asked.join(F.broadcast(sums.filter("__l IS NOT NULL")), ~F.col("__fold").eqNullSafe(F.col("__f")))
+    centres = others.groupBy("__fold", "__l").agg((F.sum("__s") / F.nullif(F.sum("__n"), F.lit(0))).alias("__c")).filter("__c IS NOT NULL")
+    labels = F.broadcast(centres.groupBy("__fold").agg(F.collect_list(F.struct("__c", "__l")).alias("__labels")))
+    best = F.array_min(F.transform("__labels", lambda s: F.struct(F.abs(s["__c"] - F.col(value)).alias("d"), s["__l"].alias("l"))))
+    joined = df.join(labels, F.col(fold).eqNullSafe(F.col("__fold")), "left")
+    return joined.withColumn("nearest", F.when(F.col(value).isNotNull(), best["l"])).drop("__labels", "__fold")
+
+
 def histogram_peaks(counts: DataFrame, keys: list[str], bins: int, least: int) -> DataFrame:
     """Number of bins of a histogram (see `histogram`) that hold at least `least` and more than the bins on both sides, absent ones as empty; of
     equal neighbours none counts."""

@@ -198,6 +198,18 @@ def nearest_label(spark, sf_dir):
     return A.nearest_label(e.filter("user_id % 2 = 1"), stats, "value", "label", "centre").select("event_id", "nearest")
 
 
+@query(
+    "nearest_label_by_fold",
+    """WITH e AS (SELECT event_id, event_type, value, user_id % 5 AS fold FROM events), f AS (SELECT DISTINCT fold FROM e),
+    s AS (SELECT f.fold, event_type AS label, avg(value) AS centre FROM f JOIN e ON e.fold IS DISTINCT FROM f.fold WHERE event_type IS NOT NULL GROUP BY ALL)
+    SELECT event_id, fold, (SELECT label FROM s WHERE s.fold IS NOT DISTINCT FROM e.fold ORDER BY abs(centre - value), label LIMIT 1) AS nearest FROM e""",
+)
+def nearest_label_by_fold(spark, sf_dir):
+    """Every event, by centres of the other folds; nearest_label classifies the events that its SQL names."""
+    e = table(spark, sf_dir, "events").withColumn("fold", F.col("user_id") % 5)
+    return A.nearest_label_by_fold(e, "fold", "value", "event_type").select("event_id", "fold", "nearest")
+
+
 @query(
     "binary_slices",
     "SELECT lang, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, round(avg(n_chars), 6) AS n_chars FROM documents JOIN labels USING (doc_id) GROUP BY lang",

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sondeflow.operators import aggregates as A
 from sondeflow.operators import spatial
 from sondeflow.plans import registry
 
@@ -33,3 +34,26 @@ def test_every_well_is_focus(spark):
     wells = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id")).distinct().count()
     got = registry.queries()["feature_neighbours_all"](spark, SF)
     assert got.select("focus").distinct().count() == wells and got.count() == 3 * wells
+
+
+def test_every_row_gets_a_label_of_the_other_folds(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, None if i % 40 == 39 else i % 4, "abc"[int(r.integers(3))], float(r.integers(0, 50))) for i in range(200)] + [(200, 1, "only here", 7.0), (201, 2, "a", None), (202, 2, None, 3.0)]
+    got = {q.id: q.nearest for q in A.nearest_label_by_fold(spark.createDataFrame(rows, "id long, fold long, label string, value double"), "fold", "value", "label").collect()}
+    assert len(got) == len(rows)
+    for i, fold, _, value in rows:
+        seen = {}
+        for _, f, label, v in rows:
+            if f != fold and label is not None and v is not None:
+                seen.setdefault(label, []).append(v)
+        want = None if value is None else min((abs(sum(v) / len(v) - value), label) for label, v in seen.items())[1]
+        assert got[i] == want
+    assert got[200] != "only here" and got[201] is None
+    alone = spark.createDataFrame(rows[:1], "id long, fold long, label string, value double")
+    assert [q.nearest for q in A.nearest_label_by_fold(alone, "fold", "value", "label").collect()] == [None]
+
+
+def test_every_event_is_classified(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    got = registry.queries()["nearest_label_by_fold"](spark, SF)
+    assert got.filter("nearest IS NOT NULL").select("event_id").distinct().count() == events == got.count()
