@@ -151,6 +151,15 @@ def gain_and_offset(spark, sf_dir):
     return rounded(A.gain_and_offset(wells(spark, sf_dir).filter("row_idx < 30"), "gr", "z", ["well"], 24))
 
 
+@query(
+    "gain_and_offset_whole",
+    f"WITH {WELLS_SQL}, c AS (SELECT well, gr, z FROM wells WHERE gr IS NOT NULL AND z IS NOT NULL) SELECT well, count(*) AS n, round(CASE WHEN count(*) >= 24 THEN regr_slope(gr, z) ELSE 1 END, 6) AS gain, round(CASE WHEN count(*) >= 24 THEN regr_intercept(gr, z) ELSE avg(gr - z) END, 6) AS \"offset\" FROM c GROUP BY well",
+)
+def gain_and_offset_whole(spark, sf_dir):
+    """Fitted on the whole of each well; gain_and_offset fits the rows that its SQL names."""
+    return rounded(A.gain_and_offset(wells(spark, sf_dir), "gr", "z", ["well"], 24))
+
+
 @query(
     "third_medians",
     f"""WITH {WELLS_SQL}, r AS (SELECT well, gr, row_number() OVER (PARTITION BY well ORDER BY row_idx) - 1 AS i, count(*) OVER (PARTITION BY well) AS n FROM wells WHERE gr IS NOT NULL)

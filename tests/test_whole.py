@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sondeflow.operators import aggregates as A
 from sondeflow.operators import spatial
 from sondeflow.plans import registry
+from sondeflow.plans.base import wells
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,17 @@ def test_every_event_is_classified(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").count()
     got = registry.queries()["nearest_label_by_fold"](spark, SF)
     assert got.filter("nearest IS NOT NULL").select("event_id").distinct().count() == events == got.count()
+
+
+def test_gain_is_fitted_on_the_whole_well(spark):
+    w = wells(spark, SF).collect()
+    got = {r.well: r for r in registry.queries()["gain_and_offset_whole"](spark, SF).collect()}
+    longer = 0
+    for well in {r.well for r in w}:
+        pairs = [(r.z, r.gr) for r in w if r.well == well and r.gr is not None and r.z is not None]
+        longer += len(pairs) > 30
+        assert got[well].n == len(pairs)
+        if len(pairs) >= 24:
+            gain, offset = np.polyfit(*zip(*pairs), 1)
+            assert got[well].gain == pytest.approx(gain, abs=1e-5) and got[well].offset == pytest.approx(offset, abs=1e-3)
+    assert longer
