@@ -1,13 +1,14 @@
 """From raw documents to training sequences, in five stages; each works on all that the one before it kept.
 
 toxicity        documents with a score of 0.3 or more go (linear-chain conditional random field, fitted on labels.toxic)
-near_duplicates one document of each group of near copies stays, the one with the smallest doc_id (five-word shingles, 0.8)
+near_duplicates one document of each group of near copies stays, the one with the smallest doc_id (five-word shingles, 0.8);
+                a document is a doc_id and a text, so other texts of the same doc_id are documents of their own
 pii             spans of personal data, disguised ones too, become <EMAIL>, <IP>, <CARD>, <PHONE>
 mixing          sources are mixed to target weights: documents repeat, shrink to their picked blocks or go
 packing         token sequences of power-of-two lengths up to 1024, none across documents
 
-Rows with a null doc_id have no place in near_duplicates' groups and stay there; mixing leaves them out, as what it takes is
-told by doc_id. Empty tables go through as empty tables.
+Rows with a null doc_id have no place in near_duplicates' groups and stay there; the mixing stage leaves them out before it plans
+(mixing.mixed itself takes them like others), as sequences are told by doc_id. Empty tables go through as empty tables.
 """
 
 from __future__ import annotations
@@ -28,11 +29,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    groups = neardup.near_duplicates(docs, width=5, percent=80)
-    lost = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.filter("doc_id IS NULL").union(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    row = F.monotonically_increasing_id()  # frozen by the table: ids may repeat with other texts, rows may not
+    keyed = written(docs.select(*COLUMNS, row.alias("row"), F.unhex(F.sha2("text", 256)).alias("digest")), "keyed")
+    some = keyed.filter("doc_id IS NOT NULL")
+    groups = neardup.near_duplicates(some.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    told = some.drop("text").join(groups.select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row")
+    # Texts without words are linked with nothing: of those, only rows of one id and text are one document.
+    none = F.col("n_shingles") == 0
+    group = (F.when(~none, F.col("component_id")).alias("g"), F.when(none, F.col("doc_id")).alias("i"), F.when(none, F.col("digest")).alias("d"))
+    first = F.min(F.struct("doc_id", "digest", "source", "lang", "n_chars", "row"))
+    stay = told.groupBy(*group).agg(first.alias("first")).select("first.row")
+    return keyed.filter("doc_id IS NULL").select(*COLUMNS).union(some.join(stay, "row", "left_semi").select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +48,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs.select(*COLUMNS))
+    return mixing.mixed(docs.select(*COLUMNS).filter("doc_id IS NOT NULL"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

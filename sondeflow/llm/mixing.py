@@ -71,17 +71,19 @@ def targets(sizes: np.ndarray, weights: np.ndarray, cap: int = CAP) -> np.ndarra
     return out
 
 
-def mix_plan(docs: DataFrame, seed: int = 0, cap: int = CAP) -> DataFrame:
+def mix_plan(docs: DataFrame, seed: int = 0, cap: int = CAP, row: str | None = None) -> DataFrame:
     """What the mix takes of each document, a row for each row.
 
     docs: doc_id long, text string, source string; other columns are ignored. Sources in code point order, null last, weigh 1, 2, 3,
     repeating. Returns doc_id, source, size (words; 0 for a null text), source_size, target (of the source), taken (words,
     repeats counted), copies (whole passes), at (the document's place in its shard), and the shard's block, blocks, picked and
-    phase. No document exceeds `cap` times its size. Rows that repeat a doc_id are counted each. An empty table gives no rows.
+    phase. No document exceeds `cap` times its size. Rows that repeat a doc_id are counted each; those with a null doc_id are dealt by their text. With `row`, a
+    column of docs, the plan has that column too. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    own = [row] if row else []
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    sized = written(docs.select("doc_id", "source", size.alias("size")), "sized")
+    sized = written(docs.select(*own, "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("of_text")), "sized")
     per = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     found = per.orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -95,7 +97,7 @@ def mix_plan(docs: DataFrame, seed: int = 0, cap: int = CAP) -> DataFrame:
     quota = sainte_lague(goal, round(float(goal.sum()) / block), cap * words // block)
     schema = StructType([StructField("name", StringType()), *(StructField(n, LongType()) for n in ("number", "source_size", "parts")), StructField("target", DoubleType())])
     sources = spark.createDataFrame([(r["source"], i, int(words[i]), int(parts[i]), float(goal[i])) for i, r in enumerate(found)], schema)
-    dealt = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")))
+    dealt = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).withColumn("shard", F.pmod(_dealt(seed), F.col("parts")))
 
     shards = sorted((r["number"], r["shard"], r["words"]) for r in dealt.groupBy("number", "shard").agg(F.sum("size").alias("words")).collect())
     plan = []
@@ -116,10 +118,14 @@ def mix_plan(docs: DataFrame, seed: int = 0, cap: int = CAP) -> DataFrame:
     placed = dealt.join(F.broadcast(spark.createDataFrame(plan, schema)), ["number", "shard"])
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("number", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("number", "shard").orderBy(_dealt(seed + 1), "doc_id", "size", "of_text").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0).cast("long"))).withColumn("block", F.lit(block).cast("long"))
     taken = F.col("copies") * F.col("size") + _before(F.col("at") + F.col("size")) - _before(F.col("at"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "at", "block", "blocks", "picked", "phase")
+    return placed.select(*own, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "at", "block", "blocks", "picked", "phase")
+
+
+def _dealt(seed: int) -> Column:
+    return F.xxhash64(F.coalesce("doc_id", "of_text"), F.lit(seed))
 
 
 def _seeded(*numbers: int) -> int:
@@ -147,12 +153,13 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as it is taken whole, and once more with the words of its picked blocks, if any.
 
     Documents that give nothing go; if docs has n_chars it becomes the length of the new text. The document's own doc_id goes with each row.
-    Rows that share a doc_id and differ are taken by the first one's plan. A null doc_id is left out of the mix.
+    Each row is taken by its own plan, also where a doc_id repeats or is null.
     """
     names = docs.columns
-    plan = mix_plan(docs, seed).filter("taken > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), *(F.col(n).alias(f"__{n}") for n in ("taken", "copies", "at", "block", "blocks", "picked", "phase")))
-    joined = docs.join(plan, docs["doc_id"] == plan["__id"]).drop("__id")
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    plan = mix_plan(docs, seed, row="__row").filter("taken > 0")
+    plan = plan.select("__row", F.col("size").alias("__size"), *(F.col(n).alias(f"__{n}") for n in ("taken", "copies", "at", "block", "blocks", "picked", "phase")))
+    joined = docs.join(plan, "__row").drop("__row")
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +178,7 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
                 cols[chars_at] = pa.array([len(t) for t in texts], cols[chars_at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(tidy(run), docs.schema)
+    return joined.mapInArrow(tidy(run), docs.select(*names).schema)
 
 
 def _cut(text: str, at: int, block: int, blocks: int, picked: int, phase: int) -> str:
