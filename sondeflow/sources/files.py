@@ -63,12 +63,21 @@ def read_settings(spark: SparkSession, path: str) -> dict:
     return json.loads(text)
 
 
+#: Groups that the facts list themselves; the table of counts has all.
+MOST_LISTED = 10_000
+
+
 def write_with_facts(df: DataFrame, path: str, keys: list[str]) -> dict:
-    """Write Parquet and return rows, columns, counts by keys and the time; the facts also go to {path}.meta.json, as one JSON line."""
+    """Write Parquet and return rows, columns, groups, counts by keys and the time; the facts also go to {path}.meta.json, as one JSON line.
+
+    The counts of all groups go to {path}.counts, as Parquet. `by` lists them all too, or is None where there are over MOST_LISTED."""
     df.write.mode("overwrite").parquet(path)
     back = df.sparkSession.read.parquet(path)
-    counts = back.groupBy(*keys).count().limit(10_000).collect()
-    facts = {"rows": sum(r["count"] for r in counts) if len(counts) < 10_000 else back.count(), "columns": back.columns, "by": [r.asDict() for r in counts], "written": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    back.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(f"{path}.counts")
+    counts = df.sparkSession.read.parquet(f"{path}.counts")
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("groups")).first()
+    by = [r.asDict() for r in counts.collect()] if total["groups"] <= MOST_LISTED else None
+    facts = {"rows": total["rows"], "columns": back.columns, "groups": total["groups"], "by": by, "counts": f"{path}.counts", "written": datetime.now(timezone.utc).isoformat(timespec="seconds")}
     df.sparkSession.createDataFrame([(json.dumps(facts, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta.json")
     return facts
 

@@ -8,6 +8,7 @@ from sondeflow.operators import aggregates as A
 from sondeflow.operators import spatial
 from sondeflow.plans import registry
 from sondeflow.plans.base import wells
+from sondeflow.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +73,13 @@ def test_gain_is_fitted_on_the_whole_well(spark):
             gain, offset = np.polyfit(*zip(*pairs), 1)
             assert got[well].gain == pytest.approx(gain, abs=1e-5) and got[well].offset == pytest.approx(offset, abs=1e-3)
     assert longer
+
+
+def test_counts_of_all_groups_are_written(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    facts = files.write_with_facts(spark.range(12_000).select((F.col("id") % 11_000).alias("k"), F.col("id").alias("v")), path, ["k"])
+    counts = spark.read.parquet(facts["counts"])
+    assert counts.count() == facts["groups"] == 11_000 and facts["by"] is None and facts["rows"] == 12_000
+    assert counts.agg(F.sum("count")).first()[0] == 12_000 and counts.filter("count = 2").count() == 1_000
+    facts = files.write_with_facts(spark.range(30).select((F.col("id") % 3).alias("k")), path, ["k"])
+    assert {r["k"]: r["count"] for r in facts["by"]} == {0: 10, 1: 10, 2: 10} and facts["groups"] == 3
