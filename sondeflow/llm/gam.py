@@ -24,7 +24,6 @@ SAMPLE_BYTES = 96 << 20  #: and their texts' bytes at most
 BINS, COARSE = 64, 12
 ROUNDS, PAIR_ROUNDS, PAIRS = 150, 60, 8
 RATE, LEAVES = 0.1, 4
-SLICE = 1 << 20
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_sd", "upper", "digit", "punct", "bang", "pipe", "comma", "period", "high_byte",
@@ -227,7 +226,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, 1, SLICE):
+            for part, texts in text_slices(batch, 1):
                 score = model.score(features(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -237,5 +236,5 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on labels.quality, but for rows whose crc32(doc_id) mod 3 is 1, and score every row; adds held_out (true there; null for a null id)."""
     texts, y = labelled_sample(docs, labels, "quality", 3, 1, SAMPLE, SAMPLE_BYTES)
-    x = np.concatenate([features(texts[i:j]) for i, j in in_slices(texts, [len(t) for t in texts], SLICE)]) if texts else np.zeros((0, len(FEATURES)))
+    x = np.concatenate([features(texts[i:j]) for i, j in in_slices(texts, [len(t) for t in texts])]) if texts else np.zeros((0, len(FEATURES)))
     return score_quality(docs, fit(x, y)).withColumn("held_out", remainder_of_id(F.col("doc_id"), 3) == 1)
