@@ -1,16 +1,19 @@
 """Near-duplicate documents: fast similarity sketching, banding, exact verification.
 
 Documents with equal shingle sets form a class; only one of a class goes on, as a node named by the smallest doc_id. Nodes that share
-a band meet in a bucket, and nodes joined by buckets in a cluster. Pairs are never spelled out as rows: a cluster is cut into
-blocks of about BLOCK nodes, each pair of blocks is a task of its own, and that compares full sets of 64-bit shingle hashes
-as a product of incidence matrices, giving back only which nodes hang together. A group of m nodes thus costs
-m * m / BLOCK rows. In a group of over STAR nodes, every node is first compared with one centre; nodes that this links are not
-compared among themselves again. A cluster of over LARGEST nodes is worked bucket by bucket instead.
-
-With 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8.
-
-Skew: classes collapse by map-side aggregation; a centre's comparisons are dealt over salted parts of about PART nodes, and blocks
-are dealt by hash. Nothing but counts reaches the driver.
+a band form a bucket; buckets with the same nodes count once. One rule holds for buckets of every size: each node is first compared
+with one centre, the smallest node among its buckets' that its size allows, and takes the centre's label if they are linked. Then each bucket
+that still holds several labels is cut into blocks by hash, at most BLOCK nodes and about WEIGHT shingles each, pairs of blocks are dealt as
+tasks of their own, and a task compares nodes of different labels on their full sets, as a product of incidence matrices, giving back
+only which labels hang together. Nodes of the bucket's largest label are not compared with each other. Components of labels are
+found last, over labels only.
+
+With 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8. Sets are compared as 64-bit hashes of
+their shingles; among the few thousand shingles of a pair an accidental equality has probability below 1e-12.
+
+Skew: classes collapse by map-side aggregation; a centre's comparisons are dealt over salted parts of about PART nodes, blocks are dealt by
+hash, and joins with a possibly frequent key read tables on both sides, so that adaptive execution splits the key. Nothing but
+counts reaches the driver, and tables that are no longer read are deleted.
 """
 
 from __future__ import annotations
@@ -22,19 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import text_slices, tidy, written
+from sondeflow.llm.common import forget, text_slices, tidy, written
 from sondeflow.llm.components import components
 from sondeflow.llm.shingles import bands, fingerprints, shingle_sets, sketches
 
 BINS, ROWS = 128, 4
-PART, BLOCK = 256, 256
-STAR, LARGEST = 1024, 8192
+PART, BLOCK, WEIGHT = 64, 256, 1 << 19
 COLUMNS = 4096
-SLICE = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for part, texts in text_slices(batch, "text", SLICE):
+    for part, texts in text_slices(batch, "text"):
         yield part, *shingle_sets(texts, width)
 
 
@@ -64,12 +65,25 @@ def _node_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc_id long, c1 long, c2 long, items binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked for each pair a, b of nodes. Pairs of one b are dealt over groups of PART by a's hash; the set of b goes to each."""
-    sized = pairs.join(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts")), "b")
-    dealt = sized.select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.col("a").alias("node"), F.lit(False).alias("centre"))
-    centres = dealt.select("b", "part", F.col("b").alias("node"), F.lit(True).alias("centre")).distinct()
-    rows = dealt.union(centres).join(sets, "node").repartition("b", "part").sortWithinPartitions("b", "part", F.desc("centre"))
+def _buckets(classes: DataFrame) -> DataFrame:
+    """band, node, n, centre, centre_n: the nodes of each bucket of two or more, once for each set of nodes, with the bucket's smallest node."""
+    banded = classes.select("node", "n", F.explode("bands").alias("band"))
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band"), "shared")
+    met = written(banded.join(shared, "band"), "met")
+    print_ = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"f{k}") for k in (0, 1)]
+    each = met.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("c"), *print_)
+    once = each.groupBy("size", "c", "f0", "f1").agg(F.min("band").alias("band"))
+    once = written(once.select("band", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "once")
+    out = written(met.join(once, "band"), "buckets")
+    forget(shared, met, once)
+    return out
+
+
+def _verified(pairs: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked for each pair a, b of nodes. Pairs of one b are dealt over its `parts` by a's hash; the set of b goes to each."""
+    dealt = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.col("a").alias("node"), F.lit(False).alias("centre"))
+    every = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("b").alias("node"), F.lit(True).alias("centre"))
+    rows = dealt.union(every).join(sets, "node").repartition("b", "part").sortWithinPartitions("b", "part", F.desc("centre"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -101,59 +115,65 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _block_links(grouped: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: nodes that hang together by links within each group (group, band, node); known (node, component) are not compared again."""
-    keys = ["group", "band"]
-    named = grouped.join(known, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    counts = named.groupBy(*keys, "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("labels")).filter("labels > 1")
-    main = main.withColumn("n_main", F.when(F.col("n_main") > 1, F.col("n_main")).otherwise(0))  # without known links, no label is the main one
-    main = main.withColumn("b1", F.ceil(F.col("n_main") / BLOCK)).withColumn("b2", F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK))
-    placed = named.join(main, keys).withColumn("in_main", (F.col("n_main") > 0) & (F.col("label") == F.col("main")))
-    h = F.xxhash64("node")
+def _open_buckets(named: DataFrame, percent: int) -> DataFrame:
+    """band, main (its largest label), has_main, b1, b2 (blocks of the main label and of the others) of the buckets with several labels."""
+    counts = named.groupBy("band", "label").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    main = counts.groupBy("band").agg(F.max(F.struct("k", "label", "w")).alias("m"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.count("*").alias("labels"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    main = main.filter("labels > 1").filter(F.expr(f"k > 2 OR 100 * lo >= {percent} * hi"))  # two nodes too unlike in size can't be linked
+    k = F.when(F.col("m.k") > 1, F.col("m.k")).otherwise(F.lit(0).cast("long"))  # without known links, no label is the main one
+    w = F.when(k > 0, F.col("m.w")).otherwise(F.lit(0).cast("long"))
+    blocks = lambda k, w: F.greatest(F.ceil(k / BLOCK), F.ceil(w / WEIGHT))
+    return main.select("band", F.col("m.label").alias("main"), (k > 0).alias("has_main"), blocks(k, w).alias("b1"), blocks(F.col("k") - k, F.col("w") - w).alias("b2"))
+
+
+def _block_links(named: DataFrame, main: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: labels that hang together by links within a bucket. named: band, node, n, label; main: of _open_buckets; both tables."""
+    h, in_main = F.xxhash64("node"), F.col("has_main") & (F.col("label") == F.col("main"))
+    placed = named.join(main, "band").withColumn("in_main", in_main)
     placed = placed.withColumn("block", F.when(F.col("in_main"), F.pmod(h, F.col("b1"))).otherwise(F.col("b1") + F.pmod(h, F.col("b2"))))
     others = F.sequence(F.when(F.col("in_main"), F.col("b1")).otherwise(F.lit(0).cast("long")), F.col("b1") + F.col("b2") - 1)
-    spread = placed.select(*keys, "node", "label", "block", F.explode(others).alias("other"))
-    rows = spread.select(*keys, "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "node")
-    cut = [*keys, "i", "j"]
+    spread = placed.select("band", "node", "label", "block", F.explode(others).alias("other"))
+    rows = spread.select("band", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "node")
+    cut = ["band", "i", "j"]
     rows = rows.repartition(*cut).sortWithinPartitions(*cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, labels, held = None, [], [], []
+        now, labels, held = None, [], []
         for batch in batches:
             items = batch.column("items")
-            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (*cut, "node", "label")))):
-                if key[:4] != now:
-                    yield _block(nodes, labels, held, percent)
-                    now, nodes, labels, held = key[:4], [], [], []
-                nodes.append(key[4])
-                labels.append(key[5])
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (*cut, "label")))):
+                if key[:3] != now:
+                    yield _block(labels, held, percent)
+                    now, labels, held = key[:3], [], []
+                labels.append(key[3])
                 held.append(np.frombuffer(items[k].as_buffer(), np.uint64).copy())
-        yield _block(nodes, labels, held, percent)
+        yield _block(labels, held, percent)
 
-    return rows.select(*cut, "node", "label", "items").mapInArrow(tidy(run), "a long, b long")
+    return rows.select(*cut, "label", "items").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _block(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
-    """A star of links over each set of nodes that hang together and have not all one label."""
+def _block(labels: list[int], sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    """A star of links over each set of labels that hang together: by a link between nodes of them."""
     out: list[tuple[int, int]] = []
-    if len(nodes) > 1:
+    if len(labels) > 1:
         n = np.array([len(s) for s in sets], np.int64)
         common = _intersections(sets, n)
         linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-        _, kind = np.unique(np.array(labels), return_inverse=True)
-        linked |= kind[:, None] == kind[None, :]
-        root = np.full(len(nodes), -1)
-        for k in range(len(nodes)):
+        kinds, kind = np.unique(np.array(labels), return_inverse=True)
+        near = np.zeros((len(kinds), len(kinds)), bool)
+        i, j = np.nonzero(linked)
+        near[kind[i], kind[j]] = True
+        root = np.full(len(kinds), -1)
+        for k in range(len(kinds)):
             if root[k] >= 0:
                 continue
-            front = np.zeros(len(nodes), bool)
+            front = np.zeros(len(kinds), bool)
             front[k] = True
             root[k] = k
             while front.any():
-                front = linked[front].any(axis=0) & (root < 0)
+                front = near[front].any(axis=0) & (root < 0)
                 root[front] = k
-        out = [(nodes[k], nodes[r]) for k, r in enumerate(root) if k != r]
+        out = [(int(kinds[k]), int(kinds[r])) for k, r in enumerate(root) if k != r]
     a, b = zip(*out) if out else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -182,37 +202,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs: doc_id long, text string; other columns are ignored. Links: 100 * intersection >= percent * union of the sets of distinct
     `width`-word shingles. A null or empty text, or one without words, is linked with nothing. A row with a null
     doc_id takes no part in linking: its component_id is null and it is kept. Rows that repeat a doc_id with the same text
-    are one document, given once each. An empty table gives no rows.
+    are one document, given once each; those with other texts are linked each by its own, and the classes that such an id names are one node.
+    An empty table gives no rows.
     """
     sig = written(signatures(docs, width), "signatures")
     some = sig.filter("n > 0 AND doc_id IS NOT NULL")
     classes = written(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count("*").alias("rows"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("node", "n", F.explode("bands").alias("band"))
-    centre = banded.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("c"))
-    shared = centre.filter("size > 1").select("band", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    met = written(banded.join(shared, "band"), "buckets")
-    wanted = met.select(F.col("node").alias("doc_id")).distinct()
+    met = _buckets(classes)
+    wanted = written(met.select(F.col("node").alias("doc_id")).distinct(), "wanted")  # ids alone: a small table is broadcast by Spark's own rule
+    nodes = written(wanted.join(classes.select(F.col("node").alias("doc_id"), "c1", "c2"), "doc_id"), "nodes")
     again = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    named = classes.select("c1", "c2", "node")
-    sets = written(_node_sets(again, width).join(named, ["c1", "c2"]).filter("doc_id = node").dropDuplicates(["node", "c1", "c2"]).select("node", "items"), "sets")
-
-    clusters = components(met.select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("vertex", "node")
-    own = written(wanted.withColumnRenamed("doc_id", "node").join(clusters, "node", "left").select("node", F.coalesce("component", "node").alias("cluster")), "clusters")
-    size = own.groupBy("cluster").agg(F.count("*").alias("size"))
-    sized = own.join(size, "cluster")
-    large = written(sized.filter(F.col("size") > STAR).select("node"), "large")
-    fits = F.expr(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
-    pairs = met.filter("node <> centre").filter(fits).join(large, "node", "left_semi").groupBy(F.col("node").alias("a")).agg(F.min_by("centre", F.xxhash64("centre")).alias("b"))
-    star = written(_verified(pairs, sets, percent).filter("linked").select("a", "b"), "star")
-    known = components(star).withColumnRenamed("vertex", "node")
-    grouped = sized.filter(F.col("size") <= LARGEST).select(F.col("cluster").alias("group"), F.lit(0).cast("long").alias("band"), "node")
-    grouped = grouped.union(met.join(sized.filter(F.col("size") > LARGEST).select("node"), "node", "left_semi").select(F.lit(0).cast("long"), "band", "node"))
-    links = written(star.union(_block_links(grouped, known, sets, percent)), "joined")
-    labels = components(links)
-
-    merged = labels.select("vertex", "component")
-    groups = classes.join(merged, classes["node"] == merged["vertex"], "left").select("c1", "c2", "rows", F.coalesce("component", "node").alias("component_id"), F.col("component").isNotNull().alias("moved"))
-    groups = groups.filter("rows > 1 OR moved").select("c1", "c2", "component_id")
+    sets = written(_node_sets(again, width).join(nodes, ["doc_id", "c1", "c2"]).dropDuplicates(["doc_id", "c1", "c2"]).select(F.col("doc_id").alias("node"), "items"), "sets")
+
+    fits = F.expr(f"node <> centre AND 100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
+    pairs = written(met.filter(fits).groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b")), "pairs")
+    parts = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts")), "parts")
+    star = written(_verified(pairs, parts, sets, percent).filter("linked").groupBy("a").agg(F.min("b").alias("b")), "star")
+    named = written(met.select("band", "node", "n").join(star, F.col("node") == F.col("a"), "left").select("band", "node", "n", F.coalesce("b", "node").alias("label")), "named")
+    forget(met, pairs, parts, nodes, wanted)
+    main = written(_open_buckets(named, percent), "main")
+    # A centre that is linked with a centre of its own has another label than the nodes it labels: a link between the two labels.
+    centres = star.select(F.col("b").alias("label")).distinct()
+    links = written(star.join(centres, F.col("a") == F.col("label"), "left_semi").union(_block_links(named, main, sets, percent)), "links")
+    forget(named, main, sets)
+    found = components(links)
+
+    of_star = star.join(found, F.col("b") == F.col("vertex"), "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
+    labels = of_star.union(found.select(F.col("vertex").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
+    groups = classes.select("c1", "c2", "rows", "node").join(labels, "node", "left").filter("rows > 1 OR component IS NOT NULL")
+    groups = written(groups.select("c1", "c2", F.coalesce("component", "node").alias("component_id")), "groups")
+    forget(classes, star, links)
     out = sig.select("doc_id", "n", "c1", "c2").join(groups, ["c1", "c2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

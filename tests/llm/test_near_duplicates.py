@@ -58,16 +58,27 @@ def test_as_all_pairs(spark, seed, width):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, width, 80)
 
 
-@pytest.mark.parametrize("star,largest", [(3, 1000), (3, 12)])
-def test_large_groups(spark, monkeypatch, star, largest):
-    """Stars, blocks and bucket-wise work, with bounds so small that the fixture reaches them."""
-    for name, n in (("STAR", star), ("LARGEST", largest), ("BLOCK", 4), ("PART", 3)):
+@pytest.mark.parametrize("block,weight", [(4, 1 << 19), (100, 150), (1, 1)])
+def test_groups_of_any_size(spark, monkeypatch, block, weight):
+    """The same answer whatever the bounds of blocks and parts."""
+    for name, n in (("BLOCK", block), ("WEIGHT", weight), ("PART", 3)):
         monkeypatch.setattr(neardup, name, n)
     rows = documents(5)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4, 80)
 
 
+def test_long_text(spark):
+    r = random.Random(9)
+    long = [f"w{r.randrange(5000)}" for _ in range(40_000)]
+    near = list(long)
+    for k in range(0, 40_000, 400):
+        near[k] = "x"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:20_000])), (4, "w1 w2")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4, 80)
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g"
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (9, text), (None, None)], "doc_id long, text string")
