@@ -41,7 +41,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = crf.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
