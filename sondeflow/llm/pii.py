@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sondeflow.llm.common import tidy
+from sondeflow.llm.common import from_text, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -47,11 +48,24 @@ _WORD = "|".join((*_DIGITS, "oh"))
 _AT = r"[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?:at|@)[\x20\t]{0,3}[\])}>][\x20\t]{0,3}"
 _DOT = r"[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?:dot|point|\.)[\x20\t]{0,3}[\])}>][\x20\t]{0,3}"
 _BARE_DOT = r"(?<=[a-z0-9-])[\x20\t]{1,3}(?:dot|point)[\x20\t]{1,3}(?=[a-z0-9])"
-_BARE_AT = rf"(?<=[a-z0-9])[\x20\t]{{1,3}}at[\x20\t]{{1,3}}(?=[a-z0-9-]{{1,63}}(?:{_DOT}|[\x20\t]{{1,3}}dot[\x20\t]{{1,3}}))"
-_SPELLED = rf"(?:\bplus[\x20-]{{1,3}})?\b(?:{_WORD})\b(?:[\x20,.-]{{1,3}}(?:{_WORD})\b)+"
-_TOKEN = re.compile(rf"(?P<at>{_AT}|{_BARE_AT})|(?P<dot>{_DOT}|{_BARE_DOT})|(?P<digits>{_SPELLED})", re.I)
+# Last labels of domains that are no common words, needed where an address is only spelled or parted by blanks.
+_LAST = "com|org|net|edu|gov|mil|info|biz|io|co|ai|app|dev|tv|uk|de|fr|es|nl|eu|ch|se|dk|fi|pl|pt|cz|ru|ca|au|jp|cn|br|mx|test|example|invalid"
+_BETWEEN = rf"(?:{_DOT}|[\x20\t]{{1,3}}dot[\x20\t]{{1,3}})"
+_BARE_AT = rf"(?<=[a-z0-9])[\x20\t]{{1,3}}at[\x20\t]{{1,3}}(?=(?:[a-z0-9-]{{1,63}}{_BETWEEN}){{1,4}}(?:{_LAST})\b)"
+# "jane at example.com": only where a word for writing stands shortly before. "jane @ example . com": blanks round signs of an address.
+_CUED_AT = r"(?<=[a-z0-9])[\x20\t]{1,3}at[\x20\t]{1,3}(?=[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,4})"
+_SPACED_AT = r"(?<=[a-z0-9_])(?:\x20{1,2}@\x20{0,2}|@\x20{1,2})(?=[a-z0-9-]{1,63}\x20{0,2}\.\x20{0,2}[a-z]{2})"
+# Words for writing.
+_CUE = re.compile(r"\b(?:e-?mail|mail|contact|write|reach|address)", re.I)
+_SPACED_DOT = rf"(?<=[a-z0-9])\x20{{1,2}}\.\x20{{0,2}}(?=(?:{_LAST})\b)|(?<=[a-z0-9])\.\x20{{1,2}}(?=(?:{_LAST})\b)"
+_ONE = rf"(?:(?:double|triple)[\x20-]{{1,3}})?(?:{_WORD})\b"
+_SPELLED = rf"(?:\bplus[\x20-]{{1,3}})?\b{_ONE}(?:[\x20.-]{{1,3}}{_ONE})+"
+_LETTERS = r"(?<=[0-9])[oil]{1,3}(?=[\x20.-]?[0-9])|(?<=[0-9]\.)[oil](?=\.[0-9])|(?<![a-z0-9])[oil](?=[0-9][0-9\x20.-]{6})"
+_TOKEN = re.compile(rf"(?P<at>{_AT}|{_BARE_AT}|{_SPACED_AT})|(?P<cued>{_CUED_AT})|(?P<dot>{_DOT}|{_BARE_DOT}|{_SPACED_DOT})|(?P<digits>{_SPELLED})|(?P<letters>{_LETTERS})", re.I)
 _HINT = re.compile(rf"\b(?:dot|point|{_WORD})\b|[\[({{<][\x20\t]{{0,3}}(?:at|@|\.)[\x20\t]{{0,3}}[\])}}>]", re.I)
-_SPELLED_WORD = re.compile(rf"\b(?:plus|{_WORD})\b", re.I)
+_LETTER_HINT = re.compile(r"[0-9][oilOIL][\x20.-]?[0-9oilOIL]|\b[oilOIL][0-9][0-9\x20.-]|[0-9]\.[oilOIL]\.")
+_SPELLED_WORD = re.compile(rf"\b(?:plus|double|triple|{_WORD})\b", re.I)
+_NUMERAL = str.maketrans("oOiIlL", "001111")
 
 Span = tuple[str, int, int]
 
@@ -103,7 +117,10 @@ def _rewritten(text: str, pattern: re.Pattern, write, low: list[int] | None, hig
         out += (text[at:s], new)
         a.extend(low[at:s])
         b.extend(high[at:s])
-        if new:
+        if len(new) == e - s:  # a character for a character
+            a.extend(low[s:e])
+            b.extend(high[s:e])
+        elif new:
             core = m[0].strip(" \t") if len(new) == 1 else m[0]
             lead = m[0].index(core) if core else 0
             a.extend([low[s + lead]] * len(new))
@@ -118,14 +135,28 @@ def _rewritten(text: str, pattern: re.Pattern, write, low: list[int] | None, hig
 def _token(m: re.Match) -> str:
     if m["at"]:
         return "@"
-    return "." if m["dot"] else "".join(_DIGIT[w.lower()] for w in _SPELLED_WORD.findall(m[0]))
+    if m["cued"]:
+        return "@" if _CUE.search(m.string, max(0, m.start() - 60), m.start()) else m[0]
+    if m["dot"]:
+        return "."
+    if m["letters"]:
+        return m[0].translate(_NUMERAL)
+    out, times = [], 1
+    for w in map(str.lower, _SPELLED_WORD.findall(m[0])):
+        if w in ("double", "triple"):
+            times = 2 if w == "double" else 3
+        else:
+            out.append(_DIGIT[w] * times)
+            times = 1
+    return "".join(out)
 
 
 def normalised(text: str) -> tuple[str, list[int], list[int]] | None:
     """The normal form with the source span of each character; None where no disguise can be."""
     odd = not text.isascii() and _ODD.search(text)
     s, low, high = _rewritten(text, _ODD, lambda m: _CHAR[m[0]], None, None) if odd else (text, None, None)
-    if _HINT.search(s):
+    spaced = "@" in s and (" @" in s or "@ " in s)
+    if spaced or _HINT.search(s) or (" at " in s and _CUE.search(s)) or _LETTER_HINT.search(s):
         return _rewritten(s, _TOKEN, _token, low, high)
     return (s, low, high) if odd else None
 
@@ -181,18 +212,13 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with the spans of the text column replaced; a null text stays null."""
-    names, at = docs.columns, docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = []
-            for cell in batch.column(at):
-                if t := cell.as_py():
-                    base, added = spans(t)
-                    t = redacted(t, in_order(base + added)) if base or added else t
-                new.append(t)
-            cols = list(batch.columns)
-            cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return docs.mapInArrow(tidy(run), docs.schema)
+    def kernel(texts: list[bytes]) -> pa.Array:
+        new = []
+        for raw in texts:
+            t = raw.decode()
+            base, added = spans(t)
+            new.append(redacted(t, in_order(base + added)) if base or added else t)
+        return pa.array(new, pa.string())
+
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), from_text(kernel, "string", F.col(text))))
