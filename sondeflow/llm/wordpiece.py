@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sondeflow.llm.common import joined, text_slices, tidy, word_hashes, words
+from sondeflow.llm.common import equal_spans, joined, text_slices, tidy, word_hashes, words
 from sondeflow.llm.packing import vocabulary
 
 SCHEMA = "doc_id long, n_words long, n_pieces long, n_unknown long"
-CACHE = 600_000
+CACHE = 400_000
 SLICE = 1 << 20
 
 
@@ -81,25 +81,25 @@ def automaton(path: str) -> LongestMatch:
 
 
 @lru_cache(maxsize=2)
-def _known(path: str) -> dict[int, int]:
-    """Pieces of words that this worker has read, by the words' hashes; emptied at CACHE entries."""
+def _known(path: str) -> dict[bytes, int]:
+    """Pieces of words that this worker has read; emptied at CACHE entries."""
     return {}
 
 
-def _pieces(texts: list[bytes], count, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _pieces(texts: list[bytes], count, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Pieces and text number of each word. The automaton reads each distinct word once."""
     data, at = joined(texts)
     start, end = words(data)
-    h, first, back = np.unique(word_hashes(data, start, end, lower=False), return_index=True, return_inverse=True)
-    keys = h.tolist()
-    if len(known) + len(keys) > CACHE:
+    first, kind = equal_spans(word_hashes(data, start, end, lower=False), data, start, end - start)
+    if len(known) + len(first) > CACHE:
         known.clear()
-    n = [known.get(k) for k in keys]
-    whole = data.tobytes()
-    for k, (x, a, b) in enumerate(zip(n, start[first].tolist(), end[first].tolist())):
-        if x is None:
-            n[k] = known[keys[k]] = count(whole[a:b])
-    return np.array(n, np.int64)[back], np.searchsorted(at, start, "right") - 1
+    whole, n = data.tobytes(), []
+    for a, b in zip(start[first].tolist(), end[first].tolist()):
+        word = whole[a:b]
+        if (x := known.get(word)) is None:
+            x = known[word] = count(word)
+        n.append(x)
+    return np.array(n, np.int64)[kind], np.searchsorted(at, start, "right") - 1
 
 
 def count_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -67,3 +67,48 @@ def test_pack_round_trip(spark):
             at += length
         assert at == len(ids)
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_sequences_of_a_bucket_follow_each_other(spark):
+    df = spark.createDataFrame([(k % 7 if k % 5 else None, "word " * (37 * k % 900)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    got = sorted(pack(df, PATH, with_ids=True).collect(), key=lambda r: r.sequence_id)
+    assert [r.bucket for r in got] == sorted(r.bucket for r in got) and all(r.length == len(r.ids) == 1 << r.bucket for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.bucket, []).append(r.sequence_id)
+    assert all(np.diff(v).tolist() == [1] * (len(v) - 1) for v in by.values())
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    assert sum(r.doc_id is None for r in got) > 0 and sum(r.ids[-1] == 0 for r in got) >= 60
+
+
+def test_fast_and_slow_encoders_agree_on_all_texts():
+    import pyarrow.parquet as pq
+
+    from sondeflow.llm.packing import encoder
+
+    e = encoder(PATH)
+    assert e.ranked
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    assert [e(t) for t in texts] == [x.ids for x in e.slow.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_files_go_through_the_slow_encoder(tmp_path):
+    import json
+
+    from sondeflow.llm.packing import Encoder
+
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(file), encoding="utf-8")
+    e = Encoder(str(other))
+    assert not e.ranked and e("word here") == e.slow.encode("word here", add_special_tokens=False).ids
+
+
+def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+    from sondeflow.llm import wordpiece
+
+    monkeypatch.setattr(wordpiece, "word_hashes", lambda data, a, b, lower: np.zeros(len(a), np.uint64))
+    n, doc = wordpiece._pieces([b"aa b aa ccc", b"", b"b"], len, {})
+    assert n.tolist() == [2, 1, 2, 3, 1] and doc.tolist() == [0, 0, 0, 0, 2]
