@@ -3,19 +3,23 @@
 A string of LENGTH bytes is removed where it also starts in a document with a smaller doc_id. So that equal strings meet in
 one shard, each is routed by an anchor that depends on nothing else: the leftmost smallest hash of its GRAM-byte grams.
 Strings that start one after another and share an anchor travel as one region of text. A string reaches EXTEND bytes beyond its
-anchor on one side at least, so a shard drops the regions that share neither that extension with another document, builds the suffix array of the others by induced sorting, and takes permuted common
-prefixes of neighbours in it: runs of neighbours with LENGTH bytes in common are one string, and its smallest doc_id tells what is
-removed.
+anchor on one side at least, so a shard drops the regions that share neither that extension with another document, then the different regions that share
+no LENGTH - FINE + 1 bytes at one place of their anchors, builds the suffix array of the others by induced sorting, and takes permuted common prefixes of neighbours in it: runs of neighbours with LENGTH bytes in common are
+one string, and its smallest doc_id tells what is removed.
 
-Equal regions are entered once, with the smallest doc_id: on the map side within a slice, which sends the others on as
+Equal regions, compared byte by byte, are entered once, with the smallest doc_id: on the map side within a slice, which sends the others on as
 covered, dealt over all shards at random, and again in the shard. A region that a third of all documents hold so comes once
 from each slice. Shards hold about SHARD bytes of regions each, whatever the input's size.
+
+A line that very many documents hold between different neighbours gives as many different regions with one anchor. Anchors that would
+fill a good part of a shard are therefore counted first, on a sample of the documents of about SAMPLE bytes: their strings are cut by their place at the anchor
+into STEP-wide ranges, each routed by the bytes that all strings of the range share, and where those are frequent too every string is
+routed by itself. The sample only deals the work: equal strings are routed alike whatever it holds.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +28,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeflow.llm.common import mix64, span_hasher, text_slices, tidy
+from sondeflow.llm.common import U64, equal_spans, in_slices, mix64, span_hasher, text_slices, tidy, tidy_group, tidy_pair
 from sondeflow.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 8
 EXTEND = (LENGTH - GRAM) // 2
-SLICE = 1 << 20
-MOST_HELD = 400_000
+SLICE, CHUNK = 1 << 20, 1 << 18
+MOST_HELD = 800_000
 SHARD = 3 << 20
 BUCKET = 4 << 20
+SAMPLE = 64 << 20
+STEP, FINE = 11, 4
+HEAVY = SHARD // 400  #: regions with one anchor, about a quarter of a shard, from which it is split
+MOST_REPEATED = 100_000
 GAP = 0xFF  #: no byte of UTF-8 text
-#: Fields of a region as it travels; `offset` is the anchor's place in it, `tag` tells rows of one doc_id apart.
-FIELDS = {"doc": np.dtype("<i8"), "tag": np.dtype("<u2"), "start": np.dtype("<u4"), "size": np.dtype("u1"), "offset": np.dtype("u1")}
+#: Fields of a region as it travels; `offset` is the anchor's place in it, `tag` tells rows that repeat a doc_id apart (0 for all others).
+FIELDS = {"doc": np.dtype("<i8"), "tag": np.dtype("<u8"), "start": np.dtype("<u4"), "size": np.dtype("u1"), "offset": np.dtype("u1")}
 
 
 def _packed(fields: dict[str, np.ndarray]) -> bytes:
@@ -52,44 +60,54 @@ def _unpacked(raw: bytes, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     fields, at = {}, 0
     for name, kind in FIELDS.items():
         planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        fields[name] = np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+        fields[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
+        if name != "tag":
+            fields[name] = fields[name].astype(np.int64)
         at += n * kind.itemsize
     fields["doc"] = np.cumsum(fields["doc"])
     return fields, np.frombuffer(raw, np.uint8, offset=at)
 
 
 def _leftmost_smallest(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values, the place of the leftmost smallest."""
-    value, at, have = h, np.arange(len(h), dtype=np.int32), 1
+    """For each window of `width` values, the place of the leftmost smallest by the upper 40 bits."""
+    most = 1 << 24
+    if len(h) > most:
+        step = most - width + 1
+        return np.concatenate([_leftmost_smallest(h[k : k + most], width) + k for k in range(0, len(h) - width + 1, step)])
+    value, have = (h & ~U64(most - 1)) | np.arange(len(h), dtype=U64), 1
     while have < width:
         step = min(have, width - have)
-        right = value[step:] < value[:-step]
-        value = np.where(right, value[step:], value[:-step])
-        at = np.where(right, at[step:], at[:-step])
+        value = np.minimum(value[:-step], value[step:])
         have += step
-    return at
+    return (value & U64(most - 1)).astype(np.int64)
 
 
-def regions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts end to end: the bytes; and for each region text number, start and end in those bytes, and its anchor's place."""
+def regions(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of the texts end to end: the bytes; and for each region text number, start and end in those bytes, its anchor's place, and hashes of the region
+    and of the anchor's gram. Texts are hashed some at a time, so that what is held at once is small."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     edge = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    parts = [_regions(data[edge[i] : edge[j]], edge[i : j + 1] - edge[i], i, int(edge[i])) for i, j in in_slices(texts, np.diff(edge).tolist(), CHUNK)]
+    return data, *(np.concatenate(c) for c in zip(*parts))
+
+
+def _regions(data: np.ndarray, edge: np.ndarray, first: int, offset: int) -> tuple[np.ndarray, ...]:
     empty = np.zeros(0, np.int64)
+    none = empty, empty, empty, empty, empty.view(U64), empty.view(U64)
     if len(data) < LENGTH:
-        return data, empty, empty, empty, empty
+        return none
     hashed = span_hasher(data, lower=False)
-    at = np.arange(len(data) - GRAM + 1)
-    h = hashed(at, at + GRAM)
-    anchor = _leftmost_smallest(h, LENGTH - GRAM + 1)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(edge))[: len(anchor)]
+    anchor = _leftmost_smallest(hashed.windows(GRAM), LENGTH - GRAM + 1)
+    doc = np.repeat(np.arange(len(edge) - 1, dtype=np.int32), np.diff(edge))[: len(anchor)]
     inside = np.arange(len(anchor)) + LENGTH <= edge[1:][doc]
     fresh = np.ones(len(anchor), bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(fresh & inside)
     if not len(start):
-        return data, empty, empty, empty, empty
-    stop = np.flatnonzero(inside & np.append(fresh[1:] | ~inside[1:], True))
-    return data, doc[start].astype(np.int64), start, stop + LENGTH, anchor[start].astype(np.int64)
+        return none
+    stop = np.flatnonzero(inside & np.append(fresh[1:] | ~inside[1:], True)) + LENGTH
+    anchor = anchor[start]
+    return doc[start].astype(np.int64) + first, start + offset, stop + offset, anchor + offset, hashed(start, stop), hashed(anchor, anchor + GRAM)
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -108,48 +126,125 @@ def _once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[d == least], order[d != least]
 
 
-def _map(shards: int):
+def _among(h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Whether each hash is among the chosen ones (sorted)."""
+    if not len(chosen):
+        return np.zeros(len(h), bool)
+    return chosen[np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)] == h
+
+
+def _ranges(start: np.ndarray, end: np.ndarray, anchor: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The regions cut by the strings' places at their anchors: region number, start, end, and start of the LENGTH - step + 1 bytes that all strings
+    of the range share, wherever the region ends."""
+    least, most = (anchor - (end - LENGTH)) // step, (anchor - start) // step
+    parts = most - least + 1
+    which = np.repeat(np.arange(len(start)), parts)
+    g = np.repeat(least, parts) + np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    core = anchor[which] - step * g
+    a = np.maximum(start[which], core - step + 1)
+    return which, a, np.minimum(end[which] - LENGTH, core) + LENGTH, core
+
+
+def _counted(every: int):
+    """Hashes of anchors (level 0) and of shared bytes of their ranges (level 1) that come more than once in a slice, with counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
-            held: dict[tuple[int, bool], list] = {}
+            for _, texts in text_slices(batch, 1, SLICE):
+                data, doc, start, end, anchor, key, gram = regions(texts)
+                if not len(doc):
+                    continue
+                one = np.unique(key, return_index=True)[1]
+                hashed = span_hasher(data, lower=False)
+                core = _ranges(start[one], end[one], anchor[one])[3]
+                for level, h in ((0, gram[one]), (1, hashed(core, core + LENGTH - STEP + 1))):
+                    h, n = np.unique(h, return_counts=True)
+                    h, n = h[n > 1], n[n > 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), level, np.int32)), pa.array(h.view(np.int64)), pa.array(n * every)], names=["level", "h", "n"])
+
+    return run
+
+
+def _heavy(texts: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent anchors, and of frequent shared bytes, estimated on about SAMPLE bytes of documents; at most a few for each shard of the sample."""
+    every = max(1, n_bytes // SAMPLE)
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else texts
+    counts = some.mapInArrow(tidy(_counted(every)), "level int, h long, n long").groupBy("level", "h").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= max(HEAVY, 8 * every)).collect()
+    return tuple(np.sort(np.array([r["h"] for r in found if r["level"] == k], np.int64).view(U64)) for k in (0, 1))
+
+
+def _tags(texts: list[bytes], ids: np.ndarray, repeated: np.ndarray | None) -> np.ndarray:
+    """0, but for documents whose id repeats (None: any may) a 64-bit digest of the text."""
+    own = _among(ids, repeated) if repeated is not None else np.ones(len(ids), bool)
+    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") if o else 0 for t, o in zip(texts, own)], U64)
+
+
+def _map(shards: int, heavy: tuple[np.ndarray, np.ndarray], repeated: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        n = 0
+        for batch in batches:
             for part, texts in text_slices(batch.filter(batch.column(0).is_valid()), 1, SLICE):
-                _slice(texts, part.column(0).to_numpy(), shards, held)
-                if sum(len(x[0]["doc"]) for v in held.values() for x in v) > MOST_HELD:
-                    yield from _sent(held, squeeze)
-                    held = {}
-            yield from _sent(held, squeeze)
+                held.append(_slice(texts, part.column(0).to_numpy(), shards, heavy, repeated))
+                n += len(held[-1]["to"])
+                if n > MOST_HELD:
+                    yield from _sent(held)
+                    held, n = [], 0
+        yield from _sent(held)
 
     return run
 
 
-def _slice(texts: list[bytes], ids: np.ndarray, shards: int, held: dict) -> None:
-    """Add the regions of the texts to what each shard gets: fields, and the text of those that enter."""
-    data, doc, start, end, anchor = regions(texts)
-    if not len(doc):
-        return
-    tags = np.array([zlib.crc32(t) for t in texts], np.uint32)
-    begins = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+def _routed(data: np.ndarray, doc, start, end, anchor, key, gram, heavy) -> tuple[np.ndarray, ...]:
+    """The regions, those of heavy anchors cut up: document, start, end, anchor, hash, and the hash that they are routed by."""
+    hot = _among(gram, heavy[0])
+    if not hot.any():
+        return doc, start, end, anchor, key, gram
     hashed = span_hasher(data, lower=False)
-    own, covered = _once(hashed(start, end), ids[doc])
-    for which, enter in ((own, True), (covered, False)):
-        h = hashed(anchor[which], anchor[which] + GRAM) if enter else mix64(start[which].astype(np.uint64) ^ tags[doc[which]])
-        to = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-        by = np.lexsort((which, to))
-        which, to = which[by], to[by]
-        fields = {"doc": ids[doc[which]], "tag": tags[doc[which]], "start": start[which] - begins[doc[which]], "size": end[which] - start[which], "offset": anchor[which] - start[which]}
-        fields = {k: v.astype(FIELDS[k]) for k, v in fields.items()}
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else [0]
-        for a, b in zip(cut[:-1], cut[1:]):
-            text = _gathered(data, start[which[a:b]], fields["size"][a:b].astype(np.int64)) if enter else np.zeros(0, np.uint8)
-            held.setdefault((int(to[a]), enter), []).append(({k: v[a:b].copy() for k, v in fields.items()}, text))
-
-
-def _sent(held: dict, squeeze) -> Iterator[pa.RecordBatch]:
-    for (shard, enter), parts in held.items():
-        fields = {k: np.concatenate([f[k] for f, _ in parts]) for k in FIELDS}
-        packed = squeeze(_packed(fields) + b"".join(t.tobytes() for _, t in parts))
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([not enter]), pa.array([len(fields["doc"])], pa.int64()), pa.array([packed], pa.binary())], names=["shard", "covered", "n", "packed"])
+    at = np.flatnonzero(hot)
+    which, a, b, core = _ranges(start[at], end[at], anchor[at])
+    which, own = at[which], hashed(core, core + LENGTH - STEP + 1)
+    alone = _among(own, heavy[1])
+    size = b - a - LENGTH + 1  # strings of each range
+    each = np.repeat(np.flatnonzero(alone), size[alone])
+    s = a[each] + np.arange(len(each)) - np.repeat(np.cumsum(size[alone]) - size[alone], size[alone])
+    string = hashed(s, s + LENGTH)
+    parts = [(doc, start, end, anchor, key, gram), (doc[which], a, b, anchor[which], hashed(a, b), own), (doc[which[each]], s, s + LENGTH, anchor[which[each]], string, string)]
+    return tuple(np.concatenate(c) for c in zip(*([x[keep] for x in part] for part, keep in zip(parts, (~hot, ~alone, slice(None))))))
+
+
+def _slice(texts: list[bytes], ids: np.ndarray, shards: int, heavy: tuple[np.ndarray, np.ndarray], repeated: np.ndarray | None) -> dict[str, np.ndarray]:
+    """The regions of the texts: twice the shard they go to, one more for those that are covered; fields; and where their text begins in `data`."""
+    data, doc, *rest = regions(texts)
+    doc, start, end, anchor, key, route = _routed(data, doc, *rest, heavy)
+    begins = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    to = np.empty(len(doc), np.int32)
+    own, covered = _once(equal_spans(key, data, start, end - start)[1], ids[doc])
+    scattered = mix64(start[covered].astype(U64) ^ (ids[doc[covered]].astype(U64) << U64(24)))
+    for which, h, odd in ((own, route[own], 0), (covered, scattered, 1)):
+        to[which] = ((h >> U64(20)) % U64(shards)).astype(np.int32) * 2 + odd
+    fields = {"doc": ids[doc], "tag": _tags(texts, ids, repeated)[doc], "start": start - begins[doc], "size": end - start, "offset": anchor - start}
+    return {"data": data, "to": to, "begin": start.astype(np.uint32), **{k: v.astype(FIELDS[k]) for k, v in fields.items()}}
+
+
+def _sent(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """What each shard gets, a row for those that enter and one for the covered ones."""
+    if not held:
+        return
+    squeeze = zstandard.ZstdCompressor(level=5).compress
+    whole = {k: np.concatenate([h[k] for h in held]) for k in held[0] if k not in ("data", "begin")}
+    before = np.cumsum([0, *(len(h["data"]) for h in held[:-1])])
+    begin = np.concatenate([h["begin"] + n for h, n in zip(held, before)])
+    data = np.concatenate([h["data"] for h in held])
+    by = np.argsort(whole["to"], kind="stable")
+    to = whole["to"][by]
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        own, (shard, covered) = by[a:b], divmod(int(to[a]), 2)
+        fields = {k: whole[k][own] for k in FIELDS}
+        text = b"" if covered else _gathered(data, begin[own], fields["size"].astype(np.int64)).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([bool(covered)]), pa.array([b - a], pa.int64()), pa.array([squeeze(_packed(fields) + text)], pa.binary())], names=["shard", "covered", "n", "packed"])
 
 
 def _reduce(buckets: int):
@@ -160,7 +255,7 @@ def _reduce(buckets: int):
         for covered, n, packed in zip(*(table.column(k).to_pylist() for k in ("covered", "n", "packed"))):
             f, text = _unpacked(open_(packed), n)
             if covered:
-                out.append(np.stack((f["doc"], f["tag"], f["start"], f["start"] + f["size"])))
+                out.append(np.stack((f["doc"], f["tag"].view(np.int64), f["start"], f["start"] + f["size"])))
             else:
                 fields.append(f)
                 texts.append(text)
@@ -189,13 +284,15 @@ def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
     hashed = span_hasher(text, lower=False)
     gram = at + field["offset"]
     kept = _sharing(hashed, gram, at, size, np.arange(len(at)), doc)
-    key = hashed(at[kept], at[kept] + size[kept])
-    own, covered = _once(key, doc[kept])
+    kind = equal_spans(hashed(at[kept], at[kept] + size[kept]), text, at[kept], size[kept])[1]
+    own, covered = _once(kind, doc[kept])
     out = [(kept[covered], np.zeros(len(covered), np.int64), size[kept[covered]])]
-    one, same = _representatives(key[own])
+    one, same = _representatives(kind[own])
     own = kept[own]
-    # Of distinct regions, those that share an extension with no other have no other string to compare.
-    several = _sharing(hashed, gram, at, size, own[one], np.arange(len(one)))
+    # Of distinct regions, those that share no FINE range with another have no other string to compare.
+    only = own[one]
+    which, _, _, core = _ranges(at[only], at[only] + size[only], gram[only], FINE)
+    several = np.unique(which[_in_several(hashed(core, core + LENGTH - FINE + 1), which)])
     chosen = own[one][several]
     if len(chosen):
         place = np.full(len(one), -1)
@@ -206,7 +303,7 @@ def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
             if runs is not None:
                 out.append((np.full(len(runs), own[k]), runs[:, 0], runs[:, 1]))
     which, a, b = (np.concatenate(c) for c in zip(*out))
-    return np.stack((doc[which], field["tag"][which], field["start"][which] + a, field["start"][which] + b))
+    return np.stack((doc[which], field["tag"].view(np.int64)[which], field["start"][which] + a, field["start"][which] + b))
 
 
 def _sharing(hashed, gram: np.ndarray, at: np.ndarray, size: np.ndarray, which: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -273,48 +370,52 @@ def _boxed(buckets: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             null = np.array(batch.column(0).is_null().to_numpy(zero_copy_only=False), bool)
             ids = np.where(null, 0, np.nan_to_num(ids)).astype(np.int64) if null.any() else ids.astype(np.int64)
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            column = batch.column(1).cast(pa.binary())
             to = np.where(null, _bucket(np.arange(len(ids)), buckets), _bucket(ids, buckets))
             for b in np.unique(to).tolist():
                 at = np.flatnonzero(to == b)
-                sizes = np.array([len(texts[k]) for k in at], np.int64)
-                head = ids[at].tobytes() + null[at].tobytes() + sizes.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([squeeze(head + b"".join(texts[k] for k in at))], pa.binary())], names=["bucket", "n", "packed"])
+                texts = [t or b"" for t in column.take(pa.array(at)).to_pylist()]
+                head = ids[at].tobytes() + null[at].tobytes() + np.array([len(t) for t in texts], np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([squeeze(head + b"".join(texts))], pa.binary())], names=["bucket", "n", "packed"])
 
     return run
 
 
-def _cut(with_kept: bool):
+def _cut(with_kept: bool, repeated: np.ndarray | None):
+    names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    n_cols = 5 + with_kept
+
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         """The documents of one bucket less their spans."""
         open_ = zstandard.ZstdDecompressor().decompress
-        found = [np.ascontiguousarray(np.frombuffer(open_(p), np.uint8).reshape(8, -1).T).view(np.int64).reshape(4, -1) for p in spans.column("packed").to_pylist()]
+        found = [np.ascontiguousarray(np.frombuffer(open_(p.as_py()), np.uint8).reshape(8, -1).T).view(np.int64).reshape(4, -1) for p in spans.column("packed")]
         doc, tag, start, end = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
         order = np.argsort(doc, kind="stable")
-        doc, tag, start, end = doc[order], tag[order], start[order], end[order]
-        rows = []
-        for n, packed in zip(docs.column("n").to_pylist(), docs.column("packed").to_pylist()):
-            raw = open_(packed)
+        doc, tag, start, end = doc[order], tag[order].view(U64), start[order], end[order]
+        parts = []
+        for n, packed in zip(docs.column("n").to_pylist(), docs.column("packed")):
+            raw = open_(packed.as_py())
             ids, null, sizes = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.bool_, n, 8 * n), np.frombuffer(raw, np.int64, n, 9 * n)
             at = 17 * n
             lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+            rows = []
             for k in range(n):
                 text = raw[at : at + sizes[k]]
                 at += int(sizes[k])
-                own = slice(lo[k], lo[k] if null[k] else hi[k])
-                rows.append((None if null[k] else int(ids[k]), *_less(text, tag[own], start[own], end[own])))
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        cols = list(zip(*rows)) if rows else [()] * 6
-        return pa.table({name: pa.array(c, t) for name, c, t in zip(names[: 5 + with_kept], cols, types)})
+                mine = slice(lo[k], lo[k] if null[k] else hi[k])
+                if lo[k] < hi[k] and not null[k]:
+                    own = tag[mine] == _tags([text], ids[k : k + 1], repeated)[0]
+                    cut = _less(text, start[mine][own], end[mine][own])
+                else:
+                    cut = _less(text, start[:0], end[:0])
+                rows.append((None if null[k] else int(ids[k]), *cut)[:n_cols])
+            parts.append(pa.table({name: pa.array(c, t) for name, c, t in zip(names, zip(*rows), types)}))
+        return pa.concat_tables(parts) if parts else pa.table({name: pa.array([], t) for name, t in zip(names[:n_cols], types)})
 
     return run
 
 
-def _less(text: bytes, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str, bytes]:
-    if len(tag):
-        own = tag == (zlib.crc32(text) & 0xFFFF)
-        start, end = start[own], end[own]
+def _less(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str, bytes]:
     if not len(start):
         return len(text), 0, 0, hashlib.sha256(text).hexdigest(), text
     change = np.bincount(start, minlength=len(text) + 1) - np.bincount(end, minlength=len(text) + 1)
@@ -328,13 +429,16 @@ def without_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
 
     docs: doc_id long, text string; other columns are ignored. A null or empty text has no bytes. A row with a null doc_id is neither
     smaller nor larger than any: nothing is removed from it or for it. Rows that repeat a doc_id remove nothing from each
-    other; if their texts differ, they are told apart by 16 bits of the texts' crc32. An empty table gives no rows.
+    other; if their texts differ, they are told apart by 64 bits of a digest. An empty table gives no rows.
     """
     texts = docs.select("doc_id", "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets = max(1, int(n_bytes * 3.3) // SHARD), max(1, n_bytes // BUCKET)
-    sent = texts.mapInArrow(tidy(_map(shards)), "shard long, covered boolean, n long, packed binary")
-    spans = sent.groupBy("shard").applyInArrow(_reduce(buckets), "bucket long, packed binary")
+    twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id").limit(MOST_REPEATED + 1).collect()
+    repeated = np.sort(np.array([r["doc_id"] for r in twice], np.int64)) if len(twice) <= MOST_REPEATED else None
+    heavy = _heavy(texts.filter("doc_id IS NOT NULL"), n_bytes)
+    sent = texts.mapInArrow(tidy(_map(shards, heavy, repeated)), "shard long, covered boolean, n long, packed binary")
+    spans = sent.groupBy("shard").applyInArrow(tidy_group(_reduce(buckets)), "bucket long, packed binary")
     boxes = texts.mapInArrow(tidy(_boxed(buckets)), "bucket long, n long, packed binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return boxes.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(with_kept), schema)
+    return boxes.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(tidy_pair(_cut(with_kept, repeated)), schema)

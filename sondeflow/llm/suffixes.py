@@ -1,37 +1,62 @@
 """Suffix arrays by induced sorting, with whole-bucket array steps in place of the one-suffix-at-a-time scans.
 
 Suffixes are classified as smaller (S) or larger (L) than the next; the leftmost S of each run start substrings that are sorted by a
-first induction and named. If names repeat, the string of names is sorted in turn (its alphabet is as wide as the string, so
-by doubling ranks). A second induction from the sorted leftmost-S suffixes gives the array. An induction scans
-the buckets in order; all entries that a bucket holds at one time are handled together, so a step is linear in them.
+first induction and named, equal substrings alike. If names repeat, the string of names is sorted in the same way, recursively. A second induction from
+the sorted leftmost-S suffixes gives the array. An induction scans the buckets in order; all entries that a bucket holds at one
+time are handled together, so a step is linear in them.
+
+A string of names has as many symbols as there are names. Where these are many, each name is written as two digits, which keeps the
+order of its suffixes and leaves few buckets to scan; the string handed down is then still shorter than the one above.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-from sondeflow.llm.common import U64, mix64
+from sondeflow.llm.common import U64
 
-SYMBOLS = 257
+#: Names up to which each is one symbol of the string handed down.
+WIDEST = 256
+#: Symbols of a string that is short enough to compare its suffixes directly, and entries that are put one by one.
+SHORT, FEW = 4096, 48
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of a byte array in lexicographic order."""
-    n = len(text)
-    if n < 2:
-        return np.arange(n)
-    t = np.append(text.astype(np.int16) + 1, np.int16(0))  # ends with a symbol smaller than any
+    if len(text) < 2:
+        return np.arange(len(text))
+    return _sorted(np.append(text.astype(np.int32) + 1, np.int32(0)), 257)[1:]
+
+
+def _sorted(t: np.ndarray, symbols: int) -> np.ndarray:
+    """The suffix array of a string that ends with its only 0, the smallest symbol."""
+    if len(t) <= SHORT and symbols <= 1 << 16:
+        whole = t.astype(">u2").tobytes()
+        return np.array(sorted(range(len(t)), key=lambda i: whole[2 * i :]), np.int64)
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    start = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=SYMBOLS))))
+    start = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=symbols))))
     first = _induced(t, small, start, lms)
-    is_lms = np.zeros(n + 1, bool)
+    is_lms = np.zeros(len(t), bool)
     is_lms[lms] = True
     ordered = first[is_lms[first]]
     name_at, names = _names(t, lms, ordered)
     if names < len(lms):
-        ordered = lms[_by_doubling(name_at)]
-    return _induced(t, small, start, ordered)[1:]
+        ordered = lms[_by_names(name_at, names, len(t))]
+    return _induced(t, small, start, ordered)
+
+
+def _by_names(name: np.ndarray, names: int, above: int) -> np.ndarray:
+    """Order of the suffixes of a string of names, taken from a string of `above` symbols."""
+    if names <= WIDEST or 2 * len(name) > 0.9 * above:
+        return _sorted(np.append(name + 1, 0).astype(np.int32), names + 1)[1:]
+    base = math.isqrt(names - 1) + 1
+    digits = np.zeros(2 * len(name) + 1, np.int32)
+    digits[0:-1:2], digits[1::2] = name // base + 1, name % base + 1
+    order = _sorted(digits, base + 1)[1:]
+    return order[order % 2 == 0] // 2
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -47,27 +72,48 @@ def _induced(t: np.ndarray, small: np.ndarray, start: np.ndarray, lms: np.ndarra
     """The array that follows from the leftmost-S suffixes in the given order (of each bucket)."""
     sa = np.full(len(t), -1, np.int64)
     head, tail = start[:-1].copy(), start[1:].copy()
-    order = np.argsort(t[lms], kind="stable")
-    seeds = lms[order]
-    cut = np.searchsorted(t[seeds], np.arange(SYMBOLS + 1))
+    seeds = lms[np.argsort(t[lms], kind="stable")]
+    cut = np.searchsorted(t[seeds], np.arange(len(start)))
+    kind = np.int16 if len(start) < 1 << 15 else np.int32
+    before = np.full((2, len(t)), -1, kind)  # the symbol before each suffix, if it is smaller (0) or larger (1) than what follows
+    before[0, 1:], before[1, 1:] = np.where(small[:-1], t[:-1], -1), np.where(small[:-1], -1, t[:-1])
+    along, dense = np.arange(len(t)), len(start) <= 1024
+    out, symbol, ends_of = memoryview(sa), (memoryview(before[0]), memoryview(before[1])), (memoryview(tail), memoryview(head))
 
     def put(where: np.ndarray, forward: bool) -> None:
         """The suffixes before these, if of the type sought, to the free end of their buckets, in this order."""
-        before = where[where > 0] - 1
-        before = before[small[before] != forward]
-        if not len(before):
+        if len(where) <= FEW:
+            symbols, end = symbol[forward], ends_of[forward]
+            for x in where.tolist():
+                c = symbols[x]
+                if c >= 0:
+                    if forward:
+                        out[end[c]] = x - 1
+                        end[c] += 1
+                    else:
+                        end[c] -= 1
+                        out[end[c]] = x - 1
+            return
+        c = before[int(forward)][where]
+        keep = np.flatnonzero(c >= 0)
+        if not len(keep):
             return
-        c = t[before]
+        c, x = c[keep], where[keep]
         by = np.argsort(c, kind="stable")
-        c, before = c[by], before[by]
-        count = np.bincount(c, minlength=SYMBOLS)
-        rank = np.arange(len(c)) - (np.cumsum(count) - count)[c]
+        c, x = c[by], x[by]
+        if dense:
+            own, count = slice(None), np.bincount(c, minlength=len(start) - 1)
+            first = (np.cumsum(count) - count)[c]
+        else:
+            edge = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            own, count = c[edge], np.diff(np.append(edge, len(c)))
+            first = np.repeat(edge, count)
         if forward:
-            sa[head[c] + rank] = before
-            np.add(head, count, out=head)
+            sa[head[c] + along[: len(c)] - first] = x - 1
+            head[own] += count
         else:
-            sa[tail[c] - 1 - rank] = before
-            np.subtract(tail, count, out=tail)
+            sa[tail[c] - 1 - along[: len(c)] + first] = x - 1
+            tail[own] -= count
 
     present = np.flatnonzero(np.diff(start))
     for c in present:
@@ -90,40 +136,25 @@ def _induced(t: np.ndarray, small: np.ndarray, start: np.ndarray, lms: np.ndarra
 
 def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """A name for each leftmost-S substring (up to and with the next one's first symbol), equal for equal ones, in order; in the text's order."""
-    end = np.append(lms[1:] + 1, len(t))
-    up = np.full(len(t), 0x9E3779B97F4A7C15, U64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(len(t), pow(0x9E3779B97F4A7C15, -1, 1 << 64), U64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    total = np.concatenate(([U64(0)], np.cumsum((t.astype(U64) + U64(1)) * up)))
-    h = mix64((total[end] - total[lms]) * down[lms] + (end - lms).astype(U64))
+    size_at = np.zeros(len(t), np.int64)
+    size_at[lms] = np.append(lms[1:] + 1, len(t)) - lms
+    a, b = ordered[1:], ordered[:-1]
+    fresh = np.ones(len(ordered), bool)
+    alike = np.flatnonzero(size_at[a] == size_at[b])
+    if len(alike):
+        size = size_at[a[alike]]
+        first = np.cumsum(size) - size
+        along = np.arange(int(size.sum())) - np.repeat(first, size)
+        differ = t[np.repeat(a[alike], size) + along] != t[np.repeat(b[alike], size) + along]
+        fresh[1 + alike] = np.add.reduceat(differ, first, dtype=np.int64) > 0
+    name = np.cumsum(fresh) - 1
     rank_of = np.zeros(len(t), np.int64)
     rank_of[lms] = np.arange(len(lms))
-    own = h[rank_of[ordered]]
-    name = np.cumsum(np.concatenate(([0], own[1:] != own[:-1])))
     out = np.empty(len(lms), np.int64)
     out[rank_of[ordered]] = name
     return out, int(name[-1]) + 1
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names."""
-    rank, step = names, 1
-    while True:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-step] = rank[step:] + 1
-        key = rank * (len(rank) + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate(([0], np.diff(key[order]) != 0))
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(fresh)
-        if rank[order[-1]] == len(rank) - 1:
-            return order
-        step *= 2
-
-
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each suffix in `order`, in the order of the text, the common prefix with the one before it in `order`, up to `most` (0 for the first).
 

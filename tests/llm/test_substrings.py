@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from sondeflow.llm import substrings
+from sondeflow.llm import substrings, suffixes
+from sondeflow.llm.common import equal_spans
 from sondeflow.llm.substrings import without_repeats
 from sondeflow.llm.suffixes import permuted_prefixes, suffix_array
 
@@ -17,6 +18,26 @@ def test_suffix_array(letters):
         assert suffix_array(np.frombuffer(text, np.uint8)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_suffix_array_of_many_names(monkeypatch):
+    """The recursion, also where names become two digits."""
+    r = random.Random(3)
+    words = [bytes(r.choices(range(97, 123), k=r.randint(2, 9))) for _ in range(300)]
+    text = b" ".join(r.choices(words, k=3000)) * 2
+    want = sorted(range(len(text)), key=lambda i: text[i:])
+    for widest in (4096, 20, 1):
+        monkeypatch.setattr(suffixes, "WIDEST", widest)
+        assert suffix_array(np.frombuffer(text, np.uint8)).tolist() == want
+
+
+def test_spans_with_equal_hashes_are_told_apart():
+    data = np.frombuffer(b"abcabdabcxbdabcdefghijabcdefghik", np.uint8)
+    start, size = np.array([0, 3, 6, 9, 12, 22, 9]), np.array([3, 3, 3, 3, 10, 10, 2])
+    got = equal_spans(np.zeros(len(start), np.uint64), data, start, size)[1]
+    raw = data.tobytes()
+    spans = [raw[a : a + n] for a, n in zip(start, size)]
+    assert [[x == y for y in spans] for x in spans] == (got[:, None] == got[None, :]).tolist()
+
+
 def test_prefixes():
     text = np.frombuffer(b"mississippi-mississippi-missouri", np.uint8)
     order = np.array([i for i in suffix_array(text) if i + 10 <= len(text)])
@@ -70,5 +91,47 @@ def test_as_all_strings(spark, monkeypatch, seed, small):
     assert got == brute(rows)
 
 
+def test_a_line_between_different_neighbours(spark, monkeypatch):
+    """Anchors of a line that all documents hold are split, and nothing changes."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 7)))
+    line = " ".join(word() for _ in range(20))
+    rows = []
+    for k in range(150):
+        near = r.choice(["a", "b", "ab", word()])
+        rows.append((k, " ".join([*(word() for _ in range(10)), near, line, near, *(word() for _ in range(10))])))
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    most = []
+    for heavy in (10**9, 20):
+        monkeypatch.setattr(substrings, "HEAVY", heavy)
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in without_repeats(df).collect())
+        assert got == want
+        hot = substrings._heavy(df, 1 << 20)
+        # One slice a document, as if each came from a task of its own.
+        to = np.concatenate([substrings._slice([t.encode()], np.array([i]), 64, hot, np.zeros(0, np.int64))["to"] for i, t in rows]) // 2
+        most.append(np.bincount(to, minlength=64).max() / (len(to) / 64))
+        assert (len(hot[0]) > 0) == (heavy == 20)
+    assert most[1] < most[0] / 2
+
+
+def test_long_text(spark):
+    r = random.Random(4)
+    long = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60_000))
+    rows = [(1, long), (2, long[1000:200_000] + "x" + long[250_000:]), (3, "short")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_without_kept_and_repeated_ids(spark, monkeypatch):
+    rows = [(1, "p" * 60 + "q" * 60), (2, "q" * 70), (2, "p" * 80), (2, "q" * 70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (100, 0):
+        monkeypatch.setattr(substrings, "MOST_REPEATED", most)
+        out = without_repeats(df, with_kept=False)
+        assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        assert sorted(tuple(r) for r in out.collect()) == brute(rows)
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
