@@ -7,8 +7,8 @@ pii             spans of personal data, disguised ones too, become <EMAIL>, <IP>
 mixing          sources are mixed to target weights: documents repeat, shrink to their picked blocks or go
 packing         token sequences of power-of-two lengths up to 1024, none across documents
 
-Rows with a null doc_id have no place in near_duplicates' groups and stay there; the mixing stage leaves them out before it plans
-(mixing.mixed itself takes them like others), as sequences are told by doc_id. Empty tables go through as empty tables.
+Rows with a null doc_id have no place in near_duplicates' groups and stay there; the other stages take them like others. Texts without words are one
+document only where id and text are the same. Empty tables go through as empty tables.
 """
 
 from __future__ import annotations
@@ -17,29 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondeflow.llm import crf, mixing, neardup, packing, pii
-from sondeflow.llm.common import table, written
+from sondeflow.llm.common import forget, numbered, table, written
 from sondeflow.llm.registry import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = crf.toxicity(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 0").select(*COLUMNS)
+    model = crf.fitted(docs, table(spark, sf_dir, "labels"))
+    return docs.select(*COLUMNS).filter(crf.toxicity_of(F.col("text"), model)["predicted"] == 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = F.monotonically_increasing_id()  # frozen by the table: ids may repeat with other texts, rows may not
-    keyed = written(docs.select(*COLUMNS, row.alias("row"), F.unhex(F.sha2("text", 256)).alias("digest")), "keyed")
+    keyed = numbered(docs, COLUMNS).withColumn("digest", F.unhex(F.sha2("text", 256)))
     some = keyed.filter("doc_id IS NOT NULL")
     groups = neardup.near_duplicates(some.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
-    told = some.drop("text").join(groups.select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row")
+    told = written(some.drop("text").join(groups.select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row"), "told")
     # Texts without words are linked with nothing: of those, only rows of one id and text are one document.
     none = F.col("n_shingles") == 0
     group = (F.when(~none, F.col("component_id")).alias("g"), F.when(none, F.col("doc_id")).alias("i"), F.when(none, F.col("digest")).alias("d"))
     first = F.min(F.struct("doc_id", "digest", "source", "lang", "n_chars", "row"))
     stay = told.groupBy(*group).agg(first.alias("first")).select("first.row")
-    return keyed.filter("doc_id IS NULL").select(*COLUMNS).union(some.join(stay, "row", "left_semi").select(*COLUMNS))
+    lost = written(told.select("row").join(stay, "row", "left_anti"), "lost")  # fewer than those that stay, as a rule
+    forget(told)
+    return keyed.join(lost, "row", "left_anti").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs.select(*COLUMNS).filter("doc_id IS NOT NULL"))
+    return mixing.mixed(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
