@@ -64,3 +64,43 @@ def cut(x: Column, edges: list[float]) -> Column:
     for k, edge in enumerate(edges[1:]):
         out = out.when(x <= edge, F.lit(k))
     return out
+
+
+def iso_now(zone: str = "UTC") -> Column:
+    """The time of the query in a zone, as 2024-01-31T12:00:00."""
+    return F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), zone), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def evenly(low: float, high: float, n: int) -> Column:
+    """An array of n numbers from low to high in equal steps."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(low)) + i * ((high - low) / max(n - 1, 1)))
+
+
+def place_in(values: Column, x: Column, right: bool = False) -> Column:
+    """Where x would go into a sorted array: before its equals, or (right) behind them."""
+    return F.size(F.filter(values, (lambda v: v <= x) if right else (lambda v: v < x)))
+
+
+def argmin(values: Column) -> Column:
+    """Place, from 0, of the first smallest number of an array."""
+    return (F.array_position(values, F.array_min(values)) - 1).cast("int")
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(values, zero, lambda a, v: F.struct((a["s"] + v).alias("s"), F.concat(a["out"], F.array(a["s"] + v)).alias("out")))["out"]
+
+
+def as_json(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns))
+
+
+def json_field(text: Column, name: str) -> Column:
+    """A field of a JSON object in text, null if it has none."""
+    return F.get_json_object(text, f"$.{name}")
+
+
+def looked_up(x: Column, table: dict) -> Column:
+    """The value that a small dictionary has for x, null for others."""
+    return F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), x)

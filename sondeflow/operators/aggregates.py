@@ -34,9 +34,38 @@ def sliced_all_ways(df: DataFrame, keys: list[str], truth: str, guess: str) -> D
     return out.select(*keys, "slice", "n_rows", "rmse")
 
 
+def in_parts(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with __part and __at: sorted parts that follow each other in a total order, and each row's place in its part from 1. Written, so that the
+    parts stay as they are."""
+    parted = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    return parted.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+
+
+def _before(parted: DataFrame, *sums: Column) -> DataFrame:
+    """For each part the rows (__rows) and the sums (__s0, ...) of the parts before it; the table has a row for each part."""
+    per = parted.groupBy("__part").agg(F.count("*").alias("__n"), *(c.alias(f"__t{k}") for k, c in enumerate(sums)))
+    past = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select("__part", *(F.coalesce(F.sum(c).over(past), F.lit(0)).alias(n) for c, n in (("__n", "__rows"), *((f"__t{k}", f"__s{k}") for k in range(len(sums))))))
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Quantiles of a whole column, linear between neighbours, by sorting it in parts: no task holds all values. Nulls are left out; None without values."""
+    parted = in_parts(df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL"), [F.col("x")])
+    placed = parted.join(F.broadcast(_before(parted)), "__part").select("x", (F.col("__rows") + F.col("__at") - 1).alias("place"))
+    n = parted.count()
+    if not n:
+        return [None] * len(shares)
+    asked = [q * (n - 1) for q in shares]
+    wanted = sorted({int(f) for a in asked for f in (a // 1, min(a // 1 + 1, n - 1))})
+    got = {r["place"]: r["x"] for r in placed.filter(F.col("place").isin(wanted)).collect()}
+    low = [int(a) for a in asked]
+    return [got[i] + (got[min(i + 1, n - 1)] - got[i]) * (a - i) for a, i in zip(asked, low)]
+
+
 def quantile_edges(df: DataFrame, column: str, parts: int) -> DataFrame:
     """One row: the array of inner and outer quantiles at k / parts."""
-    return df.agg(F.percentile(F.col(column), F.array(*(F.lit(k / parts) for k in range(parts + 1)))).alias("edges"))
+    edges = exact_quantiles(df, column, [k / parts for k in range(parts + 1)])
+    return df.sparkSession.createDataFrame([(edges,)], "edges array<double>")
 
 
 def quantile_bins(df: DataFrame, column: str, name: str, parts: int) -> DataFrame:
@@ -92,14 +121,14 @@ def error_bands(df: DataFrame, error: Column, keys: list[str], edges: tuple[floa
 
 
 def worst_first(df: DataFrame, key: str, error: Column) -> DataFrame:
-    """Squared error of each key, its rank, and the running share of the total, largest first.
-
-    The running sum is over keys, after aggregation: one row for each key passes through one sorted task.
-    """
+    """Squared error of each key, its rank, and the running share of the total, largest first. Ranks and running sums are taken within sorted parts and
+    moved by what the parts before hold."""
     per = df.groupBy(key).agg(F.sum(error * error).alias("sse"))
-    w = Window.orderBy(F.desc("sse"), key)
-    total = F.sum("sse").over(Window.partitionBy())
-    return per.select(key, "sse", F.row_number().over(w).alias("rank"), (F.sum("sse").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("share"))
+    parted = in_parts(per, [F.desc("sse"), F.col(key)])
+    total = F.broadcast(parted.agg(F.sum("sse").alias("__total")))
+    own = F.sum("sse").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    out = parted.withColumn("__own", own).join(F.broadcast(_before(parted, F.sum("sse"))), "__part").join(total)
+    return out.select(key, "sse", (F.col("__rows") + F.col("__at")).cast("int").alias("rank"), ((F.col("__s0") + F.col("__own")) / F.col("__total")).alias("share"))
 
 
 def line_fit(df: DataFrame, y: str, x: str, keys: list[str]) -> DataFrame:
@@ -109,7 +138,8 @@ def line_fit(df: DataFrame, y: str, x: str, keys: list[str]) -> DataFrame:
 
 
 def plane_fit(df: DataFrame, y: str, a: str, b: str, keys: list[str], least: int = 6, weight: Column | None = None, ridge: float = 0.0) -> DataFrame:
-    """y ~ c0 + ca a + cb b by centred second moments, solved in closed form; null with fewer than `least` rows or a flat spread."""
+    """y ~ c0 + ca a + cb b by weighted second moments, solved in closed form; null with fewer than `least` rows or a flat spread. The sums are raw: take
+    columns near the origin (distances, as local_planes does), or `regression`."""
     w = weight if weight is not None else F.lit(1.0)
     cols = {"y": F.col(y), "a": F.col(a), "b": F.col(b)}
     ok = F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -198,3 +228,94 @@ def histogram_peaks(counts: DataFrame, keys: list[str], bins: int, least: int) -
     side = lambda c: F.coalesce(c, F.lit(0))
     top = (F.col("n") >= least) & (F.col("n") > side(F.lag("n").over(w))) & (F.col("n") > side(F.lead("n").over(w)))
     return full.withColumn("__top", top).groupBy(*keys).agg(F.count_if("__top").alias("peaks"))
+
+
+def regression(df: DataFrame, y: str, xs: list[str], keys: list[str], least: int = 6, ridge: float = 1e-9) -> DataFrame:
+    """y ~ c0 + c1 x1 + c2 x2 + c3 x3 for each key, by least squares on standardised columns: n, c0, c_<x>, r2.
+
+    Moments are covariances, so large coordinates don't cancel; the small ridge takes, of several best fits, the one of nearly least norm. Rows with a null are
+    left out; fewer than `least` rows give nulls. One to three columns.
+    """
+    ok = F.col(y).isNotNull()
+    for x in xs:
+        ok = ok & F.col(x).isNotNull()
+    k = len(xs)
+    moments = [F.count("*").alias("n"), F.avg(y).alias("__my"), F.var_pop(y).alias("__vy")]
+    moments += [m for i, x in enumerate(xs) for m in (F.avg(x).alias(f"__m{i}"), F.when(F.var_pop(x) > 0, F.sqrt(F.var_pop(x))).otherwise(F.lit(1.0)).alias(f"__d{i}"), F.covar_pop(x, y).alias(f"__y{i}"))]
+    moments += [F.covar_pop(xs[i], xs[j]).alias(f"__c{i}{j}") for i in range(k) for j in range(i, k)]
+    g = df.filter(ok).groupBy(*keys).agg(*moments)
+    d = [F.col(f"__d{i}") for i in range(k)]
+    m = [[F.col(f"__c{min(i, j)}{max(i, j)}") / d[i] / d[j] + (ridge if i == j else 0.0) for j in range(k)] for i in range(k)]
+    r = [F.col(f"__y{i}") / d[i] for i in range(k)]
+    whole = _determinant(m)
+    swapped = [_determinant([[r[i] if j == c else m[i][j] for j in range(k)] for i in range(k)]) for c in range(k)]
+    enough = F.col("n") >= least
+    coef = [F.when(enough, swapped[i] / whole / d[i]) for i in range(k)]
+    out = g.select(*keys, "n", "__my", "__vy", *(F.col(f"__m{i}") for i in range(k)), *(F.col(f"__y{i}") for i in range(k)), *(c.alias(f"c_{x}") for c, x in zip(coef, xs)))
+    inner = sum((F.col(f"c_{x}") * F.col(f"__m{i}") for i, x in enumerate(xs)), F.lit(0.0))
+    explained = sum((F.col(f"c_{x}") * F.col(f"__y{i}") for i, x in enumerate(xs)), F.lit(0.0))
+    return out.select(*keys, "n", F.when(F.col("n") >= least, F.col("__my") - inner).alias("c0"), *(f"c_{x}" for x in xs), F.when(F.col("n") >= least, ratio(explained, F.col("__vy"))).alias("r2"))
+
+
+def _determinant(m: list[list[Column]]) -> Column:
+    if len(m) == 1:
+        return m[0][0]
+    if len(m) == 2:
+        return m[0][0] * m[1][1] - m[0][1] * m[1][0]
+    minor = lambda i, j: m[1][i] * m[2][j] - m[1][j] * m[2][i]
+    return m[0][0] * minor(1, 2) - m[0][1] * minor(0, 2) + m[0][2] * minor(0, 1)
+
+
+def residual_scale(df: DataFrame, y: str, reference: str, keys: list[str], low: float = 10.0, high: float = 60.0, missing: float | None = 0.0, least: int = 1, default: float = 20.0) -> DataFrame:
+    """Population deviation of y less a reference, held to [low, high], for each key. A missing y counts as `missing` (None: its row is left out); `default`
+    with fewer than `least` rows."""
+    value = F.col(y) if missing is None else F.coalesce(F.col(y), F.lit(missing))
+    e = value - F.col(reference)
+    sd = F.least(F.greatest(F.stddev_pop(e), F.lit(low)), F.lit(high))
+    return df.groupBy(*keys).agg(F.count(e).alias("n"), F.when(F.count(e) >= least, sd).otherwise(F.lit(default)).alias("scale"))
+
+
+def stats_signature(df: DataFrame, key: str, columns: list[str], digits: int = 1) -> DataFrame:
+    """A struct of rounded smallest, largest, mean and deviation of each column and the number of rows: equal for keys whose curves are alike at that grain."""
+    parts = [F.bround(f(c), digits).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("sd", F.stddev_pop))]
+    g = df.groupBy(key).agg(F.count("*").alias("n"), *parts)
+    return g.select(key, F.struct("n", *(c for c in g.columns if c not in (key, "n"))).alias("signature"))
+
+
+def correlations(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Pearson correlation of every pair of columns over rows that have both, a row for each pair a < b in the given order."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    both = lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
+    g = df.groupBy(*keys).agg(*(both(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)))
+    return g.select(*keys, F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"__{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("p")).select(*keys, "p.*")
+
+
+def ambiguity(counts: DataFrame, keys: list[str], bins: int, least: int) -> DataFrame:
+    """Peaks of a histogram and their number times the bins' coefficient of variation: high where several places fit alike."""
+    peaks = histogram_peaks(counts, keys, bins, least)
+    total, square = F.sum("n"), F.sum(F.col("n") * F.col("n"))
+    spread = counts.groupBy(*keys).agg((F.sqrt(F.greatest(square / bins - (total / bins) * (total / bins), F.lit(0.0))) / (total / bins)).alias("cv"))
+    return peaks.join(spread, keys).withColumn("ambiguity", F.col("peaks") * F.col("cv"))
+
+
+def largest_of(values: Column, k: int) -> Column:
+    """The k largest numbers of an array, largest first."""
+    return F.slice(F.sort_array(values, asc=False), 1, k)
+
+
+def broken_and_good(df: DataFrame, key: str, error: str, bad_above: float, good_below: float, n_bad: int, n_good: int) -> DataFrame:
+    """Up to n_bad keys with the largest errors above one bound, and n_good with the smallest below another, told apart by `kind`."""
+    bad = df.filter(F.col(error) > bad_above).orderBy(F.desc(error), key).limit(n_bad).withColumn("kind", F.lit("bad"))
+    good = df.filter(F.col(error) < good_below).orderBy(error, key).limit(n_good).withColumn("kind", F.lit("good"))
+    return bad.unionByName(good)
+
+
+def first_rows(df: DataFrame, order: list, n: int | None) -> DataFrame:
+    """The first n rows in a total order, or all: a limit for trying things out."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def median_filled(df: DataFrame, columns: list[str], by: DataFrame) -> DataFrame:
+    """Nulls of each column become its median in `by`, the training rows."""
+    middle = F.broadcast(by.agg(*(F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns)))
+    return df.join(middle).withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*(f"__{c}" for c in columns))

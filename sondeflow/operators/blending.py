@@ -125,6 +125,72 @@ def stability(weights: dict[int, np.ndarray], drop: float = 0.05) -> dict[str, n
     return {"mean": mean, "cv": np.where(mean > 0, w.std(axis=0) / np.where(mean > 0, mean, 1), np.inf), "kept": mean >= drop}
 
 
+def predicted_board(error: float, gap: float = 1.40) -> float:
+    """What a cross-validated error is likely to be elsewhere: less a fixed gap."""
+    return error - gap
+
+
+def gate(folds: dict[int, Moments], names: list[str], least: int = 4) -> list[dict]:
+    """For each number of components, in the given order: in how many folds their equal blend beats the first one alone, and whether in `least`."""
+    out = []
+    k = len(names)
+    for n in range(2, k + 1):
+        chosen, alone = np.where(np.arange(k) < n, 1.0 / n, 0.0), np.where(np.arange(k) == 0, 1.0, 0.0)
+        better = sum(m.rmse(chosen) < m.rmse(alone) for m in folds.values())
+        out.append({"components": n, "last": names[n - 1], "better": better, "passes": better >= least})
+    return out
+
+
+def variant_parts(name: str) -> tuple[float, float, float]:
+    """Scale, weight of the beam and weight of the anchor that a variant's name states, as pf_scale_8_beam_0.2_hold_0.1."""
+    words = name.split("_")
+    after = lambda word: float(words[words.index(word) + 1]) if word in words else 0.0
+    return after("scale"), after("beam"), after("hold")
+
+
+def by_variant(df: DataFrame, code: Column, variants: dict[int, str], default: str, by_scale: dict[float, str], beam: str, anchor: str) -> DataFrame:
+    """`chosen`: of each row the filter's path of its variant's scale (columns by_scale), mixed with the beam's and then with the anchor as the variant says.
+    Codes without a variant take the default; an unknown scale takes the default's."""
+
+    def mixed(name: str) -> Column:
+        scale, to_beam, to_anchor = variant_parts(name)
+        path = F.col(by_scale.get(scale, by_scale[variant_parts(default)[0]]))
+        both = (1 - to_beam) * path + to_beam * F.col(beam)
+        return (1 - to_anchor) * both + to_anchor * F.col(anchor)
+
+    out = mixed(default)
+    for value, name in variants.items():
+        out = F.when(code == value, mixed(name)).otherwise(out)
+    return df.withColumn("chosen", out)
+
+
+def regime_code(hidden: Column, span: Column, long: float, spans: list[float]) -> Column:
+    """1 for long hidden parts, plus twice the number of bounds that the span reaches."""
+    return (hidden > long).cast("int") + 2 * sum(((span >= b).cast("int") for b in spans), F.lit(0))
+
+
+def ramp_grid(df: DataFrame, a: str, b: str, truth: str, md_since: str, weights: list[float], taus: list[float], alphas: list[float], fold: str) -> DataFrame:
+    """Error, pooled (null fold) and by fold, for every weight of b, ramp length (0: none) and factor: alpha times the blend, led over to b by the ramp. Rows
+    meet the grid where they arise and are summed there."""
+    col = lambda n, v: F.explode(F.array(*(F.lit(float(x)) for x in v))).alias(n)
+    grid = df.sparkSession.range(1).select(col("w", weights)).select("w", col("tau", taus)).select("*", col("alpha", alphas))
+    both = df.crossJoin(F.broadcast(grid))
+    t = F.when(F.col("tau") > 0, 1 - F.exp(-F.col(md_since) / F.col("tau"))).otherwise(F.lit(0.0))
+    mix = (1 - F.col("w")) * F.col(a) + F.col("w") * F.col(b)
+    e = F.col("alpha") * (mix * (1 - t) + F.col(b) * t) - F.col(truth)
+    per = both.groupBy(fold, "w", "tau", "alpha").agg(F.sum(e * e).alias("sse"), F.count("*").alias("n"))
+    g = per.groupingSets([[F.col("w"), F.col("tau"), F.col("alpha"), F.col(fold)], [F.col("w"), F.col("tau"), F.col("alpha")]], "w", "tau", "alpha", fold)
+    return g.agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+
+
+def two_components(df: DataFrame, a: str, b: str, weight: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with `blend`, (1 - weight) a + weight b, and one row on how the components differ: mean, deviation, largest and 95th percentile of |a - b|."""
+    d = F.abs(F.col(a) - F.col(b))
+    out = df.withColumn("blend", (1 - weight) * F.col(a) + weight * F.col(b))
+    return out, df.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.max(d).alias("most"), F.percentile(d, F.lit(0.95)).alias("p95"))
+
+
+# The bounds of the guards.
 def guard_rule(hidden: Column, delta: Column, dz: Column) -> Column:
     """Which guard a sequence falls under; the strictest wins."""
     return (
@@ -191,13 +257,25 @@ def projected(df: DataFrame, guess: str, z: str, anchor: str, md: str, key: str,
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def smoothing_errors(df: DataFrame, guess: str, truth: str, key: str, index: str, fold: str, widths: list[int]) -> DataFrame:
-    """Error by fold of the guess under centred means of several widths (0: as it is), from one pass: all windows share one order."""
+def smoothing_errors(df: DataFrame, guess: str, truth: str, key: str, index: str, fold: str, widths: list[int], method: str = "mean") -> DataFrame:
+    """Error by fold of the guess smoothed over several centred widths (0: as it is), from one pass: all windows share one order.
+
+    method: mean or median over the window, or savgol, the value there of a parabola fitted to it (see windows.savgol).
+    """
     from pyspark.sql.window import Window
 
+    from sondeflow.operators.windows import savgol
+
     w = Window.partitionBy(key).orderBy(index)
-    smooth = {n: F.avg(guess).over(w.rowsBetween(-(n // 2), (n - 1) // 2)) if n else F.col(guess) for n in widths}
-    out = df.select(fold, truth, *(c.alias(f"__{n}") for n, c in smooth.items()))
+    out = df
+    for n in widths:
+        frame = w.rowsBetween(-(n // 2), (n - 1) // 2)
+        if n == 0:
+            out = out.withColumn("__0", F.col(guess))
+        elif method == "savgol":
+            out = savgol(out, guess, f"__{n}", n, 2, key, index)
+        else:
+            out = out.withColumn(f"__{n}", F.avg(guess).over(frame) if method == "mean" else F.percentile(F.col(guess), F.lit(0.5)).over(frame))
     g = out.groupBy(fold).agg(*(F.sqrt(F.avg((F.col(f"__{n}") - F.col(truth)) * (F.col(f"__{n}") - F.col(truth)))).alias(f"__{n}") for n in widths))
     return g.select(fold, F.explode(F.array(*(F.struct(F.lit(n).alias("width"), F.col(f"__{n}").alias("rmse")) for n in widths))).alias("e")).select(fold, "e.*")
 

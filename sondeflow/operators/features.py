@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sondeflow.functions.scalars import clip, ratio
-from sondeflow.operators.sequence import INDEX, KEY, in_order
+from sondeflow.operators.sequence import INDEX, KEY, in_order, in_reverse
 
 
 def momentum(base: DataFrame, far: int = 20, near: int = 5, key: str = KEY, index: str = INDEX) -> DataFrame:
@@ -167,7 +167,7 @@ def wide(base: DataFrame, knots: DataFrame | None = None, offsets: tuple[float,
 
     w, every = in_order(key, index), Window.partitionBy(key)
     known_gr = F.when(F.col("is_known"), F.col("gr"))
-    out = base.withColumn("g", W.interpolated(F.col("gr"), w, F.col(index)))
+    out = base.withColumn("g", W.interpolated(F.col("gr"), w, F.col(index), in_reverse(key, index)))
     out = out.withColumns({"gr_mean": F.avg(known_gr).over(every), "gr_sd": F.stddev_pop(known_gr).over(every)})
     g = F.col("g")
     rolls = {f"mean{n}": W.rolling_mean(g, w, n, centred=True) for n in (5, 21, 51)} | {f"std{n}": W.rolling_std(g, w, n, centred=True, fill=0.0) for n in (5, 21, 51)}
@@ -182,3 +182,127 @@ def wide(base: DataFrame, knots: DataFrame | None = None, offsets: tuple[float,
     places = {"anchor": F.col("tvt0"), "by20": F.col("tvt0") + F.col("by20"), "by5": F.col("tvt0") + F.col("by5")}
     probes = {f"probe_{n}_{k}": C.probes(F.col("knots"), at, g, list(offsets))[k] for n, at in places.items() for k in range(len(offsets))}
     return out.withColumns(probes).drop("knots")
+
+
+def row_bends(rows: DataFrame, key: str = KEY, index: str = INDEX) -> DataFrame:
+    """The angle in degrees between the steps into and out of each row; 0 at both ends and where a step has no length."""
+    w = in_order(key, index)
+    a = {c: F.col(c) - F.lag(c).over(w) for c in "xyz"}
+    b = {c: F.lead(c).over(w) - F.col(c) for c in "xyz"}
+    out = rows.withColumns({f"__a{c}": v for c, v in a.items()} | {f"__b{c}": v for c, v in b.items()})
+    dot = lambda p, q: F.col(f"__{p}x") * F.col(f"__{q}x") + F.col(f"__{p}y") * F.col(f"__{q}y") + F.col(f"__{p}z") * F.col(f"__{q}z")
+    both = F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b"))
+    bend = F.degrees(F.acos(clip(dot("a", "b") / F.nullif(both, F.lit(0.0)), -1.0, 1.0)))
+    return out.withColumn("bend", F.coalesce(F.when(both > 0, bend), F.lit(0.0))).drop(*(f"__{p}{c}" for p in "ab" for c in "xyz"))
+
+
+def disagreement(rows: DataFrame, a: str, b: str, key: str = KEY, index: str = INDEX) -> DataFrame:
+    """How two predictions differ: at the row, its mean and deviation over the key, and what else tells sequences apart (spread of z and gr, rows, place)."""
+    every = Window.partitionBy(key)
+    d = F.abs(F.col(a) - F.col(b))
+    out = rows.withColumn("disagree", d)
+    return out.withColumns({
+        "dis_mean": F.avg("disagree").over(every), "dis_std": F.coalesce(F.stddev_samp("disagree").over(every), F.lit(0.0)), "z_span": F.max("z").over(every) - F.min("z").over(every),
+        "gr_std": F.coalesce(F.stddev_samp("gr").over(every), F.lit(0.0)), "n_hidden": F.count(F.lit(1)).over(every), "md_since": F.log1p(F.greatest(F.col("md") - F.col("md0"), F.lit(0.0))),
+        "place": (F.row_number().over(in_order(key, index)) - 1) / F.count(F.lit(1)).over(every),
+    })
+
+
+def structural_planes(base: DataFrame, near: int = 300, limit: float = 200.0, least: int = 6, key: str = KEY, index: str = INDEX) -> DataFrame:
+    """Target rows with what planes of the target over x, y, z say, less the anchor and held to the limit: fitted to all known rows, and to the last `near`
+    of them; where neither fits, -z for the first and the first for the second. And how far they lie apart."""
+    from sondeflow.operators.aggregates import regression
+
+    known = base.filter("is_known").withColumn("__back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(index))))
+    xs = ["x", "y", "z"]
+    full = regression(known, "tvt_input", xs, [key], least).select(key, F.col("r2").alias("plane_r2"), F.col("c0").alias("__f0"), *(F.col(f"c_{c}").alias(f"__f{c}") for c in xs))
+    local = regression(known.filter(F.col("__back") <= near), "tvt_input", xs, [key], least).select(key, F.col("c0").alias("__l0"), *(F.col(f"c_{c}").alias(f"__l{c}") for c in xs))
+    out = base.filter("is_target").join(full, key, "left").join(local, key, "left")
+    at = lambda p: F.col(f"__{p}0") + F.col(f"__{p}x") * F.col("x") + F.col(f"__{p}y") * F.col("y") + F.col(f"__{p}z") * F.col("z")
+    whole = F.coalesce(at("f"), -F.col("z"))
+    out = out.withColumn("plane_full", clip(whole - F.col("tvt0"), -limit, limit)).withColumn("plane_local", clip(F.coalesce(at("l"), whole) - F.col("tvt0"), -limit, limit))
+    return out.withColumn("plane_apart", F.abs(F.col("plane_full") - F.col("plane_local"))).drop(*(f"__{p}{c}" for p in "fl" for c in ("0", *xs)))
+
+
+def anchor_calibration(rows: DataFrame, knots: str, anchor: str, y: str = "gr", given: str = "tvt_input", key: str = KEY, index: str = INDEX, least: int = 10) -> DataFrame:
+    """calibration against the key's curve (column `knots`) at the known target, with the mean difference over the last 20 such rows, the curve's value at the
+    anchor, and its slope there over half a unit either way; 0 in place of what fewer than `least` rows would give."""
+    from sondeflow.operators import curves as C
+
+    seen = rows.filter(F.col(given).isNotNull() & F.col(y).isNotNull()).withColumn("__ref", C.lookup(F.col(knots), F.col(given), "extrapolate"))
+    seen = seen.withColumn("__back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(index))))
+    late = seen.groupBy(key).agg(F.avg(F.when(F.col("__back") <= 20, F.col(y) - F.col("__ref"))).alias("last20"))
+    fit = calibration(seen, y, "__ref", key, least)
+    at = lambda o: C.lookup(F.col(knots), F.col(anchor) + o, "extrapolate")
+    here = rows.groupBy(key).agg(F.first(anchor).alias(anchor), F.first(knots).alias(knots)).select(key, at(0.0).alias("at_anchor"), (at(0.5) - at(-0.5)).alias("slope"))
+    out = here.join(fit, key, "left").join(late, key, "left")
+    enough = F.coalesce(F.col("n"), F.lit(0)) >= least
+    zero = lambda c: F.when(enough, F.col(c)).otherwise(F.lit(0.0)).alias(c)
+    return out.select(key, F.coalesce("n", F.lit(0)).alias("n"), zero("corr"), zero("offset"), zero("scale"), zero("last20"), "at_anchor", "slope", F.abs("slope").alias("steepness"))
+
+
+def alignment(rows: DataFrame, curve: DataFrame, centre: str, key: str = KEY, index: str = INDEX, band: float = 30.0, reach: float = 15.0, step: float = 0.5, width: int = 60) -> DataFrame:
+    """How hidden gr fits the curve along a path: key, index, residual, local, offset, gain; a task for each key.
+
+    gr is first equalised by a line fitted to the known rows (10 at least). offset: the shift of the whole path, within `band`, with the least mean absolute
+    residual, and gain, what it saves over no shift (8 rows at least). local: for each row the shift within `reach` that is best over the `width` rows around it
+    (where there are as many). Everything is 0 where too few rows have gr. rows: known and hidden rows with gr, tvt_input, is_target and `centre`; curve: key, x, y.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [key, index, "residual", "local", "offset", "gain"]
+        left = left.sort_values(index, kind="stable")
+        hidden = left[left["is_target"]]
+        out = pd.DataFrame({key: hidden[key], index: hidden[index], "residual": 0.0, "local": 0.0, "offset": 0.0, "gain": 0.0})[names]
+        knots = right.dropna().groupby("x")["y"].mean().sort_index()
+        if hidden.empty or len(knots) < 2:
+            return out
+        x, y = knots.index.to_numpy(float), knots.to_numpy(float)
+        known = left[left["tvt_input"].notna() & left["gr"].notna()]
+        a, b = 1.0, 0.0
+        if len(known) >= 10:
+            ref = np.interp(known["tvt_input"].to_numpy(float), x, y)
+            if ref.std() > 0:
+                a, b = np.polyfit(ref, known["gr"].to_numpy(float), 1)
+            if abs(a) < 1e-3 or ref.std() == 0:
+                a, b = 1.0, 0.0
+        seen = hidden["gr"].notna().to_numpy()
+        if seen.sum() < 8:
+            return out
+        equal, at = (hidden["gr"].to_numpy(float)[seen] - b) / a, hidden[centre].to_numpy(float)[seen]
+        shifts = np.arange(-band, band + step / 2, step)
+        cost = np.abs(equal[:, None] - np.interp(at[:, None] + shifts, x, y)).mean(axis=0)
+        best = int(np.round(cost, 9).argmin())
+        out["offset"], out["gain"] = shifts[best], cost[len(shifts) // 2] - cost[best]
+        residual, local = np.zeros(len(hidden)), np.zeros(len(hidden))
+        residual[seen] = equal - np.interp(at, x, y)
+        if seen.sum() >= width:
+            near = np.arange(-reach, reach + step / 2, step)
+            sums = np.concatenate((np.zeros((1, len(near))), np.cumsum(np.abs(equal[:, None] - np.interp(at[:, None] + near, x, y)), axis=0)))
+            i = np.arange(len(equal))
+            lo, hi = np.maximum(i - width // 2, 0), np.minimum(i + width // 2, len(equal))
+            local[seen] = near[np.round((sums[hi] - sums[lo]) / (hi - lo)[:, None], 9).argmin(axis=1)]
+        out["residual"], out["local"] = residual, local
+        return out
+
+    kind = dict(rows.dtypes)
+    given = curve.select(F.col(key).alias("__key"), "x", "y")
+    picked = rows.select(key, index, "gr", "tvt_input", "is_target", centre)
+    schema = f"{key} {kind[key]}, {index} {kind[index]}, residual double, local double, offset double, gain double"
+    return picked.groupBy(key).cogroup(given.groupBy("__key")).applyInPandas(run, schema)
+
+
+def wide_with_paths(base: DataFrame, knots: DataFrame, paths: dict[str, DataFrame], surfaces: DataFrame | None = None, key: str = KEY, index: str = INDEX) -> DataFrame:
+    """`wide` with trackers' paths (key, index, guess) as differences from the anchor, their spread, and (with surfaces: key, index, columns) surfaces less z."""
+    out = wide(base, knots, key=key, index=index)
+    for name, path in paths.items():
+        out = out.join(path.select(key, index, F.col("guess").alias(f"__{name}")), [key, index], "left")
+    if surfaces is not None:
+        rest = [c for c in surfaces.columns if c not in (key, index)]
+        out = out.join(surfaces, [key, index], "left").withColumns({f"{c}_over_z": F.col(c) - F.col("z") for c in rest}).drop(*rest)
+    names = [F.col(f"__{n}") for n in paths]
+    mean = sum(names[1:], names[0]) / len(names)
+    spread = F.sqrt(sum(((c - mean) * (c - mean) for c in names[1:]), (names[0] - mean) * (names[0] - mean)) / len(names))
+    return out.withColumn("path_spread", spread).withColumns({f"{n}_delta": F.col(f"__{n}") - F.col("tvt0") for n in paths}).drop(*(f"__{n}" for n in paths))

@@ -8,15 +8,29 @@ from pyspark.sql.window import Window
 
 #: Rows a lookup side may have to be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 class CardinalityError(ValueError):
     """A lookup side repeats a key, or lacks one that must be there."""
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast if it has at most `rows` rows (counted up to that many)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame, marked for broadcast if it has at most `rows` rows and, written as JSON, `most` bytes (both counted up to that many rows)."""
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    n, total = df.limit(rows + 1).select(size.alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= most else df
+
+
+def every_pair(asked: DataFrame, candidates: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of two sets of entities under a condition. Candidates that are small are broadcast; others are dealt into blocks, and the asked ones go to each."""
+    few = small(candidates)
+    if few is not candidates:
+        return asked.join(few, condition)
+    blocks = max(1, -(-candidates.count() // BROADCAST_ROWS))
+    dealt = candidates.withColumn("__block", F.pmod(F.xxhash64(*candidates.columns), F.lit(blocks)))
+    every = asked.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return every.join(dealt, "__block").filter(condition).drop("__block")
 
 
 def attach(left: DataFrame, right: DataFrame, on: list[str], complete: bool = True) -> DataFrame:
@@ -92,8 +106,38 @@ def window_candidates(rows: DataFrame, grid: DataFrame, at: str, reach: int, val
 
 
 def nearest_of_kinds(asked: DataFrame, candidates: DataFrame, distance: Column, key: str, other: str, kind: str, k: int) -> DataFrame:
-    """The k nearest candidates of each key with different kinds: the nearest of each kind, then by distance. Both sides must be small sets of
-    entities (one row each): candidates are broadcast."""
-    pairs = asked.join(F.broadcast(candidates), F.col(key) != F.col(other)).withColumn("distance", distance)
+    """The k nearest candidates of each key with different kinds: the nearest of each kind, then by distance. Both are sets of entities (one row each):
+    see every_pair."""
+    pairs = every_pair(asked, candidates, F.col(key) != F.col(other)).withColumn("distance", distance)
     one = pairs.withColumn("__k", F.row_number().over(Window.partitionBy(key, kind).orderBy("distance", other))).filter("__k = 1")
     return one.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", other))).filter(F.col("rank") <= k).drop("__k")
+
+
+def own_first(asked: DataFrame, candidates: DataFrame, score: Column, key: str, other: str, k: int) -> DataFrame:
+    """k candidates of each key: its own, ranked 1 with a null score, then the k - 1 others with the smallest score, ties to the smaller."""
+    pairs = every_pair(asked, candidates, F.col(key) != F.col(other)).withColumn("score", score)
+    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("score", other)) + 1).filter(F.col("rank") <= k)
+    own = asked.select(key, F.col(key).alias(other), F.lit(None).cast("double").alias("score"), F.lit(1).alias("rank"))
+    return own.unionByName(best.select(key, other, "score", "rank"))
+
+
+def with_suffixes(left: DataFrame, right: DataFrame, on: list[str], suffixes: tuple[str, str] = ("_x", "_y"), how: str = "left") -> DataFrame:
+    """Join on several columns; columns that both sides have besides get a suffix each."""
+    shared = [c for c in left.columns if c in right.columns and c not in on]
+    a = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
+    return a.join(right.withColumnsRenamed({c: c + suffixes[1] for c in shared}), on, how)
+
+
+def overwritten(left: DataFrame, right: DataFrame, columns: list[str], digits: int, value: str, weight: float) -> DataFrame:
+    """`value` moved by `weight` towards the right side's where a row lies at the same rounded place (see by_rounded); others keep theirs."""
+    out = by_rounded(left, right.select(*columns, F.col(value).alias("__other")), columns, digits, ["__other"])
+    moved = (1 - weight) * F.col(value) + weight * F.col("__other")
+    return out.withColumn(value, F.coalesce(moved, F.col(value))).drop("__other")
+
+
+def all_keys(frames: list[DataFrame], key: str) -> DataFrame:
+    """Keys that any of the frames has, each once."""
+    out = frames[0].select(key)
+    for f in frames[1:]:
+        out = out.union(f.select(key))
+    return out.distinct()

@@ -8,30 +8,141 @@ from pyspark.sql import functions as F
 from sondeflow.sources.staging import staged
 
 
-def cross_validated(df: DataFrame, features: list[str], target: str, fold: str, keep: list[str], make=None) -> DataFrame:
-    """Out-of-fold predictions: for each fold a model fitted on the others. Rows with aug_k (if there) other than -1 train but get no prediction.
-
-    make() gives an MLlib estimator over `features` and `label`; gradient-boosted trees by default. Folds are few, so they are a loop.
-    """
+def assembled(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
+    """df with `features` as one vector (nulls as NaN) and, with a target, `label` without nulls."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
 
-    make = make or (lambda: GBTRegressor(featuresCol="features", labelCol="label", maxIter=20, maxDepth=4, seed=42))
-    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df.withColumn("label", F.col(target).cast("double")).na.drop(subset=["label"]))
-    ready = ready.cache()
+    if target is not None:
+        df = df.withColumn("label", F.col(target).cast("double")).na.drop(subset=["label"])
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
+
+
+def fold_models(df: DataFrame, features: list[str], target: str, fold: str, make=None) -> dict:
+    """A model for each fold, fitted on the others. Rows with aug_k (if there) other than -1 train but are no one's held-out rows.
+
+    make() gives an MLlib estimator over `features` and `label`; gradient-boosted trees by default. An estimator with a validation column (see boosted) stops early on
+    every tenth training row by hash. Folds are few, so they are a loop.
+    """
+    make = make or boosted
+    ready = assembled(df, features, target)
+    ready = ready.withColumn("held", F.pmod(F.xxhash64(*features, "label"), F.lit(10)) == 0).cache()
     try:
-        out = None
-        for f in sorted(r[fold] for r in ready.select(fold).distinct().collect()):
-            model = make().fit(ready.filter(F.col(fold) != f))
-            held = ready.filter(F.col(fold) == f)
-            held = held.filter("aug_k = -1") if "aug_k" in df.columns else held
-            part = model.transform(held).select(*keep, fold, F.col("label").alias(target), F.col("prediction").alias("guess"))
-            out = part if out is None else out.union(part)
-        return staged(out)
+        return {f: make().fit(ready.filter(F.col(fold) != f)) for f in sorted(r[fold] for r in ready.select(fold).distinct().collect())}
     finally:
         ready.unpersist()
 
 
+def out_of_fold(df: DataFrame, models: dict, features: list[str], target: str, fold: str, keep: list[str]) -> DataFrame:
+    """Each fold's rows as its model, which has not seen them, predicts them: keep, fold, target, guess."""
+    ready = assembled(df.filter("aug_k = -1") if "aug_k" in df.columns else df, features, target)
+    parts = [m.transform(ready.filter(F.col(fold) == f)) for f, m in models.items()]
+    out = None
+    for part in parts:
+        part = part.select(*keep, fold, F.col("label").alias(target), F.col("prediction").alias("guess"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def cross_validated(df: DataFrame, features: list[str], target: str, fold: str, keep: list[str], make=None) -> DataFrame:
+    """Out-of-fold predictions: for each fold a model fitted on the others (see fold_models)."""
+    return staged(out_of_fold(df, fold_models(df, features, target, fold, make), features, target, fold, keep))
+
+
+def averaged(df: DataFrame, models: list, features: list[str], keep: list[str]) -> DataFrame:
+    """keep and guess, the mean of the models' predictions: for rows that no model has seen, or a family of stored models (see stored)."""
+    out, names = assembled(df, features), [f"__p{k}" for k in range(len(models))]
+    for n, m in zip(names, models):
+        out = m.transform(out).withColumnRenamed("prediction", n)
+        out = out.drop(*(c for c in out.columns if c in ("probability", "rawPrediction")))
+    return out.select(*keep, (sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).alias("guess"))
+
+
+def stored(path: str) -> list:
+    """Models that MLlib wrote under path/0, path/1, ..., in that order: what save_all wrote."""
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+
+    from sondeflow.operators.validation import present_files
+
+    spark, out = SparkSession.getActiveSession(), []
+    while present_files(spark, [f"{path}/{len(out)}"])[f"{path}/{len(out)}"]:
+        out.append(DefaultParamsReader.loadParamsInstance(f"{path}/{len(out)}", spark.sparkContext))
+    return out
+
+
+def save_all(models: list, path: str) -> None:
+    for k, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/{k}")
+
+
+def importances(models: dict, features: list[str], spark) -> DataFrame:
+    """feature, importance: the mean over the folds' models of what their trees gain by it, summing to 1."""
+    rows = [(n, float(sum(m.featureImportances[i] for m in models.values()) / len(models))) for i, n in enumerate(features)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def boosted(trees: int = 20, depth: int = 4, rate: float = 0.1):
+    """Gradient-boosted trees that stop once the error on the rows marked `held` does not fall any more."""
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42, validationIndicatorCol="held", validationTol=0.001)
+
+
+def forest(trees: int = 10, depth: int = 6):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=42)
+
+
+def on_residual(df: DataFrame, base: str, features: list[str], target: str, fold: str, keep: list[str], makes: list | None = None) -> DataFrame:
+    """What a base prediction leaves, learnt out of fold by one or several learners and averaged: keep, fold, target, base and guess = base + residual."""
+    rows = staged(df.withColumn("__left", F.col(target) - F.col(base)))
+    parts = None
+    for k, make in enumerate(makes or [boosted]):
+        part = out_of_fold(rows, fold_models(rows, features, "__left", fold, make), features, "__left", fold, [*keep, target, base])
+        part = part.select(*keep, fold, target, base, F.col("guess").alias(f"__g{k}"))
+        parts = part if parts is None else parts.join(part.select(*keep, f"__g{k}"), keep)
+    n = len(makes or [boosted])
+    mean = sum((F.col(f"__g{k}") for k in range(1, n)), F.col("__g0")) / n
+    return staged(parts.withColumn("guess", F.col(base) + mean).drop(*(f"__g{k}" for k in range(n))))
+
+
+def blended(df: DataFrame, features: list[str], target: str, fold: str, keep: list[str], makes: dict, least: int) -> tuple[DataFrame, dict[str, float]]:
+    """Out-of-fold predictions of several learners, a column each, and `guess`, their blend; and the weights. Weights are those of least error that are not negative, scaled to sum
+    to 1; the best learner alone stands where the blend does not beat it in `least` folds."""
+    from sondeflow.operators import blending as B
+
+    out = None
+    for name, make in makes.items():
+        part = cross_validated(df, features, target, fold, keep, make).withColumnRenamed("guess", name)
+        out = part if out is None else out.join(part.select(*keep, name), keep)
+    names = list(makes)
+    per = B.moments(out, names, F.col(target), fold)
+    whole = sum(per.values(), start=B.Moments(0.0, 0.0, 0.0, 0.0))
+    w = whole.nnls()
+    w = w / w.sum() if w.sum() > 0 else w + 1 / len(w)
+    alone = min((one for one in _units(len(names))), key=whole.rmse)
+    if sum(m.rmse(w) < m.rmse(alone) for m in per.values()) < least:
+        w = alone
+    guess = sum((float(c) * F.col(n) for c, n in zip(w[1:], names[1:])), float(w[0]) * F.col(names[0]))
+    return out.withColumn("guess", guess), dict(zip(names, map(float, w)))
+
+
+def _units(k: int):
+    import numpy as np
+
+    return list(np.eye(k))
+
+
+def many_targets(df: DataFrame, features: list[str], targets: list[str], fold: str, keep: list[str], make=None) -> DataFrame:
+    """Out-of-fold predictions of several targets, a column guess_<target> each."""
+    out = None
+    for t in targets:
+        part = cross_validated(df, features, t, fold, keep, make).select(*keep, F.col("guess").alias(f"guess_{t}"))
+        out = part if out is None else out.join(part, keep)
+    return out
+
+
 def linear():
     from pyspark.ml.regression import LinearRegression
 

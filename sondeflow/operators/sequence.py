@@ -20,6 +20,10 @@ def in_order(key: str = KEY, index: str = INDEX) -> WindowSpec:
     return Window.partitionBy(key).orderBy(index)
 
 
+def in_reverse(key: str = KEY, index: str = INDEX) -> WindowSpec:
+    return Window.partitionBy(key).orderBy(F.desc(index))
+
+
 def row_index(df: DataFrame, order: list[str], key: str = KEY, name: str = INDEX) -> DataFrame:
     """Zero-based place of each row in its sequence; `order` must be total."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
@@ -96,6 +100,18 @@ def remasked(df: DataFrame, cuts: list[float], given: str = "tvt_input", key: st
     return out.withColumn("truth", F.col(given)).withColumn(given, F.when(~hide, F.col(given))).drop("__known")
 
 
+def self_labelled(df: DataFrame, cuts: list[float], given: str = "tvt_input", key: str = KEY, index: str = INDEX) -> DataFrame:
+    """Training rows from sequences without truth: their own known part stands for it, and is cut at each fraction (see remasked); only the cut copies."""
+    known = df.filter(F.col(given).isNotNull())
+    return remasked(known, cuts, given, key, index).filter("aug_k >= 0")
+
+
+def restored(df: DataFrame, change, name: str = "__place") -> DataFrame:
+    """change(df) in the order in which df's rows came: a place is carried along; it must survive the change."""
+    out = change(df.withColumn(name, F.monotonically_increasing_id()))
+    return out.orderBy(name).drop(name)
+
+
 def held_out(index: Column, n: Column, fraction: float) -> Column:
     """True for the first floor(n * fraction) rows."""
     return index < F.floor(n * fraction)

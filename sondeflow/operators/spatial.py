@@ -17,22 +17,29 @@ from sondeflow.sources.staging import staged
 
 #: Entities of a block, and focus entities that are compared with a block at once.
 BLOCK, SLICE = 4096, 256
+#: Points of a cell beyond which cells are halved, so often at most.
+DENSE, HALVINGS = 512, 24
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, exclude_self: bool = True) -> DataFrame:
     """The k nearest points of each query by (distance, pid): qid, rank, pid, distance and the points' other columns.
 
     queries: qid, qx, qy, qwho; points: pid, px, py, pwho and others. With exclude_self, points of the query's own entity (qwho) are left out.
-    `cell` is the first cell's side; choose it so that a few cells hold k points. A cell's points are joined by an equi-join on
-    the cell, which AQE splits where one cell is hot.
+    `cell` is the first cell's side; it is halved while a cell holds over DENSE points, so that dense places don't become pairs of all with all, and
+    doubled for the queries that a ring cannot answer. Where there are no more than k points, every query gets them all.
     """
     extent = lambda df, a, b: df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
     q, p = extent(queries, "qx", "qy"), extent(points, "px", "py")
     widest = 0.0 if None in (*q, *p) else max(abs(q[0] - p[1]), abs(q[1] - p[0]), abs(q[2] - p[3]), abs(q[3] - p[2]))
     found, left, side = None, queries, float(cell)
+    for _ in range(HALVINGS):
+        most = points.groupBy(F.floor(F.col("px") / side), F.floor(F.col("py") / side)).count().agg(F.max("count")).first()[0] or 0
+        if most <= max(DENSE, 4 * k):
+            break
+        side /= 2
     while True:
         whole = side >= widest  # the ring holds every point
-        ranked = _in_ring(left, points, k, side, exclude_self)
+        ranked = staged(_in_ring(left, points, k, side, exclude_self))
         if whole:
             return ranked if found is None else found.union(ranked)
         # Within the ring everything nearer than the distance to the ring's edge has been seen.
@@ -95,14 +102,9 @@ def clusters(df: DataFrame, columns: list[str], k: int, name: str = "cluster", s
 
 
 def feature_neighbours(focus: DataFrame, others: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
-    """The k nearest other entities of each focus entity in features standardised over `others`, by (distance, key). focus is a small set of
-    entities: it is broadcast, and every other row is read once; only k rows of a task for each focus entity are shuffled."""
-    scaled = standardised(others, features)
-    f = standardised(focus, features, by=others).select(F.col(key).alias("focus"), F.array(*features).alias("__f"))
-    pairs = scaled.join(F.broadcast(f), F.col(key) != F.col("focus")).withColumn("__v", F.array(*features))
-    square = F.aggregate(F.zip_with("__f", "__v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    ranked = pairs.select("focus", key, F.sqrt(square).alias("distance")).withColumn("rank", F.row_number().over(Window.partitionBy("focus").orderBy("distance", key)))
-    return ranked.filter(F.col("rank") <= k)
+    """The k nearest other entities of each focus entity in features standardised over `others`, by (distance, key): see all_feature_neighbours, of which
+    these are the focus entities' rows."""
+    return all_feature_neighbours(others, key, features, k).join(focus.select(F.col(key).alias("focus")).distinct(), "focus", "left_semi")
 
 
 def all_feature_neighbours(entities: DataFrame, key: str, features: list[str], k: int, block: int = BLOCK) -> DataFrame:
@@ -140,6 +142,13 @@ def all_feature_neighbours(entities: DataFrame, key: str, features: list[str], k
     return ranked.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")))
 
 
+def surface_offset(rows: DataFrame, surface: str, z: str, given: str, key: str) -> DataFrame:
+    """The surface less z, moved by the median of what the known rows of the key lack to it (0 without any)."""
+    raw = F.col(surface) - F.col(z)
+    off = rows.groupBy(key).agg(F.coalesce(F.percentile(F.col(given) - raw, F.lit(0.5)), F.lit(0.0)).alias("__off"))
+    return rows.join(off, key).withColumn("moved", raw + F.col("__off")).drop("__off")
+
+
 def transferred(neighbours: DataFrame, value: str) -> DataFrame:
     """qid and the plain mean of its neighbours' values."""
     return neighbours.groupBy("qid").agg(F.avg(value).alias("transferred"), F.count("*").alias("n"))

@@ -15,30 +15,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondeflow.operators.windows import savgol_weights
 
-def tracked(rows: DataFrame, curve: DataFrame, kernel: Callable, key: str, index: str, gr: str, seeds: int = 1) -> DataFrame:
+# Bounds of a squared residual and of a likelihood.
+MOST, FLOOR = 600.0, 1e-300
+
+
+#: Rows of a curve that all keys share and that goes to every task.
+MOST_KNOTS = 1_000_000
+
+
+def tracked(rows: DataFrame, curve: DataFrame, kernel: Callable, key: str, index: str, gr: str, seeds: int = 1, spread: int = 1) -> DataFrame:
     """key, index, seed, guess, loglik. kernel(rows as a sorted pandas frame, knots x, knots y, rng) gives the guesses and a log-likelihood.
 
-    rows: key, index, gr and what the kernel reads; curve: key, x, y (repeated x count by their mean). Keys without a curve give nothing. The
-    generator is seeded by crc32 of seed and key, so a path does not depend on partitions.
+    rows: key, index, gr and what the kernel reads; curve: key, x, y (repeated x count by their mean), or x, y alone for one curve of all keys, of at most
+    MOST_KNOTS rows. Keys without a curve give nothing. A task goes through the seeds of a key, so rows are shuffled once; where keys are few, `spread` deals
+    the seeds over so many tasks a key. The generator is seeded by crc32 of seed and key, so a path does not depend on partitions.
     """
-    spread = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    each = curve.select(F.col(key).alias("__key"), "x", "y", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("__seed"))
+    cols = [key, index, "seed", "guess", "loglik"]
+
+    def knots_of(right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        knots = right.dropna(subset=["x", "y"]).groupby("x")["y"].mean().sort_index()
+        return knots.index.to_numpy(float), knots.to_numpy(float)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = [key, index, "seed", "guess", "loglik"]
-        right = right.dropna(subset=["x", "y"])
-        if left.empty or right.empty:
+    def run(left: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        if left.empty or not len(x):
             return pd.DataFrame(columns=cols)
         left = left.sort_values(index, kind="stable").reset_index(drop=True)
-        knots = right.groupby("x")["y"].mean().sort_index()
-        who, seed = left[key].iloc[0], int(left["seed"].iloc[0])
-        rng = np.random.default_rng(zlib.crc32(f"{seed}:{who}".encode()))
-        guess, loglik = kernel(left, knots.index.to_numpy(float), knots.to_numpy(float), rng)
-        return pd.DataFrame({key: left[key], index: left[index], "seed": seed, "guess": np.asarray(guess, float), "loglik": float(loglik)})[cols]
+        who, part, out = left[key].iloc[0], int(left["__part"].iloc[0]), []
+        for seed in range(part, seeds, spread):
+            guess, loglik = kernel(left, x, y, np.random.default_rng(zlib.crc32(f"{seed}:{who}".encode())))
+            out.append(pd.DataFrame({key: left[key], index: left[index], "seed": seed, "guess": np.asarray(guess, float), "loglik": float(loglik)}))
+        return pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
 
     kind = dict(rows.dtypes)
-    return spread.groupBy(key, "seed").cogroup(each.groupBy("__key", "__seed")).applyInPandas(run, f"{key} {kind[key]}, {index} {kind[index]}, seed int, guess double, loglik double")
+    schema = f"{key} {kind[key]}, {index} {kind[index]}, seed int, guess double, loglik double"
+    every = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))) if spread > 1 else F.lit(0)
+    dealt = rows.withColumn("__part", every)
+    if key not in curve.columns:
+        got = curve.select(F.col("x").cast("double"), F.col("y").cast("double")).limit(MOST_KNOTS + 1).toPandas()
+        if len(got) > MOST_KNOTS:
+            raise ValueError(f"a curve of all keys may have {MOST_KNOTS} rows")
+        x, y = knots_of(got)
+        return dealt.groupBy(key, "__part").applyInPandas(lambda left: run(left, x, y), schema)
+    each = curve.select(F.col(key).alias("__key"), "x", "y", every.alias("__own"))
+    return dealt.groupBy(key, "__part").cogroup(each.groupBy("__key", "__own")).applyInPandas(lambda left, right: run(left, *knots_of(right)), schema)
 
 
 def ensemble(paths: DataFrame, key: str, index: str, scale: float) -> DataFrame:
@@ -55,7 +76,7 @@ def _filled(rows: pd.DataFrame, gr: str, level: float) -> np.ndarray:
 
 
 def _gaussian(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float) -> Callable:
-    return lambda i, at: -0.5 * np.minimum(((g[i] - np.interp(at, x, y)) / sigma) ** 2, 600.0)
+    return lambda i, at: -0.5 * np.minimum(((g[i] - np.interp(at, x, y)) / sigma) ** 2, MOST)
 
 
 def _with_slope(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float, weights: tuple[float, float] = (1.0, 0.5)) -> Callable:
@@ -63,7 +84,7 @@ def _with_slope(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float, weigh
     z = lambda v: (v - v.mean()) / (v.std() + 1e-9)
     a, da, b = z(g), z(np.gradient(g)) if len(g) > 1 else np.zeros(len(g)), z(y)
     db = z(np.gradient(y, x)) if len(y) > 1 else np.zeros(len(y))
-    return lambda i, at: -0.5 * np.minimum(weights[0] * (a[i] - np.interp(at, x, b)) ** 2 + weights[1] * (da[i] - np.interp(at, x, db)) ** 2, 600.0)
+    return lambda i, at: -0.5 * np.minimum(weights[0] * (a[i] - np.interp(at, x, b)) ** 2 + weights[1] * (da[i] - np.interp(at, x, db)) ** 2, MOST)
 
 
 def _correlated(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float, half: int = 10, sharp: float = 4.0, mix: float = 0.6) -> Callable:
@@ -74,9 +95,9 @@ def _correlated(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float, half:
     plain, steps = _gaussian(g, x, y, sigma), np.arange(-half, half + 1)
 
     def score(i: int, at: np.ndarray) -> np.ndarray:
-        want = np.interp(at[:, None] + steps[None, :], x, y)
-        want = want - want.mean(axis=1, keepdims=True)
-        ncc = want @ win[i] / (np.sqrt((want**2).sum(axis=1)) + 1e-9) / norm[i]
+        want = np.interp(at[..., None] + steps, x, y)
+        want = want - want.mean(axis=-1, keepdims=True)
+        ncc = want @ win[i] / (np.sqrt((want**2).sum(axis=-1)) + 1e-9) / norm[i]
         return mix * sharp * (ncc - 1) + (1 - mix) * plain(i, at)
 
     return score
@@ -103,9 +124,9 @@ def particle_filter(gr: str = "gr", start: str = "start", z: str | None = None,
             rate = momentum * rate + rate_noise * rng.standard_normal(particles)
             pos = pos + rate + place_noise * rng.standard_normal(particles)
             if seen[i] or not skip_null:
-                w = w * np.maximum(np.exp(heat[i] * score(i, pos - shift[i])), 1e-300)
+                w = w * np.maximum(np.exp(heat[i] * score(i, pos - shift[i])), FLOOR)
                 s = w.sum()
-                total += float(np.log(max(s, 1e-300)))
+                total += float(np.log(max(s, FLOOR)))
                 w = w / s if s > 0 else np.full(particles, 1 / particles)
             mean = float((w * pos).sum())
             if to_anchor:
@@ -131,10 +152,10 @@ def restarted(kernel: Callable, offsets: tuple[float, ...] = (-40.0, -20.0, 0.0,
     return run
 
 
-def smoothed_both_ways(kernel_of: Callable, start: str = "start", spread: float = 60.0) -> Callable:
+def smoothed_both_ways(kernel_of: Callable, start: str = "start", spread: float = 60.0, limit: float | None = None) -> Callable:
     """A filter forward and one backward from the forward's end with a wide start, joined by inverse variance of their local scatter.
 
-    kernel_of(spread) makes the filter.
+    kernel_of(spread) makes the filter. With a limit, rows at which the two lie further apart keep the forward path.
     """
 
     def scatter(v: np.ndarray) -> np.ndarray:
@@ -144,7 +165,8 @@ def smoothed_both_ways(kernel_of: Callable, start: str = "start", spread: float
         ahead, score = kernel_of(2.0)(rows, x, y, rng)
         turned = rows.iloc[::-1].assign(**{start: ahead[-1]})
         back, _ = kernel_of(spread)(turned, x, y, rng)
-        return two_way(ahead, back[::-1], scatter(ahead), scatter(back[::-1])), score
+        both = two_way(ahead, back[::-1], scatter(ahead), scatter(back[::-1]))
+        return (both if limit is None else np.where(agreed(ahead, back[::-1], limit), both, ahead)), score
 
     return run
 
@@ -190,38 +212,134 @@ def viterbi(gr: str = "gr", start: str = "start", reach: float = 25.0, states: i
     return run
 
 
-def beam(gr: str = "gr", start: str = "start", width: int = 8, moves: int = 2, emission: float = 400.0, move_cost: float = 0.5, trace_back: bool = True) -> Callable:
-    """Beam over knots with moves of a few knots. With trace_back the best final path; else the best head at each row."""
+def _beam(g: np.ndarray, y: np.ndarray, first: int, width: int, moves: int, emission: float, move_cost: float, trace_back: bool) -> tuple[np.ndarray, float]:
+    """Places among the knots: costs of all knots in one array, those outside the beam infinite. Of equal costs the lower knot is kept, and the lower one before it."""
+    cost, links, heads = np.full(len(y), np.inf), [], []
+    cost[first] = 0.0
+    steps = np.arange(moves, -moves - 1, -1)  # from the lowest knot before to the highest
+    padded = np.full(len(y) + 2 * moves, np.inf)
+    for v in g:
+        padded[moves : moves + len(y)] = cost
+        miss = (v - y) ** 2 / emission
+        tries = np.stack([(padded[moves - m : moves - m + len(y)] + miss) + move_cost * abs(m) for m in steps])
+        best = tries.argmin(axis=0)
+        cost = np.take_along_axis(tries, best[None], 0)[0]
+        if len(y) > width:
+            kept = np.lexsort((np.arange(len(y)), cost))[:width]
+            narrow = np.full(len(y), np.inf)
+            narrow[kept] = cost[kept]
+            cost = narrow
+        links.append(best)
+        heads.append(int(cost.argmin()))
+    if not trace_back:
+        return np.array(heads, int), float(cost.min(initial=np.inf))
+    at, path = heads[-1] if heads else first, []
+    for best in reversed(links):
+        path.append(at)
+        at = at - int(steps[best[at]])
+    return np.array(path[::-1], int), float(cost.min(initial=np.inf))
+
+
+def beam(gr: str = "gr", start: str = "start", width: int = 8, moves: int = 2, emission: float = 400.0, move_cost: float = 0.5, trace_back: bool = True, smooth: str | None = None, radius: int = 0) -> Callable:
+    """Beam over knots with moves of a few knots, from the knot nearest to the start. With trace_back the best final path; else the best head at each row.
+
+    smooth: gr first goes through a parabola (savgol) or a mean over 2 radius + 1 rows.
+    """
 
     def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
         g = _filled(rows, gr, float(y.mean()))
-        heads = {int(np.abs(x - rows[start].iloc[0]).argmin()): (0.0, ())}
-        best_now, links = [], []
-        for v in g:
-            new: dict[int, tuple[float, int]] = {}
-            for s, (c, _) in sorted(heads.items()):
-                for m in range(-moves, moves + 1):
-                    t = s + m
-                    if 0 <= t < len(x):
-                        cost = c + (v - y[t]) ** 2 / emission + move_cost * abs(m)
-                        if t not in new or cost < new[t][0]:
-                            new[t] = (cost, s)
-            kept = dict(sorted(new.items(), key=lambda kv: (kv[1][0], kv[0]))[:width])
-            links.append({t: s for t, (_, s) in kept.items()})
-            heads = {t: (c, ()) for t, (c, _) in kept.items()}
-            best_now.append(min(heads, key=lambda t: (heads[t][0], t)))
-        end = best_now[-1]
-        score = -heads[end][0]
-        if not trace_back:
-            return x[best_now], score
-        path = [end]
-        for link in reversed(links[1:]):
-            path.append(link[path[-1]])
-        return x[path[::-1]], score
+        if smooth == "savgol":
+            g = savgol_of(g, radius)
+        elif smooth == "mean" and radius:
+            g = pd.Series(g).rolling(2 * radius + 1, center=True, min_periods=1).mean().to_numpy()
+        at, cost = _beam(g, y, int(np.abs(x - rows[start].iloc[0]).argmin()), width, moves, emission, move_cost, trace_back)
+        return x[at], -cost
+
+    return run
+
+
+def savgol_of(v: np.ndarray, radius: int, degree: int = 2) -> np.ndarray:
+    """Savitzky-Golay smoothing over 2 radius + 1 values, with the polynomials of the first and last window at the ends; short or odd requests leave the values."""
+    width = 2 * radius + 1
+    if radius < 1 or len(v) <= max(3, width):
+        return v
+    weights = savgol_weights(width, min(degree, width - 1))
+    out = np.convolve(v, weights[radius][::-1], "valid")
+    return np.concatenate((weights[:radius] @ v[:width], out, weights[radius + 1 :] @ v[-width:]))
+
+
+# Beam width, cost of a move, scale of the squared residual, and radius of the smoothing of each beam.
+BEAMS = (
+    (10, 20.0, 144.0, 2), (10, 8.0, 64.0, 2), (8, 35.0, 220.0, 1), (10, 14.0, 90.0, 5), (20, 4.0, 36.0, 3), (12, 12.0, 100.0, 3), (15, 25.0, 180.0, 2),
+    (20, 30.0, 200.0, 2), (15, 10.0, 80.0, 4), (25, 6.0, 50.0, 3), (10, 40.0, 300.0, 1), (12, 18.0, 120.0, 5), (30, 8.0, 70.0, 2), (10, 50.0, 400.0, 0),
+)
+
+
+def mean_beam(gr: str = "gr", start: str = "start", beams: tuple = BEAMS, trace_back: bool = False, smooth: str = "savgol") -> Callable:
+    """The mean of several beams' paths."""
+    each = [beam(gr, start, width, 2, scale, cost, trace_back, smooth, radius) for width, cost, scale, radius in beams]
+
+    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
+        found = [k(rows, x, y, rng) for k in each]
+        return np.mean([g for g, _ in found], axis=0), float(np.mean([c for _, c in found]))
+
+    return run
+
+
+def nearest_match(gr: str = "gr", start: str = "start", reach: float = 25.0, width: int = 1) -> Callable:
+    """At each row by itself the knot within reach of the start whose value is nearest (the lower of equals), then a centred mean over `width` rows."""
+
+    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
+        g, at = _filled(rows, gr, float(y.mean())), float(rows[start].iloc[0])
+        miss = np.where(np.abs(x - at) <= reach, np.abs(g[:, None] - y), np.inf)
+        best = miss.argmin(axis=1)
+        found = np.where(np.isfinite(miss.min(axis=1)), x[best], at)
+        smooth = pd.Series(found).rolling(width, center=True, min_periods=1).mean().to_numpy() if width > 1 else found
+        return smooth, -float(np.where(np.isfinite(miss.min(axis=1)), miss.min(axis=1), 0.0).sum())
 
     return run
 
 
+def self_correlated(rows: DataFrame, key: str, index: str, gr: str = "gr", given: str = "tvt_input", halves: tuple[int, ...] = (8, 15, 25), stride: int = 3, sharp: float = 3.0) -> DataFrame:
+    """Hidden rows matched with the key's own known part: key, index, at_<half> and score_<half> for each half-width, and guess, their mean weighted by softmax(sharp
+    score). A window of smoothed gr is compared, by correlation, with every stride-th window of the known part; the target at the middle of the best one
+    counts (the first of equals). A known part shorter than a window gives the last known target and a score of 0."""
+    names = [n for h in halves for n in (f"at_{h}", f"score_{h}")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(index, kind="stable")
+        known, hidden = pdf[pdf[given].notna()], pdf[pdf[given].isna()]
+        out = pd.DataFrame({key: hidden[key], index: hidden[index]})
+        if hidden.empty or known.empty:
+            return out.assign(**{n: np.nan for n in names}, guess=np.nan)
+        g = pdf[gr].interpolate(limit_direction="both").fillna(0.0)
+        mean5 = lambda rows_: g.loc[rows_.index].rolling(5, center=True, min_periods=1).mean().to_numpy(float)
+        a, b, t = mean5(known), mean5(hidden), known[given].to_numpy(float)
+        for half in halves:
+            at, score = self_matches(a, t, b, half, stride)
+            out[f"at_{half}"], out[f"score_{half}"] = at, score
+        w = np.exp(sharp * out[[f"score_{h}" for h in halves]].to_numpy())
+        out["guess"] = (w * out[[f"at_{h}" for h in halves]].to_numpy()).sum(axis=1) / w.sum(axis=1)
+        return out
+
+    kind = dict(rows.dtypes)
+    schema = f"{key} {kind[key]}, {index} {kind[index]}, " + ", ".join(f"{n} double" for n in names) + ", guess double"
+    return rows.select(key, index, gr, given).groupBy(key).applyInPandas(run, schema)
+
+
+def self_matches(known: np.ndarray, target: np.ndarray, hidden: np.ndarray, half: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each hidden value the target at the middle of the known window that correlates best with the window around it, and the correlation."""
+    width = 2 * half + 1
+    if len(known) < width + 1:
+        return np.full(len(hidden), target[-1]), np.zeros(len(hidden))
+    unit = lambda v: (v - v.mean(axis=1, keepdims=True)) / (v.std(axis=1, keepdims=True) + 1e-6)
+    windows = unit(np.lib.stride_tricks.sliding_window_view(known, width)[::stride])
+    around = unit(np.lib.stride_tricks.sliding_window_view(np.pad(hidden, half, mode="edge"), width))
+    r = around @ windows.T / width
+    best = np.round(r, 9).argmax(axis=1)
+    return target[best * stride + half], r[np.arange(len(r)), best]
+
+
 def greedy_match(gr: str = "gr", start: str = "start", reach: float = 25.0, stay: float = 0.15) -> Callable:
     """At each row the knot near the last one with the least gamma residual and distance."""
 
@@ -277,22 +395,47 @@ def refine(gr: str = "gr", centre: str = "start", half: int = 10, reach: float =
     return run
 
 
-def hybrid_beam(gr: str = "gr", start: str = "start", width: int = 8, moves: int = 2, half: int = 8, mix: float = 0.6) -> Callable:
-    """A beam whose emission mixes the residual, scaled by the curve's spread, with one less the windowed correlation."""
-    plain = beam(gr, start, width, moves, 1.0, 0.05)
+def hybrid_beam(gr: str = "gr", start: str = "start", width: int = 20, reach: float = 50.0, states: int = 61, sigma: float = 20.0, mix: float = 0.6, dip: float = 0.05, rate: float = 0.0, constant: bool = False) -> Callable:
+    """A beam over places around the start whose emission mixes how near gr lies to the curve, exp(-|residual| / 2 sigma), with how its shape follows the curve, half of one plus
+    the mean correlation of windows of 3, 5 and 7 rows with the curve read around the place; moves cost dip (move - rate)^2 in the log.
+
+    constant: the best final place stands for all rows.
+    """
 
     def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
-        scale = np.sqrt(mix) / (y.std() + 1e-9)
-        guess, score = plain(rows.assign(**{gr: rows[gr] * scale}), x, y * scale, rng)
-        fine, _ = correlation_match(gr, start, (half,))(rows, x, y, rng)
-        return mix * guess + (1 - mix) * fine, score
+        g, at = _filled(rows, gr, float(y.mean())), float(rows[start].iloc[0])
+        grid = np.linspace(max(x[0], at) - reach, min(x[-1], at) + reach, states) if max(x[0], at) - reach < min(x[-1], at) + reach else at + np.linspace(-reach, reach, states)
+        near, alike = np.exp(-np.abs(g[:, None] - np.interp(grid, x, y)) / (2 * sigma)), []
+        for half in (1, 2, 3):
+            own = np.lib.stride_tricks.sliding_window_view(np.pad(g, half, mode="edge"), 2 * half + 1)
+            want = np.interp(grid[:, None] + np.arange(-half, half + 1), x, y)
+            own, want = (v - v.mean(axis=1, keepdims=True) for v in (own, want))
+            alike.append(own @ want.T / (np.linalg.norm(own, axis=1)[:, None] * np.linalg.norm(want, axis=1) + 1e-9))
+        log = np.log(np.maximum(mix * near + (1 - mix) * 0.5 * (1 + np.mean(alike, axis=0)), FLOOR))
+        move = -dip * (grid[None, :] - grid[:, None] - rate) ** 2
+        score, links = log[0] - dip * (grid - at - rate) ** 2, []
+        for e in log[1:]:
+            if states > width:
+                score = np.where(score >= np.sort(score)[-width], score, -np.inf)
+            tries = score[:, None] + move
+            links.append(tries.argmax(axis=0))
+            score = tries.max(axis=0) + e
+        path = [int(score.argmax())]
+        for best in reversed(links):
+            path.append(int(best[path[-1]]))
+        found = grid[path[::-1]]
+        return (np.full(len(g), found[-1]) if constant else found), float(score.max())
 
     return run
 
 
+# The low-pass filter of the Daubechies wavelet of two moments.
+DB2 = (0.48296291314469025, 0.836516303737469, 0.22414386804185735, -0.12940952255092145)
+
+
 def emission_scores(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
     """How well a stretch of gr fits a stretch of curve: squared error, correlation, correlation of slopes, mean phase agreement (analytic signals
-    by FFT), and the distance between the sorted values."""
+    by FFT), distance of wavelet approximations, and the distance between the sorted values."""
     z = lambda v: (v - v.mean()) / (v.std() + 1e-9)
 
     def phase(v: np.ndarray) -> np.ndarray:
@@ -304,7 +447,12 @@ def emission_scores(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
             h[len(v) // 2] = 1
         return np.angle(np.fft.ifft(f * h))
 
+    def smooth(v: np.ndarray) -> np.ndarray:
+        """Approximation of one step of the Daubechies wavelet of two moments, round the ends."""
+        return sum(c * np.roll(v, -k) for k, c in enumerate(DB2))[::2]
+
     return {
+        "wavelet": float(np.sqrt(((smooth(z(a)) - smooth(z(b))) ** 2).sum())),
         "sse": float(((a - b) ** 2).sum()), "ncc": float((z(a) * z(b)).mean()), "slope": float((z(np.gradient(a)) * z(np.gradient(b))).mean()),
         "phase": float(np.cos(phase(a) - phase(b)).mean()), "sorted": float(np.abs(np.sort(a) - np.sort(b)).mean()),
     }
@@ -330,6 +478,13 @@ def median_filter(values: np.ndarray, width: int) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)
 
 
+def low_pass_extrapolated(values: np.ndarray, ahead: int, share: float = 0.2) -> np.ndarray:
+    """`ahead` values that go on along the line through the low-passed ones."""
+    smooth = low_pass(values, share)
+    slope, base = np.polyfit(np.arange(len(values)), smooth, 1) if len(values) > 1 else (0.0, float(smooth[0]))
+    return base + slope * np.arange(len(values), len(values) + ahead)
+
+
 def low_pass(values: np.ndarray, share: float = 0.2) -> np.ndarray:
     """The lowest max(2, floor(share n)) frequencies."""
     f = np.fft.rfft(values)

@@ -50,3 +50,30 @@ def same_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x = a.select(key).distinct().withColumn("__a", F.lit(1))
     y = b.select(key).distinct().withColumn("__b", F.lit(1))
     return x.join(y, key, "full_outer").agg(F.count_if(F.col("__b").isNull()).alias("only_a"), F.count_if(F.col("__a").isNull()).alias("only_b"), F.count_if(F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("both"))
+
+
+def fold_loads(folds: DataFrame, rows: DataFrame, key: str, load: str) -> DataFrame:
+    """Keys whose stated load is not the number of their rows."""
+    n = rows.groupBy(key).agg(F.count("*").alias("rows"))
+    both = folds.select(key, load).join(n, key, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return both.filter(~F.col(load).cast("long").eqNullSafe(F.col("rows")))
+
+
+def gates(df: DataFrame, truth: str, guess: str, rows: int | None = None, error: tuple[float, float] | None = None) -> dict:
+    """Number of rows and error; raises where rows are not as many as expected or the error lies outside its range."""
+    e = F.col(guess) - F.col(truth)
+    got = df.agg(F.count("*").alias("rows"), F.sqrt(F.avg(e * e)).alias("rmse")).first().asDict()
+    if rows is not None and got["rows"] != rows:
+        raise ValueError(f"{got['rows']} rows, expected {rows}")
+    if error is not None and not (got["rmse"] is not None and error[0] <= got["rmse"] <= error[1]):
+        raise ValueError(f"an error of {got['rmse']}, expected {error[0]} to {error[1]}")
+    return got
+
+
+def present_files(spark, paths: list[str]) -> dict[str, bool]:
+    """Whether each path is there, in any store that Spark reads."""
+    out = {}
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out[path] = bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+    return out

@@ -61,18 +61,25 @@ def gradient(x: Column, w: WindowSpec, reach: int = 1) -> Column:
     return (F.lead(x, reach).over(w) - F.lag(x, reach).over(w)) / (2 * reach)
 
 
-def edge_filled(x: Column, w: WindowSpec) -> Column:
-    """Forward then backward fill."""
+def _next_present(x: Column, w: WindowSpec, back: WindowSpec | None) -> Column:
+    if back is not None:
+        return F.last(x, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    return F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+
+
+def edge_filled(x: Column, w: WindowSpec, back: WindowSpec | None = None) -> Column:
+    """Forward then backward fill. back: the same sequences in the opposite order; with it the cost is linear in a sequence's length, without it
+    every row looks ahead for itself."""
     before = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.coalesce(before, F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return F.coalesce(before, _next_present(x, w, back))
 
 
-def interpolated(x: Column, w: WindowSpec, index: Column) -> Column:
-    """Gaps filled linearly by row place; before the first and after the last value, that value."""
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+def interpolated(x: Column, w: WindowSpec, index: Column, back: WindowSpec | None = None) -> Column:
+    """Gaps filled linearly by row place; before the first and after the last value, that value. back: as in edge_filled."""
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(x.isNotNull(), index)
-    x0, x1 = F.last(x, ignorenulls=True).over(back), F.first(x, ignorenulls=True).over(ahead)
-    i0, i1 = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
+    x0, x1 = F.last(x, ignorenulls=True).over(past), _next_present(x, w, back)
+    i0, i1 = F.last(at, ignorenulls=True).over(past), _next_present(at, w, back)
     between = x0 + (x1 - x0) * (index - i0) / (i1 - i0)
     return F.when(x.isNotNull(), x).when(x0.isNotNull() & x1.isNotNull(), between).otherwise(F.coalesce(x0, x1))
 
@@ -90,18 +97,16 @@ def savgol_weights(width: int, degree: int) -> np.ndarray:
 
 def savgol(df: DataFrame, column: str, name: str, width: int, degree: int, key: str, index: str) -> DataFrame:
     """Savitzky-Golay smoothing: inner rows by fixed weights over their window, the half-windows at both ends from the polynomial of the
-    first or last whole window. Sequences shorter than the window keep their values. The column must have no nulls."""
-    weights, half = savgol_weights(width, degree), width // 2
-    w = Window.partitionBy(key).orderBy(index)
-    n, i = F.count(F.lit(1)).over(Window.partitionBy(key)), F.row_number().over(w) - 1
-    out = df.withColumn("__n", n).withColumn("__i", i)
-    # The window that serves a row starts `shift` rows before it; at the ends the shift differs from half.
-    whole = F.collect_list(F.col(column)).over(w.rowsBetween(-(width - 1), width - 1))
-    out = out.withColumn("__near", whole)
-    start = F.least(F.greatest(F.col("__i") - half, F.lit(0)), F.col("__n") - width)
-    first = F.greatest(F.col("__i") - (width - 1), F.lit(0))  # place of __near's first row
+    first or last whole window, which needs the 2 width - 1 rows around each. Sequences shorter than the window keep their values. The column must have no nulls."""
+    weights, half, reach = savgol_weights(width, degree), width // 2, width - 1
+    w, x = Window.partitionBy(key).orderBy(index), F.col(column)
+    near = {f"__x{o + reach}": x if o == 0 else F.lag(x, -o).over(w) if o < 0 else F.lead(x, o).over(w) for o in range(-reach, reach + 1)}
+    out = df.withColumns({"__n": F.count(F.lit(1)).over(Window.partitionBy(key)), "__i": F.row_number().over(w) - 1, **near})
+    inner = sum((float(c) * F.col(f"__x{k - half + reach}") for k, c in enumerate(weights[half][1:], 1)), float(weights[half][0]) * F.col(f"__x{reach - half}"))
+    # The window that serves a row starts `place` rows before it; at the ends that differs from half.
+    place = (F.col("__i") - F.least(F.greatest(F.col("__i") - half, F.lit(0)), F.col("__n") - width)).cast("int")
     table = F.array(*(F.array(*(F.lit(float(c)) for c in row)) for row in weights))
-    chosen = F.element_at(table, (F.col("__i") - start + 1).cast("int"))
-    window = F.slice("__near", (start - first + 1).cast("int"), F.lit(width))
-    value = F.aggregate(F.zip_with(window, chosen, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return out.withColumn(name, F.when(F.col("__n") >= width, value).otherwise(F.col(column))).drop("__n", "__i", "__near")
+    window = F.slice(F.array(*near), F.lit(width) - place, F.lit(width))
+    edge = F.aggregate(F.zip_with(window, F.element_at(table, place + 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    value = F.when(F.col("__n") < width, x).when(place == half, inner).otherwise(edge)
+    return out.withColumn(name, value).drop("__n", "__i", *near)

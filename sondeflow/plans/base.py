@@ -17,6 +17,10 @@ def in_well() -> WindowSpec:
     return Window.partitionBy("well").orderBy("row_idx")
 
 
+def back_in_well() -> WindowSpec:
+    return sequence.in_reverse()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -104,17 +104,6 @@ def weight_candidates(spark, sf_dir):
     return rounded(B.weight_candidates(_guessed(spark, sf_dir), "guess", "tvt0", "tvt", [0.0, 0.3, 0.7]), 4)
 
 
-@query(
-    "feature_neighbours",
-    f"""WITH {WELLS_SQL}, f AS (SELECT well, avg(value) AS a, max(value) AS b, count(*)::DOUBLE AS c FROM wells GROUP BY well), s AS (SELECT avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb, avg(c) mc, stddev_pop(c) sc FROM f), z AS (SELECT well, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c FROM f, s),
-    p AS (SELECT x.well AS focus, y.well, sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2)) AS distance FROM z x JOIN z y ON x.well <> y.well WHERE x.well % 50 = 0)
-    SELECT focus, well, round(distance, 6) AS distance, row_number() OVER (PARTITION BY focus ORDER BY distance, well) AS rank FROM p QUALIFY rank <= 3""",
-)
-def feature_neighbours(spark, sf_dir):
-    f = wells(spark, sf_dir).groupBy("well").agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.count("*").cast("double").alias("c"))
-    return rounded(spatial.feature_neighbours(f.filter("well % 50 = 0"), f, "well", ["a", "b", "c"], 3))
-
-
 @query(
     "feature_neighbours_all",
     f"""WITH {WELLS_SQL}, f AS (SELECT well, avg(value) AS a, max(value) AS b, count(*)::DOUBLE AS c FROM wells GROUP BY well), s AS (SELECT avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb, avg(c) mc, stddev_pop(c) sc FROM f), z AS (SELECT well, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c FROM f, s),
@@ -122,7 +111,6 @@ def feature_neighbours(spark, sf_dir):
     SELECT focus, well, round(distance, 6) AS distance, row_number() OVER (PARTITION BY focus ORDER BY distance, well) AS rank FROM p QUALIFY rank <= 3""",
 )
 def feature_neighbours_all(spark, sf_dir):
-    """Neighbours of every well; feature_neighbours asks for the focus wells that its SQL names."""
     f = wells(spark, sf_dir).groupBy("well").agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.count("*").cast("double").alias("c"))
     return rounded(spatial.all_feature_neighbours(f, "well", ["a", "b", "c"], 3))
 

@@ -110,28 +110,62 @@ def robust_projection(spark, sf_dir):
 
 
 def _tracking(spark, sf_dir):
-    """Rows with gr and a start on a curve of part prices by size."""
+    """Rows with gr and a start on a curve of part prices by size, which all wells share."""
     e = base(spark, sf_dir).select("well", "row_idx", "gr", (F.lit(1.0) + F.col("well") % 50).alias("start"))
     c = table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("double").alias("x")).agg((F.avg("p_retailprice") / 15).alias("y"))
-    return e, e.select("well").distinct().join(F.broadcast(c))
+    return e, c
 
 
-def _track(name: str, kernel, seeds: int = 1):
-    @query(f"track_{name}")
+def _track(name: str, kernel, seeds: int = 1, sql: str | None = None):
+    @query(f"track_{name}", sql)
     def run(spark, sf_dir):
         rows, curve = _tracking(spark, sf_dir)
         out = tracking.tracked(rows, curve, kernel, "well", "row_idx", "gr", seeds)
+        if sql is not None:
+            return out.select("well", "row_idx", "guess")
         return tracking.ensemble(out, "well", "row_idx", 8.0) if seeds > 1 else out
 
 
+# What the trackers' checks start from: gr filled as in the kernels, and the curve as one list of knots.
+_TRACK = f"""{BASE_SQL},
+f AS (SELECT well, row_idx, gr, last_value(gr IGNORE NULLS) OVER b AS x0, first_value(gr IGNORE NULLS) OVER a AS x1,
+  last_value(CASE WHEN gr IS NOT NULL THEN row_idx END IGNORE NULLS) OVER b AS i0, first_value(CASE WHEN gr IS NOT NULL THEN row_idx END IGNORE NULLS) OVER a AS i1
+  FROM base WINDOW b AS (PARTITION BY well ORDER BY row_idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY well ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+knots AS MATERIALIZED (SELECT p_size::DOUBLE AS x, avg(p_retailprice) / 15 AS y FROM part GROUP BY 1),
+g AS MATERIALIZED (SELECT well, row_idx, coalesce(CASE WHEN gr IS NOT NULL THEN gr WHEN x0 IS NOT NULL AND x1 IS NOT NULL THEN x0 + (x1 - x0) / (i1 - i0) * (row_idx - i0) ELSE coalesce(x0, x1) END, (SELECT avg(y) FROM knots)) AS g FROM f),
+c AS MATERIALIZED (SELECT list(x ORDER BY x) AS xs, list(y ORDER BY x) AS ys, count(*)::INT AS n FROM knots)"""
+
+_BEST = """list_transform(range(1, n + 1), lambda t: list_min(list_transform([2, 1, 0, -1, -2], lambda m: {'c': CASE WHEN t - m BETWEEN 1 AND n THEN cost[t - m] + (g - ys[t]) * (g - ys[t]) / 400 + 0.5::DOUBLE * abs(m) ELSE 'inf'::DOUBLE END, 's': t - m})))"""
+_BEAM = f"""WITH RECURSIVE {_TRACK},
+r(well, row_idx, cost, back) AS (
+  SELECT w.well, -1::BIGINT, list_transform(range(1, c.n + 1), lambda t: CASE WHEN t = list_position(list_transform(c.xs, lambda v: abs(v - (1 + w.well % 50))), list_min(list_transform(c.xs, lambda v: abs(v - (1 + w.well % 50))))) THEN 0::DOUBLE ELSE 'inf'::DOUBLE END), []::BIGINT[]
+  FROM (SELECT DISTINCT well FROM base) w, c
+  UNION ALL
+  SELECT well, row_idx, list_transform(range(1, n + 1), lambda t: CASE WHEN {{'c': best[t].c, 't': t}} <= coalesce(list_sort(list_transform(range(1, n + 1), lambda u: {{'c': best[u].c, 't': u}}))[8], {{'c': 'inf'::DOUBLE, 't': n + 1}}) THEN best[t].c ELSE 'inf'::DOUBLE END), list_transform(best, lambda b: b.s)
+  FROM (SELECT r.well, g.row_idx, c.n, {_BEST} AS best FROM r JOIN g ON g.well = r.well AND g.row_idx = r.row_idx + 1, c)),
+m AS MATERIALIZED (SELECT * FROM r)"""
+_HEADS = f"{_BEAM} SELECT well, row_idx, xs[list_position(cost, list_min(cost))] AS guess FROM m, c WHERE row_idx >= 0"
+_TRACED = f"""{_BEAM},
+p(well, row_idx, knot) AS (SELECT well, row_idx, list_position(cost, list_min(cost))::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY well ORDER BY row_idx DESC) AS last FROM m WHERE row_idx >= 0) WHERE last = 1
+  UNION ALL SELECT p.well, p.row_idx - 1, m.back[p.knot] FROM p JOIN m ON m.well = p.well AND m.row_idx = p.row_idx WHERE p.row_idx > 0)
+SELECT well, row_idx, xs[knot] AS guess FROM p, c"""
+_NEAREST = f"""WITH {_TRACK} SELECT well, row_idx, coalesce(list_min(list_transform(list_filter(range(1, n + 1), lambda k: abs(xs[k] - (1 + well % 50)) <= 25), lambda k: {{'d': abs(g - ys[k]), 'x': xs[k]}})).x, 1 + well % 50) AS guess FROM g, c"""
+
 _track("viterbi", tracking.viterbi())
-_track("beam", tracking.beam())
-_track("beam_heads", tracking.beam(trace_back=False))
+_track("viterbi_drift", tracking.viterbi(drift="start", states=31, reach=15.0))
+_track("beam", tracking.beam(), sql=_TRACED)
+_track("beam_heads", tracking.beam(trace_back=False), sql=_HEADS)
+_track("nearest", tracking.nearest_match(), sql=_NEAREST)
+_track("nearest_smoothed", tracking.nearest_match(width=11))
+_track("beam_mean", tracking.mean_beam())
+_track("beam_mean_traced", tracking.mean_beam(trace_back=True, smooth="mean"))
 _track("correlation", tracking.correlation_match())
 _track("refine", tracking.refine())
+_track("refine_wide", tracking.refine(half=30, reach=20.0))
 _track("hybrid_beam", tracking.hybrid_beam())
 _track("restarted", tracking.restarted(tracking.particle_filter(particles=60)), seeds=2)
 _track("both_ways", tracking.smoothed_both_ways(lambda s: tracking.particle_filter(particles=60, spread=s)), seeds=2)
+_track("both_ways_gated", tracking.smoothed_both_ways(lambda s: tracking.particle_filter(particles=60, spread=s), limit=10.0), seeds=2)
 _track("particles_slope", tracking.particle_filter(particles=60, emission="slope", anneal=0.3), seeds=2)
 _track("particles_correlation", tracking.particle_filter(particles=60, emission="correlation", to_anchor=10.0), seeds=2)
 _track("particles", tracking.particle_filter(particles=100), seeds=8)

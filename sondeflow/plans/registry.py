@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from sondeflow.plans import composites, modelling, relations, sequences, summaries  # noqa: F401
+    from sondeflow.plans import composites, extended, modelling, relations, sequences, summaries  # noqa: F401
 
 
 def queries() -> dict:

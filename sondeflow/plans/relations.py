@@ -227,19 +227,19 @@ def clusters(spark, sf_dir):
     return spatial.clusters(p, ["px", "py"], 6).select("id", "cluster")
 
 
-@query(
-    "balanced_folds",
-    """WITH RECURSIVE o AS (SELECT user_id AS k, count(*)::DOUBLE AS load, row_number() OVER (ORDER BY count(*) DESC, user_id) AS i FROM events GROUP BY 1),
+_BALANCED = """WITH RECURSIVE o AS (SELECT user_id AS k, count(*)::DOUBLE AS load, row_number() OVER (ORDER BY count(*) DESC, user_id) AS i FROM events GROUP BY 1),
     r(i, k, load, fold, loads) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::DOUBLE, -1, [0, 0, 0, 0, 0]::DOUBLE[] UNION ALL
     SELECT o.i, o.k, o.load, list_position(r.loads, list_min(r.loads)) - 1, list_transform(r.loads, lambda v, j: CASE WHEN j = list_position(r.loads, list_min(r.loads)) THEN v + o.load ELSE v END) FROM r JOIN o ON o.i = r.i + 1)
-    SELECT k, load, CAST(fold AS INT) AS fold FROM r WHERE i > 0""",
-)
+    SELECT k, load, CAST(fold AS INT) AS fold FROM r WHERE i > 0"""
+
+
+@query("balanced_folds", _BALANCED)
 def balanced_folds(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.count("*").cast("double").alias("load"))
     return folds.balanced(e, "k", "load", 5)
 
 
-@query("fold_balance")
+@query("fold_balance", f"SELECT fold, count(*) AS entities, sum(load) AS load FROM ({_BALANCED}) GROUP BY fold")
 def fold_balance(spark, sf_dir):
     return folds.balance(balanced_folds(spark, sf_dir), "load")
 
@@ -253,7 +253,7 @@ def signature_folds(spark, sf_dir):
     return folds.merged_by_signature(s, "conv_id", "signature").select("conv_id", "fold")
 
 
-@query("hashed_folds")
+@query("hashed_folds", "SELECT c_custkey, c_nationkey, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY substr(md5('42:' || c_custkey), 1, 15), c_custkey) - 1) % 5 AS INT) AS fold FROM customer")
 def hashed_folds(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return folds.hashed(c, "c_custkey", 5, strata=["c_nationkey"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sondeflow.functions import scalars as S
 from sondeflow.operators import features, sequence
 from sondeflow.operators import windows as W
-from sondeflow.plans.base import BASE_SQL, WELLS_SQL, base, in_well, rounded, wells
+from sondeflow.plans.base import BASE_SQL, WELLS_SQL, back_in_well, base, in_well, rounded, wells
 from sondeflow.plans.registry import query
 
 
@@ -83,7 +83,7 @@ def lags_and_rates(spark, sf_dir):
 )
 def gap_filling(spark, sf_dir):
     g = F.col("gr")
-    return rounded(wells(spark, sf_dir).select("well", "row_idx", W.interpolated(g, in_well(), F.col("row_idx")).alias("linear"), W.edge_filled(g, in_well()).alias("filled")))
+    return rounded(wells(spark, sf_dir).select("well", "row_idx", W.interpolated(g, in_well(), F.col("row_idx"), back_in_well()).alias("linear"), W.edge_filled(g, in_well(), back_in_well()).alias("filled")))
 
 
 @query(

@@ -143,20 +143,11 @@ def plane_fit(spark, sf_dir):
     return rounded(A.plane_fit(c, "y", "a", "b", ["s_nationkey"]).filter("n >= 6"), 4)
 
 
-@query(
-    "gain_and_offset",
-    f"WITH {WELLS_SQL}, c AS (SELECT well, gr, z FROM wells WHERE gr IS NOT NULL AND row_idx < 30) SELECT well, count(*) AS n, round(CASE WHEN count(*) >= 24 THEN regr_slope(gr, z) ELSE 1 END, 6) AS gain, round(CASE WHEN count(*) >= 24 THEN regr_intercept(gr, z) ELSE avg(gr - z) END, 6) AS \"offset\" FROM c GROUP BY well",
-)
-def gain_and_offset(spark, sf_dir):
-    return rounded(A.gain_and_offset(wells(spark, sf_dir).filter("row_idx < 30"), "gr", "z", ["well"], 24))
-
-
 @query(
     "gain_and_offset_whole",
     f"WITH {WELLS_SQL}, c AS (SELECT well, gr, z FROM wells WHERE gr IS NOT NULL AND z IS NOT NULL) SELECT well, count(*) AS n, round(CASE WHEN count(*) >= 24 THEN regr_slope(gr, z) ELSE 1 END, 6) AS gain, round(CASE WHEN count(*) >= 24 THEN regr_intercept(gr, z) ELSE avg(gr - z) END, 6) AS \"offset\" FROM c GROUP BY well",
 )
 def gain_and_offset_whole(spark, sf_dir):
-    """Fitted on the whole of each well; gain_and_offset fits the rows that its SQL names."""
     return rounded(A.gain_and_offset(wells(spark, sf_dir), "gr", "z", ["well"], 24))
 
 
@@ -196,17 +187,6 @@ def first_of_each(spark, sf_dir):
     return A.first_of_each(table(spark, sf_dir, "part"), ["p_brand"], [F.desc("p_retailprice"), "p_partkey"]).select("p_brand", "p_partkey", "p_retailprice")
 
 
-@query(
-    "nearest_label",
-    """WITH s AS (SELECT event_type AS label, avg(value) AS centre FROM events WHERE user_id % 2 = 0 GROUP BY 1)
-    SELECT event_id, (SELECT label FROM s ORDER BY abs(centre - value), label LIMIT 1) AS nearest FROM events WHERE user_id % 2 = 1""",
-)
-def nearest_label(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    stats = e.filter("user_id % 2 = 0").groupBy(F.col("event_type").alias("label")).agg(F.avg("value").alias("centre"))
-    return A.nearest_label(e.filter("user_id % 2 = 1"), stats, "value", "label", "centre").select("event_id", "nearest")
-
-
 @query(
     "nearest_label_by_fold",
     """WITH e AS (SELECT event_id, event_type, value, user_id % 5 AS fold FROM events), f AS (SELECT DISTINCT fold FROM e),
@@ -214,7 +194,6 @@ def nearest_label(spark, sf_dir):
     SELECT event_id, fold, (SELECT label FROM s WHERE s.fold IS NOT DISTINCT FROM e.fold ORDER BY abs(centre - value), label LIMIT 1) AS nearest FROM e""",
 )
 def nearest_label_by_fold(spark, sf_dir):
-    """Every event, by centres of the other folds; nearest_label classifies the events that its SQL names."""
     e = table(spark, sf_dir, "events").withColumn("fold", F.col("user_id") % 5)
     return A.nearest_label_by_fold(e, "fold", "value", "event_type").select("event_id", "fold", "nearest")
 

@@ -10,14 +10,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sondeflow.sources.staging import staged
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV (with a header), JSON lines or Parquet by suffix; columns are pruned at the scan."""
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, schema: str | None = None) -> DataFrame:
+    """CSV (with a header), JSON lines or Parquet by suffix; columns are pruned at the scan.
+
+    schema (DDL) gives a CSV's types by column name in whatever order the file has them, so that no pass infers them; what it doesn't name is text.
+    """
     suffix = path.rstrip("/*").rsplit(".", 1)[-1].lower()
-    if suffix == "csv":
+    if suffix == "csv" and schema:
+        kinds = {f.name: f.dataType for f in StructType.fromDDL(schema)}
+        df = spark.read.option("header", True).csv(path)
+        df = df.select(*(F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns))
+    elif suffix == "csv":
         df = spark.read.option("header", True).option("inferSchema", True).csv(path)
     elif suffix in ("json", "jsonl"):
         df = spark.read.json(path)
@@ -107,3 +115,77 @@ def as_markdown(df: DataFrame, rows: int = 50) -> str:
     got = df.limit(rows).collect()
     head = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
     return "\n".join(head + [f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in got])
+
+
+def first_root(spark: SparkSession, roots: list[str], needed: list[str]) -> str:
+    """The first of several folders that holds all needed files or folders."""
+    from sondeflow.operators.validation import present_files
+
+    for root in roots:
+        if all(present_files(spark, [f"{root.rstrip('/')}/{n}" for n in needed]).values()):
+            return root
+    raise FileNotFoundError(f"none of {roots} holds {needed}")
+
+
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV with a header; one_file for small results that a person opens."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON object a line."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_settings(spark: SparkSession, payload: dict, path: str) -> None:
+    """A small dictionary as one JSON document, written through Spark so that any store works."""
+    spark.createDataFrame([(json.dumps(payload, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def resumed(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at the path if a run finished writing it, else what make() gives, written there: a job that starts again goes on behind it."""
+    from sondeflow.operators.validation import present_files
+
+    if not present_files(spark, [f"{path}/_SUCCESS"])[f"{path}/_SUCCESS"]:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def filled_submission(sample: DataFrame, base: DataFrame, delta: DataFrame, id_: str, anchor: str, value: str, constant: float) -> DataFrame:
+    """Every id of the sample with anchor + delta, the anchor where the delta is missing, and the constant where both are: no id is left without a value."""
+    rows = base.select(id_, anchor).join(delta.select(id_, F.col(value).alias("__d")), id_, "left")
+    guess = F.col(anchor) + F.coalesce("__d", F.lit(0.0))
+    return sample.select(id_).join(rows.select(id_, guess.alias("tvt")), id_, "left").withColumn("tvt", F.coalesce("tvt", F.lit(float(constant))))
+
+
+def read_contours(spark: SparkSession, path: str, colour: tuple[int, int, int], tolerance: int = 40) -> DataFrame:
+    """path, column, row of the pixels whose colour lies within the tolerance of one, from binary PPM images (P6): the mean row of each column that has any."""
+
+    def run(batches):
+        for pdf in batches:
+            for path_, content in zip(pdf["path"], pdf["content"]):
+                pixels = _ppm(content)
+                hit = (np.abs(pixels.astype(int) - np.array(colour)) <= tolerance).all(axis=2)
+                columns = np.flatnonzero(hit.any(axis=0))
+                rows = (hit * np.arange(len(hit))[:, None]).sum(axis=0)[columns] / hit.sum(axis=0)[columns]
+                yield pd.DataFrame({"path": path_, "column": columns, "row": rows.astype(float)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, column long, row double")
+
+
+def _ppm(content: bytes) -> np.ndarray:
+    """Rows, columns, colours of a P6 image of one byte a colour."""
+    words, at = [], 0
+    while len(words) < 4:
+        end = at
+        while end < len(content) and not content[end : end + 1].isspace():
+            end += 1
+        if content[at : at + 1] == b"#":
+            end = content.index(b"\n", at)
+        elif end > at:
+            words.append(content[at:end])
+        at = end + 1
+    if words[0] != b"P6" or int(words[3]) > 255:
+        raise ValueError("not a P6 image of one byte a colour")
+    width, height = int(words[1]), int(words[2])
+    return np.frombuffer(content, np.uint8, width * height * 3, at).reshape(height, width, 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -14,7 +14,7 @@ KINDS = ("horizontal_well", "typewell")
 # The columns of the raw files.
 HORIZONTAL = ("MD", "X", "Y", "Z", "GR", "TVT_input", "TVT")
 TYPEWELL = ("TVT", "GR", "Geology")
-#: The files' name: what stands before the first double underscore is the well.
+#: The files' name: what stands before the kind is the well.
 NAME = r"([^/]+?)__(horizontal_well|typewell)\.csv$"
 
 
@@ -31,7 +31,7 @@ def raw(spark: SparkSession, folder: str, split: str, kind: str) -> DataFrame:
     # A file's header is its first line: the least line number of the file, since a file's blocks keep their order in the scan.
     head = lines.groupBy("source_path").agg(F.min("line").alias("first"), F.min_by("value", "line").alias("header"))
     rows = lines.join(F.broadcast(head), "source_path").filter(F.col("line") > F.col("first"))
-    cells, names = F.split("value", ",", -1), F.split("header", ",", -1)
+    cells, names = _cells("value"), _cells("header")
 
     def column(name: str):
         at = F.array_position(F.transform(names, lambda x: F.trim(x)), name)
@@ -41,6 +41,12 @@ def raw(spark: SparkSession, folder: str, split: str, kind: str) -> DataFrame:
     return rows.select(F.lit(split).alias("split"), F.regexp_extract("source_path", NAME, 1).alias("well_id"), "source_path", "line", *(column(c) for c in wanted))
 
 
+def _cells(line) -> Column:
+    """The fields of a line; a comma between quotes does not part them, and the quotes go."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"|"$', ""), '""', '"'))
+
+
 def indexed(rows: DataFrame) -> DataFrame:
     """row_idx: the place of the line in its file, from 0."""
     w = Window.partitionBy("split", "well_id").orderBy("line")
@@ -73,7 +79,7 @@ def inventory(spark: SparkSession, folder: str, splits: list[str]) -> DataFrame:
     for split in splits:
         lines = spark.read.text(f"{folder}/{split}/*.csv").select("value", F.input_file_name().alias("source_path"), F.monotonically_increasing_id().alias("line"))
         lines = lines.filter(F.regexp_like("source_path", F.lit(NAME)))
-        cols = F.transform(F.split(F.min_by("value", "line"), ",", -1), lambda x: F.trim(x))
+        cols = F.transform(_cells(F.min_by("value", "line")), lambda x: F.trim(x))
         part = lines.groupBy("source_path").agg((F.count("*") - 1).alias("n_rows"), cols.alias("columns"))
         part = part.select(F.lit(split).alias("split"), F.regexp_extract("source_path", NAME, 1).alias("well_id"), F.regexp_extract("source_path", NAME, 2).alias("table_type"), "source_path", "n_rows", F.size("columns").alias("n_cols"), "columns")
         out = part if out is None else out.union(part)

@@ -184,3 +184,140 @@ def test_remasked_and_sampled(spark):
     many = spark.range(4000)
     a, b = (sorted(r.id for r in d.filter(S.sampled(F.col("id"), 7, 10)).collect()) for d in (many, many.repartition(9)))
     assert a == b and 300 < len(a) < 500
+
+
+def test_filling_is_linear_in_a_sequence(spark):
+    """Four times the rows take about four times the time, also in one sequence."""
+    import time
+
+    back = Window.partitionBy("well").orderBy(F.desc("row_idx"))
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.range(n).select(F.lit(1).alias("well"), F.col("id").alias("row_idx"), F.when(F.col("id") % 7 == 0, F.col("id").cast("double")).alias("x"))
+        began = time.perf_counter()
+        out = df.select(W.interpolated(F.col("x"), over(), F.col("row_idx"), back).alias("a"), W.edge_filled(F.col("x"), over(), back).alias("b"))
+        assert out.agg(F.count("a"), F.count("b")).first() == (n, n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+    many = spark.range(200_000).select(F.col("id").alias("k"), (F.col("id") % 97).cast("double").alias("load"))
+    began = time.perf_counter()
+    loads = folds.balance(folds.balanced(many, "k", "load", 5), "load").collect()
+    assert time.perf_counter() - began < 30 and max(r.load for r in loads) - min(r.load for r in loads) < 97
+
+
+def test_gap_fill_with_and_without_the_other_order(spark):
+    df = series(spark, [None, 1, None, None, 4, None])
+    back = Window.partitionBy("well").orderBy(F.desc("row_idx"))
+    for f in (lambda b: W.interpolated(F.col("x"), over(), F.col("row_idx"), b), lambda b: W.edge_filled(F.col("x"), over(), b)):
+        a, b = ([r.v for r in df.select("row_idx", f(o).alias("v")).orderBy("row_idx").collect()] for o in (back, None))
+        assert a == b
+
+
+def test_exact_quantiles_and_parts(spark):
+    r = np.random.default_rng(0)
+    v = np.concatenate((r.normal(size=501), np.zeros(200)))
+    got = A.exact_quantiles(spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double").repartition(7), "x", [0, 0.1, 0.5, 0.77, 1])
+    assert got == pytest.approx(np.quantile(v, [0, 0.1, 0.5, 0.77, 1]))
+    assert A.exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
+
+
+def test_regression_as_least_squares(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(1e6, 3, (40, 3))
+    y = 5 + x @ [1.0, -2.0, 0.5] + r.normal(0, 0.1, 40)
+    rows = [(1, *map(float, (*a, b))) for a, b in zip(x, y)] + [(2, 1.0, 2.0, 3.0, 4.0)]
+    got = {q.k: q for q in A.regression(spark.createDataFrame(rows, "k long, a double, b double, c double, y double"), "y", ["a", "b", "c"], ["k"]).collect()}
+    coef = np.linalg.lstsq(np.column_stack((x - x.mean(axis=0), np.ones(40))), y, rcond=None)[0]
+    assert [got[1].c_a, got[1].c_b, got[1].c_c] == pytest.approx(coef[:3], rel=1e-4)
+    assert got[1].r2 > 0.99 and got[2].c_a is None and got[2].r2 is None
+    flat = spark.createDataFrame([(1, float(i), 2.0 * i, 7.0, 3.0 * i) for i in range(10)], "k long, a double, b double, c double, y double")
+    q = A.regression(flat, "y", ["a", "b", "c"], ["k"]).first()
+    assert q.c_a + 2 * q.c_b == pytest.approx(3, abs=1e-6) and q.c_c == 0 and q.r2 == pytest.approx(1)
+
+
+def test_gates_and_files(spark, tmp_path):
+    from sondeflow.operators import validation as V
+
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "t double, g double")
+    assert V.gates(df, "t", "g", 2, (0.5, 1.0))["rmse"] == pytest.approx(0.5**0.5)
+    with pytest.raises(ValueError, match="rows"):
+        V.gates(df, "t", "g", 3)
+    with pytest.raises(ValueError, match="error"):
+        V.gates(df, "t", "g", None, (0.0, 0.1))
+    (tmp_path / "a").write_text("x")
+    assert V.present_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")]) == {str(tmp_path / "a"): True, str(tmp_path / "b"): False}
+    assert V.missing_columns(df, ["t", "z"]) == ["z"]
+    assert [(r.t, r.n) for r in V.duplicated(df.union(df.limit(1)), ["t"]).collect()] == [(1.0, 2)]
+
+
+def test_small_pieces(spark):
+    df = spark.createDataFrame([(3, [5.0, 1.0, 9.0])], "k long, v array<double>")
+    v = F.col("v")
+    row = df.select(A.largest_of(v, 2).alias("top"), S.argmin(v).alias("at"), S.running(v).alias("sums"), S.evenly(0, 1, 3).alias("even"), S.place_in(F.array(F.lit(1.0), F.lit(5.0)), F.lit(5.0), True).alias("place"), S.looked_up(F.col("k"), {3: "c"}).alias("name"), S.stable_seed(F.lit("a"), F.lit(1)).alias("seed"), S.iso_now().alias("now")).first()
+    assert (row.top, row.at, row.sums, row.even, row.place, row.name) == ([9, 5], 1, [5, 6, 15], [0, 0.5, 1], 2, "c")
+    import re
+    import zlib
+
+    assert row.seed == zlib.crc32(b"a:1") and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d", row.now)
+    assert B.variant_parts("pf_scale_8_beam_0.25_hold_0.5") == (8.0, 0.25, 0.5) and B.variant_parts("pf_scale_3") == (3.0, 0.0, 0.0)
+    assert B.predicted_board(10.0) == pytest.approx(8.6)
+    assert tracking.agreed(np.array([1.0, 5.0]), np.array([1.5, 9.0]), 1.0).tolist() == [True, False]
+    m = {f: B.Moments(np.eye(2) * (f + 1), np.array([1.0, 0.5]), 2.0, 4.0) for f in range(3)}
+    assert B.consistent(m, 0, [0, 1], 0) and not B.consistent(m, 0, [0, 1], 4)
+    assert A.first_rows(spark.range(9), ["id"], 4).count() == 4 and A.first_rows(spark.range(9), ["id"], None).count() == 9
+    shuffled = spark.createDataFrame([(k,) for k in (4, 1, 3)], "k long").coalesce(1)
+    assert [r.k for r in sequence.restored(shuffled, lambda d: d.filter("k > 1")).collect()] == [4, 3]
+
+
+def test_large_candidate_sets_are_dealt(spark, monkeypatch):
+    a = spark.createDataFrame([(k, float(k * 7 % 50)) for k in range(40)], "a long, va double")
+    b = a.select(F.col("a").alias("b"), F.col("va").alias("vb"), (F.col("a") % 4).alias("kind"))
+    find = lambda: sorted(map(tuple, joins.nearest_of_kinds(a, b, F.abs(F.col("va") - F.col("vb")), "a", "b", "kind", 2).collect()))
+    few = find()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 7)
+    monkeypatch.setattr(joins.small, "__defaults__", (7, 100))
+    assert find() == few
+
+
+def test_dense_cells_are_halved(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "DENSE", 16)
+    r = np.random.default_rng(5)
+    p = [(i, i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(0, 1, (300, 2)))]
+    q = spark.createDataFrame(p, "qid long, qwho long, qx double, qy double")
+    got = {}
+    for row in spatial.nearest(q, spark.createDataFrame(p, "pid long, pwho long, px double, py double"), 3, 1000.0).collect():
+        got.setdefault(row.qid, []).append((row.distance, row.pid))
+    for i, _, x, y in p:
+        assert [j for _, j in sorted(got[i])] == [j for _, j in sorted((math.hypot(x - a, y - b), j) for j, _, a, b in p if j != i)[:3]]
+
+
+def test_models(spark):
+    from sondeflow.operators import models
+
+    r = np.random.default_rng(2)
+    rows = [(i, i % 3, *map(float, v), float(3 * v[0] - v[1] + r.normal(0, 0.05))) for i, v in enumerate(r.normal(size=(240, 2)))]
+    df = spark.createDataFrame(rows, "k long, fold int, a double, b double, y double").withColumn("rough", 2.5 * F.col("a"))
+    error = lambda d, c: d.select(F.sqrt(F.avg((F.col(c) - F.col("y")) ** 2))).first()[0]
+    fitted = models.fold_models(df, ["a", "b"], "y", "fold", models.linear)
+    out = models.out_of_fold(df, fitted, ["a", "b"], "y", "fold", ["k"])
+    assert out.count() == 240 and error(out, "guess") < 0.1
+    mean = models.averaged(df.drop("y"), list(fitted.values()), ["a", "b"], ["k"]).join(df, "k")
+    assert error(mean, "guess") < 0.1
+    better = models.on_residual(df, "rough", ["a", "b"], "y", "fold", ["k"], [models.linear])
+    assert error(better, "guess") < 0.1 < error(better, "rough")
+    trees = models.fold_models(df, ["a", "b"], "y", "fold", lambda: models.boosted(5, 3))
+    rank = models.importances(trees, ["a", "b"], spark).collect()
+    assert rank[0].feature == "a" and sum(x.importance for x in rank) == pytest.approx(1)
+    mix, w = models.blended(df, ["a", "b"], "y", "fold", ["k"], {"line": models.linear, "trees": lambda: models.boosted(3, 2)}, 1)
+    assert w["line"] > 0.9 and sum(w.values()) == pytest.approx(1) and error(mix, "guess") < 0.2
+
+
+def test_stored_models(spark, tmp_path):
+    from sondeflow.operators import models
+
+    df = spark.createDataFrame([(i, i % 2, float(i), 2.0 * i) for i in range(20)], "k long, fold int, a double, y double")
+    fitted = list(models.fold_models(df, ["a"], "y", "fold", models.linear).values())
+    models.save_all(fitted, str(tmp_path / "m"))
+    back = models.stored(str(tmp_path / "m"))
+    both = [sorted(map(tuple, models.averaged(df, m, ["a"], ["k"]).collect())) for m in (fitted, back)]
+    assert len(back) == 2 and both[0] == both[1]
