@@ -5,8 +5,8 @@ random-hyperplane orderings. Each round joins every node's neighbours, forward a
 vectors; members of one node's list are measured against each other, and pairs closer than what either has so far go to a
 merge that keeps the K nearest. Only pairs with a member that is new since the last round are measured.
 
-Queries walk the graph: the EF nearest nodes seen so far are the front, and the neighbours of its nodes not yet opened are measured, until
-the front stays. A query that is a row starts from its own node's list. All rounds are Spark joins on nodes; what is broadcast is one wave of query
+The graph is built on vectors in single precision. Queries walk it on the original ones: the EF nearest nodes seen so far are the front, and the
+neighbours of its nodes not yet opened are measured, until the front stays, however many steps that takes. A query that is a row starts from its own node's list. All rounds are Spark joins on nodes; what is broadcast is one wave of query
 vectors. The index covers every row. Recall over check data is in the README.
 """
 
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sondeflow.llm.common import written
-from sondeflow.llm.vectors import common_dim, matrix, packed, waves
+from sondeflow.llm.common import forget, written
+from sondeflow.llm.vectors import lengths, matrix, packed, single, waves
 
 K = 24
 TREES, CELL, BITS = 4, 128, 6
 ROUNDS, EACH = 5, 6
-EF, STEPS = 256, 8
+EF = 256
 SETTLED = 0.02  #: rounds end when so small a share of the graph's edges is new
 
 
@@ -48,13 +48,13 @@ def _square_distances(x: np.ndarray) -> np.ndarray:
 def _start(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     """a, b, d: the K nearest of each node within its cell, for each of TREES orderings."""
     r = np.random.default_rng(7)
-    planes = r.standard_normal((TREES, BITS + 1, dim))
+    planes = r.standard_normal((TREES, BITS + 1, dim)).astype(np.float32)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1).to_pylist(), dim)
+            x = matrix(batch.column(1).to_pylist(), dim, np.float32)
             for t in range(TREES):
-                p = x @ planes[t].T
+                p = (x @ planes[t].T).astype(np.float64)
                 bit = (p[:, :BITS] > 0) @ (1 << np.arange(BITS))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(bit.astype(np.int64)), pa.array(p[:, BITS]), *batch.columns], names=["tree", "code", "along", "node", "v"])
 
@@ -78,7 +78,7 @@ def _start(nodes: DataFrame, n: int, dim: int) -> DataFrame:
 def _nearest(ids: list[int], rows: list[bytes], dim: int) -> Iterator[pa.RecordBatch]:
     if len(ids) < 2:
         return
-    d = _square_distances(matrix(rows, dim))
+    d = _square_distances(matrix(rows, dim, np.float32))
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, axis=1)[:, : min(K, len(ids) - 1)]
     a, b = np.repeat(np.array(ids), near.shape[1]), np.array(ids)[near].ravel()
@@ -120,7 +120,7 @@ def _joined(t: pa.Table, dim: int) -> pa.RecordBatch:
     centre, member = t.column("centre").to_numpy(), t.column("member").to_numpy()
     new = t.column("new").to_numpy(zero_copy_only=False).astype(bool)
     reach = np.nan_to_num(t.column("reach").to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf)
-    x = matrix(t.column("v").to_pylist(), dim)
+    x = matrix(t.column("v").to_pylist(), dim, np.float32)
     out = []
     for s in _groups([centre]):
         ids, fresh = member[s], new[s]
@@ -140,11 +140,12 @@ def _joined(t: pa.Table, dim: int) -> pa.RecordBatch:
 
 
 def build_graph(nodes: DataFrame, n: int, dim: int) -> DataFrame:
-    """a, b, d (squared distance): up to K near nodes of each node. nodes: node, v."""
+    """a, b, d (squared distance): up to K near nodes of each node. nodes: node, v (single precision)."""
     graph = written(_kept(_start(nodes, n, dim).withColumn("new", F.lit(True))), "graph")
     for _ in range(ROUNDS):
         found = _round(graph, nodes, dim).withColumn("new", F.lit(True))
-        graph = written(_kept(graph.withColumn("new", F.lit(False)).union(found)), "graph")
+        before, graph = graph, written(_kept(graph.withColumn("new", F.lit(False)).union(found)), "graph")
+        forget(before)
         if graph.filter("new").count() <= SETTLED * K * n:
             break
     return graph.drop("new")
@@ -154,31 +155,36 @@ def nearest(table: DataFrame, id_: str = "vec_id", vector: str = "embedding", ev
     """query_id, rank (from 1), vec_id, score (Euclidean distance in double precision) of the k nearest rows found for each query.
 
     Queries: rows whose id is divisible by `every`; candidates: all rows of another id; ties to the smaller vec_id. Rows with a null id, or a vector that is null, empty, zero or
-    holds null or non-finite components, take no part, nor do vectors of another length than the most common. Repeated rows
+    holds null or non-finite components, take no part. Vectors of different lengths have no distance: each length is searched by itself. Repeated rows
     count once. Fewer than k candidates give as many rows; an empty table gives none.
     """
     spark = table.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     rows = written(packed(table, id_, vector, zero=False), "vectors")
-    dim = common_dim(rows)
-    if dim is None:
-        return spark.createDataFrame([], out)
-    rows = rows.filter(F.col("dim") == dim).select("vec_id", "v")
-    nodes = written(rows.groupBy("v").agg(F.min("vec_id").alias("node")), "nodes")
+    found = None
+    for dim in lengths(rows):
+        part = _nearest_of(rows.filter(F.col("dim") == dim).select("vec_id", "v"), dim, every, k)
+        found = part if found is None else found if part is None else found.union(part)
+    return spark.createDataFrame([], out) if found is None else found
+
+
+def _nearest_of(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame | None:
+    """The same for vectors of one length; None without queries."""
+    nodes = written(single(rows.groupBy("v").agg(F.min("vec_id").alias("node")), dim), "nodes")
     # Ids of each node: the k + 1 smallest answer any query; the queries themselves are apart.
-    named = written(rows.distinct().join(nodes, "v").select("node", "vec_id"), "names")
+    named = written(rows.distinct().join(nodes.select("node", "v"), "v").select("node", "vec_id"), "names")
     few = named.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("at") <= k + 1).drop("at")
     queries = named.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "node")
-    n = nodes.count()
-    graph = build_graph(nodes, n, dim)
-    links = written(_adjacency(graph), "links")
     asked = written(queries.select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), "v"), "asked")
+    n_asked = asked.count()
+    if not n_asked:
+        return None
+    graph = build_graph(nodes.select("node", F.col("w").alias("v")), nodes.count(), dim)
+    links = written(_adjacency(graph), "links")
     found = None
-    for wave in waves(asked, "q", asked.count()):
-        part = _walk(wave, nodes, links, graph, dim, k + 1)
+    for wave in waves(asked, "q", n_asked):
+        part = _walk(wave, nodes.select("node", "v"), links, dim, k + 1)
         found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], out)
     answers = found.join(few.withColumnRenamed("node", "b"), "b").join(queries.withColumnRenamed("node", "q"), "q").filter("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
@@ -191,7 +197,7 @@ def _adjacency(graph: DataFrame) -> DataFrame:
     return graph.select("a", "b").union(back.select("a", "b")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("near"))
 
 
-def _walk(wave: DataFrame, nodes: DataFrame, links: DataFrame, graph: DataFrame, dim: int, k: int) -> DataFrame:
+def _walk(wave: DataFrame, nodes: DataFrame, links: DataFrame, dim: int, k: int) -> DataFrame:
     """q, b, d: the k nearest nodes that the walk of each query of the wave has seen, itself included."""
     spark = wave.sparkSession
     rows = wave.collect()
@@ -223,13 +229,13 @@ def _walk(wave: DataFrame, nodes: DataFrame, links: DataFrame, graph: DataFrame,
     seen = written(measured(start.distinct()), "seen")
     front_of = Window.partitionBy("q").orderBy("d", "b")
     opened = wave.select("q", F.col("q").alias("b"))
-    for _ in range(STEPS):
+    while True:
         front = seen.withColumn("at", F.row_number().over(front_of)).filter(F.col("at") <= EF).select("q", "b").join(opened, ["q", "b"], "left_anti")
         front = written(front, "front")
         reached = front.join(links, front["b"] == links["node"]).select("q", F.explode("near").alias("b")).distinct().join(seen, ["q", "b"], "left_anti")
         more = written(measured(reached), "seen")
         opened = opened.union(front)
-        if more.isEmpty():
+        if more.isEmpty():  # no node of the front has a neighbour that was not seen
             break
         seen = seen.union(more)
     return seen.withColumn("at", F.row_number().over(front_of)).filter(F.col("at") <= k).drop("at")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sondeflow.llm.common import written
-from sondeflow.llm.vectors import common_dim, matrix, packed, waves
+from sondeflow.llm.vectors import lengths, matrix, packed, waves
 
 PIVOTS = 32
 SAMPLE = 1024  #: rows, in the order of a hash of the id, that pivots and first thresholds come from
@@ -77,16 +77,22 @@ def top_products(table: DataFrame, id_: str = "vec_id", vector: str = "embedding
     """query_id, rank (from 1), vec_id, score of the k largest integer inner products of each query, ties to the smaller vec_id.
 
     Queries: rows whose id is divisible by `every`; candidates: all rows of another id. Vectors become floor(256 x). Rows with a null id, or a vector
-    that is null, empty or holds null or non-finite components, take no part, nor do vectors of another length than the
-    most common. Repeated rows count once. Fewer than k candidates give as many rows; an empty table gives none.
+    that is null, empty or holds null or non-finite components, take no part. Vectors of different lengths have no product: each length is searched by
+    itself. Repeated rows count once. Fewer than k candidates give as many rows; an empty table gives none. A score is a 64-bit number: components beyond
+    2^62 in size and products beyond 64 bits are held to these bounds.
     """
     spark = table.sparkSession
     whole = written(packed(table, id_, vector, scaled), "integers")
-    dim = common_dim(whole)
-    out = "query_id long, rank int, vec_id long, score long"
-    if dim is None:
-        return spark.createDataFrame([], out)
-    whole = whole.filter(F.col("dim") == dim)
+    found = None
+    for dim in lengths(whole):
+        part = _top_of(whole.filter(F.col("dim") == dim), dim, every, k)
+        found = part if found is None else found if part is None else found.union(part)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if found is None else found
+
+
+def _top_of(whole: DataFrame, dim: int, every: int, k: int) -> DataFrame | None:
+    """The same for vectors of one length; None without queries."""
+    spark = whole.sparkSession
     sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
     some, some_ids = matrix([r["v"] for r in sample], dim), np.array([r["vec_id"] for r in sample], np.int64)
     pivots = _far_apart(some, PIVOTS)
@@ -104,7 +110,7 @@ def top_products(table: DataFrame, id_: str = "vec_id", vector: str = "embedding
         asked = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), matrix([r["v"] for r in rows], dim), np.array([np.frombuffer(r["d"]) for r in rows]).reshape(len(rows), len(pivots))))
         parts.append(written(pivoted.mapInArrow(_searcher(asked, dim, k, some, some_ids), "query_id long, vec_id long, score long"), "found"))
     if not parts:
-        return spark.createDataFrame([], out)
+        return None
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

@@ -32,14 +32,24 @@ def packed(table: DataFrame, id_: str, vector: str, change: Callable[[np.ndarray
     return table.select(F.col(id_).alias("vec_id"), F.col(vector).alias("v")).mapInArrow(run, "vec_id long, dim int, v binary")
 
 
-def common_dim(table: DataFrame) -> int | None:
-    """The most common vector length, the smaller of equals; None for no rows."""
-    row = table.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    return row["dim"] if row else None
+def lengths(table: DataFrame) -> list[int]:
+    """The lengths that vectors have, one as a rule."""
+    return sorted(r["dim"] for r in table.select("dim").distinct().collect())
 
 
-def matrix(rows: list, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.float64).reshape(-1, dim) if rows else np.zeros((0, dim))
+def single(table: DataFrame, dim: int) -> DataFrame:
+    """node, v and w, the vector in single precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = matrix(batch.column(1).to_pylist(), dim).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in w], pa.binary())], names=["node", "v", "w"])
+
+    return table.select("node", "v").mapInArrow(run, "node long, v binary, w binary")
+
+
+def matrix(rows: list, dim: int, kind=np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind).reshape(-1, dim) if rows else np.zeros((0, dim), kind)
 
 
 def waves(queries: DataFrame, key: str, n: int) -> Iterator[DataFrame]:

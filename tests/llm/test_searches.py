@@ -64,3 +64,26 @@ def test_few_rows(spark):
     for f in (nearest, top_products):
         assert f(df.filter("vec_id = 0")).count() == 0
         assert f(df.limit(0)).count() == 0
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rows = [(0, [1.0, 0.0], 0), (100, [0.0, 1.0, 2.0], 0), (7, [3.0, 0.0], 0), (8, [0.0, 1.0, 1.0], 0), (200, [5.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.query_id, r.vec_id, r.score) for r in nearest(df).collect()) == [(0, 7, 2.0), (100, 8, 1.0)]
+    assert sorted((r.query_id, r.vec_id) for r in top_products(df).collect()) == [(0, 7), (100, 8)]
+
+
+def test_recall_in_many_dimensions(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    ids, x = table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), float)
+    got = {}
+    for r in nearest(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        want = [i for _, i in sorted(zip(d, ids)) if i != q][:10]
+        hit, total = hit + len(got[q] & set(want)), total + 10
+    assert hit >= 0.9 * total
