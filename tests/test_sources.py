@@ -1,7 +1,9 @@
 import json
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sondeflow.sources import files, wells
@@ -66,6 +68,14 @@ def test_submission(spark):
         files.submission(sample, p, "id", "g")
 
 
+def until(q, name, n):
+    """Wait for n rows of a memory table; with timeouts by the clock a stream itself never comes to rest."""
+    began = time.time()
+    while time.time() - began < 60 and SparkSession.getActiveSession().table(name).count() < n:
+        time.sleep(0.3)
+    q.stop()
+
+
 def test_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [(k, i, float(i * (k + 1))) for k in range(2) for i in range(6)]
@@ -73,8 +83,7 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([r for r in rows if part <= r[1] < part + 3], "k long, i long, v double").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("k long, i long, v double").option("maxFilesPerTrigger", 1).parquet(src)
     q = causal.trailing_means(stream, "k", "i", "v", 3).writeStream.format("memory").queryName("means").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    until(q, "means", 12)
     got = {(r.k, r.i): r.mean for r in spark.table("means").collect()}
     assert len(got) == 12 and got[(0, 5)] == 4.0 and got[(1, 2)] == 2.0
 
@@ -139,8 +148,7 @@ def test_stream_with_nulls_and_places(spark, tmp_path):
     def ran(make, name):
         stream = spark.readStream.schema("k long, i long, v double").option("maxFilesPerTrigger", 1).parquet(src)
         q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        until(q, name, len(rows))
         return {(r.k, r.i): r[3] for r in spark.table(name).collect()}
 
     got = ran(lambda s: causal.trailing_means(s, "k", "i", "v", 3), "with_nulls")
