@@ -232,7 +232,7 @@ def _sent(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """What each shard gets, a row for those that enter and one for the covered ones."""
     if not held:
         return
-    squeeze = zstandard.ZstdCompressor(level=5).compress
+    squeeze = zstandard.ZstdCompressor(level=4).compress
     whole = {k: np.concatenate([h[k] for h in held]) for k in held[0] if k not in ("data", "begin")}
     before = np.cumsum([0, *(len(h["data"]) for h in held[:-1])])
     begin = np.concatenate([h["begin"] + n for h, n in zip(held, before)])
@@ -281,19 +281,21 @@ def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
     """Spans to remove, as far as this shard's strings tell: rows of documents, tags, starts and ends."""
     size, doc = field["size"], field["doc"]
     at = np.cumsum(size) - size
-    hashed = span_hasher(text, lower=False)
-    gram = at + field["offset"]
-    kept = _sharing(hashed, gram, at, size, np.arange(len(at)), doc)
-    kind = equal_spans(hashed(at[kept], at[kept] + size[kept]), text, at[kept], size[kept])[1]
+    whole, before, after = _keys(text, at, size, field["offset"])
+    # Only regions whose anchor with EXTEND bytes before it, or after it, occurs in several documents.
+    several = [k[_in_several(x[k], doc[k])] for x, k in ((before, np.flatnonzero(field["offset"] >= EXTEND)), (after, np.flatnonzero(size - field["offset"] - GRAM >= EXTEND)))]
+    kept = np.union1d(*several)
+    kind = equal_spans(whole[kept], text, at[kept], size[kept])[1]
     own, covered = _once(kind, doc[kept])
     out = [(kept[covered], np.zeros(len(covered), np.int64), size[kept[covered]])]
     one, same = _representatives(kind[own])
     own = kept[own]
     # Of distinct regions, those that share no FINE range with another have no other string to compare.
     only = own[one]
-    which, _, _, core = _ranges(at[only], at[only] + size[only], gram[only], FINE)
-    several = np.unique(which[_in_several(hashed(core, core + LENGTH - FINE + 1), which)])
-    chosen = own[one][several]
+    some, first = _gathered(text, at[only], size[only]), np.cumsum(size[only]) - size[only]
+    which, _, _, core = _ranges(first, first + size[only], first + field["offset"][only], FINE)
+    several = np.unique(which[_in_several(span_hasher(some, lower=False)(core, core + LENGTH - FINE + 1), which)])
+    chosen = only[several]
     if len(chosen):
         place = np.full(len(one), -1)
         place[several] = np.arange(len(several))
@@ -306,14 +308,18 @@ def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
     return np.stack((doc[which], field["tag"].view(np.int64)[which], field["start"][which] + a, field["start"][which] + b))
 
 
-def _sharing(hashed, gram: np.ndarray, at: np.ndarray, size: np.ndarray, which: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Places among the chosen regions whose anchor with EXTEND bytes before it, or with EXTEND bytes after it, occurs under more than one kind."""
-    g = gram[which]
-    left = np.flatnonzero(g - at[which] >= EXTEND)
-    right = np.flatnonzero(at[which] + size[which] - g - GRAM >= EXTEND)
-    before = left[_in_several(hashed(g[left] - EXTEND, g[left] + GRAM), kind[left])]
-    after = right[_in_several(hashed(g[right], g[right] + GRAM + EXTEND), kind[right])]
-    return np.union1d(before, after)
+def _keys(text: np.ndarray, at: np.ndarray, size: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of regions, and of their anchors with EXTEND bytes before and after them (of no meaning where there are fewer), some text at a time."""
+    out = np.zeros((3, len(at)), U64)
+    cut = np.unique(np.append(np.searchsorted(at, np.arange(0, len(text), CHUNK)), len(at)))
+    for i, j in zip(cut[:-1], cut[1:]):
+        a, b = int(at[i]), int(at[j - 1] + size[j - 1])
+        hashed, start = span_hasher(text[a:b], lower=False), at[i:j] - a
+        end, gram = start + size[i:j], start + offset[i:j]
+        out[0, i:j] = hashed(start, end)
+        out[1, i:j] = hashed(np.maximum(gram - EXTEND, 0), gram + GRAM)
+        out[2, i:j] = hashed(gram, np.minimum(gram + GRAM + EXTEND, b - a))
+    return out[0], out[1], out[2]
 
 
 def _in_several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
