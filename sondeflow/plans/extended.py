@@ -244,11 +244,11 @@ def running_sums(spark, sf_dir):
 
 @query(
     "contact_target",
-    f"""WITH {BASE_SQL}, r AS (SELECT *, 1000 - (z - (x / 3 + 20)) AS raw FROM base) SELECT well, row_idx, round(raw + coalesce(avg(CASE WHEN is_known THEN tvt_input - raw END) OVER (PARTITION BY well), 0), 3) AS contact FROM r""",
+    f"""WITH {BASE_SQL}, r AS (SELECT *, 1000 - (z - (x / 3 + 20)) AS raw FROM base) SELECT well, row_idx, round(raw + coalesce(avg(CASE WHEN is_known THEN tvt_input - raw END) OVER (PARTITION BY well), 0), 7) AS contact FROM r""",
 )
 def contact_target(spark, sf_dir):
     b = base(spark, sf_dir).withColumn("formation", F.col("x") / 3 + 20).withColumn("reference", F.lit(1000.0))
-    return rounded(features.from_contacts(b, "formation", "z", "reference", "is_known", "tvt_input").select("well", "row_idx", "contact"), 3)
+    return rounded(features.from_contacts(b, "formation", "z", "reference", "is_known", "tvt_input").select("well", "row_idx", "contact"), 7)
 
 
 @query("idw_spread", f"{_NEAR}, m AS (SELECT qid, sum(v / (distance + 1e-6)) / sum(1 / (distance + 1e-6)) AS m, sum(v * v / (distance + 1e-6)) / sum(1 / (distance + 1e-6)) AS q FROM near GROUP BY qid) SELECT qid, round(sqrt(greatest(q - m * m, 0)), 2) AS idw_std FROM m")
