@@ -151,6 +151,31 @@ def physical(base: DataFrame, key: str = KEY) -> DataFrame:
     }).drop("__sz", "__pz", "__pm")
 
 
+def lateral(base: DataFrame, near: int = 30, far: int = 50, least: int = 30, md: str = "md", z: str = "z", given: str = "tvt_input", key: str = KEY, index: str = INDEX) -> DataFrame:
+    """Target rows with the extrapolations of the last known rows alone, from the last of them: `by_md` and `by_z` by the lines over the last `near` rows,
+    `by_steps` by the median step of the target over md of the last `far` steps, `held`, and `lateral`, the mean of the first three.
+
+    A flat spread (deviation to 1e-6) has slope 0, a step without md counts as one of 1e-6, and keys with fewer than `least` known rows are held; with
+    none they are held at 0. A null md or z on a target row gives null there. One exchange by key serves the ranks, the steps and the join back."""
+    last = F.row_number().over(in_reverse(key, index))
+    step = lambda c: F.col(c) - F.lead(c).over(in_reverse(key, index))
+    known = base.filter(F.col("is_known") & F.col(given).isNotNull()).withColumns({"__last": last, "__dy": step(given), "__dm": step(md)})
+    rate = F.col("__dy") / F.when(F.col("__dm") == 0, F.lit(1e-6)).otherwise(F.col("__dm"))
+    line = lambda x: F.when(F.stddev_pop(F.when(F.col("__last") <= near, F.col(x))) > 1e-6, F.regr_slope(F.when(F.col("__last") <= near, F.col(given)), F.col(x)))
+    end = lambda c: F.max(F.when(F.col("__last") == 1, F.col(c)))
+    fits = known.groupBy(key).agg(
+        F.count(F.lit(1)).alias("__n"), line(md).alias("__by_md"), line(z).alias("__by_z"), F.percentile(F.when(F.col("__last") <= far, rate), 0.5).alias("__rate"),
+        end(given).alias("__y"), end(md).alias("__md"), end(z).alias("__z"),
+    )
+    out = base.filter("is_target").join(fits, key, "left").withColumn("held", F.coalesce("__y", F.lit(0.0)))
+    enough = F.coalesce(F.col("__n") >= least, F.lit(False))
+    moved = lambda slope, x: F.when(enough, F.col("held") + F.coalesce(F.col(slope), F.lit(0.0)) * (F.col(x) - F.col(f"__{x}_end"))).otherwise(F.col("held"))
+    out = out.withColumnsRenamed({"__md": f"__{md}_end", "__z": f"__{z}_end"})
+    out = out.withColumns({"by_md": moved("__by_md", md), "by_z": moved("__by_z", z), "by_steps": moved("__rate", md)})
+    mean = (F.col("by_md") + F.col("by_z") + F.col("by_steps")) / 3
+    return out.withColumn("lateral", mean).drop("__n", "__by_md", "__by_z", "__rate", "__y", f"__{md}_end", f"__{z}_end")
+
+
 def from_contacts(rows: DataFrame, formation: str, z: str, reference: str, known: str, target: str, key: str = KEY) -> DataFrame:
     """reference - (z - formation) plus the mean offset to the target over KNOWN rows only; hidden targets never enter."""
     raw = rows.withColumn("__raw", F.col(reference) - (F.col(z) - F.col(formation)))

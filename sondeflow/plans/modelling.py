@@ -208,6 +208,23 @@ def physical_extrapolation(spark, sf_dir):
     return rounded(features.physical(base(spark, sf_dir)).select("well", "row_idx", "held", "sloped", "structural"), 4)
 
 
+@query(
+    "lateral_extrapolation",
+    f"""WITH {BASE_SQL}, k AS (
+      SELECT well, md, z, tvt_input AS y, row_number() OVER back AS last, tvt_input - lead(tvt_input) OVER back AS dy, md - lead(md) OVER back AS dm
+      FROM base WHERE is_known WINDOW back AS (PARTITION BY well ORDER BY row_idx DESC)),
+    f AS (SELECT well, count(*) AS n, CASE WHEN stddev_pop(md) FILTER (last <= 8) > 1e-6 THEN regr_slope(y, md) FILTER (last <= 8) ELSE 0 END AS sm,
+      CASE WHEN stddev_pop(z) FILTER (last <= 8) > 1e-6 THEN regr_slope(y, z) FILTER (last <= 8) ELSE 0 END AS sz,
+      median(dy / CASE WHEN dm = 0 THEN 1e-6::DOUBLE ELSE dm END) FILTER (last <= 12) AS sr FROM k GROUP BY well),
+    e AS (SELECT well, row_idx, tvt0 AS held, CASE WHEN n >= 8 THEN tvt0 + sm * delta_md ELSE tvt0 END AS by_md, CASE WHEN n >= 8 THEN tvt0 + sz * delta_z ELSE tvt0 END AS by_z,
+      CASE WHEN n >= 8 THEN tvt0 + sr * delta_md ELSE tvt0 END AS by_steps FROM base JOIN f USING (well) WHERE is_target)
+    SELECT well, row_idx, round(held, 4) AS held, round(by_md, 4) AS by_md, round(by_z, 4) AS by_z, round(by_steps, 4) AS by_steps, round((by_md + by_z + by_steps) / 3, 4) AS lateral FROM e""",
+)
+def lateral_extrapolation(spark, sf_dir):
+    out = features.lateral(base(spark, sf_dir), near=8, far=12, least=8)
+    return rounded(out.select("well", "row_idx", "held", "by_md", "by_z", "by_steps", "lateral"), 4)
+
+
 @query("cross_validated_model")
 def cross_validated_model(spark, sf_dir):
     b = base(spark, sf_dir)

@@ -11,7 +11,7 @@ from sondeflow.functions import scalars as S
 from sondeflow.operators import aggregates as A
 from sondeflow.operators import blending as B
 from sondeflow.operators import curves as C
-from sondeflow.operators import folds, joins, sequence, spatial, tracking
+from sondeflow.operators import features, folds, joins, sequence, spatial, tracking
 from sondeflow.operators import windows as W
 
 
@@ -321,3 +321,24 @@ def test_stored_models(spark, tmp_path):
     back = models.stored(str(tmp_path / "m"))
     both = [sorted(map(tuple, models.averaged(df, m, ["a"], ["k"]).collect())) for m in (fitted, back)]
     assert len(back) == 2 and both[0] == both[1]
+
+
+def test_lateral_extrapolation(spark):
+    """Well 1 bends before its last known rows, well 2 knows too little, well 3 nothing, well 4 does not move, well 5 lacks an md."""
+    rows = [(1, i, float(i), 2.0 * i, (5.0 * i if i < 10 else 45.0 + 0.5 * (i - 9)) if i < 50 else None) for i in range(54)]
+    rows += [(2, i, float(i), float(i), 7.0 + i if i < 3 else None) for i in range(5)] + [(3, i, float(i), 1.0, None) for i in range(2)]
+    rows += [(4, i, 8.0, 1.0, 4.0 if i < 40 else None) for i in range(41)] + [(5, i, float(i) if i != 41 else None, 1.0, 1.0 * i if i < 40 else None) for i in range(42)]
+    df = spark.createDataFrame(rows, "well long, row_idx long, md double, z double, tvt_input double").withColumn("gr", F.lit(1.0)).withColumn("__extra", F.lit(0))
+    base = sequence.segments(df)
+    got = {(r.well, r.row_idx): r for r in features.lateral(base).collect()}
+    assert len(got) == 4 + 2 + 2 + 1 + 2
+    known = np.array([r[4] for r in rows[:50]])
+    slope = np.polyfit(np.arange(20, 50.0), known[20:], 1)[0]
+    for i in range(50, 54):
+        r = got[1, i]
+        assert (r.held, r.by_md, r.by_z) == pytest.approx((known[-1], known[-1] + slope * (i - 49), known[-1] + slope / 2 * 2 * (i - 49)))
+        assert r.by_steps == pytest.approx(known[-1] + np.median(np.diff(known)) * (i - 49)) and r.lateral == pytest.approx((r.by_md + r.by_z + r.by_steps) / 3)
+    for k, want in {(2, 4): 9.0, (3, 0): 0.0, (4, 40): 4.0}.items():
+        assert [got[k][c] for c in ("held", "by_md", "by_z", "by_steps", "lateral")] == [want] * 5
+    assert got[5, 40].by_md == pytest.approx(40.0) and got[5, 41].by_md is None and got[5, 41].by_z == 39.0
+    assert features.lateral(base.limit(0)).count() == 0
