@@ -12,9 +12,11 @@ covered, dealt over all shards at random, and again in the shard. A region that
 from each slice. Shards hold about SHARD bytes of regions each, whatever the input's size.
 
 A line that very many documents hold between different neighbours gives as many different regions with one anchor. Anchors that would
-fill a good part of a shard are therefore counted first, on a sample of the documents of about SAMPLE bytes: their strings are cut by their place at the anchor
+fill a good part of a shard are therefore counted first, on a sample of the documents: about SAMPLE bytes of them, and one in HEAVY / 8 at least, so that
+an anchor of HEAVY regions shows in it at any size of the input. Their strings are cut by their place at the anchor
 into STEP-wide ranges, each routed by the bytes that all strings of the range share, and where those are frequent too every string is
-routed by itself. The sample only deals the work: equal strings are routed alike whatever it holds.
+routed by itself. The sample only deals the work: equal strings are routed alike whatever it holds. What it finds is kept as SLOTS bits at most, by hash, so
+its size does not grow; an anchor that shares the bit of a frequent one is cut up too, which changes no result.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ SLICE, CHUNK = 1 << 20, 1 << 18
 MOST_HELD = 800_000
 SHARD = 3 << 20
 BUCKET = 4 << 20
-SAMPLE = 64 << 20
+SAMPLE, SLOTS = 16 << 20, 1 << 20
 STEP, FINE = 11, 4
 HEAVY = SHARD // 400  #: regions with one anchor, about a quarter of a shard, from which it is split
 MOST_REPEATED = 100_000
@@ -50,8 +52,14 @@ def _packed(fields: dict[str, np.ndarray]) -> bytes:
     """Fields one after another, documents as differences, each with its first bytes first, then its second, and so on."""
     out = []
     for name, kind in FIELDS.items():
-        x = np.diff(fields[name], prepend=0) if name == "doc" else fields[name]
-        out.append(np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes())
+        x = fields[name]
+        if name == "tag" and not x.any():
+            out.append(bytes(8 * len(x)))
+            continue
+        if name == "doc":
+            x = np.concatenate((x[:1], x[1:] - x[:-1]))
+        x = x.astype(kind, copy=False)
+        out.append(x.tobytes() if kind.itemsize == 1 else x.view(np.uint8).reshape(-1, kind.itemsize).T.tobytes())
     return b"".join(out)
 
 
@@ -146,7 +154,7 @@ def _ranges(start: np.ndarray, end: np.ndarray, anchor: np.ndarray, step: int =
 
 
 def _counted(every: int):
-    """Hashes of anchors (level 0) and of shared bytes of their ranges (level 1) that come more than once in a slice, with counts."""
+    """Hashes of anchors (level 0) and of shared bytes of their ranges (level 1), with counts, a row for each slice of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,19 +167,22 @@ def _counted(every: int):
                 core = _ranges(start[one], end[one], anchor[one])[3]
                 for level, h in ((0, gram[one]), (1, hashed(core, core + LENGTH - STEP + 1))):
                     h, n = np.unique(h, return_counts=True)
-                    h, n = h[n > 1], n[n > 1]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), level, np.int32)), pa.array(h.view(np.int64)), pa.array(n * every)], names=["level", "h", "n"])
 
     return run
 
 
 def _heavy(texts: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent anchors, and of frequent shared bytes, estimated on about SAMPLE bytes of documents; at most a few for each shard of the sample."""
-    every = max(1, n_bytes // SAMPLE)
+    """Slots (sorted) of frequent anchors' hashes, and of frequent shared bytes', estimated on a sample of the documents; at most SLOTS of each."""
+    every = max(1, min(n_bytes // SAMPLE, HEAVY // 8))
     some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else texts
     counts = some.mapInArrow(tidy(_counted(every)), "level int, h long, n long").groupBy("level", "h").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") >= max(HEAVY, 8 * every)).collect()
-    return tuple(np.sort(np.array([r["h"] for r in found if r["level"] == k], np.int64).view(U64)) for k in (0, 1))
+    slots = counts.filter(F.col("n") >= HEAVY).select("level", F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().collect()
+    return tuple(np.sort(np.array([r["slot"] for r in slots if r["level"] == k], np.int64).view(U64)) for k in (0, 1))
+
+
+def _is_heavy(h: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return _among(h & U64(SLOTS - 1), slots)
 
 
 def _tags(texts: list[bytes], ids: np.ndarray, repeated: np.ndarray | None) -> np.ndarray:
@@ -198,14 +209,14 @@ def _map(shards: int, heavy: tuple[np.ndarray, np.ndarray], repeated: np.ndarray
 
 def _routed(data: np.ndarray, doc, start, end, anchor, key, gram, heavy) -> tuple[np.ndarray, ...]:
     """The regions, those of heavy anchors cut up: document, start, end, anchor, hash, and the hash that they are routed by."""
-    hot = _among(gram, heavy[0])
+    hot = _is_heavy(gram, heavy[0])
     if not hot.any():
         return doc, start, end, anchor, key, gram
     hashed = span_hasher(data, lower=False)
     at = np.flatnonzero(hot)
     which, a, b, core = _ranges(start[at], end[at], anchor[at])
     which, own = at[which], hashed(core, core + LENGTH - STEP + 1)
-    alone = _among(own, heavy[1])
+    alone = _is_heavy(own, heavy[1])
     size = b - a - LENGTH + 1  # strings of each range
     each = np.repeat(np.flatnonzero(alone), size[alone])
     s = a[each] + np.arange(len(each)) - np.repeat(np.cumsum(size[alone]) - size[alone], size[alone])
@@ -233,18 +244,26 @@ def _sent(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     squeeze = zstandard.ZstdCompressor(level=4).compress
-    whole = {k: np.concatenate([h[k] for h in held]) for k in held[0] if k not in ("data", "begin")}
+    by = np.concatenate([h["to"] for h in held])
+    order = np.argsort(by, kind="stable")
+    to = by[order]
+    whole = {k: np.concatenate([h[k] for h in held])[order] for k in FIELDS}
     before = np.cumsum([0, *(len(h["data"]) for h in held[:-1])])
-    begin = np.concatenate([h["begin"] + n for h, n in zip(held, before)])
+    begin = np.concatenate([h["begin"] + n for h, n in zip(held, before)])[order]
     data = np.concatenate([h["data"] for h in held])
-    by = np.argsort(whole["to"], kind="stable")
-    to = whole["to"][by]
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else [0]
-    for a, b in zip(cut[:-1], cut[1:]):
-        own, (shard, covered) = by[a:b], divmod(int(to[a]), 2)
-        fields = {k: whole[k][own] for k in FIELDS}
-        text = b"" if covered else _gathered(data, begin[own], fields["size"].astype(np.int64)).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([bool(covered)]), pa.array([b - a], pa.int64()), pa.array([squeeze(_packed(fields) + text)], pa.binary())], names=["shard", "covered", "n", "packed"])
+    size = whole["size"].astype(np.int64)
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else np.zeros(1, np.int64)
+    # Some rows are put together at a time: their texts are gathered at once.
+    for i, j in in_slices(cut[:-1], np.add.reduceat(size, cut[:-1]).tolist() if len(to) else [], SLICE):
+        lo, hi = cut[i], cut[j]
+        entered = to[lo:hi] % 2 == 0
+        text = _gathered(data, begin[lo:hi][entered], size[lo:hi][entered])
+        end = np.concatenate(([0], np.cumsum(np.where(entered, size[lo:hi], 0))))
+        rows = []
+        for a, b in zip(cut[i:j].tolist(), cut[i + 1 : j + 1].tolist()):
+            rows.append(squeeze(_packed({k: whole[k][a:b] for k in FIELDS}) + text[end[a - lo] : end[b - lo]].tobytes()))
+        first = to[cut[i:j]]
+        yield pa.RecordBatch.from_arrays([pa.array(first // 2, pa.int64()), pa.array(first % 2 == 1), pa.array(np.diff(cut[i : j + 1]), pa.int64()), pa.array(rows, pa.binary())], names=["shard", "covered", "n", "packed"])
 
 
 def _reduce(buckets: int):
@@ -262,7 +281,7 @@ def _reduce(buckets: int):
         if fields:
             out.append(_shard({k: np.concatenate([f[k] for f in fields]) for k in FIELDS}, np.concatenate(texts)))
         spans = np.concatenate(out, axis=1)
-        to = _bucket(spans[0], buckets)
+        to = _bucket(spans[0], spans[1], buckets)
         spans = spans[:, np.lexsort((spans[2], spans[0], to))]
         to = np.sort(to)
         cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else np.zeros(1, np.int64)
@@ -273,8 +292,9 @@ def _reduce(buckets: int):
     return run
 
 
-def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def _bucket(doc: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
+    """By the id and, where it repeats, the text."""
+    return (mix64(doc.astype(np.int64).view(U64) + mix64(tag.view(U64))) % U64(buckets)).astype(np.int64)
 
 
 def _shard(field: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
@@ -367,22 +387,28 @@ def _covered_strings(text: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np
     return out
 
 
-def _boxed(buckets: int):
-    """Documents packed for each bucket: ids (null as 0), whether null, bytes, and the texts."""
+def _boxed(buckets: int, repeated: np.ndarray | None):
+    """Documents packed for each bucket: ids (null as 0), whether null, bytes, how often the row comes, and the texts. Rows of a batch that repeat an id and a text are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=5).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             null = np.array(batch.column(0).is_null().to_numpy(zero_copy_only=False), bool)
             ids = np.where(null, 0, np.nan_to_num(ids)).astype(np.int64) if null.any() else ids.astype(np.int64)
-            column = batch.column(1).cast(pa.binary())
-            to = np.where(null, _bucket(np.arange(len(ids)), buckets), _bucket(ids, buckets))
-            for b in np.unique(to).tolist():
-                at = np.flatnonzero(to == b)
-                texts = [t or b"" for t in column.take(pa.array(at)).to_pylist()]
-                head = ids[at].tobytes() + null[at].tobytes() + np.array([len(t) for t in texts], np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([squeeze(head + b"".join(texts))], pa.binary())], names=["bucket", "n", "packed"])
+            texts = np.array([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()] + [None], object)[:-1]
+            tag = _tags(texts, ids, repeated)
+            times = np.ones(len(ids), np.int64)
+            tagged = np.flatnonzero((tag != 0) & ~null)
+            _, first, count = np.unique(np.stack((ids[tagged].view(U64), tag[tagged])), axis=1, return_index=True, return_counts=True)
+            times[tagged] = 0
+            times[tagged[first]] = count
+            to = np.where(null, _bucket(np.arange(len(ids)), tag, buckets), _bucket(ids, tag, buckets))
+            stay = times > 0
+            for b in np.unique(to[stay]).tolist():
+                at = np.flatnonzero(stay & (to == b))
+                head = ids[at].tobytes() + null[at].tobytes() + np.array([len(t) for t in texts[at]], np.int64).tobytes() + times[at].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([squeeze(head + b"".join(texts[at]))], pa.binary())], names=["bucket", "n", "packed"])
 
     return run
 
@@ -402,7 +428,7 @@ def _cut(with_kept: bool, repeated: np.ndarray | None):
         for n, packed in zip(docs.column("n").to_pylist(), docs.column("packed")):
             raw = open_(packed.as_py())
             ids, null, sizes = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.bool_, n, 8 * n), np.frombuffer(raw, np.int64, n, 9 * n)
-            at = 17 * n
+            times, at = np.frombuffer(raw, np.int64, n, 17 * n).tolist(), 25 * n
             lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
             rows = []
             for k in range(n):
@@ -414,7 +440,7 @@ def _cut(with_kept: bool, repeated: np.ndarray | None):
                     cut = _less(text, start[mine][own], end[mine][own])
                 else:
                     cut = _less(text, start[:0], end[:0])
-                rows.append((None if null[k] else int(ids[k]), *cut)[:n_cols])
+                rows += [(None if null[k] else int(ids[k]), *cut)[:n_cols]] * times[k]
             parts.append(pa.table({name: pa.array(c, t) for name, c, t in zip(names, zip(*rows), types)}))
         return pa.concat_tables(parts) if parts else pa.table({name: pa.array([], t) for name, t in zip(names[:n_cols], types)})
 
@@ -445,6 +471,6 @@ def without_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     heavy = _heavy(texts.filter("doc_id IS NOT NULL"), n_bytes)
     sent = texts.mapInArrow(tidy(_map(shards, heavy, repeated)), "shard long, covered boolean, n long, packed binary")
     spans = sent.groupBy("shard").applyInArrow(tidy_group(_reduce(buckets)), "bucket long, packed binary")
-    boxes = texts.mapInArrow(tidy(_boxed(buckets)), "bucket long, n long, packed binary")
+    boxes = texts.mapInArrow(tidy(_boxed(buckets, repeated)), "bucket long, n long, packed binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     return boxes.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(tidy_pair(_cut(with_kept, repeated)), schema)

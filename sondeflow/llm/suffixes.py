@@ -20,7 +20,7 @@ from sondeflow.llm.common import U64
 #: Names up to which each is one symbol of the string handed down.
 WIDEST = 256
 #: Symbols of a string that is short enough to compare its suffixes directly, and entries that are put one by one.
-SHORT, FEW = 4096, 48
+SHORT, FEW = 4096, 200
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:

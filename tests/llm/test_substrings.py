@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sondeflow.llm import substrings, suffixes
@@ -135,3 +136,39 @@ def test_without_kept_and_repeated_ids(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_frequent_line_is_found_in_a_small_sample(spark, monkeypatch):
+    """A line between ever different neighbours: its anchors are split at any input size, as the sample does not shrink below one in HEAVY / 8."""
+    r = np.random.default_rng(8)
+    line = bytes(r.integers(97, 123, 98, np.uint8))
+    texts = [(bytes(r.integers(97, 123, 60, np.uint8)) + line + bytes(r.integers(97, 123, 60, np.uint8))).decode() for _ in range(8000)]
+    monkeypatch.setattr(substrings, "HEAVY", 400)
+    monkeypatch.setattr(substrings, "SAMPLE", 1)  # as of a table that is very much larger
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    heavy = substrings._heavy(frame, sum(map(len, texts)))
+    assert 0 < len(heavy[0]) < 200
+
+    def largest(found):
+        n = np.zeros(64, np.int64)
+        for k in range(0, len(texts), 500):
+            to = substrings._slice([t.encode() for t in texts[k : k + 500]], np.arange(k, k + 500), 64, found, np.zeros(0, np.int64))["to"]
+            n += np.bincount(to[to % 2 == 0] // 2, minlength=64)
+        return n.max() / np.median(n)
+
+    assert largest(heavy) < 3 < largest((heavy[0][:0], heavy[1][:0]))
+
+
+def test_rows_of_one_id_are_dealt_apart(spark):
+    ids, texts = np.full(5000, 7), [f"text {k % 2500} of the same id".encode() for k in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([t.decode() for t in texts])], names=["doc_id", "text"])
+    boxes = list(substrings._boxed(8, np.array([7]))(iter([batch])))
+    assert len(boxes) == 8 and sum(b.column("n")[0].as_py() for b in boxes) == 2500  # equal rows are one
+
+
+def test_many_equal_rows(spark):
+    text = "one and the same line of text that comes again and again in this table, row after row"
+    rows = [(1, text)] * 300 + [(2, text)] * 300 + [(2, text + " with an end")] * 2 + [(None, text)] * 3 + [(3, None)] * 2
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_kept=False).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(text)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, n, 0, 0, 300), (2, n, n, 1, 300), (2, n + 12, n, 1, 2), (None, n, 0, 0, 3), (3, 0, 0, 0, 2)], key=str)
