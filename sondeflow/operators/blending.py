@@ -36,6 +36,53 @@ class Moments:
     def nnls(self) -> np.ndarray:
         return nnls(self.g, self.b)
 
+    def simplex(self) -> np.ndarray:
+        return simplex(self.g, self.b)
+
+
+def simplex(g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights of least w'gw - 2w'b that are not negative and sum to 1, by an active set: solve on the free weights, stop at the first that would turn negative and hold it at
+    0, and free the held one whose price is lowest, until none is below the free ones'. g: symmetric, not negative definite."""
+    k = len(b)
+    scale = max(float(np.abs(g).max(initial=0.0)), 1e-300)
+    g, b = g / scale + 1e-12 * np.eye(k), b / scale
+    start = int(np.argmin(np.diag(g) - 2 * b))
+    w, free = np.eye(k)[start], np.eye(k, dtype=bool)[start]
+    for _ in range(50 * k + 50):  # each support comes once at most; far more than any blend needs
+        n = int(free.sum())
+        kkt = np.zeros((n + 1, n + 1))
+        kkt[:n, :n], kkt[:n, n], kkt[n, :n] = g[np.ix_(free, free)], 1.0, 1.0
+        goal = np.zeros(k)
+        solved = np.linalg.lstsq(kkt, np.append(b[free], 1.0), rcond=None)[0]
+        goal[free] = solved[:n]
+        if (goal[free] < -1e-12).any():
+            back = np.flatnonzero(free & (goal < -1e-12))
+            steps = w[back] / (w[back] - goal[back])
+            w = w + steps.min() * (goal - w)
+            hit = back[int(np.argmin(steps))]
+            w[hit], free[hit] = 0.0, False
+            continue
+        w = goal
+        price = g @ w - b
+        held = np.flatnonzero(~free)
+        if not len(held) or price[held].min() >= price[free].min() - 1e-10:
+            break
+        free[held[int(np.argmin(price[held]))]] = True
+    w = np.maximum(w, 0.0)
+    return w / w.sum()
+
+
+def convex(per: dict[int, Moments], slack: float = 1e-6) -> tuple[np.ndarray, str]:
+    """Weights of a blend from each fold's moments, and which: `best` (on the simplex, of least error) if they beat equal weights over all folds and are in no fold worse than the best
+    component alone by more than `slack`, else `equal`."""
+    whole = sum(per.values(), start=Moments(0.0, 0.0, 0.0, 0.0))
+    k = len(whole.b)
+    w, equal = whole.simplex(), np.full(k, 1.0 / k)
+    alone = min(np.eye(k), key=whole.rmse)
+    if whole.rmse(w) <= whole.rmse(equal) and all(m.rmse(w) <= m.rmse(alone) + slack for m in per.values()):
+        return w, "best"
+    return equal, "equal"
+
 
 def moment_columns(components: list[str], target: Column) -> list[Column]:
     """Aggregates whose row `as_moments` reads."""

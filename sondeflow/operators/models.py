@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondeflow.operators import boosting
 from sondeflow.sources.staging import staged
 
 
@@ -88,6 +89,19 @@ def boosted(trees: int = 20, depth: int = 4, rate: float = 0.1):
     return GBTRegressor(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42, validationIndicatorCol="held", validationTol=0.001)
 
 
+def leafwise(**change):
+    """Boosting leaf by leaf (see boosting); `change`: fields of boosting.Growth."""
+    return boosting.Estimator(boosting.leafwise(**change))
+
+
+def levelwise(**change):
+    return boosting.Estimator(boosting.levelwise(**change))
+
+
+def alike(**change):
+    return boosting.Estimator(boosting.alike(**change))
+
+
 def forest(trees: int = 10, depth: int = 6):
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -107,9 +121,9 @@ def on_residual(df: DataFrame, base: str, features: list[str], target: str, fold
     return staged(parts.withColumn("guess", F.col(base) + mean).drop(*(f"__g{k}" for k in range(n))))
 
 
-def blended(df: DataFrame, features: list[str], target: str, fold: str, keep: list[str], makes: dict, least: int) -> tuple[DataFrame, dict[str, float]]:
-    """Out-of-fold predictions of several learners, a column each, and `guess`, their blend; and the weights. Weights are those of least error that are not negative, scaled to sum
-    to 1; the best learner alone stands where the blend does not beat it in `least` folds."""
+def blended(df: DataFrame, features: list[str], target: str, fold: str, keep: list[str], makes: dict) -> tuple[DataFrame, dict[str, float], str]:
+    """Out-of-fold predictions of several learners, a column each, and `guess`, their blend; the weights, and which they are (see blending.convex): those of least error on the
+    simplex, or equal ones where a fold speaks against them."""
     from sondeflow.operators import blending as B
 
     out = None
@@ -117,21 +131,9 @@ def blended(df: DataFrame, features: list[str], target: str, fold: str, keep: li
         part = cross_validated(df, features, target, fold, keep, make).withColumnRenamed("guess", name)
         out = part if out is None else out.join(part.select(*keep, name), keep)
     names = list(makes)
-    per = B.moments(out, names, F.col(target), fold)
-    whole = sum(per.values(), start=B.Moments(0.0, 0.0, 0.0, 0.0))
-    w = whole.nnls()
-    w = w / w.sum() if w.sum() > 0 else w + 1 / len(w)
-    alone = min((one for one in _units(len(names))), key=whole.rmse)
-    if sum(m.rmse(w) < m.rmse(alone) for m in per.values()) < least:
-        w = alone
+    w, which = B.convex(B.moments(out, names, F.col(target), fold))
     guess = sum((float(c) * F.col(n) for c, n in zip(w[1:], names[1:])), float(w[0]) * F.col(names[0]))
-    return out.withColumn("guess", guess), dict(zip(names, map(float, w)))
-
-
-def _units(k: int):
-    import numpy as np
-
-    return list(np.eye(k))
+    return out.withColumn("guess", guess), dict(zip(names, map(float, w))), which
 
 
 def many_targets(df: DataFrame, features: list[str], targets: list[str], fold: str, keep: list[str], make=None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sondeflow.operators import aggregates as A
 from sondeflow.operators import blending as B
-from sondeflow.operators import features, filters, folds, joins, models, sequence, spatial, tracking, validation
+from sondeflow.operators import boosting, features, filters, folds, joins, models, sequence, spatial, tracking, validation
 from sondeflow.operators import curves as C
 from sondeflow.operators import windows as W
 from sondeflow.plans.base import BASE_SQL, WELLS_SQL, back_in_well, base, in_well, rounded, table, wells
@@ -414,10 +415,56 @@ def residual_model(spark, sf_dir):
 
 @query("blended_models")
 def blended_models(spark, sf_dir):
-    out, _ = models.blended(_folded(spark, sf_dir), NAMES, "y", "fold", ["well", "row_idx"], {"trees": lambda: models.boosted(3, 3), "forest": lambda: models.forest(3, 4), "line": models.linear}, 1)
+    """Three ways to grow boosted trees, blended by weights on the simplex."""
+    few = {"trees": 3, "rate": 0.3, "rows": 1.0, "columns": 1.0}
+    makes = {"leaves": lambda: models.leafwise(leaves=8, **few), "levels": lambda: models.levelwise(depth=3, **few), "alike": lambda: models.alike(depth=3, **few)}
+    out, _, _ = models.blended(_folded(spark, sf_dir), NAMES, "y", "fold", ["well", "row_idx"], makes)
     return out
 
 
+@query("boosted_residual")
+def boosted_residual(spark, sf_dir):
+    """Leaf-wise trees on what the first path leaves, with early stopping."""
+    return models.on_residual(_folded(spark, sf_dir), "a", ["b", "c", "place"], "y", "fold", ["well", "row_idx"], [lambda: models.leafwise(trees=5, leaves=6, rate=0.3, patience=2, rows=1.0, columns=1.0)])
+
+
+@query(
+    "boosted_stump",
+    """WITH t AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem),
+m AS (SELECT avg(y) AS base, count(*) AS n, sum(CAST(round(y * 100) AS HUGEINT)) AS total FROM t),
+b AS (SELECT 'q' AS feature, e AS edge, sum(CAST(round(y * 100) AS HUGEINT)) AS s, count(*) AS n FROM t, (SELECT unnest([10, 20, 30, 40]) AS e) WHERE q <= e GROUP BY e
+      UNION ALL SELECT 'd', e, sum(CAST(round(y * 100) AS HUGEINT)), count(*) FROM t, (SELECT unnest([2, 4, 6, 8]) AS e) WHERE d <= e GROUP BY e),
+r AS (SELECT feature, edge, b.s / 100.0 - b.n * base AS l, b.n AS ln, (m.total - b.s) / 100.0 - (m.n - b.n) * base AS r, m.n - b.n AS rn FROM b, m),
+g AS (SELECT *, l * l / (ln + 1.0) + r * r / (rn + 1.0) AS gain FROM r ORDER BY gain DESC, feature DESC, edge LIMIT 1)
+SELECT feature, CAST(edge AS DOUBLE) AS edge, round(0.5 * l / (ln + 1.0), 2) AS low, round(0.5 * r / (rn + 1.0), 2) AS high, ln AS rows_low, rn AS rows_high FROM g""",
+)
+def boosted_stump(spark, sf_dir):
+    """The first split that boosting finds for a line's price, its leaf values and their rows."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("y"), F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_discount") * 100).cast("long").alias("d"))
+    growth = boosting.leafwise(trees=1, leaves=2, rate=0.5, least=1, rows=1.0, columns=1.0)
+    m = boosting.fitted(t, ["q", "d"], "y", growth, edges=[np.array([10.0, 20, 30, 40]), np.array([2.0, 4, 6, 8])])
+    tree = m.trees[0]
+    f, edge = tree.feature[0], float(m.edges[tree.feature[0]][tree.cut[0] - 1])
+    low = F.col(m.features[f]) <= edge
+    return t.agg(F.lit(m.features[f]).alias("feature"), F.lit(edge).alias("edge"), F.lit(round(tree.value[tree.left[0]], 2)).alias("low"), F.lit(round(tree.value[tree.right[0]], 2)).alias("high"), F.count_if(low).alias("rows_low"), F.count_if(~low).alias("rows_high"))
+
+
+@query(
+    "convex_pair",
+    """WITH t AS (SELECT l_returnflag AS flag, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) * 1500 AS a, CAST(l_quantity AS DOUBLE) * 1300 + 5000 AS b FROM lineitem),
+w AS (SELECT flag, least(greatest(sum((y - b) * (a - b)) / sum((a - b) * (a - b)), 0), 1) AS w FROM t GROUP BY flag)
+SELECT flag, round(w, 5) AS w_a, round(1 - w, 5) AS w_b, round(sqrt(avg((w * a + (1 - w) * b - y) * (w * a + (1 - w) * b - y))), 3) AS rmse FROM t JOIN w USING (flag) GROUP BY flag, w""",
+)
+def convex_pair(spark, sf_dir):
+    """Weights on the simplex of two guesses of a line's price for each flag, and the blend's error."""
+    q = F.col("l_quantity").cast("double")
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("y"), (q * 1500).alias("a"), (q * 1300 + 5000).alias("b"))
+    per = B.moments(t, ["a", "b"], F.col("y"), "flag")  # a row a flag
+    found = [(flag, *map(float, m.simplex()), m.rmse(m.simplex())) for flag, m in per.items()]
+    out = spark.createDataFrame(found, "flag string, w_a double, w_b double, rmse double")
+    return out.select("flag", F.round("w_a", 5).alias("w_a"), F.round("w_b", 5).alias("w_b"), F.round("rmse", 3).alias("rmse"))
+
+
 @query("model_importances")
 def model_importances(spark, sf_dir):
     return models.importances(models.fold_models(_folded(spark, sf_dir), NAMES, "y", "fold", lambda: models.boosted(3, 3)), NAMES, spark)

@@ -308,7 +308,7 @@ def test_models(spark):
     trees = models.fold_models(df, ["a", "b"], "y", "fold", lambda: models.boosted(5, 3))
     rank = models.importances(trees, ["a", "b"], spark).collect()
     assert rank[0].feature == "a" and sum(x.importance for x in rank) == pytest.approx(1)
-    mix, w = models.blended(df, ["a", "b"], "y", "fold", ["k"], {"line": models.linear, "trees": lambda: models.boosted(3, 2)}, 1)
+    mix, w, _ = models.blended(df, ["a", "b"], "y", "fold", ["k"], {"line": models.linear, "trees": lambda: models.boosted(3, 2)})
     assert w["line"] > 0.9 and sum(w.values()) == pytest.approx(1) and error(mix, "guess") < 0.2
 
 

@@ -100,6 +100,24 @@ def test_filters_follow_a_clean_signal():
     assert guess.shape == (1, 50) and np.abs(guess[0] - rows["tvt"].to_numpy()[30:]).mean() < 8 and np.isfinite(loglik).all()
 
 
+def test_one_replica_is_the_plain_filter():
+    rows, x, y = well(n=60, known=20, seed=2)
+    s = filters.Settings(particles=40, start_spread=6.0, rate_noise=0.05)
+    part = filters.prepared(rows, x, y, s)
+    one = filters.paths(part, 1, np.random.default_rng(9), s)
+    got = filters.tempered(part, np.random.default_rng(9), s, replicas=1, every=1000)
+    for a, b in zip(got, one):
+        assert a == pytest.approx(b)
+
+
+def test_replicas_change_places_in_detailed_balance():
+    """At two powers of three states' likelihoods, exchanges by the odds leave the joint distribution as it is."""
+    met, (a, b) = np.array([0.0, -1.5, -4.0]), (1.0, 0.25)
+    joint = np.exp(a * met[:, None] + b * met[None, :])
+    go = np.minimum(1.0, np.exp([[filters.exchange_odds(a, b, x, y) for y in met] for x in met]))
+    assert joint * go == pytest.approx((joint * go).T)
+
+
 def test_filtered_table(spark):
     parts = [well(seed=k)[0].assign(well=k) for k in range(3)]
     _, x, y = well()
