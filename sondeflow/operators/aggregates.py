@@ -48,18 +48,65 @@ def _before(parted: DataFrame, *sums: Column) -> DataFrame:
     return per.select("__part", *(F.coalesce(F.sum(c).over(past), F.lit(0)).alias(n) for c, n in (("__n", "__rows"), *((f"__t{k}", f"__s{k}") for k in range(len(sums))))))
 
 
+#: Distinct values among which a quantile is picked in one task, and the sketch's accuracy.
+BRACKET, ACCURACY = 100_000, 10_000
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """keys and a column for each named share: quantiles of `column` for each key, linear between neighbours; exact, and no task holds a key's values.
+
+    Each wanted rank of each key gets a bracket of values. A pass counts the distinct values in the brackets, which a hot key spreads over all tasks; a bracket
+    with more than BRACKET of them is narrowed by the quantile sketch of what lies in it, whose error is known, and counted again. Nulls and NaN do not count; a key
+    without values has nulls. With no keys there is one row.
+    """
+    names = list(shares)
+    x = F.col(column).cast("double")
+    values = staged(df.select(*keys, F.when(~F.isnan(x), x).alias("__x")))
+    per = values.groupBy(*keys).agg(F.count("__x").alias("__n"))
+    ranks = [(F.floor(F.lit(float(shares[n])) * (F.col("__n") - 1)), k, side) for k, n in enumerate(names) for side in (0, 1)]
+    wanted = F.explode(F.array(*(F.struct(F.lit(2 * k + side).alias("j"), F.least(r + side, F.col("__n") - 1).alias("rank")) for r, k, side in ranks)))
+    # One bracket for each rank: its values from lo to hi, `below` rows before them.
+    state = per.filter("__n > 0").select(*keys, wanted.alias("w")).select(*keys, "w.*", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("below"))
+    on = [*keys, "j"]
+    for _ in range(20):
+        state = staged(state)
+        met = values.filter("__x IS NOT NULL").join(state, keys) if keys else values.filter("__x IS NOT NULL").join(F.broadcast(state))
+        inside = (F.col("lo").isNull() | (F.col("__x") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("__x") <= F.col("hi")))
+        sizes = met.filter(inside).groupBy(*on, "rank", "below").agg(F.count("*").alias("m"), F.approx_count_distinct("__x").alias("kinds"))
+        wide = sizes.filter(F.col("kinds") > BRACKET)
+        if wide.isEmpty():
+            break
+        share = (F.col("rank") - F.col("below")) / F.greatest(F.col("m") - 1, F.lit(1))
+        many = staged(wide.select(*on, share.alias("share")))
+        # A sketch for every bracket that is too wide, cut at the shares of all ranks: the pieces next to the rank's own share, two errors to each side.
+        cuts = [k / 64 for k in range(65)]
+        sketch = met.filter(inside).join(many, on, "left_semi").groupBy(*on).agg(F.percentile_approx("__x", cuts, ACCURACY).alias("cuts"))
+        reach = 2.0 / ACCURACY
+        place = lambda s: F.greatest(F.lit(1), F.least(F.lit(65), s)).cast("int")
+        near = sketch.join(many, on).select(*on, F.element_at("cuts", place(F.floor((F.col("share") - reach) * 64) + 1)).alias("a"), F.element_at("cuts", place(F.ceil((F.col("share") + reach) * 64) + 1)).alias("b"))
+        cut = state.join(near, on, "left").withColumns({"lo": F.coalesce(F.when(F.col("a") > F.coalesce("lo", F.lit(float("-inf"))), F.col("a")), "lo"), "hi": F.coalesce("b", "hi")}).drop("a", "b")
+        cut = staged(cut)
+        before = values.filter("__x IS NOT NULL").join(cut, keys) if keys else values.filter("__x IS NOT NULL").join(F.broadcast(cut))
+        below = before.groupBy(*on).agg(F.count_if(F.col("__x") < F.col("lo")).alias("below"))
+        state = cut.drop("below").join(below, on)
+    counts = met.filter(inside).groupBy(*on, "rank", "below", "__x").agg(F.count("*").alias("c"))
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*on).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("__upto", upto).filter((F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("c")))
+    at = {j: F.max(F.when(F.col("j") == j, F.col("__x"))) for j in range(2 * len(names))}
+    wide = found.groupBy(*keys).agg(*(c.alias(f"__{j}") for j, c in at.items()))
+    every = per.join(wide, keys, "left") if keys else per.join(F.broadcast(wide), F.lit(True), "left")
+    out = []
+    for k, n in enumerate(names):
+        a, b = F.col(f"__{2 * k}"), F.col(f"__{2 * k + 1}")
+        part = F.lit(float(shares[n])) * (F.col("__n") - 1)
+        part = part - F.floor(part)
+        out.append(F.when(part == 0, a).otherwise((1 - part) * a + part * b).alias(n))
+    return every.select(*keys, *out)
+
+
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Quantiles of a whole column, linear between neighbours, by sorting it in parts: no task holds all values. Nulls are left out; None without values."""
-    parted = in_parts(df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL"), [F.col("x")])
-    placed = parted.join(F.broadcast(_before(parted)), "__part").select("x", (F.col("__rows") + F.col("__at") - 1).alias("place"))
-    n = parted.count()
-    if not n:
-        return [None] * len(shares)
-    asked = [q * (n - 1) for q in shares]
-    wanted = sorted({int(f) for a in asked for f in (a // 1, min(a // 1 + 1, n - 1))})
-    got = {r["place"]: r["x"] for r in placed.filter(F.col("place").isin(wanted)).collect()}
-    low = [int(a) for a in asked]
-    return [got[i] + (got[min(i + 1, n - 1)] - got[i]) * (a - i) for a, i in zip(asked, low)]
+    """Quantiles of a whole column (see quantiles); None without values."""
+    return list(quantiles(df, [], column, {f"q{k}": q for k, q in enumerate(shares)}).first())
 
 
 def quantile_edges(df: DataFrame, column: str, parts: int) -> DataFrame:
@@ -84,15 +131,18 @@ def shares(df: DataFrame, key: str) -> DataFrame:
 
 
 def described(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles of each key that has rows."""
     x = F.col(column)
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.5)).alias("q50"), F.percentile(x, F.lit(0.75)).alias("q75"), F.max(x).alias("hi"))
+    told = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    q = quantiles(df, keys, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return told.join(q, keys).select(*keys, "n", "mean", "std", "lo", "q25", "q50", "q75", "hi")
 
 
 def median_deviation(df: DataFrame, column: str, key: str) -> DataFrame:
     """Median, and median absolute deviation from it, for each key."""
-    mid = df.groupBy(key).agg(F.percentile(F.col(column), F.lit(0.5)).alias("median"))
-    out = df.join(mid, key)
-    return out.groupBy(key).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col(column) - F.col("median")), F.lit(0.5)).alias("mad"))
+    mid = staged(quantiles(df, [key], column, {"median": 0.5}))
+    off = df.join(mid, key).select(key, F.abs(F.col(column) - F.col("median")).alias("__off"))
+    return mid.join(quantiles(off, [key], "__off", {"mad": 0.5}), key)
 
 
 def histogram(df: DataFrame, column: str, keys: list[str], low: float, high: float, bins: int) -> DataFrame:
@@ -317,5 +367,5 @@ def first_rows(df: DataFrame, order: list, n: int | None) -> DataFrame:
 
 def median_filled(df: DataFrame, columns: list[str], by: DataFrame) -> DataFrame:
     """Nulls of each column become its median in `by`, the training rows."""
-    middle = F.broadcast(by.agg(*(F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns)))
-    return df.join(middle).withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*(f"__{c}" for c in columns))
+    middle = {c: exact_quantiles(by, c, [0.5])[0] for c in columns}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, m in middle.items()})

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sondeflow.operators.sequence import dealt
+
 
 @dataclass
 class Moments:
@@ -301,7 +303,7 @@ def projected(df: DataFrame, guess: str, z: str, anchor: str, md: str, key: str,
         pdf["projected"] = (1 - beta) * pdf[guess] + beta * (fit - pdf[z] + pdf[anchor])
         return pdf[[*names, "projected"]]
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    return dealt(df, key).groupBy(key).applyInPandas(run, schema)
 
 
 def smoothing_errors(df: DataFrame, guess: str, truth: str, key: str, index: str, fold: str, widths: list[int], method: str = "mean") -> DataFrame:

@@ -65,6 +65,39 @@ def as_of(rows: DataFrame, knots: DataFrame, key: str, at: str, x: str, y: str)
     return out.select(*rows.columns, F.col("__last.x").alias("x0"), F.col("__last.y").alias("y0"))
 
 
+def along(rows: DataFrame, knots: DataFrame, key: str, at: str, x: str, y: str, name: str, edge: str = "clamp") -> DataFrame:
+    """rows with `name`, the curve of their key at the column `at`: lookup's values for curves of any number of knots, at a cost for each row that does not depend on it.
+
+    Rows and knots are sorted together once for each key, and each row takes the last knot before it, which carries the next one with it; a knot at minus infinity carries the first two.
+    Knots of equal x count by their mean y, those with a null not at all. A null `at`, or a key without knots, gives null.
+    """
+    fx, fy = F.col(x).cast("double"), F.col(y).cast("double")
+    one = knots.select(F.col(key).alias("__key"), fx.alias("x"), fy.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL").groupBy("__key", "x").agg(F.avg("y").alias("y"))
+    w = Window.partitionBy("__key").orderBy("x")
+    beside = {f"{c}{d}": f(c).over(w) for d, f in (("0", F.lag), ("1", F.lead)) for c in ("x", "y")}
+    told = one.withColumns(beside)
+    knot = lambda a, b, first: F.struct(*(F.col(c).alias(n) for c, n in zip((*a, *b), ("ax", "ay", "bx", "by"))), (F.col("x0").isNull() & F.col("x1").isNull()).alias("alone"), F.lit(first).alias("below"), F.col("x1").isNull().alias("end"))
+    here, after, before = ("x", "y"), ("x1", "y1"), ("x0", "y0")
+    inner = told.select("__key", F.col("x").alias("__x"), F.when(F.col("x1").isNull() & F.col("x0").isNotNull(), knot(before, here, False)).otherwise(knot(here, after, False)).alias("__k"))
+    first = told.filter("x0 IS NULL").select("__key", F.lit(float("-inf")).alias("__x"), knot(here, after, True).alias("__k"))
+    given = inner.union(first).withColumnRenamed("__key", key).withColumn("__side", F.lit(0))
+    left = rows.withColumns({"__x": F.col(at).cast("double"), "__side": F.lit(1)})
+    both = left.unionByName(given, allowMissingColumns=True)
+    last = Window.partitionBy(key).orderBy(F.asc_nulls_first("__x"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__k", F.last("__k", ignorenulls=True).over(last)).filter("__side = 1")
+    k, v = (lambda n: F.col(f"__k.{n}")), F.col("__x")
+    line = k("ay") + (k("by") - k("ay")) * (v - k("ax")) / (k("bx") - k("ax"))
+    low = k("below") & (v < k("ax"))
+    high = k("end") & ~k("alone") & ~k("below") & (v >= k("bx"))
+    value = F.when(v.isNull() | F.col("__k").isNull(), F.lit(None).cast("double"))
+    value = value.when(k("alone"), k("ay") if edge != "null" else F.when(v == k("ax"), k("ay")))
+    if edge == "clamp":
+        value = value.when(low, k("ay")).when(high, k("by"))
+    elif edge == "null":
+        value = value.when(low | (high & (v > k("bx"))), F.lit(None).cast("double"))
+    return out.select(*rows.columns, value.otherwise(line).alias(name))
+
+
 def probes(knots: Column, centre: Column, gr: Column, offsets: list[float]) -> Column:
     """gr less the curve at centre + each offset, as an array."""
     return F.transform(F.array(*(F.lit(float(o)) for o in offsets)), lambda o: gr - lookup(knots, centre + o))

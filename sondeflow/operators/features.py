@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sondeflow.functions.scalars import clip, ratio
+from sondeflow.operators import sequence
+from sondeflow.operators.aggregates import exact_quantiles
 from sondeflow.operators.sequence import INDEX, KEY, in_order, in_reverse
 
 
@@ -96,11 +98,11 @@ def ramp(md_since: Column, tau: float) -> Column:
 
 def shape_labels(stats: DataFrame, columns: dict[str, str], low: float = 0.33, high: float = 0.67) -> DataFrame:
     """A label low, mid or high for each column by the quantiles of all keys, and the labels joined. columns: source to label name."""
-    cuts = F.broadcast(stats.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns)))
-    out = stats.join(cuts)
+    out = stats
     for c, name in columns.items():
-        out = out.withColumn(name, F.when(F.col(c) <= F.col(f"__{c}")[0], "low").when(F.col(c) <= F.col(f"__{c}")[1], "mid").when(F.col(c).isNotNull(), "high"))
-    return out.withColumn("shape", F.concat_ws("-", *columns.values())).drop(*(f"__{c}" for c in columns))
+        a, b = (F.lit(v).cast("double") for v in exact_quantiles(stats, c, [low, high]))
+        out = out.withColumn(name, F.when(F.col(c) <= a, "low").when(F.col(c) <= b, "mid").when(F.col(c).isNotNull(), "high"))
+    return out.withColumn("shape", F.concat_ws("-", *columns.values()))
 
 
 def calibration(rows: DataFrame, y: str, reference: str, key: str = KEY, least: int = 10) -> DataFrame:
@@ -316,7 +318,7 @@ def alignment(rows: DataFrame, curve: DataFrame, centre: str, key: str = KEY, in
     given = curve.select(F.col(key).alias("__key"), "x", "y")
     picked = rows.select(key, index, "gr", "tvt_input", "is_target", centre)
     schema = f"{key} {kind[key]}, {index} {kind[index]}, residual double, local double, offset double, gain double"
-    return picked.groupBy(key).cogroup(given.groupBy("__key")).applyInPandas(run, schema)
+    return sequence.dealt(picked, key).groupBy(key).cogroup(sequence.dealt(given, "__key").groupBy("__key")).applyInPandas(run, schema)
 
 
 def wide_with_paths(base: DataFrame, knots: DataFrame, paths: dict[str, DataFrame], surfaces: DataFrame | None = None, key: str = KEY, index: str = INDEX) -> DataFrame:

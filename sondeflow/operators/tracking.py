@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondeflow.operators import sequence
 from sondeflow.operators.windows import savgol_weights
 
 # Bounds of a squared residual and of a likelihood.
@@ -57,9 +58,10 @@ def tracked(rows: DataFrame, curve: DataFrame, kernel: Callable, key: str, index
         if len(got) > MOST_KNOTS:
             raise ValueError(f"a curve of all keys may have {MOST_KNOTS} rows")
         x, y = knots_of(got)
-        return dealt.groupBy(key, "__part").applyInPandas(lambda left: run(left, x, y), schema)
+        return sequence.dealt(dealt, key, "__part").groupBy(key, "__part").applyInPandas(lambda left: run(left, x, y), schema)
     each = curve.select(F.col(key).alias("__key"), "x", "y", every.alias("__own"))
-    return dealt.groupBy(key, "__part").cogroup(each.groupBy("__key", "__own")).applyInPandas(lambda left, right: run(left, *knots_of(right)), schema)
+    sides = sequence.dealt(dealt, key, "__part").groupBy(key, "__part"), sequence.dealt(each, "__key", "__own").groupBy("__key", "__own")
+    return sides[0].cogroup(sides[1]).applyInPandas(lambda left, right: run(left, *knots_of(right)), schema)
 
 
 def ensemble(paths: DataFrame, key: str, index: str, scale: float) -> DataFrame:
@@ -324,7 +326,7 @@ def self_correlated(rows: DataFrame, key: str, index: str, gr: str = "gr", given
 
     kind = dict(rows.dtypes)
     schema = f"{key} {kind[key]}, {index} {kind[index]}, " + ", ".join(f"{n} double" for n in names) + ", guess double"
-    return rows.select(key, index, gr, given).groupBy(key).applyInPandas(run, schema)
+    return sequence.dealt(rows.select(key, index, gr, given), key).groupBy(key).applyInPandas(run, schema)
 
 
 def self_matches(known: np.ndarray, target: np.ndarray, hidden: np.ndarray, half: int, stride: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
+from sondeflow.operators import sequence
+
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -30,6 +37,113 @@ def rolling_median(x: Column, w: WindowSpec, width: int, centred: bool = True) -
     return F.percentile(x, F.lit(0.5)).over(_frame(w, width, centred))
 
 
+class Middle:
+    """The median of a changing bag of numbers: two heaps, the lower half's largest and the upper half's smallest on top. What is taken out stays in its heap until it comes to the
+    top, so putting in and taking out cost the logarithm of the bag's size."""
+
+    def __init__(self) -> None:
+        self.low, self.high = [], []  # of (-value, number) and (value, number)
+        self.place: dict[int, bool] = {}  # whether each number that is in the bag lies in the lower half
+        self.n_low = 0
+
+    def _top(self, heap: list) -> float:
+        while heap[0][1] not in self.place or self.place[heap[0][1]] != (heap is self.low):
+            heapq.heappop(heap)
+        return heap[0][0]
+
+    def put(self, number: int, value: float) -> None:
+        lower = self.n_low > 0 and value <= -self._top(self.low)
+        self.place[number] = lower
+        heapq.heappush(self.low if lower else self.high, (-value if lower else value, number))
+        self.n_low += lower
+        self._even()
+
+    def take(self, number: int) -> None:
+        self.n_low -= self.place.pop(number)
+        self._even()
+
+    def _even(self) -> None:
+        """The lower half has as many as the upper one, or one more."""
+        want = (len(self.place) + 1) // 2
+        while self.n_low < want:
+            value = self._top(self.high)
+            number = heapq.heappop(self.high)[1]
+            self.place[number] = True
+            heapq.heappush(self.low, (-value, number))
+            self.n_low += 1
+        while self.n_low > want:
+            value = -self._top(self.low)
+            number = heapq.heappop(self.low)[1]
+            self.place[number] = False
+            heapq.heappush(self.high, (value, number))
+            self.n_low -= 1
+
+    def median(self) -> float | None:
+        n = len(self.place)
+        if not n:
+            return None
+        low = -self._top(self.low)
+        return low if n % 2 else 0.5 * low + 0.5 * self._top(self.high)
+
+
+def rolling_medians(df: DataFrame, key: str, index: str, column: str, name: str, width: int, centred: bool = True, block: int = 1 << 14) -> DataFrame:
+    """df with `name`, the median of `column` over `width` rows of a key, trailing or centred (nulls do not count), at a cost for each row that grows with the logarithm of the width.
+
+    index: a key's rows numbered from 0 without gaps (see sequence.row_index). Each key is cut into blocks of at least `block` rows, which also get the rows next to them
+    that their frames reach: a long key is many tasks' work, and a task holds one block.
+    """
+    before, after = (width // 2, (width - 1) // 2) if centred else (width - 1, 0)
+    size = max(block, 2 * width)
+    at = lambda x: F.call_function("div", F.greatest(x, F.lit(0)), F.lit(size))
+    i = F.col(index).cast("long")
+    rows = df.withColumn("__block", F.explode(F.array_distinct(F.array(at(i), at(i - after), at(i + before)))))
+    rows = sequence.dealt(rows, key, "__block").sortWithinPartitions(key, "__block", index)
+    names = df.columns
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in consecutive(batches, [key, "__block"]):
+            place, number = group.column(index).to_numpy(), group.column("__block")[0].as_py()
+            value = group.column(column).cast(pa.float64()).to_pylist()
+            own = np.flatnonzero(place // size == number)
+            bag, out, put, taken = Middle(), [], 0, 0
+            for k in own.tolist():
+                while put < len(value) and put <= k + after:
+                    if value[put] is not None:
+                        bag.put(put, value[put])
+                    put += 1
+                while taken < k - before:
+                    if value[taken] is not None:
+                        bag.take(taken)
+                    taken += 1
+                out.append(bag.median())
+            if len(own):
+                mine = group.select(names).slice(int(own[0]), len(own)).append_column(name, pa.array(out, pa.float64()))
+                yield from mine.combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def consecutive(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows that follow one another with the same values of `by`."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
+        a = 0
+        for b in range(1, len(keys) + 1):
+            if b < len(keys) and keys[b] == keys[a]:
+                continue
+            if held and keys[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = keys[a]
+            held.append(batch.slice(a, b - a))
+            a = b
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def envelope(x: Column, w: WindowSpec, width: int) -> Column:
     return F.max(x).over(_frame(w, width, True))
 

@@ -425,7 +425,7 @@ def blended_models(spark, sf_dir):
 @query("boosted_residual")
 def boosted_residual(spark, sf_dir):
     """Leaf-wise trees on what the first path leaves, with early stopping."""
-    return models.on_residual(_folded(spark, sf_dir), "a", ["b", "c", "place"], "y", "fold", ["well", "row_idx"], [lambda: models.leafwise(trees=5, leaves=6, rate=0.3, patience=2, rows=1.0, columns=1.0)])
+    return models.on_residual(_folded(spark, sf_dir), "a", ["b", "c", "tvt0"], "y", "fold", ["well", "row_idx"], [lambda: models.leafwise(trees=5, leaves=6, rate=0.3, patience=2, rows=1.0, columns=1.0)])
 
 
 @query(

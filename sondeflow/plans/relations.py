@@ -126,8 +126,19 @@ def _curve_query(edge: str):
         return rounded(j.select("event_id", C.lookup(F.col("knots"), F.col("v"), edge).alias("y")), 4)
 
 
+def _merged_query(edge: str):
+    @query(f"curve_merged_{edge}", _curve_sql(edge))
+    def merged(spark, sf_dir):
+        """The same values by one sort of rows and knots together: no curve is held in a row."""
+        e = table(spark, sf_dir, "events").select(F.col("user_id").alias("c"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 86400).alias("v"))
+        o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6 / 86400).alias("x"), F.col("o_totalprice").alias("y"))
+        out = C.along(e.join(o.select("c").distinct(), "c", "left_semi"), o, "c", "v", "x", "y", "y", edge)
+        return rounded(out.select("event_id", "y"), 4)
+
+
 for _edge in ("clamp", "extrapolate", "null"):
     _curve_query(_edge)
+    _merged_query(_edge)
 
 
 @query(

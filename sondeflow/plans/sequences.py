@@ -56,6 +56,17 @@ def rolling_median(spark, sf_dir):
     return rounded(wells(spark, sf_dir).select("well", "row_idx", W.rolling_median(F.col("gr"), in_well(), 25).alias("med25")))
 
 
+@query(
+    "rolling_median_wide",
+    f"""WITH {WELLS_SQL} SELECT well, row_idx, round(quantile_cont(gr, 0.5) OVER (PARTITION BY well ORDER BY row_idx ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING), 6) AS med151, round(quantile_cont(gr, 0.5) OVER (PARTITION BY well ORDER BY row_idx ROWS BETWEEN 40 PRECEDING AND CURRENT ROW), 6) AS past41 FROM wells""",
+)
+def rolling_median_wide(spark, sf_dir):
+    """Wide frames, centred and trailing, by heaps over blocks of rows."""
+    w = wells(spark, sf_dir).select("well", "row_idx", "gr")
+    w = W.rolling_medians(w, "well", "row_idx", "gr", "med151", 151)
+    return rounded(W.rolling_medians(w, "well", "row_idx", "gr", "past41", 41, centred=False).drop("gr"))
+
+
 @query(
     "lags_and_rates",
     f"""WITH {WELLS_SQL}, l AS (SELECT *, md - lag(md) OVER w AS dmd, z - lag(z) OVER w AS dz, lag(value) OVER w AS before,

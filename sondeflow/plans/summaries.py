@@ -205,3 +205,12 @@ def nearest_label_by_fold(spark, sf_dir):
 def binary_slices(spark, sf_dir):
     j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return rounded(j.groupBy("lang").agg(F.count("*").alias("n"), F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.avg("n_chars").alias("n_chars")))
+
+
+@query(
+    "quantiles_by_key",
+    "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95, round(max(value), 6) AS q100 FROM events GROUP BY event_type",
+)
+def quantiles_by_key(spark, sf_dir):
+    """Exact quantiles of few hot keys: counted by value over all tasks."""
+    return rounded(A.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"q05": 0.05, "q50": 0.5, "q95": 0.95, "q100": 1.0}))
