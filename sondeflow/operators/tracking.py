@@ -108,71 +108,6 @@ def _correlated(g: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float, half:
 EMISSIONS = {"gaussian": _gaussian, "slope": _with_slope, "correlation": _correlated}
 
 
-def particle_filter(gr: str = "gr", start: str = "start", z: str | None = None, particles: int = 200, momentum: float = 0.998, rate_noise: float = 0.002, place_noise: float = 0.005, spread: float = 2.0, sigma: float = 20.0, skip_null: bool = False, emission: str = "gaussian", anneal: float = 1.0, to_anchor: float = 0.0) -> Callable:
-    """Places drift by a rate that follows an autoregression; weights by an emission; systematic resampling at half the effective size.
-
-    emission: a name of EMISSIONS. anneal below 1 softens early rows, reaching full weight at the end. to_anchor pulls the estimate to the start in
-    proportion to the particles' spread over it.
-    """
-
-    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
-        g, seen = _filled(rows, gr, float(y.mean())), rows[gr].notna().to_numpy()
-        score = EMISSIONS[emission](g, x, y, sigma)
-        heat = anneal + (1 - anneal) * np.arange(len(rows)) / max(len(rows) - 1, 1)
-        shift = rows[z].to_numpy(float) if z else np.zeros(len(rows))
-        pos = rows[start].iloc[0] + shift[0] + spread * rng.standard_normal(particles)
-        rate, w, total, out = np.zeros(particles), np.full(particles, 1 / particles), 0.0, np.empty(len(rows))
-        for i in range(len(rows)):
-            rate = momentum * rate + rate_noise * rng.standard_normal(particles)
-            pos = pos + rate + place_noise * rng.standard_normal(particles)
-            if seen[i] or not skip_null:
-                w = w * np.maximum(np.exp(heat[i] * score(i, pos - shift[i])), FLOOR)
-                s = w.sum()
-                total += float(np.log(max(s, FLOOR)))
-                w = w / s if s > 0 else np.full(particles, 1 / particles)
-            mean = float((w * pos).sum())
-            if to_anchor:
-                var = float((w * (pos - mean) ** 2).sum())
-                mean += (rows[start].iloc[0] + shift[0] - mean) * var / (var + to_anchor**2)
-            out[i] = mean - shift[i]
-            if 1 / (w * w).sum() < particles / 2:
-                at = np.searchsorted(np.cumsum(w), (np.arange(particles) + rng.random()) / particles)
-                at = np.minimum(at, particles - 1)
-                pos, rate, w = pos[at], rate[at], np.full(particles, 1 / particles)
-        return out, total
-
-    return run
-
-
-def restarted(kernel: Callable, offsets: tuple[float, ...] = (-40.0, -20.0, 0.0, 20.0, 40.0), start: str = "start") -> Callable:
-    """The path with the largest likelihood among starts moved by the offsets."""
-
-    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
-        tries = [kernel(rows.assign(**{start: rows[start] + o}), x, y, rng) for o in offsets]
-        return max(tries, key=lambda t: t[1])
-
-    return run
-
-
-def smoothed_both_ways(kernel_of: Callable, start: str = "start", spread: float = 60.0, limit: float | None = None) -> Callable:
-    """A filter forward and one backward from the forward's end with a wide start, joined by inverse variance of their local scatter.
-
-    kernel_of(spread) makes the filter. With a limit, rows at which the two lie further apart keep the forward path.
-    """
-
-    def scatter(v: np.ndarray) -> np.ndarray:
-        return pd.Series(v).rolling(15, center=True, min_periods=1).var().fillna(1.0).to_numpy() + 1e-3
-
-    def run(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray, rng) -> tuple[np.ndarray, float]:
-        ahead, score = kernel_of(2.0)(rows, x, y, rng)
-        turned = rows.iloc[::-1].assign(**{start: ahead[-1]})
-        back, _ = kernel_of(spread)(turned, x, y, rng)
-        both = two_way(ahead, back[::-1], scatter(ahead), scatter(back[::-1]))
-        return (both if limit is None else np.where(agreed(ahead, back[::-1], limit), both, ahead)), score
-
-    return run
-
-
 def agreed(forward: np.ndarray, backward: np.ndarray, limit: float) -> np.ndarray:
     """True where two filters' paths lie within the limit of each other."""
     return np.abs(forward - backward) <= limit

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -361,6 +363,26 @@ _pf("tempered", lambda b, c: _found(b, c, 1, _FEW, lambda part, rng: filters.tem
 _pf("to_anchor", lambda b, c: filters.to_anchor(_found(b, c, 2), b.groupBy("well").agg(F.first("tvt0").alias("tvt0")), "well", "tvt0"))
 
 
+def _filter_track(name: str, seeds: int, settings: filters.Settings = _FEW, run=None, anchored: bool = False):
+    """The seeds' ensemble, or the one path of `run`, for each hidden row."""
+
+    @query(f"track_{name}")
+    def track(spark, sf_dir):
+        b, c = _hidden(spark, sf_dir)
+        found = _found(b, c, seeds, settings, run)
+        if anchored:
+            found = filters.to_anchor(found, b.groupBy("well").agg(F.first("tvt0").alias("tvt0")), "well", "tvt0")
+        return tracking.ensemble(found, "well", "row_idx", 8.0).select("well", "row_idx", "guess")
+
+
+_filter_track("particles", 8, filters.Settings(particles=100))
+_filter_track("particles_slope", 2, filters.Settings(particles=60, emission="slope", anneal=0.3))
+_filter_track("particles_correlation", 2, filters.Settings(particles=60, emission="correlation"), anchored=True)
+_filter_track("restarted", 1, run=lambda part, rng: filters.restarted(part, 2, rng, replace(_FEW, start_spread=4.0)))
+_filter_track("both_ways", 1, run=lambda part, rng: filters.both_ways(part, 2, rng, _FEW))
+_filter_track("both_ways_gated", 1, run=lambda part, rng: filters.both_ways(part, 2, rng, _FEW, limit=10.0))
+
+
 @query("pf_candidates")
 def pf_candidates(spark, sf_dir):
     """Each well on its own curve and on the two wells' whose last known target is nearest, weighed by likelihood."""

@@ -111,7 +111,7 @@ def robust_projection(spark, sf_dir):
 
 def _tracking(spark, sf_dir):
     """Rows with gr and a start on a curve of part prices by size, which all wells share."""
-    e = base(spark, sf_dir).select("well", "row_idx", "gr", (F.lit(1.0) + F.col("well") % 50).alias("start"))
+    e = base(spark, sf_dir).select("well", "row_idx", "gr", (F.lit(1.0) + F.col("well") % 50).alias("start"), (-F.col("md") / 86400).alias("drift"))
     c = table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("double").alias("x")).agg((F.avg("p_retailprice") / 15).alias("y"))
     return e, c
 
@@ -152,7 +152,7 @@ SELECT well, row_idx, xs[knot] AS guess FROM p, c"""
 _NEAREST = f"""WITH {_TRACK} SELECT well, row_idx, coalesce(list_min(list_transform(list_filter(range(1, n + 1), lambda k: abs(xs[k] - (1 + well % 50)) <= 25), lambda k: {{'d': abs(g - ys[k]), 'x': xs[k]}})).x, 1 + well % 50) AS guess FROM g, c"""
 
 _track("viterbi", tracking.viterbi())
-_track("viterbi_drift", tracking.viterbi(drift="start", states=31, reach=15.0))
+_track("viterbi_drift", tracking.viterbi(drift="drift", states=31, reach=15.0))
 _track("beam", tracking.beam(), sql=_TRACED)
 _track("beam_heads", tracking.beam(trace_back=False), sql=_HEADS)
 _track("nearest", tracking.nearest_match(), sql=_NEAREST)
@@ -163,12 +163,6 @@ _track("correlation", tracking.correlation_match())
 _track("refine", tracking.refine())
 _track("refine_wide", tracking.refine(half=30, reach=20.0))
 _track("hybrid_beam", tracking.hybrid_beam())
-_track("restarted", tracking.restarted(tracking.particle_filter(particles=60)), seeds=2)
-_track("both_ways", tracking.smoothed_both_ways(lambda s: tracking.particle_filter(particles=60, spread=s)), seeds=2)
-_track("both_ways_gated", tracking.smoothed_both_ways(lambda s: tracking.particle_filter(particles=60, spread=s), limit=10.0), seeds=2)
-_track("particles_slope", tracking.particle_filter(particles=60, emission="slope", anneal=0.3), seeds=2)
-_track("particles_correlation", tracking.particle_filter(particles=60, emission="correlation", to_anchor=10.0), seeds=2)
-_track("particles", tracking.particle_filter(particles=100), seeds=8)
 
 _GREEDY = f"""WITH RECURSIVE {BASE_SQL},
 f AS (SELECT well, row_idx, gr, last_value(gr IGNORE NULLS) OVER b AS x0, first_value(gr IGNORE NULLS) OVER a AS x1,

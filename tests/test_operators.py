@@ -145,7 +145,7 @@ def test_trackers_follow_a_clean_signal():
     rows = pd.DataFrame({"gr": np.interp(path, x, y), "start": 60.0})
     rows.loc[10:14, "gr"] = np.nan
     rng = np.random.default_rng(0)
-    for kernel in (tracking.viterbi(states=201, sigma=3.0), tracking.particle_filter(sigma=3.0, rate_noise=0.05, place_noise=0.1)):
+    for kernel in (tracking.viterbi(states=201, sigma=3.0),):
         guess, loglik = kernel(rows, x, y, rng)
         assert np.abs(guess - path).mean() < 2 and math.isfinite(loglik)
     for kernel in (tracking.beam(), tracking.beam(trace_back=False), tracking.greedy_match(), tracking.correlation_match()):

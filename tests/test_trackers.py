@@ -100,6 +100,38 @@ def test_filters_follow_a_clean_signal():
     assert guess.shape == (1, 50) and np.abs(guess[0] - rows["tvt"].to_numpy()[30:]).mean() < 8 and np.isfinite(loglik).all()
 
 
+def test_two_filters_as_one_particle_after_another():
+    rows, x, y = well()
+    s = filters.Settings(particles=15, start_spread=6.0, rate_noise=0.05)
+    part = filters.prepared(rows, x, y, s)
+    got, loglik, spread = filters.both_ways(part, 1, np.random.default_rng(5), s, wide=20.0)
+    rng = np.random.default_rng(5)
+    ahead, total = slow_filter(part, 1, rng, s)
+    back_part = filters.turned(part, float(ahead[0][-1]))
+    assert (np.diff(back_part.md) >= 0).all() and back_part.rate == -part.rate and back_part.z0 == part.z[-1]
+    back, _ = slow_filter(back_part, 1, rng, filters.replace(s, start_spread=20.0))
+    again = np.random.default_rng(5)
+    var = filters.paths(part, 1, again, s)[2][0] ** 2
+    back_var = filters.paths(back_part, 1, again, filters.replace(s, start_spread=20.0))[2][0][::-1] ** 2
+    a, b = 1 / np.maximum(var, 1e-3), 1 / np.maximum(back_var, 1e-3)
+    want = (a * ahead[0] + b * back[0][::-1]) / (a + b)
+    assert got[0] == pytest.approx(want) and loglik[0] == pytest.approx(total[0]) and spread[0] == pytest.approx(1 / np.sqrt(a + b))
+    gated = filters.both_ways(part, 1, np.random.default_rng(5), s, wide=20.0, limit=1.0)[0][0]
+    assert gated == pytest.approx(np.where(np.abs(want - ahead[0]) <= 1.0, want, ahead[0]))
+
+
+def test_best_restart_keeps_its_ensemble():
+    rows, x, y = well()
+    s = filters.Settings(particles=15, start_spread=4.0, rate_noise=0.05)
+    part = filters.prepared(rows, x, y, s)
+    got, loglik, _ = filters.restarted(part, 2, np.random.default_rng(4), s, offsets=(-20.0, 0.0, 20.0))
+    rng = np.random.default_rng(4)
+    tries = [slow_filter(filters.replace(part, anchor=part.anchor + o), 2, rng, s) for o in (-20.0, 0.0, 20.0)]
+    guess, total = max(tries, key=lambda t: max(t[1]))
+    w = [math.exp((v - max(total)) / 8) for v in total]
+    assert loglik[0] == pytest.approx(max(total)) and got[0] == pytest.approx((w[0] * guess[0] + w[1] * guess[1]) / sum(w))
+
+
 def test_one_replica_is_the_plain_filter():
     rows, x, y = well(n=60, known=20, seed=2)
     s = filters.Settings(particles=40, start_spread=6.0, rate_noise=0.05)
@@ -278,7 +310,7 @@ def test_seeds_may_be_dealt(spark):
     _, x, y = well()
     curve = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
     df = spark.createDataFrame(rows).replace(float("nan"), None).select("well", "row_idx", "gr", "start")
-    kernel = tracking.particle_filter(particles=10)
+    kernel = lambda rows, x, y, rng: (rng.standard_normal(len(rows)), rng.random())
     one, dealt = (sorted(map(tuple, tracking.tracked(df, curve, kernel, "well", "row_idx", "gr", 3, spread).collect())) for spread in (1, 2))
     keyed = sorted(map(tuple, tracking.tracked(df, curve.select(F.lit(1).cast("long").alias("well"), "x", "y"), kernel, "well", "row_idx", "gr", 3).collect()))
     assert one == dealt == keyed and len(one) == 60
