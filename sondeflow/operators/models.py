@@ -161,3 +161,65 @@ def grid_errors(df: DataFrame, guess, truth: str, grid: dict[str, list[float]],
     both = df.crossJoin(F.broadcast(combos))
     e = guess(both) - F.col(truth)
     return both.groupBy(*keys, *grid).agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+def trial_errors(df: DataFrame, guess, truth: str, trials: list[dict[str, float]]) -> list[float]:
+    """The error of each set of parameters, all in one pass: rows times trials are summed where they arise."""
+    names = sorted(trials[0])
+    sets = df.sparkSession.createDataFrame([(k, *(float(t[n]) for n in names)) for k, t in enumerate(trials)], "__trial int, " + ", ".join(f"`{n}` double" for n in names))
+    both = df.crossJoin(F.broadcast(sets))  # a batch of trials
+    e = guess(both) - F.col(truth)
+    got = {r["__trial"]: r["rmse"] for r in both.groupBy("__trial").agg(F.sqrt(F.avg(e * e)).alias("rmse")).collect()}
+    return [got.get(k, float("nan")) for k in range(len(trials))]
+
+
+def searched(df: DataFrame, guess, truth: str, space: dict[str, tuple[float, float, float]], trials: int = 60, batch: int = 10, start: int = 20, seed: int = 42, good: float = 0.1, candidates: int = 24) -> tuple[dict[str, float], float, list[tuple[dict[str, float], float]]]:
+    """Parameters of least error by sequential search, their error, and all trials: after `start` random ones each batch is drawn where good trials are dense and bad ones are not.
+
+    space: name to (lowest, highest, step). The density of the best `good` share of trials, and that of the others, is a mean of normal kernels around them, as wide as
+    they spread; candidates are drawn from the good density, and those of the largest ratio of the two are tried. A batch is one pass over the rows, no set is
+    tried twice, and the search ends early once all have been.
+    """
+    import numpy as np
+
+    rng, names = np.random.default_rng(seed), sorted(space)
+    low, high, step = (np.array([space[n][k] for n in names], float) for k in range(3))
+    most = np.floor((high - low) / step + 1e-9).astype(int)  # parameters as whole numbers of steps
+    seen: dict[tuple[int, ...], float] = {}
+
+    def width(at: np.ndarray) -> np.ndarray:
+        """Of the kernels in each direction, by the spread of the points; few points are kept apart, so that the search doesn't close in too soon."""
+        least = np.maximum(0.7, (most + 1) / (2 * (len(at) + 1)))
+        return np.clip(at.std(axis=0) * len(at) ** (-1.0 / (at.shape[1] + 4)), least, np.maximum(least, (most + 1) / 2))
+
+    def log_density(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of a mean of normal kernels, with an even share over the whole space as one more."""
+        w = width(at)
+        kernels = np.exp(-0.5 * (((x[:, None, :] - at) / w) ** 2).sum(axis=2)) / np.prod(w * np.sqrt(2 * np.pi))
+        return np.log((kernels.sum(axis=1) + 1.0 / np.prod(most + 1.0)) / (len(at) + 1))
+
+    while len(seen) < min(trials, int(np.prod((most + 1).astype(float)))):
+        want = min(batch if len(seen) >= start else start - len(seen), trials - len(seen))
+        fresh: list[tuple[int, ...]] = []
+        for attempt in range(200):
+            if len(seen) < start or attempt >= 100:
+                draw = np.stack([rng.integers(0, m + 1, candidates) for m in most], axis=1)
+            else:
+                order = sorted(seen, key=seen.get)
+                cut = max(5, int(np.ceil(good * len(order))))
+                best, rest = (np.array(x, float) for x in (order[:cut], order[cut:]))
+                own = best[rng.integers(0, len(best), candidates)]
+                draw = np.clip(np.rint(own + width(best) * rng.standard_normal(own.shape)), 0, most).astype(int)
+                draw = draw[np.argsort(log_density(draw, rest) - log_density(draw, best), kind="stable")][:1]
+            for row in map(tuple, draw.tolist()):
+                if row not in seen and row not in fresh and len(fresh) < want:
+                    fresh.append(row)
+            if len(fresh) >= want:
+                break
+        if not fresh:
+            break
+        sets = [{n: float(low[j] + step[j] * row[j]) for j, n in enumerate(names)} for row in fresh]
+        for row, e in zip(fresh, trial_errors(df, guess, truth, sets)):
+            seen[row] = e if np.isfinite(e) else float("inf")
+    told = [({n: float(low[j] + step[j] * row[j]) for j, n in enumerate(names)}, e) for row, e in seen.items()]
+    return (*min(told, key=lambda t: t[1]), told)

@@ -264,17 +264,45 @@ def self_correlated(rows: DataFrame, key: str, index: str, gr: str = "gr", given
     return sequence.dealt(rows.select(key, index, gr, given), key).groupBy(key).applyInPandas(run, schema)
 
 
+#: Sums of products that are held at once, in self_matches.
+CELLS = 1 << 21
+
+
+def _window_moments(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of every window, some windows at a time; 0 for the deviation of windows that do not vary."""
+    windows = np.lib.stride_tricks.sliding_window_view(v, width)
+    mean, std = np.empty(len(windows)), np.empty(len(windows))
+    step = max(1, CELLS // width)
+    for a in range(0, len(windows), step):
+        part = windows[a : a + step]
+        mean[a : a + step], std[a : a + step] = part.mean(axis=1), np.where(np.ptp(part, axis=1) > 0, part.std(axis=1), 0.0)
+    return mean, std
+
+
 def self_matches(known: np.ndarray, target: np.ndarray, hidden: np.ndarray, half: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each hidden value the target at the middle of the known window that correlates best with the window around it, and the correlation."""
+    """For each hidden value the target at the middle of the known window that correlates best with the window around it, and the correlation.
+
+    The products of a hidden window with all known ones are one transform of the known values, multiplied by the window's and turned back; a block of hidden windows is done at
+    once, so memory grows with the sequence and time hardly with the window.
+    """
     width = 2 * half + 1
     if len(known) < width + 1:
         return np.full(len(hidden), target[-1]), np.zeros(len(hidden))
-    unit = lambda v: (v - v.mean(axis=1, keepdims=True)) / (v.std(axis=1, keepdims=True) + 1e-6)
-    windows = unit(np.lib.stride_tricks.sliding_window_view(known, width)[::stride])
-    around = unit(np.lib.stride_tricks.sliding_window_view(np.pad(hidden, half, mode="edge"), width))
-    r = around @ windows.T / width
-    best = np.round(r, 9).argmax(axis=1)
-    return target[best * stride + half], r[np.arange(len(r)), best]
+    around = np.pad(hidden, half, mode="edge")
+    known_std = _window_moments(known, width)[1][::stride]
+    mean, std = _window_moments(around, width)
+    size = 1 << (len(known) - 1).bit_length()
+    spectrum = np.fft.rfft(known - known.mean(), size)
+    windows = np.lib.stride_tricks.sliding_window_view(around, width)
+    best, score = np.empty(len(hidden), np.int64), np.empty(len(hidden))
+    step = max(1, CELLS // size)
+    for a in range(0, len(hidden), step):
+        own = windows[a : a + step] - mean[a : a + step, None]  # sums to 0, so the known windows' means drop out
+        products = np.fft.irfft(spectrum * np.conj(np.fft.rfft(own, size, axis=1)), size, axis=1)[:, : len(known) - width + 1 : stride]
+        r = np.where(known_std > 0, products / width / ((std[a : a + step, None] + 1e-6) * (known_std + 1e-6)), 0.0)
+        best[a : a + step] = np.round(r, 9).argmax(axis=1)
+        score[a : a + step] = r[np.arange(len(r)), best[a : a + step]]
+    return target[best * stride + half], score
 
 
 def greedy_match(gr: str = "gr", start: str = "start", reach: float = 25.0, stay: float = 0.15) -> Callable:

@@ -504,3 +504,58 @@ def averaged_models(spark, sf_dir):
     fitted = models.fold_models(_folded(spark, sf_dir), NAMES, "y", "fold", models.linear)
     b = base(spark, sf_dir).filter("is_known").select("well", "row_idx", (F.col("x") - F.col("x0")).alias("a"), (F.col("delta_md") / 100000).alias("b"), (F.col("post_ps_step") * 250).cast("double").alias("c"))
     return models.averaged(b, list(fitted.values()), NAMES, ["well", "row_idx"])
+
+
+# Scalars, limits and small operators on plain tables.
+
+
+@query("natural_order_keys", "SELECT c_custkey, 'well' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(c_nationkey AS VARCHAR), 12, '0') AS k FROM customer")
+def natural_order_keys(spark, sf_dir):
+    from sondeflow.functions import scalars as S
+
+    return table(spark, sf_dir, "customer").select("c_custkey", S.natural_key(F.concat(F.lit("well"), F.col("c_custkey").cast("string"), F.lit("-"), F.col("c_nationkey").cast("string"))).alias("k"))
+
+
+@query("first_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def first_rows(spark, sf_dir):
+    """A limit for trying things out, which is the operator."""
+    return A.first_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 100)
+
+
+@query("coerced_numbers", "SELECT o_orderkey, try_cast(o_orderpriority AS DOUBLE) AS whole, try_cast(left(o_orderpriority, 1) AS DOUBLE) AS head, [o_totalprice, CAST(o_custkey AS DOUBLE)] AS stacked FROM orders")
+def coerced_numbers(spark, sf_dir):
+    """Text that is no number becomes null; columns stacked to arrays."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.col("o_orderpriority").try_cast("double").alias("whole"), F.left("o_orderpriority", F.lit(1)).try_cast("double").alias("head"), F.array("o_totalprice", F.col("o_custkey").cast("double")).alias("stacked"))
+
+
+@query(
+    "completed_submission",
+    """WITH b AS (SELECT o_custkey AS id, CAST(count(*) AS DOUBLE) AS anchor FROM orders GROUP BY 1), d AS (SELECT o_custkey AS id, CAST(count(*) AS DOUBLE) / 4 AS delta FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT c_custkey AS id, coalesce(anchor + coalesce(delta, 0), 7.5) AS tvt FROM customer LEFT JOIN b ON b.id = c_custkey LEFT JOIN d ON d.id = c_custkey""",
+)
+def completed_submission(spark, sf_dir):
+    """Every id gets a value: anchor and delta, the anchor alone, or a constant."""
+    from sondeflow.sources import files
+
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "id")
+    b, d = o.groupBy("id").agg(F.count("*").cast("double").alias("anchor")), o.filter("o_orderstatus = 'P'").groupBy("id").agg((F.count("*").cast("double") / 4).alias("delta"))
+    return files.filled_submission(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), b, d, "id", "anchor", "delta", 7.5)
+
+
+@query(
+    "median_filtered",
+    f"""WITH {WELLS_SQL}, v AS (SELECT well, list(value ORDER BY row_idx) AS v FROM wells GROUP BY well)
+SELECT well, row_idx, round(list_median(list_transform(range(-3, 4), lambda k: v[1 + greatest(0, least(len(v) - 1, row_idx + k))])), 6) AS med7 FROM wells JOIN v USING (well)""",
+)
+def median_filtered(spark, sf_dir):
+    """Running median of seven with the end values repeated beyond the ends."""
+    import pandas as pd
+
+    def run(part):
+        part = part.sort_values("row_idx")
+        return pd.DataFrame({"well": part["well"], "row_idx": part["row_idx"], "med7": tracking.median_filter(part["value"].to_numpy(float), 7)})
+
+    w = wells(spark, sf_dir).select("well", "row_idx", "value")
+    kind = dict(w.dtypes)
+    return rounded(sequence.dealt(w, "well").groupBy("well").applyInPandas(run, f"well {kind['well']}, row_idx {kind['row_idx']}, med7 double"))

@@ -103,6 +103,15 @@ def grid_search(spark, sf_dir):
     return rounded(models.grid_errors(preds(spark, sf_dir), guess, "y", {"scale": [0.5, 1.0], "tau": [5.0, 20.0, 80.0]}, []), 4)
 
 
+@query("parameter_search")
+def parameter_search(spark, sf_dir):
+    """Scale and warm-up of a guess by sequential search: all trials with their errors, the best first."""
+    guess = lambda d: d["scale"] * d["a"] * features.ramp(d["row_idx"].cast("double"), d["tau"])
+    _, _, trials = models.searched(preds(spark, sf_dir), guess, "y", {"scale": (0.0, 1.5, 0.05), "tau": (5.0, 500.0, 5.0)}, trials=40, batch=10, start=20)
+    out = spark.createDataFrame([(t["scale"], t["tau"], e) for t, e in trials], "scale double, tau double, rmse double")
+    return rounded(out, 4).orderBy("rmse", "scale", "tau")
+
+
 @query("robust_projection")
 def robust_projection(spark, sf_dir):
     b = base(spark, sf_dir).filter("is_target").withColumn("guess", F.col("tvt0") + (F.col("x") - F.col("x0")))
@@ -149,10 +158,34 @@ _TRACED = f"""{_BEAM},
 p(well, row_idx, knot) AS (SELECT well, row_idx, list_position(cost, list_min(cost))::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY well ORDER BY row_idx DESC) AS last FROM m WHERE row_idx >= 0) WHERE last = 1
   UNION ALL SELECT p.well, p.row_idx - 1, m.back[p.knot] FROM p JOIN m ON m.well = p.well AND m.row_idx = p.row_idx WHERE p.row_idx > 0)
 SELECT well, row_idx, xs[knot] AS guess FROM p, c"""
+
+
+def _viterbi_sql(reach: int, drift: str) -> str:
+    """The tracker's costs and links row by row; a grid of whole steps around the start. drift: the move expected at a row."""
+    states = 2 * reach + 1
+    knot = "len(list_filter(xs, lambda x: x <= place))"
+    return f"""WITH RECURSIVE {_TRACK},
+e AS (SELECT well, row_idx, {drift} AS e FROM base WINDOW w AS (PARTITION BY well ORDER BY row_idx)),
+s AS MATERIALIZED (SELECT well, p, CASE WHEN {knot} = 0 THEN ys[1] WHEN {knot} = n THEN ys[n] ELSE (ys[{knot} + 1] - ys[{knot}]) / (xs[{knot} + 1] - xs[{knot}]) * (place - xs[{knot}]) + ys[{knot}] END AS y
+  FROM (SELECT well, p, CAST(1 + well % 50 + p AS DOUBLE) AS place FROM (SELECT DISTINCT well FROM base), (SELECT unnest(range(-{reach}, {reach} + 1)) AS p)), c),
+want AS MATERIALIZED (SELECT well, list(y ORDER BY p) AS want FROM s GROUP BY well),
+h AS MATERIALIZED (SELECT well, row_idx, g, e FROM g JOIN e USING (well, row_idx)),
+r(well, row_idx, cost, back) AS (
+  SELECT h.well, h.row_idx, list_transform(range(1, {states} + 1), lambda t: ((g - want[t]) / 20.0::DOUBLE) * ((g - want[t]) / 20.0::DOUBLE) / 2 + CAST(t - {reach + 1} AS DOUBLE) * CAST(t - {reach + 1} AS DOUBLE) / 2), []::BIGINT[] FROM h JOIN want USING (well) WHERE row_idx = 0
+  UNION ALL
+  SELECT well, row_idx, list_transform(range(1, {states} + 1), lambda t: best[t].c + ((g - want[t]) / 20.0::DOUBLE) * ((g - want[t]) / 20.0::DOUBLE) / 2), list_transform(best, lambda b: b.s)
+  FROM (SELECT r.well, h.row_idx, h.g, want.want, list_transform(range(1, {states} + 1), lambda t: list_min(list_transform(range(1, {states} + 1), lambda s: {{'c': cost[s] + (CAST(t - s AS DOUBLE) - e) * (CAST(t - s AS DOUBLE) - e) / 2, 's': s}}))) AS best
+    FROM r JOIN h ON h.well = r.well AND h.row_idx = r.row_idx + 1 JOIN want ON want.well = r.well)),
+m AS MATERIALIZED (SELECT * FROM r),
+p(well, row_idx, state) AS (SELECT well, row_idx, list_position(cost, list_min(cost))::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY well ORDER BY row_idx DESC) AS last FROM m) WHERE last = 1
+  UNION ALL SELECT p.well, p.row_idx - 1, m.back[p.state] FROM p JOIN m ON m.well = p.well AND m.row_idx = p.row_idx WHERE p.row_idx > 0)
+SELECT well, row_idx, CAST(1 + well % 50 AS DOUBLE) + state - {reach + 1} AS guess FROM p"""
+
+
 _NEAREST = f"""WITH {_TRACK} SELECT well, row_idx, coalesce(list_min(list_transform(list_filter(range(1, n + 1), lambda k: abs(xs[k] - (1 + well % 50)) <= 25), lambda k: {{'d': abs(g - ys[k]), 'x': xs[k]}})).x, 1 + well % 50) AS guess FROM g, c"""
 
-_track("viterbi", tracking.viterbi())
-_track("viterbi_drift", tracking.viterbi(drift="drift", states=31, reach=15.0))
+_track("viterbi", tracking.viterbi(), sql=_viterbi_sql(25, "0.0::DOUBLE"))
+_track("viterbi_drift", tracking.viterbi(drift="drift", states=31, reach=15.0), sql=_viterbi_sql(15, "(-md / 86400) - lag(-md / 86400) OVER w"))
 _track("beam", tracking.beam(), sql=_TRACED)
 _track("beam_heads", tracking.beam(trace_back=False), sql=_HEADS)
 _track("nearest", tracking.nearest_match(), sql=_NEAREST)

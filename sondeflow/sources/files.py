@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import zlib
 from datetime import datetime, timezone
 
 import numpy as np
@@ -159,12 +160,12 @@ def filled_submission(sample: DataFrame, base: DataFrame, delta: DataFrame, id_:
 
 
 def read_contours(spark: SparkSession, path: str, colour: tuple[int, int, int], tolerance: int = 40) -> DataFrame:
-    """path, column, row of the pixels whose colour lies within the tolerance of one, from binary PPM images (P6): the mean row of each column that has any."""
+    """path, column, row of the pixels whose colour lies within the tolerance of one, from PNG or binary PPM (P6) images: the mean row of each column that has any."""
 
     def run(batches):
         for pdf in batches:
             for path_, content in zip(pdf["path"], pdf["content"]):
-                pixels = _ppm(content)
+                pixels = _png(content) if content[:8] == PNG else _ppm(content)
                 hit = (np.abs(pixels.astype(int) - np.array(colour)) <= tolerance).all(axis=2)
                 columns = np.flatnonzero(hit.any(axis=0))
                 rows = (hit * np.arange(len(hit))[:, None]).sum(axis=0)[columns] / hit.sum(axis=0)[columns]
@@ -173,6 +174,60 @@ def read_contours(spark: SparkSession, path: str, colour: tuple[int, int, int],
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, column long, row double")
 
 
+#: First bytes of a PNG file (fixed value).
+PNG = b"\x89PNG\r\n\x1a\n"
+
+
+def _png(content: bytes) -> np.ndarray:
+    """Rows, columns, colours of a PNG image of one byte a sample, not interlaced: grey, colours or a palette, an alpha channel is left out."""
+    at, told, palette, packed = 8, None, None, []
+    while at < len(content):
+        size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        body = content[at + 8 : at + 8 + size]
+        if zlib.crc32(kind + body) != int.from_bytes(content[at + 8 + size : at + 12 + size], "big"):
+            raise ValueError(f"damaged PNG: {kind!r}")
+        if kind == b"IHDR":
+            told = body
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += 12 + size
+    if told is None or told[8] != 8 or told[12]:
+        raise ValueError("a PNG of one byte a sample that is not interlaced is asked for")
+    width, height, colour = int.from_bytes(told[:4], "big"), int.from_bytes(told[4:8], "big"), told[9]
+    samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * samples)
+    out = np.zeros((height, width, samples), np.uint8)
+    above = np.zeros((width, samples), np.uint8)
+    for k, line in enumerate(lines):
+        above = out[k] = _unfiltered(int(line[0]), line[1:].reshape(width, samples), above)
+    if colour == 3:
+        return palette[out[:, :, 0]]
+    return out[:, :, :3] if colour in (2, 6) else np.repeat(out[:, :, :1], 3, axis=2)
+
+
+def _unfiltered(way: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A line of pixels from what is stored of it: itself, or its difference to the left, the upper, their mean, or the nearest of left, upper and upper left to their sum less the last."""
+    if way == 0:
+        return line
+    if way == 1:
+        return np.cumsum(line, axis=0, dtype=np.uint64).astype(np.uint8)
+    if way == 2:
+        return line + above
+    out = np.zeros(line.shape, np.int64)
+    left = corner = np.zeros(line.shape[1], np.int64)
+    for x, (stored, up) in enumerate(zip(line.astype(np.int64), above.astype(np.int64))):
+        if way == 3:
+            guess = (left + up) // 2
+        else:
+            far = np.stack((np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)))
+            guess = np.choose(far.argmin(axis=0), (left, up, corner))
+        left, corner = (stored + guess) & 255, up
+        out[x] = left
+    return out.astype(np.uint8)
+
+
 def _ppm(content: bytes) -> np.ndarray:
     """Rows, columns, colours of a P6 image of one byte a colour."""
     words, at = [], 0

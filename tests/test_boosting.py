@@ -149,3 +149,27 @@ def test_convex_falls_back_to_equal_weights():
     assert blending.convex({0: of(good), 1: of(good)})[1] == "best"
     w, which = blending.convex({0: of(bad), 1: of(bad[:, ::-1]), 2: of(good)})
     assert which == "equal" and w.tolist() == [0.5, 0.5]
+
+
+def test_search_beats_as_many_random_trials(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x = r.uniform(0, 4, 400)
+    y = 0.7 * x + 1.3 * np.exp(-x / 0.85)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    guess = lambda d: d["a"] * d["x"] + d["b"] * F.exp(-d["x"] / d["c"])
+    space = {"a": (0.0, 2.0, 0.01), "b": (0.0, 3.0, 0.01), "c": (0.05, 3.0, 0.05)}
+    plain = lambda trials: [float(np.sqrt(np.mean((t["a"] * x + t["b"] * np.exp(-x / t["c"]) - y) ** 2))) for t in trials]
+    best, error, trials = models.searched(df, guess, "y", space, trials=40, batch=10, start=20, seed=1)
+    assert len(trials) == len({tuple(t.values()) for t, _ in trials}) == 40 and error == min(e for _, e in trials)
+    assert [e for _, e in trials] == pytest.approx(plain([t for t, _ in trials])) and plain([best]) == [pytest.approx(error)]
+    _, _, all_ = models.searched(df, guess, "y", {"a": (0.0, 0.2, 0.1), "b": (1.0, 1.0, 1.0), "c": (1.0, 1.0, 1.0)}, trials=50)
+    assert sorted(t["a"] for t, _ in all_) == pytest.approx([0.0, 0.1, 0.2])
+    monkeypatch.setattr(models, "trial_errors", lambda df, guess, truth, trials: plain(trials))
+
+    def random_(seed):
+        rng = np.random.default_rng(seed)
+        return min(plain([{n: lo + step * int(rng.integers(0, int((hi - lo) / step) + 1)) for n, (lo, hi, step) in space.items()} for _ in range(120)]))
+
+    seeds = range(100, 115)
+    found = [models.searched(None, None, "y", space, trials=120, seed=k)[1] for k in seeds]
+    assert np.median(found) < 0.8 * np.median([random_(k) for k in seeds])

@@ -160,3 +160,49 @@ def test_stream_with_nulls_and_places(spark, tmp_path):
         pdf = pd.DataFrame({"gr": [v for a, _, v in rows if a == k], "start": 5.0}).dropna()
         want = tracking.greedy_match()(pdf, np.array(x), np.array(y), None)[0]
         assert [got[(k, i)] for i in range(9) if i % 3 != 1] == list(want)
+
+
+def _as_png(pixels, colour, way, palette=None):
+    """A PNG of the pixels (rows, columns, samples), each line stored by one of the five ways, by their definition."""
+    import struct
+    import zlib
+
+    height, width, samples = pixels.shape
+    p, lines = pixels.astype(int), []
+    for y in range(height):
+        out = []
+        for x in range(width):
+            for s in range(samples):
+                a, b, c = (p[y, x - 1, s] if x else 0), (p[y - 1, x, s] if y else 0), (p[y - 1, x - 1, s] if x and y else 0)
+                paeth = min(((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c)))[2]
+                out.append((p[y, x, s] - (0, a, b, (a + b) // 2, paeth)[way]) % 256)
+        lines.append(bytes([way, *out]))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    data = zlib.compress(b"".join(lines))
+    parts = [chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0))] + ([chunk(b"PLTE", palette)] if palette else []) + [chunk(b"IDAT", data[:20]), chunk(b"IDAT", data[20:]), chunk(b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(parts)
+
+
+@pytest.mark.parametrize("colour, samples", [(0, 1), (2, 3), (4, 2), (6, 4)])
+@pytest.mark.parametrize("way", range(5))
+def test_png_lines(colour, samples, way):
+    pixels = np.random.default_rng(way).integers(0, 256, (7, 9, samples)).astype(np.uint8)
+    want = pixels[:, :, :3] if samples > 2 else np.repeat(pixels[:, :, :1], 3, axis=2)
+    assert (files._png(_as_png(pixels, colour, way)) == want).all()
+
+
+def test_contours_of_png(spark, tmp_path):
+    """A drawn line in a palette image and in colours comes back as it was drawn."""
+    line = [3, 4, 6, 6, 5, 2, 1, 0]
+    index = np.zeros((8, 8, 1), np.uint8)
+    for x, y in enumerate(line):
+        index[y, x] = 1
+    (tmp_path / "a.png").write_bytes(_as_png(index, 3, 4, bytes([255, 255, 255, 250, 10, 5])))
+    colours = np.full((8, 8, 3), 255, np.uint8)
+    colours[index[:, :, 0] == 1] = (250, 10, 5)
+    (tmp_path / "b.png").write_bytes(_as_png(colours, 2, 3))
+    got = files.read_contours(spark, str(tmp_path / "*.png"), (255, 0, 0)).collect()
+    for name in ("a.png", "b.png"):
+        assert sorted((r.column, r.row) for r in got if r.path.endswith(name)) == [(x, float(y)) for x, y in enumerate(line)]
+    with pytest.raises(ValueError, match="damaged"):
+        files._png(_as_png(index, 3, 0, bytes(6)).replace(b"IDAT", b"IDAX", 1))

@@ -314,3 +314,19 @@ def test_seeds_may_be_dealt(spark):
     one, dealt = (sorted(map(tuple, tracking.tracked(df, curve, kernel, "well", "row_idx", "gr", 3, spread).collect())) for spread in (1, 2))
     keyed = sorted(map(tuple, tracking.tracked(df, curve.select(F.lit(1).cast("long").alias("well"), "x", "y"), kernel, "well", "row_idx", "gr", 3).collect()))
     assert one == dealt == keyed and len(one) == 60
+
+
+def test_self_matches_by_transform_on_long_and_flat_parts():
+    r = np.random.default_rng(6)
+    known, hidden = 80 + np.cumsum(r.normal(size=900)), 80 + np.cumsum(r.normal(size=333))
+    known[200:300], hidden[50:120] = 77.0, 75.0  # windows that do not vary correlate with nothing
+    target = np.arange(900.0)
+    for half, stride in ((8, 3), (25, 1)):
+        unit = lambda v: (v - v.mean(axis=1, keepdims=True)) / (v.std(axis=1, keepdims=True) + 1e-6)
+        windows = np.lib.stride_tricks.sliding_window_view(known, 2 * half + 1)[::stride]
+        flat = np.ptp(windows, axis=1) == 0
+        want = unit(np.lib.stride_tricks.sliding_window_view(np.pad(hidden, half, mode="edge"), 2 * half + 1)) @ np.where(flat[:, None], 0.0, unit(windows)).T / (2 * half + 1)
+        at, score = tracking.self_matches(known, target, hidden, half, stride)
+        assert score == pytest.approx(want.max(axis=1), abs=1e-9)
+        k = ((at - half) / stride).astype(int)
+        assert want[np.arange(len(k)), k] == pytest.approx(want.max(axis=1), abs=1e-8)
