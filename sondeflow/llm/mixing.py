@@ -77,7 +77,7 @@ def mix_plan(docs: DataFrame, seed: int = 0, cap: int = CAP, row: str | None = N
     docs: doc_id long, text string, source string; other columns are ignored. Sources in code point order, null last, weigh 1, 2, 3,
     repeating. Returns doc_id, source, size (words; 0 for a null text), source_size, target (of the source), taken (words,
     repeats counted), copies (whole passes), at (the document's place in its shard), and the shard's block, blocks, picked and
-    phase. No document exceeds `cap` times its size. Rows that repeat a doc_id are counted each; those with a null doc_id are dealt by their text. With `row`, a
+    phase. No document exceeds `cap` times its size. Rows that repeat a doc_id are counted each; rows are dealt to shards by doc_id and text, so texts of one or of no doc_id are spread. With `row`, a
     column of docs, the plan has that column too. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -125,7 +125,8 @@ def mix_plan(docs: DataFrame, seed: int = 0, cap: int = CAP, row: str | None = N
 
 
 def _dealt(seed: int) -> Column:
-    return F.xxhash64(F.coalesce("doc_id", "of_text"), F.lit(seed))
+    """Rows of one doc_id with different texts are dealt apart; equal rows meet."""
+    return F.xxhash64("doc_id", "of_text", F.lit(seed))
 
 
 def _seeded(*numbers: int) -> int:

@@ -68,3 +68,17 @@ def test_mix_takes_what_the_plan_says(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_plan(df).count() == 0 and mixed(df).count() == 0
+
+
+def test_texts_of_one_id_are_dealt_apart(spark):
+    """A third of all rows repeat one doc_id: their texts lie in all shards, and targets are met as before."""
+    from pyspark.sql import functions as F
+
+    from sondeflow.llm import mixing
+
+    rows = [(7 if i % 3 == 0 else i, f"words of text {i} in this table", "a") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dealt = docs.withColumn("of_text", F.xxhash64("text")).filter("doc_id = 7").groupBy(F.pmod(mixing._dealt(0), F.lit(50)).alias("shard")).count()
+    assert dealt.count() == 50 and dealt.agg(F.max("count")).first()[0] < 2 * 2000 / 50
+    size, taken = mixing.mix_plan(docs).agg(F.sum("size"), F.sum("taken")).first()
+    assert abs(taken - size) < 0.02 * size
