@@ -8,6 +8,11 @@ tasks of their own, and a task compares nodes of different labels on their full
 only which labels hang together. Nodes of the bucket's largest label are not compared with each other. Components of labels are
 found last, over labels only.
 
+A bucket with more unlinked nodes than a block would cost the square of them. It is first parted by the shingles of prefixes: with shingles in one
+order for all nodes, rare ones first, two linked sets share a shingle of the smaller's first n - 2pn/(1+p) + 1 and the larger's first n - pn + 1 (p: the least
+similarity). Nodes that share such a shingle form a part, and parts take the bucket's place where they cost less. The order comes from SLOTS counters of
+hashed shingles, so it is broadcast at a fixed size; it decides costs only.
+
 With 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8. Sets are compared as 64-bit hashes of
 their shingles; among the few thousand shingles of a pair an accidental equality has probability below 1e-12.
 
@@ -32,6 +37,7 @@ from sondeflow.llm.shingles import bands, fingerprints, shingle_sets, sketches
 BINS, ROWS = 128, 4
 PART, BLOCK, WEIGHT = 64, 256, 1 << 19
 COLUMNS = 4096
+SLOTS = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -116,20 +122,92 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _open_buckets(named: DataFrame, percent: int) -> DataFrame:
-    """band, main (its largest label), has_main, b1, b2 (blocks of the main label and of the others) of the buckets with several labels."""
+    """band, main (its largest label), has_main, b1, b2 (blocks of the main label and of the others), k1, k2 (their nodes) of the buckets with several labels."""
     counts = named.groupBy("band", "label").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     main = counts.groupBy("band").agg(F.max(F.struct("k", "label", "w")).alias("m"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.count("*").alias("labels"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     main = main.filter("labels > 1").filter(F.expr(f"k > 2 OR 100 * lo >= {percent} * hi"))  # two nodes too unlike in size can't be linked
     k = F.when(F.col("m.k") > 1, F.col("m.k")).otherwise(F.lit(0).cast("long"))  # without known links, no label is the main one
     w = F.when(k > 0, F.col("m.w")).otherwise(F.lit(0).cast("long"))
     blocks = lambda k, w: F.greatest(F.ceil(k / BLOCK), F.ceil(w / WEIGHT))
-    return main.select("band", F.col("m.label").alias("main"), (k > 0).alias("has_main"), blocks(k, w).alias("b1"), blocks(F.col("k") - k, F.col("w") - w).alias("b2"))
+    return main.select("band", F.col("m.label").alias("main"), (k > 0).alias("has_main"), blocks(k, w).alias("b1"), blocks(F.col("k") - k, F.col("w") - w).alias("b2"), k.alias("k1"), (F.col("k") - k).alias("k2"))
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, its prefix of shingles against larger or equal sets and smaller ones, and how many of these are for larger or equal ones.
+
+    sets: node, items; a table. Shingles that no other set holds are left out.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for item in batch.column(0):
+                total += np.bincount(_slots(np.frombuffer(item.as_buffer(), np.uint64)), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    counts = sets.select("items").mapInArrow(tidy(counted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.int64)
+    table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    often = sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, smaller = [], []
+            for item in batch.column(1):
+                x = np.frombuffer(item.as_buffer(), np.uint64)
+                n, seen = len(x), often.value[_slots(x)]
+                order = np.lexsort((x, seen))
+                larger = n - -(-2 * percent * n // (100 + percent)) + 1
+                alone = int((seen == 1).sum())  # these come first
+                order = order[alone : n - -(-percent * n // 100) + 1]
+                found.append(x[order].view(np.int64))
+                smaller.append(max(0, larger - alone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(smaller, pa.int64())], names=["node", "prefix", "larger"])
+
+    return sets.select("node", "items").mapInArrow(tidy(run), "node long, prefix array<long>, larger long")
+
+
+def _slots(x: np.ndarray) -> np.ndarray:
+    return (x % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _parted(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The parts of buckets that take less comparing than the buckets do, placed like buckets, and the bands that they replace.
+
+    placed: band, node, n, label, cost; a table.
+    """
+    some = written(sets.join(placed.select("node").distinct(), "node", "left_semi"), "wide")
+    prefix = written(_prefixes(some, percent), "prefixes")
+    each = placed.join(prefix, "node").select("band", "node", "n", "label", "cost", "larger", F.posexplode("prefix").alias("at", "shingle"))
+    # Pairs of which neither holds the shingle in its shorter prefix are not compared by it.
+    each = written(each.select(F.xxhash64("band", "shingle").alias("part"), "band", "node", "n", "label", "cost", (F.col("at") >= F.col("larger")).alias("in_main")), "each")
+    print_ = [F.bit_xor(F.xxhash64("node", "in_main", F.lit(k))).alias(f"f{k}") for k in (0, 1)]
+    sums = [e.alias(c) for c, e in (("k1", F.count_if("in_main")), ("k2", F.count_if(~F.col("in_main"))), ("w1", F.sum(F.expr("if(in_main, n, 0)"))), ("w2", F.sum(F.expr("if(in_main, 0, n)"))))]
+    parts = each.groupBy("band", "part").agg(F.first("cost").alias("cost"), (F.min("label") != F.max("label")).alias("apart"), *sums, *print_)
+    parts = parts.filter("apart AND k2 > 0").groupBy("band", "cost", *(same := ["k1", "k2", "w1", "w2", "f0", "f1"])).agg(F.min("part").alias("part"))
+    parts = written(parts, "parts")
+    costs = parts.groupBy("band").agg(F.sum(F.col("k2") * (F.col("k1") + F.col("k2"))).alias("now"))
+    bands_ = placed.select("band", "cost").distinct().join(costs, "band", "left").filter("coalesce(now, 0) < cost")
+    cheap = written(bands_.select("band"), "cheap")
+    once = parts.join(cheap, "band", "left_semi").groupBy(*same).agg(F.min("part").alias("part"))
+    once = once.select("part", *(F.greatest(F.ceil(F.col(f"k{i}") / BLOCK), F.ceil(F.col(f"w{i}") / WEIGHT)).alias(f"b{i}") for i in (1, 2)))
+    out = written(each.join(once, "part").select(F.col("part").alias("band"), "node", "label", "in_main", "b1", "b2"), "parted")
+    forget(some, prefix, each, parts)
+    return out, cheap
 
 
 def _block_links(named: DataFrame, main: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: labels that hang together by links within a bucket. named: band, node, n, label; main: of _open_buckets; both tables."""
-    h, in_main = F.xxhash64("node"), F.col("has_main") & (F.col("label") == F.col("main"))
-    placed = named.join(main, "band").withColumn("in_main", in_main)
+    in_main = F.col("has_main") & (F.col("label") == F.col("main"))
+    placed = named.join(main, "band").select("band", "node", "label", in_main.alias("in_main"), "b1", "b2")
+    if not main.filter("b2 > 1").isEmpty():
+        wide = named.join(main.filter("b2 > 1"), "band").select("band", "node", "n", "label", F.expr("k2 * (k1 + k2)").alias("cost"))
+        wide = written(wide, "placed")
+        parted, cheap = _parted(wide, sets, percent)
+        placed = placed.join(cheap, "band", "left_anti").union(parted)
+        forget(wide)
+    h = F.xxhash64("node")
     placed = placed.withColumn("block", F.when(F.col("in_main"), F.pmod(h, F.col("b1"))).otherwise(F.col("b1") + F.pmod(h, F.col("b2"))))
     others = F.sequence(F.when(F.col("in_main"), F.col("b1")).otherwise(F.lit(0).cast("long")), F.col("b1") + F.col("b2") - 1)
     spread = placed.select("band", "node", "label", "block", F.explode(others).alias("other"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -107,29 +108,54 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _rewritten(text: str, pattern: re.Pattern, write, low: list[int] | None, high: list[int] | None) -> tuple[str, list[int], list[int]]:
-    """One transducer: what it writes, and for each character written the span it came from. low, high: the same of its input."""
-    low, high = (low, high) if low is not None else (range(len(text)), range(1, len(text) + 1))
-    out, a, b, at = [], [], [], 0
+class Trace:
+    """Where the characters of a rewritten text came from: only the places that changed in length are kept, so a long text costs no more than its disguises.
+
+    Each edit is the place of what was written and the place of what it stands for; between edits characters move by a constant. before: the trace of the input.
+    """
+
+    def __init__(self, before: Trace | None = None) -> None:
+        self.before, self.start, self.rest = before, [], []
+
+    def add(self, start: int, end: int, of: tuple[int, int], after: int) -> None:
+        """Characters start to end stand for the input's characters `of`; the input goes on at `after`."""
+        self.start.append(start)
+        self.rest.append((end, *of, after))
+
+    def _span(self, k: int) -> tuple[int, int]:
+        i = bisect_right(self.start, k) - 1
+        if i < 0:
+            return k, k + 1
+        end, a, b, after = self.rest[i]
+        return (a, b) if k < end else (k - end + after, k - end + after + 1)
+
+    def low(self, k: int) -> int:
+        """Where the source of character k begins."""
+        a, _ = self._span(k)
+        return self.before.low(a) if self.before else a
+
+    def high(self, k: int) -> int:
+        """Where the source of character k ends."""
+        _, b = self._span(k)
+        return self.before.high(b - 1) if self.before else b
+
+
+def _rewritten(text: str, pattern: re.Pattern, write, before: Trace | None = None) -> tuple[str, Trace]:
+    """One transducer: what it writes, and where its characters came from."""
+    out, trace, at, n = [], Trace(before), 0, 0
     for m in pattern.finditer(text):
         s, e = m.span()
         new = write(m)
         out += (text[at:s], new)
-        a.extend(low[at:s])
-        b.extend(high[at:s])
-        if len(new) == e - s:  # a character for a character
-            a.extend(low[s:e])
-            b.extend(high[s:e])
-        elif new:
+        n += s - at
+        if len(new) != e - s:
             core = m[0].strip(" \t") if len(new) == 1 else m[0]
             lead = m[0].index(core) if core else 0
-            a.extend([low[s + lead]] * len(new))
-            b.extend([high[s + lead + len(core) - 1]] * len(new))
+            trace.add(n, n + len(new), (s + lead, s + lead + len(core)), e)
+        n += len(new)
         at = e
     out.append(text[at:])
-    a.extend(low[at:])
-    b.extend(high[at:])
-    return "".join(out), a, b
+    return "".join(out), trace
 
 
 def _token(m: re.Match) -> str:
@@ -151,14 +177,14 @@ def _token(m: re.Match) -> str:
     return "".join(out)
 
 
-def normalised(text: str) -> tuple[str, list[int], list[int]] | None:
-    """The normal form with the source span of each character; None where no disguise can be."""
+def normalised(text: str) -> tuple[str, Trace] | None:
+    """The normal form and where its characters came from; None where no disguise can be."""
     odd = not text.isascii() and _ODD.search(text)
-    s, low, high = _rewritten(text, _ODD, lambda m: _CHAR[m[0]], None, None) if odd else (text, None, None)
+    s, trace = _rewritten(text, _ODD, lambda m: _CHAR[m[0]]) if odd else (text, None)
     spaced = "@" in s and (" @" in s or "@ " in s)
     if spaced or _HINT.search(s) or (" at " in s and _CUE.search(s)) or _LETTER_HINT.search(s):
-        return _rewritten(s, _TOKEN, _token, low, high)
-    return (s, low, high) if odd else None
+        return _rewritten(s, _TOKEN, _token, trace)
+    return (s, trace) if odd else None
 
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -166,10 +192,16 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     base = detect(text)
     if (plain := normalised(text)) is None:
         return base, []
-    s, low, high = plain
+    s, trace = plain
     own = {k: [x[1:] for x in base if x[0] == k] for k in KINDS}
-    found = {(kind, low[a], high[b - 1]) for kind, a, b in detect(s)}
-    return base, in_order([x for x in found if not any(a <= x[1] and x[2] <= b for a, b in own[x[0]])])
+    found = {(kind, trace.low(a), trace.high(b - 1)) for kind, a, b in detect(s)}
+    return base, in_order([x for x in found if not _inside(x, own[x[0]])])
+
+
+def _inside(span: Span, own: list[tuple[int, int]]) -> bool:
+    """Whether it lies in one of the spans of its kind, which are in order and don't overlap."""
+    i = bisect_right(own, (span[1], float("inf"))) - 1
+    return i >= 0 and span[2] <= own[i][1]
 
 
 def written_out(found: list[Span]) -> str:

@@ -30,8 +30,11 @@ _LIMIT = float(1 << 62)
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
-    """floor(256 x), held to 2^62 in size."""
-    return np.clip(np.floor(SCALE * x), -_LIMIT, _LIMIT)
+    """floor(256 x); beyond 2^62 in size it raises."""
+    out = np.floor(SCALE * x)
+    if len(bad := x[np.abs(out) > _LIMIT]):
+        raise ValueError(f"component {bad[0]!r} is beyond 2^62 when scaled: its products are no 64-bit numbers")
+    return out
 
 
 def _far_apart(sample: np.ndarray, n: int) -> np.ndarray:
@@ -50,10 +53,12 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products as Python-safe integers held to 64 bits."""
+    """Exact inner products; one beyond 64 bits raises."""
     if len(x) and float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q) >= 1 << 53:
         whole = [sum(int(a) * int(b) for a, b in zip(row, q)) for row in x]
-        return np.array([max(-(1 << 63), min((1 << 63) - 1, v)) for v in whole], np.int64)
+        if bad := [v for v in whole if not -(1 << 63) <= v < 1 << 63]:
+            raise OverflowError(f"an inner product of {bad[0]} is no 64-bit number")
+        return np.array(whole, np.int64)
     return (x @ q).astype(np.int64)
 
 
@@ -79,7 +84,7 @@ def top_products(table: DataFrame, id_: str = "vec_id", vector: str = "embedding
     Queries: rows whose id is divisible by `every`; candidates: all rows of another id. Vectors become floor(256 x). Rows with a null id, or a vector
     that is null, empty or holds null or non-finite components, take no part. Vectors of different lengths have no product: each length is searched by
     itself. Repeated rows count once. Fewer than k candidates give as many rows; an empty table gives none. A score is a 64-bit number: components beyond
-    2^62 in size and products beyond 64 bits are held to these bounds.
+    2^62 in size when scaled and products beyond 64 bits raise an error.
     """
     spark = table.sparkSession
     whole = written(packed(table, id_, vector, scaled), "integers")

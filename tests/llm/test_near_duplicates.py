@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sondeflow.llm import neardup
@@ -68,6 +69,53 @@ def test_groups_of_any_size(spark, monkeypatch, block, weight):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4, 80)
 
 
+def look_alikes(n, common, own, pairs, seed=3):
+    """Texts round one long passage, too unlike to be linked, and every `pairs`-th with a near copy."""
+    r = random.Random(seed)
+    passage = [f"c{i}" for i in range(common)]
+    rows = []
+    for i in range(n):
+        text = passage + [f"o{i}x{r.randrange(10**6)}" for _ in range(own)]
+        rows.append((len(rows), " ".join(text)))
+        if i % pairs == 0:
+            rows.append((len(rows), " ".join([*text[:-1], "z"])))
+    return rows
+
+
+def test_look_alikes(spark, monkeypatch):
+    """Prefixes part what shares bands without being linked: no block is left but those of the near copies, and links are those of all pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    seen = []
+    parted = neardup._parted
+    monkeypatch.setattr(neardup, "_parted", lambda *a: seen.append(parted(*a)) or seen[-1])
+    rows = look_alikes(220, 90, 30, 20)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4, 80)
+    assert sum(r.component_id != r.doc_id for r in got) == 11
+    assert len(seen) == 1 and seen[0][0].count() <= 2 * 22
+
+
+@pytest.mark.parametrize("common,own", [(100, 6), (100, 8), (40, 2), (12, 0)])
+def test_prefixes_at_the_threshold(spark, common, own):
+    """Two sets that are just linked share a shingle that is in the shorter prefix of one: all pairs of a family are found again."""
+    r = random.Random(common + own)
+    sets = []
+    for k in range(60):
+        size = own + r.randrange(3)
+        items = [*r.sample(range(common + 4), common), *(1000 + 100 * k + i for i in range(size))]
+        sets.append({(x * 0x9E3779B97F4A7C15) % (1 << 64) for x in items})
+    rows = [(k, bytearray(np.sort(np.array(list(s), np.uint64)).tobytes())) for k, s in enumerate(sets)]
+    got = {p.node: (list(p.prefix), p.larger) for p in neardup._prefixes(spark.createDataFrame(rows, "node long, items binary"), 80).collect()}
+    linked = 0
+    for a, b in itertools.combinations(range(60), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            linked += 1
+            x, y = sorted((a, b), key=lambda k: len(sets[k]))
+            assert set(got[x][0][: got[x][1]]) & set(got[y][0])
+    assert linked
+
+
 def test_long_text(spark):
     r = random.Random(9)
     long = [f"w{r.randrange(5000)}" for _ in range(40_000)]

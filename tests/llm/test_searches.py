@@ -29,11 +29,14 @@ def test_products_exact(spark):
 
 
 def test_products_of_large_numbers(spark):
-    rows = [(0, [1e9, 1.0], 0), (1, [1e9, 3.0], 0), (2, [-1e9, 0.0], 0), (3, [1e9, 2.0], 0)]
+    """Exact beyond 2^53; an error, not a clipped score, beyond 64 bits."""
+    rows = [(0, [9e6, 1.0], 0), (1, [9e6, 3.0], 0), (2, [-9e6, 0.0], 0), (3, [9e6, 2.0], 0)]
     got = sorted(map(tuple, top_products(spark.createDataFrame(rows, SCHEMA), every=50, k=5).collect()))
-    big = (256 * 10**9) ** 2
-    assert [r[2] for r in got] == [1, 3, 2]
-    assert [r[3] for r in got] == [max(-(1 << 63), min((1 << 63) - 1, s)) for s in (big + 256 * 768, big + 256 * 512, -big)]
+    big = (256 * 9 * 10**6) ** 2
+    assert [r[2:] for r in got] == [(1, big + 256 * 768), (3, big + 256 * 512), (2, -big)]
+    for far in (1e10, 1e30):
+        with pytest.raises(Exception, match="64-bit"):
+            top_products(spark.createDataFrame([(0, [far], 0), (1, [far], 0)], SCHEMA)).collect()
 
 
 def test_nearest_recall(spark):
