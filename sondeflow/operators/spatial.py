@@ -1,7 +1,5 @@
-"""Nearest neighbours in the plane and what is computed from them: weighted means, leave-one-entity-out surfaces, local planes.
-
-Points fall into square cells; a query looks through its own cell and the ring around it, and only queries that a ring cannot answer exactly look
-further, twice as far each round. So no cross join, and every answer is exact.
+"""What is computed from nearest neighbours (`nearby.nearest`) and features: weighted means, leave-one-entity-out surfaces, local planes, and neighbours in
+feature space by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -17,54 +15,6 @@ from sondeflow.sources.staging import staged
 
 #: Entities of a block, and focus entities that are compared with a block at once.
 BLOCK, SLICE = 4096, 256
-#: Points of a cell beyond which cells are halved, so often at most.
-DENSE, HALVINGS = 512, 24
-
-
-def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, exclude_self: bool = True) -> DataFrame:
-    """The k nearest points of each query by (distance, pid): qid, rank, pid, distance and the points' other columns.
-
-    queries: qid, qx, qy, qwho; points: pid, px, py, pwho and others. With exclude_self, points of the query's own entity (qwho) are left out.
-    `cell` is the first cell's side; it is halved while a cell holds over DENSE points, so that dense places don't become pairs of all with all, and
-    doubled for the queries that a ring cannot answer. Where there are no more than k points, every query gets them all.
-    """
-    extent = lambda df, a, b: df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
-    q, p = extent(queries, "qx", "qy"), extent(points, "px", "py")
-    widest = 0.0 if None in (*q, *p) else max(abs(q[0] - p[1]), abs(q[1] - p[0]), abs(q[2] - p[3]), abs(q[3] - p[2]))
-    found, left, side = None, queries, float(cell)
-    for _ in range(HALVINGS):
-        most = points.groupBy(F.floor(F.col("px") / side), F.floor(F.col("py") / side)).count().agg(F.max("count")).first()[0] or 0
-        if most <= max(DENSE, 4 * k):
-            break
-        side /= 2
-    while True:
-        whole = side >= widest  # the ring holds every point
-        ranked = staged(_in_ring(left, points, k, side, exclude_self))
-        if whole:
-            return ranked if found is None else found.union(ranked)
-        # Within the ring everything nearer than the distance to the ring's edge has been seen.
-        edges = [d for c in ("qx", "qy") for d in (F.col(c) - (F.floor(F.col(c) / side) - 1) * side, (F.floor(F.col(c) / side) + 2) * side - F.col(c))]
-        sure = ranked.groupBy("qid").agg(F.count("*").alias("n"), F.max("distance").alias("far"), F.first(F.least(*edges)).alias("reach")).filter((F.col("n") == k) & (F.col("far") < F.col("reach"))).select("qid")
-        sure = staged(sure)
-        done = ranked.join(sure, "qid", "left_semi")
-        found = done if found is None else found.union(done)
-        left = staged(left.join(sure, "qid", "left_anti"))
-        if left.isEmpty():
-            return found
-        side *= 2
-
-
-def _in_ring(queries: DataFrame, points: DataFrame, k: int, side: float, exclude_self: bool) -> DataFrame:
-    """The k nearest points of each query in its cell and the eight around it."""
-    at = points.withColumn("cx", F.floor(F.col("px") / side)).withColumn("cy", F.floor(F.col("py") / side))
-    ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    asked = queries.withColumn("__r", F.explode(ring)).withColumn("cx", F.floor(F.col("qx") / side) + F.col("__r.i")).withColumn("cy", F.floor(F.col("qy") / side) + F.col("__r.j")).drop("__r")
-    pairs = asked.join(at, ["cx", "cy"]).drop("cx", "cy")
-    if exclude_self:
-        pairs = pairs.filter("pwho <> qwho")
-    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
-    pairs = pairs.withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "pid"))).filter(F.col("rank") <= k)
 
 
 def inverse_distance(neighbours: DataFrame, value: str, eps: float = 1e-6) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sondeflow.operators import aggregates as A
 from sondeflow.operators import blending as B
 from sondeflow.operators import curves as C
-from sondeflow.operators import features, spatial
+from sondeflow.operators import features, nearby, spatial
 from sondeflow.plans.base import BASE_SQL, WELLS_SQL, base, rounded, table, wells
 from sondeflow.plans.registry import query
 
@@ -133,7 +133,7 @@ def histogram_peaks(spark, sf_dir):
 def offset_transfer(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pid"), F.col("s_suppkey").alias("pwho"), F.col("s_acctbal").alias("px"), (F.col("s_nationkey") * 100.0).alias("py"), (F.col("s_suppkey") % 13).cast("double").alias("err"))
     q = s.select(F.col("pid").alias("qid"), F.col("pwho").alias("qwho"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-    return rounded(spatial.transferred(spatial.nearest(q, s, 5, 500.0), "err"))
+    return rounded(spatial.transferred(nearby.nearest(q, s, 5), "err"))
 
 
 @query("wide_features")

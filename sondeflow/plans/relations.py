@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sondeflow.functions import scalars as S
 from sondeflow.operators import curves as C
-from sondeflow.operators import folds, joins, spatial, validation
+from sondeflow.operators import folds, joins, nearby, spatial, validation
 from sondeflow.operators.aggregates import content_signature
 from sondeflow.plans.base import WELLS_SQL, rounded, table, wells
 from sondeflow.plans.registry import query
@@ -206,7 +206,7 @@ _NEAR = f"WITH {_POINTS}, near AS (SELECT q.id AS qid, p.id AS pid, q.px AS qx,
 def _near(spark, sf_dir):
     p = _points(spark, sf_dir)
     q = p.select(F.col("id").alias("qid"), F.col("who").alias("qwho"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-    return spatial.nearest(q, p.select(F.col("id").alias("pid"), F.col("who").alias("pwho"), "px", "py", (F.col("px") / 100 + F.col("py")).alias("v")), 8, 400.0)
+    return nearby.nearest(q, p.select(F.col("id").alias("pid"), F.col("who").alias("pwho"), "px", "py", (F.col("px") / 100 + F.col("py")).alias("v")), 8)
 
 
 @query("spatial_neighbours", f"{_NEAR} SELECT qid, pid, round(distance, 6) AS distance FROM near")

@@ -11,7 +11,7 @@ from sondeflow.functions import scalars as S
 from sondeflow.operators import aggregates as A
 from sondeflow.operators import blending as B
 from sondeflow.operators import curves as C
-from sondeflow.operators import features, folds, joins, sequence, spatial, tracking
+from sondeflow.operators import features, folds, joins, nearby, sequence, tracking
 from sondeflow.operators import windows as W
 
 
@@ -118,7 +118,7 @@ def test_spatial_as_brute_force(spark):
     r = np.random.default_rng(3)
     p = [(i, int(r.integers(0, 12)), float(x), float(y)) for i, (x, y) in enumerate(np.concatenate((r.normal(0, 1, (150, 2)), r.normal(0, 900, (30, 2)), np.zeros((20, 2)))))]
     q = [(i, w, x, y) for i, w, x, y in p] + [(9000, 99, 1e6, -1e6)]
-    got = spatial.nearest(spark.createDataFrame(q, "qid long, qwho long, qx double, qy double"), spark.createDataFrame(p, "pid long, pwho long, px double, py double"), 4, 0.5).collect()
+    got = nearby.nearest(spark.createDataFrame(q, "qid long, qwho long, qx double, qy double"), spark.createDataFrame(p, "pid long, pwho long, px double, py double"), 4).collect()
     by = {}
     for row in got:
         by.setdefault(row.qid, []).append((row.distance, row.pid))
@@ -279,18 +279,6 @@ def test_large_candidate_sets_are_dealt(spark, monkeypatch):
     assert find() == few
 
 
-def test_dense_cells_are_halved(spark, monkeypatch):
-    monkeypatch.setattr(spatial, "DENSE", 16)
-    r = np.random.default_rng(5)
-    p = [(i, i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(0, 1, (300, 2)))]
-    q = spark.createDataFrame(p, "qid long, qwho long, qx double, qy double")
-    got = {}
-    for row in spatial.nearest(q, spark.createDataFrame(p, "pid long, pwho long, px double, py double"), 3, 1000.0).collect():
-        got.setdefault(row.qid, []).append((row.distance, row.pid))
-    for i, _, x, y in p:
-        assert [j for _, j in sorted(got[i])] == [j for _, j in sorted((math.hypot(x - a, y - b), j) for j, _, a, b in p if j != i)[:3]]
-
-
 def test_models(spark):
     from sondeflow.operators import models
 
