@@ -126,10 +126,11 @@ def own_first(spark, sf_dir):
     return rounded(joins.own_first(a, b, F.abs(F.col("va") - F.col("vb")), "a", "b", 3))
 
 
-@query("with_suffixes", "SELECT l.l_orderkey AS k, l.l_linenumber AS n, l.l_quantity AS q_l, r.q AS q_r FROM lineitem l LEFT JOIN (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q FROM lineitem WHERE l_linenumber % 2 = 0) r ON l.l_orderkey = r.l_orderkey AND l.l_linenumber = r.l_linenumber")
+@query("with_suffixes", "SELECT l.l_orderkey AS k, l.l_linenumber AS n, l.l_quantity AS q_l, r.q AS q_r FROM lineitem l LEFT JOIN (SELECT l_orderkey, l_linenumber + 1 AS l_linenumber, l_quantity * 2 AS q FROM lineitem) r ON l.l_orderkey = r.l_orderkey AND l.l_linenumber = r.l_linenumber")
 def with_suffixes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"))
-    return joins.with_suffixes(li, li.filter("n % 2 = 0").withColumn("q", F.col("q") * 2), ["k", "n"], ("_l", "_r"))
+    before = li.withColumn("n", F.col("n") + 1).withColumn("q", F.col("q") * 2)  # each line's predecessor; first lines have none
+    return joins.with_suffixes(li, before, ["k", "n"], ("_l", "_r"))
 
 
 @query(
