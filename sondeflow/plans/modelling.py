@@ -258,4 +258,4 @@ def cross_validated_model(spark, sf_dir):
     p = preds(spark, sf_dir).drop("fold")
     wells = b.groupBy("well").agg(F.max("hidden_length").cast("double").alias("load"))
     f = folds.balanced(wells, "well", "load", 3).select("well", "fold")
-    return models.cross_validated(p.join(F.broadcast(f), "well"), NAMES, "y", "fold", ["well", "row_idx"], models.linear)
+    return models.cross_validated(p.join(f, "well"), NAMES, "y", "fold", ["well", "row_idx"], models.linear)
