@@ -134,3 +134,17 @@ def test_table(spark):
 
 def test_redaction_joins_overlaps():
     assert redacted("ab cd ef", [("ip", 0, 4), ("card", 3, 5)]) == "<IP> ef"
+
+
+def test_long_text_keeps_edits_only():
+    """A disguise in a long text is mapped back exactly, with memory for the text and not for a number a character."""
+    import tracemalloc
+
+    head = "plain words, ünd more. " * 100_000
+    text = head + "write to jane (at) host (dot) org " + head
+    tracemalloc.start()
+    base, added = pii.spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert base == [] and [(k, text[a:b]) for k, a, b in added] == [("email", "jane (at) host (dot) org")]
+    assert peak < 12 * len(text)
