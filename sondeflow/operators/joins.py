@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sondeflow.operators.line import nearest_on_line
+
 #: Rows a lookup side may have to be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -105,18 +107,26 @@ def window_candidates(rows: DataFrame, grid: DataFrame, at: str, reach: int, val
     return both.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.g_at").alias("match"), F.col("b.cost").alias("cost"))
 
 
-def nearest_of_kinds(asked: DataFrame, candidates: DataFrame, distance: Column, key: str, other: str, kind: str, k: int) -> DataFrame:
-    """The k nearest candidates of each key with different kinds: the nearest of each kind, then by distance. Both are sets of entities (one row each):
-    see every_pair."""
+def nearest_of_kinds(asked: DataFrame, candidates: DataFrame, distance: Column | tuple[str, str], key: str, other: str, kind: str, k: int) -> DataFrame:
+    """The k nearest candidates of each key with different kinds: the nearest of each kind, then by distance. Both are sets of entities (one row each).
+
+    A distance that is the difference of a number of each side is given as the names of the two: these are swept in order (see nearest_on_line), which gives key,
+    other, kind, distance and rank. Any other distance is taken of all pairs: see every_pair."""
+    if isinstance(distance, tuple):
+        return nearest_on_line(asked, candidates, distance, key, other, kind, k)
     pairs = every_pair(asked, candidates, F.col(key) != F.col(other)).withColumn("distance", distance)
     one = pairs.withColumn("__k", F.row_number().over(Window.partitionBy(key, kind).orderBy("distance", other))).filter("__k = 1")
     return one.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", other))).filter(F.col("rank") <= k).drop("__k")
 
 
-def own_first(asked: DataFrame, candidates: DataFrame, score: Column, key: str, other: str, k: int) -> DataFrame:
-    """k candidates of each key: its own, ranked 1 with a null score, then the k - 1 others with the smallest score, ties to the smaller."""
-    pairs = every_pair(asked, candidates, F.col(key) != F.col(other)).withColumn("score", score)
-    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("score", other)) + 1).filter(F.col("rank") <= k)
+def own_first(asked: DataFrame, candidates: DataFrame, score: Column | tuple[str, str], key: str, other: str, k: int) -> DataFrame:
+    """k candidates of each key: its own, ranked 1 with a null score, then the k - 1 others with the smallest score, ties to the smaller. A score that is
+    the difference of two numbers is given as their names: see nearest_of_kinds."""
+    if isinstance(score, tuple):
+        best = nearest_on_line(asked, candidates, score, key, other, other, k - 1).withColumnRenamed("distance", "score").withColumn("rank", F.col("rank") + 1)
+    else:
+        pairs = every_pair(asked, candidates, F.col(key) != F.col(other)).withColumn("score", score)
+        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("score", other)) + 1).filter(F.col("rank") <= k)
     own = asked.select(key, F.col(key).alias(other), F.lit(None).cast("double").alias("score"), F.lit(1).alias("rank"))
     return own.unionByName(best.select(key, other, "score", "rank"))
 

@@ -94,7 +94,7 @@ def window_candidates(spark, sf_dir):
 def nearest_of_kinds(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     a, b = s.select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("va")), s.select(F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("vb"), F.col("s_nationkey").alias("kind"))
-    return rounded(joins.nearest_of_kinds(a, b, F.abs(F.col("va") - F.col("vb")), "a", "b", "kind", 3).select("a", "b", "kind", "distance", "rank"))
+    return rounded(joins.nearest_of_kinds(a, b, ("va", "vb"), "a", "b", "kind", 3).select("a", "b", "kind", "distance", "rank"))
 
 
 def _curve_sql(edge: str) -> str:
