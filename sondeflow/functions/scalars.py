@@ -23,6 +23,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, F.nullif(b, F.lit(0.0)))
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded to some digits, half to even as the product with 10^digits shows it: 0.145 at two digits is 0.14, as 14.499999999999998 lies below the half."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
 def row_id(key: Column, index: Column) -> Column:
     return F.concat_ws("_", key.cast("string"), index.cast("string"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sondeflow.functions.scalars import ratio
+from sondeflow.functions.scalars import half_even, ratio
 from sondeflow.sources.staging import staged
 
 
@@ -325,9 +325,17 @@ def residual_scale(df: DataFrame, y: str, reference: str, keys: list[str], low:
     return df.groupBy(*keys).agg(F.count(e).alias("n"), F.when(F.count(e) >= least, sd).otherwise(F.lit(default)).alias("scale"))
 
 
-def stats_signature(df: DataFrame, key: str, columns: list[str], digits: int = 1) -> DataFrame:
-    """A struct of rounded smallest, largest, mean and deviation of each column and the number of rows: equal for keys whose curves are alike at that grain."""
-    parts = [F.bround(f(c), digits).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("sd", F.stddev_pop))]
+def stats_signature(df: DataFrame, key: str, columns: list[str], digits: int = 1, index: str | None = None) -> DataFrame:
+    """A struct of rounded smallest, largest, mean and deviation of each column and the number of rows: equal for keys whose curves are alike at that grain.
+
+    With `index`, an order of each key's rows, means are of sums taken in that order. Otherwise the last bit of a sum depends on how the input is split, and so does
+    the rounding of a mean that lies halfway."""
+    means = {c: F.avg(c) for c in columns}
+    if index is not None:
+        past = Window.partitionBy(key).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"__sum_{c}": F.sum(F.col(c).cast("double")).over(past) for c in columns})
+        means = {c: ratio(F.max_by(f"__sum_{c}", index), F.count(c).cast("double")) for c in columns}
+    parts = [half_even(x, digits).alias(f"{n}_{c}") for c in columns for n, x in (("min", F.min(c)), ("max", F.max(c)), ("mean", means[c]), ("sd", F.stddev_pop(c)))]
     g = df.groupBy(key).agg(F.count("*").alias("n"), *parts)
     return g.select(key, F.struct("n", *(c for c in g.columns if c not in (key, "n"))).alias("signature"))
 

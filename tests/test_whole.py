@@ -83,3 +83,13 @@ def test_counts_of_all_groups_are_written(spark, tmp_path):
     assert counts.agg(F.sum("count")).first()[0] == 12_000 and counts.filter("count = 2").count() == 1_000
     facts = files.write_with_facts(spark.range(30).select((F.col("id") % 3).alias("k")), path, ["k"])
     assert {r["k"]: r["count"] for r in facts["by"]} == {0: 10, 1: 10, 2: 10} and facts["groups"] == 3
+
+
+def test_signatures_do_not_depend_on_how_rows_are_split(spark):
+    """Means of 0.05 and 0.15 multiples lie halfway: their sums are taken in the order of the rows, wherever these come from."""
+    r = np.random.default_rng(8)
+    rows = [(k, i, round(float(v), 2)) for k in range(300) for i, v in enumerate((41.75 + x for x in (lambda d: (*d, *-d))(r.integers(0, 4000, 8) / 100)))]
+    want = {k: float(np.rint(10 * (np.cumsum([v for q, _, v in rows if q == k])[-1] / 16)) / 10) for k in range(300)}
+    for order in (rows, rows[::-1], sorted(rows, key=lambda q: q[2])):
+        df = spark.createDataFrame(order, "k int, i int, v double").repartition(7)
+        assert {q.k: q.signature.mean_v for q in A.stats_signature(df, "k", ["v"], 1, "i").collect()} == want
