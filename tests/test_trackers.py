@@ -330,3 +330,41 @@ def test_self_matches_by_transform_on_long_and_flat_parts():
         assert score == pytest.approx(want.max(axis=1), abs=1e-9)
         k = ((at - half) / stride).astype(int)
         assert want[np.arange(len(k)), k] == pytest.approx(want.max(axis=1), abs=1e-8)
+
+
+@pytest.mark.parametrize("emission", ["gaussian", "slope", "correlation"])
+def test_keys_that_step_together_are_as_alone(emission, monkeypatch):
+    """Keys of several lengths, one without a curve: the same draws give the same paths, bit for bit."""
+    wells = [well(n=n, known=12, seed=n) for n in (30, 14, 55, 21)]
+    s = filters.Settings(particles=20, start_spread=6.0, rate_noise=0.05, emission=emission, skip_null=True, anneal=0.5)
+    parts = [filters.prepared(rows, x, y, s) for rows, x, y in wells] + [filters.prepared(well()[0], np.zeros(0), np.zeros(0), s)]
+    rngs = lambda: [np.random.default_rng(k) for k in range(len(parts))]
+    for cells in (1 << 15, 130):
+        monkeypatch.setattr(filters, "CELLS", cells)
+        for many, one in (
+            (lambda p, r: filters.all_paths(p, 3, r, s), lambda p, r: filters.paths(p, 3, r, s)),
+            (lambda p, r: filters.all_restarted(p, 2, r, s), lambda p, r: filters.restarted(p, 2, r, s)),
+            (lambda p, r: filters.all_both_ways(p, 2, r, s), lambda p, r: filters.both_ways(p, 2, r, s)),
+            (lambda p, r: filters.all_tempered(p, r, s), lambda p, r: filters.tempered(p, r, s)),
+        ):
+            for got, part, rng in zip(many(parts, rngs()), parts, rngs()):
+                assert all(np.array_equal(a, b) for a, b in zip(got, one(part, rng)))
+
+
+def test_tasks_get_whole_keys(spark, monkeypatch):
+    """Both sides of the union come dealt by the key and put together differently; keys run over batches, one is null."""
+    import pyarrow as pa
+
+    from sondeflow.operators import sequence
+
+    def of_keys(table, starts):
+        ends = [*starts[1:], len(table)]
+        assert all(len(set(table["k"][int(a) : int(b)].to_pylist())) == 1 for a, b in zip(starts, ends))
+        return pa.table({"k": table["k"].take(pa.array(starts)), "n": pa.array([int(b - a) for a, b in zip(starts, ends)])})
+
+    monkeypatch.setattr(sequence, "ROWS", 40)
+    rows = spark.range(4000).selectExpr("IF(id % 7 = 0, NULL, id % 97) AS k", "id AS i")
+    few = rows.groupBy("k").agg(F.max("i").alias("i"))
+    other = rows.withColumn("i", F.count("*").over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("k")))
+    got = sequence.by_keys(other.union(few), ["k"], [F.col("i")], of_keys, "k long, n long").collect()
+    assert len(got) == 98 and {r.k: r.n for r in got} == {r.k: r["count"] + 1 for r in rows.groupBy("k").count().collect()}
