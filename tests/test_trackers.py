@@ -368,3 +368,18 @@ def test_tasks_get_whole_keys(spark, monkeypatch):
     other = rows.withColumn("i", F.count("*").over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("k")))
     got = sequence.by_keys(other.union(few), ["k"], [F.col("i")], of_keys, "k long, n long").collect()
     assert len(got) == 98 and {r.k: r.n for r in got} == {r.k: r["count"] + 1 for r in rows.groupBy("k").count().collect()}
+
+
+def test_beams_side_by_side_cost_little_more_than_one():
+    import time
+
+    rows, x, y = well(n=400, known=0, seed=2)
+    rows["start"] = 60.0
+
+    def seconds(kernel):
+        began = time.perf_counter()
+        kernel(rows, x, y, None)
+        return time.perf_counter() - began
+
+    one, all_ = (min(seconds(k) for _ in range(3)) for k in (tracking.beam(width=10), tracking.mean_beam()))
+    assert all_ < 7 * one  # 14 beams one after another take 14 times as long
