@@ -22,8 +22,13 @@ def lookup(knots: Column, v: Column, edge: str = "clamp") -> Column:
     n = F.size(knots)
     below = F.size(F.filter(knots, lambda k: k["x"] <= v))
     first = F.least(F.greatest(below, F.lit(1)), F.greatest(n - 1, F.lit(1)))
-    a, b = F.try_element_at(knots, first), F.try_element_at(knots, first + 1)
-    line = a["y"] + (b["y"] - a["y"]) * (v - a["x"]) / (b["x"] - a["x"])
+
+    def between(pair: Column) -> Column:
+        a, b = F.try_element_at(pair, F.lit(1)), F.try_element_at(pair, F.lit(2))
+        return a["y"] + (b["y"] - a["y"]) * (v - a["x"]) / (b["x"] - a["x"])
+
+    # Bound by a transform of one element: the knots are searched once, however often the two are named.
+    line = F.try_element_at(F.transform(F.array(F.slice(knots, first, 2)), between), F.lit(1))
     low, high = F.try_element_at(knots, F.lit(1)), F.try_element_at(knots, F.greatest(n, F.lit(1)))
     out = F.when(v.isNull() | (n == 0), F.lit(None).cast("double")).when(n == 1, low["y"] if edge != "null" else F.when(v == low["x"], low["y"]))
     if edge == "clamp":

@@ -95,3 +95,11 @@ def test_kernels_get_as_many_tasks_as_are_set(spark):
     count = lambda part: pd.DataFrame({"k": part["k"], "pid": __import__("pyspark").TaskContext.get().partitionId()})
     got = sequence.dealt(df, "k").groupBy("k").applyInPandas(count, "k long, pid int")
     assert got.select("pid").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_lookup_searches_its_knots_once(spark):
+    """Within a lambda Spark evaluates an expression as often as it is named: the plan has one search of the knots, and probes one for each offset."""
+    df = spark.createDataFrame([(1, 0.0, 1.0), (1, 2.0, 5.0)], "k int, x double, y double")
+    plan = C.curves(df, "k", "x", "y").select(C.lookup(F.col("knots"), F.lit(1.0) * F.col("k"), "extrapolate").alias("y"))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert text.split("\n")[0].count("filter(") == 1 and plan.collect()[0].y == 3.0
