@@ -207,7 +207,7 @@ def wide(base: DataFrame, knots: DataFrame | None = None, offsets: tuple[float,
         return out
     out = out.join(knots.select(key, "knots"), key, "left")
     places = {"anchor": F.col("tvt0"), "by20": F.col("tvt0") + F.col("by20"), "by5": F.col("tvt0") + F.col("by5")}
-    probes = {f"probe_{n}_{k}": C.probes(F.col("knots"), at, g, list(offsets))[k] for n, at in places.items() for k in range(len(offsets))}
+    probes = {f"probe_{n}_{k}": g - C.lookup(F.col("knots"), at + F.lit(float(o))) for n, at in places.items() for k, o in enumerate(offsets)}
     return out.withColumns(probes).drop("knots")
 
 
