@@ -1,4 +1,4 @@
-"""Exact nearest neighbours in the plane over a k-d partition tree.
+"""Exact nearest neighbours in the plane, or in a space of a few features, over a k-d partition tree.
 
 The tree is cut at medians of a sample, so leaves hold about equally many points however they crowd. A query is answered by its own leaf; where that holds
 fewer than k points that count (those of the query's entity may not), by the subtree STEP levels up, and so on; then the leaves that its k-th distance
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
@@ -20,6 +20,9 @@ from pyspark.sql.window import Window
 from sondeflow.operators.sequence import dealt
 from sondeflow.sources.staging import staged
 
+#: Names of the coordinates, without the q or p of their side.
+Axes = tuple[str, ...]
+PLANE: Axes = ("x", "y")
 #: Points of a leaf, sampled points for each, and the greatest depth: at most 2^DEEPEST leaves, and SAMPLED times as many rows, reach the driver.
 LEAF, SAMPLED, DEEPEST = 2048, 128, 13
 #: Queries of a task, queries that a kernel compares at once, and levels that a query without k points goes up.
@@ -40,14 +43,14 @@ class Tree:
         return (1 << self.depth) - 1
 
     def leaf(self, xy: np.ndarray) -> np.ndarray:
-        """The leaf, from 0, of each row of (x, y)."""
+        """The leaf, from 0, of each row of coordinates."""
         node = np.zeros(len(xy), np.int64)
         for _ in range(self.depth):
             node = 2 * node + 1 + (xy[np.arange(len(xy)), self.axis[node]] > self.cut[node])
         return node - self.inner
 
     def reached(self, xy: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of (x, y) and the leaves that the square of half side r around them touches."""
+        """Rows of coordinates and the leaves that the square (or cube) of half side r around them touches."""
         who, node = np.arange(len(xy)), np.zeros(len(xy), np.int64)
         for _ in range(self.depth):
             off, far = xy[who, self.axis[node]] - self.cut[node], r[who]
@@ -78,40 +81,50 @@ def grown(sample: np.ndarray, depth: int) -> Tree:
     return Tree(depth, axis, cut, crowded)
 
 
-def tree_of(points: DataFrame) -> Tree:
-    """The tree of the points' px and py, from a sample that a hash of the point picks: of bounded size, the same whenever it is taken."""
+def tree_of(points: DataFrame, axes: Axes = PLANE, leaf: int | None = None) -> Tree:
+    """The tree of the points' coordinates, from a sample that a hash of the point picks: of bounded size, the same whenever it is taken."""
     n = points.count()
-    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, n / LEAF))))))
+    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, n / (leaf or LEAF)))))))
     share = min(1.0, (SAMPLED << depth) / max(n, 1))
-    picked = points.filter(F.pmod(F.xxhash64("pid", "px", "py"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    xy = picked.select(F.col("px").cast("double"), F.col("py").cast("double")).toPandas().to_numpy(float)
+    picked = points.filter(F.pmod(F.xxhash64("pid", *_named("p", axes)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    xy = picked.select(*(F.col(c).cast("double").alias(c) for c in _named("p", axes))).toPandas().to_numpy(float)
     return grown(xy, depth)
 
 
-def _there(df: DataFrame, x: str, y: str) -> DataFrame:
-    for c in (x, y):
+def _named(side: str, axes: Axes) -> list[str]:
+    return [f"{side}{a}" for a in axes]
+
+
+def _together(coordinates: list[str]) -> Column:
+    return F.struct(*(F.col(c).cast("double").alias(c) for c in coordinates))
+
+
+def _there(df: DataFrame, coordinates: list[str]) -> DataFrame:
+    for c in coordinates:
         df = df.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     return df
 
 
-def _thinned(points: DataFrame, k: int) -> DataFrame:
+def _thinned(points: DataFrame, k: int, axes: Axes = PLANE) -> DataFrame:
     """Points but those that are no one's neighbour: of one place, the first k of each entity by pid, and the first 2k of these, hold the first k for any query."""
-    own, all_ = Window.partitionBy("px", "py", "pwho").orderBy("pid"), Window.partitionBy("px", "py").orderBy("pid")
+    place = _named("p", axes)
+    own, all_ = Window.partitionBy(*place, "pwho").orderBy("pid"), Window.partitionBy(*place).orderBy("pid")
     first = points.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= k)
     return first.withColumn("__n", F.row_number().over(all_)).filter(F.col("__n") <= 2 * k).drop("__n")
 
 
-def _placed(df: DataFrame, x: str, y: str, tree: Tree) -> DataFrame:
-    """The rows with their leaf."""
+def _placed(df: DataFrame, *by) -> DataFrame:
+    """The rows with their leaf. by: the names of the coordinates, and the tree."""
+    *coordinates, tree = by
 
     @F.pandas_udf("long")
-    def leaf(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(tree.leaf(np.column_stack((a.to_numpy(float), b.to_numpy(float)))))
+    def leaf(at: pd.DataFrame) -> pd.Series:
+        return pd.Series(tree.leaf(at.to_numpy(float)))
 
-    return df.withColumn("__leaf", leaf(F.col(x).cast("double"), F.col(y).cast("double")))
+    return df.withColumn("__leaf", leaf(_together(coordinates)))
 
 
-def _searched(asked: DataFrame, points: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+def _searched(asked: DataFrame, points: DataFrame, k: int, exclude_self: bool, axes: Axes = PLANE) -> DataFrame:
     """The k nearest points of each query in each leaf that it asks: a query's rows with a column __leaf, points with theirs (a table)."""
     parts = asked.groupBy("__leaf").agg(F.ceil(F.count("*") / PART).alias("__parts"))  # a row a leaf
     parts = F.broadcast(parts)
@@ -120,21 +133,20 @@ def _searched(asked: DataFrame, points: DataFrame, k: int, exclude_self: bool) -
     q = asked.join(parts, "__leaf").withColumn("__part", F.pmod(F.xxhash64("qid"), F.col("__parts"))).select(cell, *q_names)
     p = points.join(parts, "__leaf").withColumn("__part", F.explode(F.expr("sequence(0L, __parts - 1)"))).select(cell.alias("__of"), *p_names)
     fields = [StructField(f.name, f.dataType) for f in (*asked.select(q_names).schema, *points.select(p_names).schema)]
-    return dealt(q, "__cell").groupBy("__cell").cogroup(dealt(p, "__of").groupBy("__of")).applyInArrow(_kernel(q_names, p_names, k, exclude_self), StructType([*fields, StructField("distance", DoubleType())]))
+    return dealt(q, "__cell").groupBy("__cell").cogroup(dealt(p, "__of").groupBy("__of")).applyInArrow(_kernel(q_names, p_names, k, exclude_self, axes), StructType([*fields, StructField("distance", DoubleType())]))
 
 
-def _kernel(q_names: list[str], p_names: list[str], k: int, exclude_self: bool):
+def _kernel(q_names: list[str], p_names: list[str], k: int, exclude_self: bool, axes: Axes):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (qx, qy), (px, py) = ([t[c].cast(pa.float64()).to_numpy() for c in names] for t, names in ((left, ("qx", "qy")), (right, ("px", "py"))))
+        asks, there = ([t[c].cast(pa.float64()).to_numpy() for c in _named(side, axes)] for t, side in ((left, "q"), (right, "p")))
         order = pd.factorize(right["pid"].to_pandas(), sort=True)[0]
         if exclude_self:
             codes = pd.factorize(pd.concat((left["qwho"].to_pandas(), right["pwho"].to_pandas())))[0]
             mine, theirs = codes[: len(left)], codes[len(left) :]
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for a in range(0, len(left) if len(right) else 0, SLICE):
-            at = slice(a, a + SLICE)
-            dx, dy = qx[at, None] - px, qy[at, None] - py
-            d = np.sqrt(dx * dx + dy * dy)
+        for first in range(0, len(left) if len(right) else 0, SLICE):
+            at = slice(first, first + SLICE)
+            d = np.sqrt(sum(off * off for off in (a[at, None] - b for a, b in zip(asks, there))))
             if exclude_self:
                 d[mine[at, None] == theirs] = np.inf
             last = np.partition(d, k - 1, axis=1)[:, k - 1, None] if len(right) > k else np.inf
@@ -142,34 +154,35 @@ def _kernel(q_names: list[str], p_names: list[str], k: int, exclude_self: bool):
             by = np.lexsort((order[j], d[i, j], i))
             i, j = i[by], j[by]
             keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-            found.append((i[keep] + a, j[keep], d[i[keep], j[keep]]))
+            found.append((i[keep] + first, j[keep], d[i[keep], j[keep]]))
         i, j, d = (np.concatenate(c) for c in zip(*found))
         return pa.table([*left.select(q_names).take(i).columns, *right.select(p_names).take(j).columns, pa.array(d)], names=[*q_names, *p_names, "distance"])
 
     return run
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = True, axes: Axes = PLANE, leaf: int | None = None) -> DataFrame:
     """The k nearest points of each query by (distance, pid): the columns of both, distance and rank (from 1).
 
     queries: qid (one row each), qx, qy, qwho and others; points: pid, px, py, pwho and others, no name in both. With exclude_self, points of the query's own entity
     (qwho) are left out, and so are those of which this can't be told, as one is null. Rows with a null or NaN coordinate take no part. Where there are no more
-    than k points, every query gets them all. Empty tables give no rows.
+    than k points, every query gets them all. Empty tables give no rows. axes: the coordinates, q and p and these names, if they are not qx, qy, px and py.
+    leaf: points of a leaf, about.
     """
-    points, queries = _there(points, "px", "py"), _there(queries, "qx", "qy")
+    points, queries = _there(points, _named("p", axes)), _there(queries, _named("q", axes))
     if exclude_self:
         points, queries = points.filter("pwho IS NOT NULL"), queries.filter("qwho IS NOT NULL")
     points = staged(points)
-    tree = tree_of(points)
-    held = staged(_placed(_thinned(points, k) if tree.crowded else points, "px", "py", tree))
-    left = staged(_placed(queries, "qx", "qy", tree).withColumnRenamed("__leaf", "__own"))
+    tree = tree_of(points, axes, leaf)
+    held = staged(_placed(_thinned(points, k, axes) if tree.crowded else points, *_named("p", axes), tree))
+    left = staged(_placed(queries, *_named("q", axes), tree).withColumnRenamed("__leaf", "__own"))
     sure, up = None, 0
     best = Window.partitionBy("qid").orderBy("distance", "pid")
     while True:
         up = min(up, tree.depth)
         first = F.shiftleft(F.expr(f"shiftright(__own, {up})"), up)
         asks = left.withColumn("__leaf", F.explode(F.sequence(first, first + ((1 << up) - 1))))
-        got = _searched(asks, held, k, exclude_self).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        got = _searched(asks, held, k, exclude_self, axes).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         got = staged(got.withColumn("__up", F.lit(up)))
         full = staged(got.filter(F.col("rank") == k).select("qid", F.col("distance").alias("__far")))
         if up == tree.depth:  # these have seen every point
@@ -187,22 +200,22 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     if sure is not None:
         seen = sure.drop("__own", "__up", "rank")
         done = seen if done is None else done.unionByName(seen)
-        beyond = _searched(staged(_farther(more, tree)), held, k, exclude_self)
+        beyond = _searched(staged(_farther(more, tree, axes)), held, k, exclude_self, axes)
         done = done.unionByName(beyond)
     return done.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _farther(queries: DataFrame, tree: Tree) -> DataFrame:
+def _farther(queries: DataFrame, tree: Tree, axes: Axes = PLANE) -> DataFrame:
     """The queries with each leaf that their k-th distance so far (__far) reaches outside the subtree that they have seen (__up levels above their leaf)."""
 
     @F.pandas_udf("array<long>")
-    def leaves(x: pd.Series, y: pd.Series, far: pd.Series, own: pd.Series, up: pd.Series) -> pd.Series:
-        xy = np.column_stack((x.to_numpy(float), y.to_numpy(float)))
+    def leaves(place: pd.DataFrame, far: pd.Series, own: pd.Series, up: pd.Series) -> pd.Series:
+        xy = place.to_numpy(float)
         who, leaf = tree.reached(xy, far.to_numpy(float) * (1 + 1e-9))  # room for rounding
         new = leaf >> up.to_numpy()[who] != own.to_numpy()[who] >> up.to_numpy()[who]
         who, leaf = who[new], leaf[new]
         by = np.argsort(who, kind="stable")
         return pd.Series(np.split(leaf[by], np.searchsorted(who[by], np.arange(1, len(xy)))))
 
-    at = leaves(F.col("qx").cast("double"), F.col("qy").cast("double"), "__far", "__own", "__up")
+    at = leaves(_together(_named("q", axes)), "__far", "__own", "__up")
     return queries.withColumn("__leaf", F.explode(at)).drop("__far", "__up", "__own")

@@ -1,20 +1,22 @@
 """What is computed from nearest neighbours (`nearby.nearest`) and features: weighted means, leave-one-entity-out surfaces, local planes, and neighbours in
-feature space by pairs of blocks.
+feature space.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sondeflow.operators.aggregates import plane_fit
+from sondeflow.operators.nearby import nearest
 from sondeflow.sources.staging import staged
 
-#: Entities of a block, and focus entities that are compared with a block at once.
-BLOCK, SLICE = 4096, 256
+#: Entities of a leaf.
+BLOCK = 2048
 
 
 def inverse_distance(neighbours: DataFrame, value: str, eps: float = 1e-6) -> DataFrame:
@@ -58,38 +60,23 @@ def feature_neighbours(focus: DataFrame, others: DataFrame, key: str, features:
 
 
 def all_feature_neighbours(entities: DataFrame, key: str, features: list[str], k: int, block: int = BLOCK) -> DataFrame:
-    """feature_neighbours with every entity as focus, for one row a key. Entities are dealt into blocks of about `block`; each pair of blocks is a task of
-    its own that gives k rows a focus entity, so pairs never become rows. A distance with a null feature is null and ranks last."""
-    scaled = staged(standardised(entities.select(key, *features), features))
-    blocks = max(4, -(-scaled.count() // block))
-    own = scaled.withColumn("__own", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    cols = [F.col(key), *(F.col(c).cast("double").alias(c) for c in features)]
-    asked = own.select(F.col("__own").alias("i"), every.alias("j"), F.lit(True).alias("asks"), *cols)
-    given = own.select(every.alias("i"), F.col("__own").alias("j"), F.lit(False).alias("asks"), *cols)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, p = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        (who, x), (ids, y) = ((d[key].to_numpy(), d[features].to_numpy(float)) for d in (q, p))
-        place = np.unique(ids, return_inverse=True)[1]
-        out = []
-        for a in range(0, len(q), SLICE):
-            square = np.zeros((len(x[a : a + SLICE]), len(y)))
-            for c in range(len(features)):
-                square += (x[a : a + SLICE, c, None] - y[None, :, c]) ** 2
-            d = np.where(np.isnan(square), np.inf, np.sqrt(square))
-            for w, row in zip(who[a : a + SLICE], d):
-                at = np.flatnonzero(ids != w)
-                if len(at) > k:
-                    at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
-                at = at[np.lexsort((place[at], row[at]))[:k]]
-                out.append(pd.DataFrame({"focus": w, key: ids[at], "distance": row[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"focus": ids[:0], key: ids[:0], "distance": np.zeros(0)})
-
-    kind = scaled.schema[key].dataType.simpleString()
-    best = asked.union(given).groupBy("i", "j").applyInPandas(run, f"focus {kind}, `{key}` {kind}, distance double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("focus").orderBy("distance", key))).filter(F.col("rank") <= k)
-    return ranked.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")))
+    """feature_neighbours with every entity as focus, for one row a key. Entities are searched by leaves of about `block` of them, of a k-d tree over the standardised features
+    (see nearby.nearest): exact, and meant for a few features, as in many a leaf's neighbourhood is all leaves. A distance with a null feature is null and ranks last."""
+    scaled = staged(standardised(entities.select(key, *features), features).filter(F.col(key).isNotNull()))
+    whole = reduce(and_, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features))
+    known, odd = scaled.filter(whole), scaled.filter(~whole)
+    axes = tuple(map(str, range(len(features))))
+    side = lambda s: known.select(F.col(key).alias(f"{s}id"), F.col(key).alias(f"{s}who"), *(F.col(c).cast("double").alias(s + a) for a, c in zip(axes, features)))
+    near = nearest(side("q"), side("p"), k, axes=axes, leaf=block).select(F.col("qid").alias("focus"), F.col("pid").alias(key), "distance", "rank")
+    if odd.isEmpty():
+        return near
+    # Distances that are null are ordered by key alone: k + 1 entities hold the first k others of any.
+    unknown = lambda focus, others, n: focus.select(F.col(key).alias("focus")).join(F.broadcast(others.select(key).orderBy(key).limit(n)), F.col("focus") != F.col(key)).withColumn("distance", F.lit(None).cast("double"))
+    near = near.drop("rank").union(unknown(odd, scaled, k + 1))
+    if known.limit(k + 1).count() <= k:
+        near = near.union(unknown(known, odd, k))
+    by = Window.partitionBy("focus").orderBy(F.asc_nulls_last("distance"), key)
+    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
 def surface_offset(rows: DataFrame, surface: str, z: str, given: str, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondeflow.operators import aggregates as A
-from sondeflow.operators import spatial
+from sondeflow.operators import nearby, spatial
 from sondeflow.plans import registry
 from sondeflow.plans.base import wells
 from sondeflow.sources import files
@@ -93,3 +93,28 @@ def test_signatures_do_not_depend_on_how_rows_are_split(spark):
     for order in (rows, rows[::-1], sorted(rows, key=lambda q: q[2])):
         df = spark.createDataFrame(order, "k int, i int, v double").repartition(7)
         assert {q.k: q.signature.mean_v for q in A.stats_signature(df, "k", ["v"], 1, "i").collect()} == want
+
+
+@pytest.mark.parametrize("entities, copies", [(3000, 1), (50, 60)])
+def test_neighbours_are_sought_in_leaves_and_not_among_all(spark, monkeypatch, entities, copies):
+    """Each entity meets the leaves that its neighbours may lie in, few of all, whether places repeat or not; results are brute force's."""
+    met = []
+    search = nearby._searched
+    monkeypatch.setattr(nearby, "_searched", lambda asked, *rest: (met.append(asked.count()), search(asked, *rest))[1])
+    r = np.random.default_rng(5)
+    x = np.tile(r.normal(size=(entities, 3)).round(6), (copies, 1))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "well long, a double, b double, c double")
+    got = {(q.focus, q.rank): (q.well, q.distance) for q in spatial.all_feature_neighbours(df, "well", ["a", "b", "c"], 3, 64).collect()}
+    assert len(got) == 3 * len(x) and 0 < sum(met) < 12 * len(x)  # there are 64 leaves
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    for i in range(0, len(x), 29):
+        d = np.sqrt(((z - z[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        want = np.lexsort((np.arange(len(x)), d.round(9)))[:3]
+        assert [got[i, k][0] for k in (1, 2, 3)] == want.tolist() and [got[i, k][1] for k in (1, 2, 3)] == pytest.approx(d[want].tolist())
+
+
+def test_fewer_known_entities_than_asked_for(spark):
+    rows = [(1, 0.0, 0.0), (2, 3.0, 1.0), (5, None, 1.0), (4, float("nan"), 2.0), (None, 2.0, 2.0)]
+    got = sorted(spatial.all_feature_neighbours(spark.createDataFrame(rows, "w int, a double, b double"), "w", ["a", "b"], 2, 64).select("focus", "rank", "w").collect())
+    assert [(q.focus, q.w) for q in got] == [(1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2), (5, 1), (5, 2)]
