@@ -1,6 +1,7 @@
 """Boosted trees against a grower that looks at the rows one leaf at a time; weights on the simplex against a fine grid."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,28 @@ def test_search_beats_as_many_random_trials(spark, monkeypatch):
     seeds = range(100, 115)
     found = [models.searched(None, None, "y", space, trials=120, seed=k)[1] for k in seeds]
     assert np.median(found) < 0.8 * np.median([random_(k) for k in seeds])
+
+
+def test_bins_are_read_from_the_buffer():
+    b = np.arange(36, dtype=np.uint8).reshape(12, 3)
+    whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(3), 12, [None, pa.py_buffer(b.tobytes())]).cast(pa.binary())
+    assert [v.as_py() for v in whole] == [r.tobytes() for r in b]
+    for column, want in ((whole, b), (whole.slice(4, 5), b[4:9]), (whole.slice(12), b[:0]), (whole.cast(pa.large_binary()).slice(2), b[2:])):
+        assert (boosting._bins_of(column, 3) == want).all() and boosting._bins_of(column, 3).shape == want.shape
+
+
+def test_a_blend_computes_its_input_once_and_joins_nothing(spark):
+    x, y = sample(400, 3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = frame(spark, x, y, key=list(range(400)), fold=[i % 2 for i in range(400)])
+    df = df.mapInArrow(counted, df.schema)
+    few = {"trees": 2, "rate": 0.5, "least": 10, "rows": 1.0, "columns": 1.0}
+    out, _, _ = models.blended(df, ["a", "b", "c"], "y", "fold", ["key"], {"one": lambda: models.leafwise(leaves=4, **few), "two": lambda: models.levelwise(depth=2, **few)})
+    assert out.columns == ["key", "fold", "y", "one", "two", "guess"] and out.count() == 400 and seen.value == 400
+    assert "Join" not in out._jdf.queryExecution().analyzed().toString()
