@@ -179,6 +179,28 @@ def test_filtered_table(spark):
     assert 0 < len(changed) <= 0.26 * pairs.count() and all(r.new == pytest.approx(0.7 * r.guess + 1.5) for r in changed)
 
 
+def test_curves_in_a_column_are_as_a_table(spark):
+    """Whatever row of a key holds its knots; keys without any, with a null array and with knots without a number, too."""
+    r = np.random.default_rng(3)
+    rows = [(w, i, float(i), 0.1 * i, None if i % 7 == 3 else float(r.normal()), 100.0 + i if i < 8 and w != 3 else None) for w in range(1, 6) for i in range(30)]
+    knots = {1: [(90.0, 1.0), (100.0, 3.0), (100.0, 5.0), (140.0, 2.0)], 2: [], 3: [(90.0, 1.0), (120.0, 4.0)], 4: [(None, 1.0), (120.0, 4.0)], 5: [(130.0, 1.0), (95.0, 4.0)]}
+    kind = "well long, row_idx long, md double, z double, gr double, tvt_input double"
+    curve = spark.createDataFrame([(w, x, y) for w, pairs in knots.items() for x, y in pairs], "well long, x double, y double")
+    inside = [(*row, knots[row[0]] if row[1] == row[0] and row[0] != 2 else None) for row in rows]
+    s, found = filters.Settings(particles=20), []
+    for table, given in ((spark.createDataFrame(rows, kind), curve), (spark.createDataFrame(inside, kind + ", c array<struct<x: double, y: double>>").repartition(3), "c")):
+        found.append(sorted(filters.filtered(table, given, "well", "row_idx", 2, s).collect(), key=lambda v: (v.well, v.row_idx, v.seed)))
+    assert len(found[0]) == 2 * (22 * 4 + 30) and str(found[0]) == str(found[1])  # NaN where nothing is known
+
+
+def test_filters_go_through_the_events_once(spark):
+    from sondeflow.plans import registry
+
+    for name in ("pf_tempered", "pf_annealed", "track_restarted", "track_both_ways"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("user_id#") and sum("Relation" in line and "user_id#" in line for line in plan.split("\n")) == 1, name
+
+
 def test_candidates_are_weighed(spark):
     rows = [(1, c, i, s, float(10 * c + i), float(l), c == 1) for c, l in ((1, -4.0), (2, -4.0)) for i in range(2) for s in range(2)]
     df = spark.createDataFrame(rows, "well long, cand int, row_idx long, seed int, guess double, loglik double, own boolean")
