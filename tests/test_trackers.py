@@ -405,3 +405,51 @@ def test_beams_side_by_side_cost_little_more_than_one():
 
     one, all_ = (min(seconds(k) for _ in range(3)) for k in (tracking.beam(width=10), tracking.mean_beam()))
     assert all_ < 7 * one  # 14 beams one after another take 14 times as long
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_curves_are_read_as_by_interp(even, monkeypatch):
+    """Bit for bit: at knots, a rounding beside them, beyond both ends and without a number; even curves of several sizes all at once."""
+    r = np.random.default_rng(8)
+
+    class Curve:
+        def __init__(self, n):
+            shift = 0.45 if even else 30.0
+            self.x = np.sort(7.3 + 40.1 * (np.arange(n) + shift * r.uniform(-1, 1, n)))
+            self.y, self.gr, self.scale = r.normal(size=n), r.normal(size=5), 10.0
+
+    parts = [Curve(n) for n in (50, 2, 17, 3, 50)]
+    ys = [p.y for p in parts], [np.exp(p.y) for p in parts]
+    for who in (np.arange(5), np.arange(3), np.array([1, 3, 4]), np.array([2])):
+        at = []
+        for k in who:
+            x = parts[k].x
+            some = np.concatenate((x, np.nextafter(x, -1e9), np.nextafter(x, 1e9), [x[0] - 100.0, x[-1] + 100.0, np.nan], r.uniform(x[0] - 50, x[-1] + 50, 500)))
+            at.append(np.resize(some, (3, 300)))
+        at = np.array(at)
+        want = [np.stack([np.interp(v, parts[k].x, y[k]) for k, v in zip(who, at)]) for y in ys]
+        got = tracking.reader(parts, *ys)(who, at.copy())
+        assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, want))
+    if even:  # no call a key and row
+        score = tracking.SCORES["gaussian"](parts)
+        monkeypatch.setattr(np, "interp", None)
+        assert np.isfinite(score(2, np.arange(5), np.zeros((5, 2, 6)))).all()
+
+
+def test_seeds_averaged_in_the_task_are_as_in_a_table(spark):
+    wells = [well(n=n, known=12, seed=n) for n in (30, 14, 55)]
+    s = filters.Settings(particles=20, start_spread=6.0, rate_noise=0.05)
+    parts = [filters.prepared(rows, x, y, s) for rows, x, y in wells] + [filters.prepared(well()[0], np.zeros(0), np.zeros(0), s)]
+    rngs = lambda: [np.random.default_rng(k) for k in range(len(parts))]
+    rows = [(k, i, float(g), float(ll)) for k, (guess, loglik, _) in enumerate(filters.all_paths(parts, 3, rngs(), s)) for one, ll in zip(guess, loglik) for i, g in enumerate(one)]
+    want = {(r.well, r.row_idx): (r.guess, r.spread) for r in tracking.ensemble(spark.createDataFrame(rows, "well long, row_idx long, guess double, loglik double"), "well", "row_idx", 8.0).collect()}
+    got = {(k, i): (float(g), float(d)) for k, (guess, _, spread) in enumerate(filters.all_ensembles(parts, 3, rngs(), s)) for i, (g, d) in enumerate(zip(guess[0], spread[0]))}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_single_paths_are_not_shuffled_again(spark):
+    from sondeflow.plans import registry
+
+    for name in ("pf_ensemble", "track_particles", "track_particles_slope", "track_restarted", "track_both_ways", "track_both_ways_gated"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("MapInArrow")], name
